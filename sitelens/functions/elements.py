@@ -141,19 +141,19 @@ CONTINUE_PHRASES = ("используя сайт", "используя данн
                     "продолжая пользоваться", "продолжая использовать", "оставаясь на сайте",
                     "продолжая просмотр")
 _HINT = "(?:cookie|consent|gdpr)"
-BANNER_CONTAINER = rf"(?:class|id)\s*=\s*(?:\"[^\"]*{_HINT}|'[^']*{_HINT}|[^\s>\"']*{_HINT})"
+BANNER_CONTAINER = rf"(?:class|id){X.WS}*={X.WS}*(?:\"[^\"]*{_HINT}|'[^']*{_HINT}|[^\s>\"']*{_HINT})"
 
 
 def cookie_banner(html: Column, text: Column) -> Column:
     """Struct(found, evidence): cookies are mentioned and either an accept word, a "by using the
     site" phrase or a banner-like container is there."""
-    nt, nh = X.normalize_for_search(text), X.normalize_for_search(html)
-    mention = X.has_any(nt, COOKIE_MENTION) | X.has_any(nh, COOKIE_MENTION)
+    low_text, low_html = F.lower(text), F.lower(html)
+    mention = X.mentions(low_text, COOKIE_MENTION) | X.mentions(low_html, COOKIE_MENTION)
     words = ACCEPT_WORDS + CONTINUE_PHRASES
     found = mention & (
-        X.has_any(nt, words) | X.has_any(nh, words) | F.lower(html).rlike(rf"(?U){BANNER_CONTAINER}")
+        X.mentions(low_text, words) | X.mentions(low_html, words) | low_html.rlike(BANNER_CONTAINER)
     )
-    source = X.clean_text(F.when(X.has_any(nt, COOKIE_MENTION), text).otherwise(html))
+    source = X.clean_text(F.when(X.mentions(low_text, COOKIE_MENTION), text).otherwise(html))
     norm = X.normalize_for_search(source)
     at = F.when(norm.contains("cookie"), F.instr(norm, "cookie")).otherwise(F.instr(norm, "куки"))
     start = F.greatest(F.lit(1), at - 120)

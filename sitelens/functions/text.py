@@ -7,20 +7,28 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as Python's str methods see it: Unicode spaces and the four separators.
-WS = r"[\s\x1c-\x1f]"
+# Whitespace as Python's str methods see it. An explicit class is much cheaper to match than
+# the Unicode-aware \\s, and only runs that need a change are replaced.
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WS_NOT_SPACE = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUN = rf"(?: {WS}+|{_WS_NOT_SPACE}{WS}*)"
+_WS_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
+
+
+def _collapse(c: Column) -> Column:
+    return F.regexp_replace(c, _RUN, " ")
 
 
 def clean_text(c: Column) -> Column:
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U){WS}+", " "))
+    return strip(_collapse(F.coalesce(c, F.lit(""))))
 
 
 def _cut(c: Column, n: int) -> Column:
-    tail = F.regexp_replace(F.substring(c, 1, n - 1), rf"(?U){WS}+$", "")
+    tail = F.rtrim(F.substring(c, 1, n - 1), F.lit(_WS_CHARS))
     return F.when(F.length(c) <= n, c).otherwise(F.concat(tail, F.lit("…")))
 
 
@@ -35,7 +43,7 @@ def squeeze(c: Column, n: int) -> Column:
 
 def normalize_for_search(c: Column) -> Column:
     low = F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е")
-    return F.regexp_replace(low, rf"(?U){WS}+", " ")
+    return _collapse(low)
 
 
 def norm_keyword(k: str) -> str:
@@ -55,8 +63,18 @@ def has_any(norm: Column, keywords) -> Column:
     return norm.rlike("|".join(map(re.escape, words))) if words else F.lit(False)
 
 
+def mentions(low: Column, keywords) -> Column:
+    """The same test on a lower-cased but not normalised column: the pattern absorbs ё and runs of
+    whitespace, so a long text is scanned once and not rewritten."""
+    words = minimal(keywords)
+    if "" in words or not words:
+        return F.lit("" in words)
+    pats = ("".join(WS + "+" if ch == " " else "[её]" if ch == "е" else re.escape(ch) for ch in w) for w in words)
+    return low.rlike("|".join(pats))
+
+
 def contains_any(c: Column, keywords) -> Column:
-    return has_any(normalize_for_search(c), keywords)
+    return mentions(F.lower(F.coalesce(c, F.lit(""))), keywords)
 
 
 def _keyword_array(keywords) -> Column:
