@@ -35,7 +35,8 @@ def resolve_documents(cands: DataFrame, audit: DataFrame, facts: DataFrame, bodi
     b = bodies.select(U.strip_fragment(F.col("url")).alias("key"), F.struct(
         "final_url", "status_code", "ok", "format", "text", "error").alias("b")).groupBy("key").agg(F.min("b").alias("b"))
     df = df.join(b, "key", "left")
-    is_page = F.coalesce("has_html", F.lit(False))
+    # a stored page without markup gives way to a stored body of the same URL
+    is_page = F.col("p_status").isNotNull() & (F.coalesce("has_html", F.lit(False)) | F.col("b").isNull())
     text = F.when(is_page, F.col("doc_text")).otherwise(F.coalesce("b.text", F.lit("")))
     status = F.when(is_page, F.col("p_status")).otherwise(F.coalesce("b.status_code", "p_status", F.lit(0)))
     ok = F.when(is_page, F.col("p_ok")).otherwise(F.coalesce("b.ok", F.lit(False)))

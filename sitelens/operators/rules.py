@@ -162,7 +162,12 @@ def score_sites(ctx: DataFrame, risks: DataFrame) -> DataFrame:
     def pts(cond, n):
         return F.when(cond, n).otherwise(0)
 
-    n_errors = F.size("page_errors")
+    home_errors = F.concat(
+        F.when(F.col("reachable") & (F.col("fetch_method") != "playwright"),
+               F.array(F.lit("Страницы получены без браузера: часть ссылок могла не загрузиться.")))
+        .otherwise(F.array().cast("array<string>")),
+        F.coalesce("p_home.errors", F.array().cast("array<string>")))
+    n_errors = F.size(home_errors)
     verdicts = F.col("has_verdicts") if "has_verdicts" in ctx.columns else F.lit(False)
     screenshot = F.col("has_screenshot") if "has_screenshot" in ctx.columns else F.lit(False)
     geo_unknown = F.col("server_country").isin("", "unknown") | (F.col("geoip_confidence") <= 0)
@@ -181,7 +186,7 @@ def score_sites(ctx: DataFrame, risks: DataFrame) -> DataFrame:
     }).withColumns({
         "requires_manual_review": F.lit(True), "low_confidence": F.col("confidence") < 50,
         "errors": F.concat(
-            F.col("page_errors"), F.filter(F.array(
+            home_errors, F.filter(F.array(
                 F.when(~up, F.lit("Сайт недоступен: главная страница не получена.")),
                 F.when(up & (F.col("confidence") < 50), F.lit("Низкая достоверность: данных мало, нужна проверка юриста."))),
                 lambda x: x.isNotNull())),
