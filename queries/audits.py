@@ -67,15 +67,14 @@ def page_trackers(spark, sf):
         "page_id", c("t.provider_name").alias("provider"), c("t.matched_domain").alias("domain"), "t.matched_on")
 
 
-@query("h04_p08_p15_page_resources", f"""
-WITH b AS (SELECT page_id, page_id % 12 AS k, scheme FROM ({CTE.strip()} SELECT b.page_id, h.scheme FROM base b JOIN hosts h USING (host)))
-SELECT page_id, k = 6 AS banner, CASE k WHEN 6 THEN 2 WHEN 10 THEN 3 ELSE 0 END AS n_requests, CASE WHEN k = 10 THEN 'Fastly' ELSE '' END AS cdn,
-  CASE WHEN k = 10 AND scheme = 'https' THEN 'http://static.example.org/pic.png' ELSE '' END AS insecure,
-  CASE k WHEN 6 THEN 'Яндекс.Метрика,Google Tag Manager' WHEN 10 THEN 'Hotjar' ELSE '' END AS risky FROM b""")
+@query("h04_p08_p15_page_resources", CTE + """
+SELECT page_id, k IN (6, 7) OR (page_id = home_id AND k IN (1, 2)) AS banner, CASE k WHEN 6 THEN 2 WHEN 10 THEN 3 ELSE 0 END AS n_requests,
+  CASE WHEN k = 10 THEN 'Fastly' ELSE '' END AS cdn, CASE WHEN k = 10 AND h.scheme = 'https' THEN 'http://static.example.org/pic.png' ELSE '' END AS insecure,
+  CASE k WHEN 6 THEN 'Google Tag Manager,Яндекс.Метрика' WHEN 10 THEN 'Hotjar' ELSE '' END AS risky FROM base b JOIN hosts h USING (host)""")
 def resources(spark, sf):
     return facts(spark, sf).select(
         "page_id", c("banner_found").alias("banner"), F.size("network_requests").alias("n_requests"), F.coalesce("cdn", F.lit("")).alias("cdn"),
-        F.array_join("insecure", ",").alias("insecure"), F.array_join(F.reverse("risk_requests"), ",").alias("risky"))
+        F.array_join("insecure", ",").alias("insecure"), F.array_join("risk_requests", ",").alias("risky"))
 
 
 @query("d06_homepages", CTE + """
@@ -92,7 +91,7 @@ def audit_pages(spark, sf):
 
 @query("a01_site_context", CTE + """
 SELECT host, n_pd AS n_forms, n_pd AS n_pd_forms, n_linked AS n_pd_linked, k4 AS newsletter_form, k5 AS file_upload, k5 AS medical, children, hr, k2 AS ecommerce,
-  trackers AS trackers_present, trackers AS foreign_trackers_present, trackers AS cookies_present, k6 AS cookie_banner_found, trackers AS marketing_before_consent,
+  trackers AS trackers_present, trackers AS foreign_trackers_present, trackers AS cookies_present, banner AS cookie_banner_found, trackers AS marketing_before_consent,
   d7 AS has_privacy_policy, d6 AND home_k <> 11 AS has_cookie_policy, d11 AND home_k <> 11 AS has_ad_consent, d8 AND home_k <> 11 AS has_user_agreement,
   scheme = 'https' AS https_enabled, k10 AND scheme = 'https' AS mixed_content_found FROM flags""")
 def context(spark, sf):
@@ -164,7 +163,7 @@ fired AS (
   SELECT host, unnest([
     CASE WHEN r1 THEN 'R001' END, CASE WHEN r2 THEN 'R002' END, CASE WHEN r3 THEN 'R003' END, CASE WHEN k3 THEN 'R004' END,
     CASE WHEN k2 THEN 'R005' END, CASE WHEN k2 THEN 'R006' END, CASE WHEN d7 AND pd AND k5 THEN 'R009' END,
-    CASE WHEN pd AND NOT d7 THEN 'R010' END, CASE WHEN trackers AND NOT k6 THEN 'R011' END, CASE WHEN trackers THEN 'R012' END,
+    CASE WHEN pd AND NOT d7 THEN 'R010' END, CASE WHEN trackers AND NOT banner THEN 'R011' END, CASE WHEN trackers THEN 'R012' END,
     CASE WHEN trackers AND NOT (d6 AND linked) AND NOT d7 THEN 'R013' END, CASE WHEN trackers AND d7 THEN 'R014' END,
     CASE WHEN trackers THEN 'R015' END, CASE WHEN scheme <> 'https' THEN 'R017' END, CASE WHEN scheme = 'https' AND k10 THEN 'R018' END,
     CASE WHEN k4 AND NOT (d11 AND linked) THEN 'R019' END, CASE WHEN k5 THEN 'R020' END, CASE WHEN children THEN 'R021' END,
@@ -192,7 +191,7 @@ SCORE_CTE = RULES_CTE + """
 
 @query("m01_summary", SCORE_CTE + """
 SELECT host, 'https://' || host AS site_url, industry, risk_score, CASE WHEN risk_score <= 20 THEN 'low' WHEN risk_score <= 50 THEN 'medium' WHEN risk_score <= 80 THEN 'high' ELSE 'critical' END AS risk_level,
-  n_pd AS forms_found, d7 AS privacy_policy_found, k6 AS cookie_banner_found, (CASE WHEN k6 THEN 2 ELSE 0 END) + (CASE WHEN k10 THEN 1 ELSE 0 END) AS trackers_found,
+  n_pd AS forms_found, d7 AS privacy_policy_found, banner AS cookie_banner_found, (CASE WHEN k6 THEN 2 ELSE 0 END) + (CASE WHEN k10 THEN 1 ELSE 0 END) AS trackers_found,
   trackers AS foreign_trackers_found, 'scanned' AS status FROM scored JOIN f USING (host)""")
 def summary(spark, sf):
     a = audited(spark, sf)
@@ -215,7 +214,7 @@ checks AS (
   UNION ALL SELECT host, 14, 'Consent_011', CASE WHEN NOT pd THEN 'not_applicable' WHEN k2 THEN 'risk' WHEN k1 THEN 'ok' ELSE 'unclear' END FROM core
   UNION ALL SELECT host, 15, 'R003', CASE WHEN NOT pd THEN 'not_applicable' WHEN r3 THEN 'risk' ELSE 'ok' END FROM core
   UNION ALL SELECT host, 16, 'R017', CASE WHEN scheme = 'https' THEN 'ok' ELSE 'risk' END FROM core
-  UNION ALL SELECT host, 17, 'Cookie_001', CASE WHEN NOT trackers THEN 'not_applicable' WHEN k6 THEN 'ok' ELSE 'risk' END FROM core
+  UNION ALL SELECT host, 17, 'Cookie_001', CASE WHEN NOT trackers THEN 'not_applicable' WHEN banner THEN 'ok' ELSE 'risk' END FROM core
   UNION ALL SELECT host, 18, 'Cookie_006', CASE WHEN trackers THEN 'risk' ELSE 'not_applicable' END FROM core
   UNION ALL SELECT host, 19, 'PP_027', CASE WHEN k5 THEN 'risk' ELSE 'not_applicable' END FROM core
   UNION ALL SELECT host, 20, 'R019', CASE WHEN NOT k4 THEN 'not_applicable' WHEN d11 AND linked THEN 'ok' ELSE 'risk' END FROM core)

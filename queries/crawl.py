@@ -51,7 +51,8 @@ NAV = "<ul>" + "".join(f'<li><a href="{p}">{t}</a></li>' for p, t in zip(PATHS,
 INDUSTRIES = ("auto", "образование", "HR/рекрутинг")
 
 # The same derivation in SQL: host, template, role and audited pages. Facts per template are
-# written by hand from the fragments above.
+# written by hand from the fragments above. A banner needs a mention of cookies next to an accept
+# word: templates 6 and 7 ("ок" inside "Срок" counts), and homepages (their menu says Cookies) with 1 or 2.
 CTE = r"""
 WITH base AS (
   SELECT page_id, html, page_id % 12 AS k, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host,
@@ -73,6 +74,7 @@ site AS (
     bool_or(a.k = 5) AS k5, bool_or(a.k = 6) AS k6, bool_or(a.k = 9) AS k9, bool_or(a.k = 10) AS k10,
     bool_or(a.k = 6 AND NOT is_home) AS d6, bool_or(a.k = 7 AND NOT is_home) AS d7,
     bool_or(a.k = 8 AND NOT is_home) AS d8, bool_or(a.k = 11 AND NOT is_home) AS d11,
+    bool_or(a.k IN (6, 7) OR (a.is_home AND a.k IN (1, 2))) AS banner,
     count(*) FILTER (a.k IN (1, 2, 3, 4, 5, 9)) AS n_pd,
     count(*) FILTER (a.k IN (1, 3)) AS n_linked,
     bool_or(a.k IN (6, 7) AND NOT is_home AND len(list_filter(
