@@ -15,6 +15,12 @@ _RUN = rf"(?: {WS}+|{_WS_NOT_SPACE}{WS}*)"
 _WS_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; a lambda would otherwise evaluate a captured
+    expression again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_WS_CHARS))
 
@@ -77,19 +83,11 @@ def contains_any(c: Column, keywords) -> Column:
     return mentions(F.lower(F.coalesce(c, F.lit(""))), keywords)
 
 
-def _keyword_array(keywords) -> Column:
-    return F.array(*[F.lit(k) for k in keywords])
-
-
-def _hit(norm: Column, k: Column) -> Column:
-    nk = normalize_for_search(k)
-    return (nk != "") & norm.contains(nk)
-
-
 def find_all_matches(c: Column, keywords) -> Column:
-    kws = keywords if isinstance(keywords, Column) else _keyword_array(keywords)
-    norm = normalize_for_search(c)
-    return F.filter(kws, lambda k: _hit(norm, k))
+    """Literal keywords contained in the text, in their order."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(norm_keyword(k)).alias("n")) for k in keywords if norm_keyword(k)])
+    return let(normalize_for_search(c), lambda norm: F.transform(
+        F.filter(pairs, lambda p: norm.contains(p["n"])), lambda p: p["k"]))
 
 
 def find_first(c: Column, keywords) -> Column:
@@ -97,20 +95,22 @@ def find_first(c: Column, keywords) -> Column:
 
 
 # ---- patterns (fixed values) -------------------------------------------------------
-RE_OGRNIP = r"(?U)\b\d{15}\b"
-RE_OGRN = r"(?U)\b\d{13}\b"
-RE_INN = r"(?U)\b\d{12}\b|\b\d{10}\b"
-RE_INN_LABELED = r"(?iU)ИНН[\s:№]*?(\d{10}|\d{12})"
-RE_OGRN_LABELED = r"(?iU)ОГРН(?:ИП)?[\s:№]*?(\d{13}|\d{15})"
+# A leading look-ahead on the first character lets most positions fail before a Unicode word
+# boundary or a case-blind letter is tried.
+RE_OGRNIP = r"(?=\p{Nd})(?U)\b\d{15}\b"
+RE_OGRN = r"(?=\p{Nd})(?U)\b\d{13}\b"
+RE_INN = r"(?=\p{Nd})(?U)(?:\b\d{12}\b|\b\d{10}\b)"
+RE_INN_LABELED = r"(?=[Ии])(?iU)ИНН[\s:№]*?(\d{10}|\d{12})"
+RE_OGRN_LABELED = r"(?=[Оо])(?iU)ОГРН(?:ИП)?[\s:№]*?(\d{13}|\d{15})"
 RE_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 RE_PHONE = r"(?U)(?:\+7|8|7)[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}"
 RE_DATE = (
-    r"(?iU)\b\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}\b"
+    r"(?=\p{Nd})(?iU)(?:\b\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}\b"
     r"|\b\d{1,2}\s+(?:январ|феврал|март|апрел|ма[йя]|июн|июл|август|сентябр|октябр|ноябр|декабр)\w*\s+\d{4}"
-    r"|\b\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2}\b"
+    r"|\b\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2}\b)"
 )
-RE_VERSION = r"(?iU)(?:верси[яи]|version|редакци[яи]|ред\.)\s*[:№]?\s*([0-9]+(?:\.[0-9]+)*)"
-RE_PLACEHOLDER = "(?iU)" + "|".join(
+RE_VERSION = r"(?=[ВвVvРр])(?iU)(?:верси[яи]|version|редакци[яи]|ред\.)\s*[:№]?\s*([0-9]+(?:\.[0-9]+)*)"
+RE_PLACEHOLDER = r"(?=[\[{_«РрНнАаУуВвПп])(?iU)(?:" + "|".join(
     [
         r"\[[^\]]{0,40}\]",
         r"\{\{[^}]{0,40}\}\}",
@@ -123,7 +123,7 @@ RE_PLACEHOLDER = "(?iU)" + "|".join(
         r"ваш[аеиуый]*\s+компани[яи]",
         r"пример\w*\s+ооо",
     ]
-)
+) + ")"
 
 
 def _all(c: Column, pattern: str, group: int = 0) -> Column:
@@ -166,9 +166,9 @@ def detect_version(c: Column) -> Column:
 
 
 _FORMS = "ООО|АО|ПАО|ОАО|ЗАО|НАО|ИП"
-_RE_OPERATOR_PHRASE = r"(?iU)оператор(?:ом)?[^.\n]{0,60}?(?:является|:)\s*([^.\n]{2,120})"
+_RE_OPERATOR_PHRASE = r"(?=[Оо])(?iU)оператор(?:ом)?[^.\n]{0,60}?(?:является|:)\s*([^.\n]{2,120})"
 _RE_ENTITY_TAIL = (
-    rf"(?iU)\b(?=((?:{_FORMS})\b[\s\S]{{0,140}}))(?:{_FORMS})\b[\s\"'«»]*(?:[^\"'«»\n]{{1,80}})?"
+    rf"(?=[ОАПЗНИоапзни])(?iU)\b(?=((?:{_FORMS})\b[\s\S]{{0,140}}))(?:{_FORMS})\b[\s\"'«»]*(?:[^\"'«»\n]{{1,80}})?"
 )
 
 
@@ -176,9 +176,8 @@ def find_operator(c: Column) -> Column:
     """Operator named in a document: explicit phrase, else legal form with a quoted name, else
     a sole trader's full name."""
     text = F.coalesce(c, F.lit(""))
-    phrase = F.regexp_replace(
-        clean_text(F.regexp_extract(text, _RE_OPERATOR_PHRASE, 1)), r"^[ .;,:]+|[ .;,:]+$", ""
-    )
+    said = let(F.btrim(clean_text(F.regexp_extract(text, _RE_OPERATOR_PHRASE, 1)), F.lit(" .;,:")),
+               lambda p: F.when(p != "", p))
 
     def candidate(tail: Column) -> Column:
         t = F.substring(tail, 1, 140)
@@ -192,12 +191,8 @@ def find_operator(c: Column) -> Column:
         )
 
     tails = F.regexp_extract_all(text, F.lit(_RE_ENTITY_TAIL), F.lit(1))
-    named = F.filter(F.transform(tails, candidate), lambda x: x.isNotNull())
-    return truncate_or_null(F.coalesce(F.when(phrase != "", phrase), F.try_element_at(named, F.lit(1))), 120)
-
-
-def truncate_or_null(c: Column, n: int) -> Column:
-    return F.when(c.isNotNull(), truncate(c, n))
+    named = F.try_element_at(F.filter(F.transform(tails, candidate), lambda x: x.isNotNull()), F.lit(1))
+    return let(F.coalesce(said, named), lambda n: F.when(n.isNotNull(), truncate(n, 120)))
 
 
 # Markers of processing purposes and of retention terms.
@@ -221,20 +216,21 @@ def find_retention(c: Column) -> Column:
     return contains_any(c, RETENTION_MARKERS)
 
 
-def snippet_around(text: Column, needle: Column, radius: int = 200) -> Column:
-    """Window around the first match of ``needle``; the head of the text when there is none."""
-    raw = F.coalesce(text, F.lit(""))
+def snippet_around(text: Column, needle: Column, radius: int = 200, norm: Column | None = None) -> Column:
+    """Window around the first match of ``needle``; the head of the text when there is none. Pass
+    ``norm`` when the normalised text is already a column."""
+    def window(b):
+        raw, size = b["raw"], F.length(b["raw"])
+        start = F.greatest(F.lit(0), b["at"] - 1 - radius)
+        end = F.least(size, b["at"] - 1 + b["n"] + radius)
+        cut = F.concat(
+            F.when(start > 0, "…").otherwise(""), clean_text(F.substr(raw, start + 1, F.greatest(F.lit(0), end - start))),
+            F.when(end < size, "…").otherwise(""))
+        return F.when(b["at"] > 0, cut).otherwise(squeeze(raw, 2 * radius))
+
     nn = normalize_for_search(needle)
-    at = F.when(nn != "", F.position(nn, normalize_for_search(raw)))
-    idx = at - 1
-    start = F.greatest(F.lit(0), idx - radius)
-    end = F.least(F.length(raw), idx + F.length(nn) + radius)
-    window = F.concat(
-        F.when(start > 0, "…").otherwise(""),
-        clean_text(F.substr(raw, start + 1, F.greatest(F.lit(0), end - start))),
-        F.when(end < F.length(raw), "…").otherwise(""),
-    )
-    return F.when(at > 0, window).otherwise(squeeze(raw, 2 * radius))
+    at = F.when(nn != "", F.position(nn, normalize_for_search(text) if norm is None else norm)).otherwise(0)
+    return let(F.struct(F.coalesce(text, F.lit("")).alias("raw"), at.alias("at"), F.length(nn).alias("n")), window)
 
 
 def first_snippet(c: Column, n: int = 400) -> Column:

@@ -101,7 +101,7 @@ def _handlers(item: Column) -> dict[str, Column]:
         return F.try_element_at(F.filter(kws, lambda k: n.contains(k)), F.lit(1))
 
     def quoted(kw, radius):
-        return X.snippet_around(text, kw, radius)
+        return X.snippet_around(text, kw, radius, n)
 
     def joined(arr, k=5):
         return F.array_join(F.slice(arr, 1, k), ", ")
@@ -188,7 +188,7 @@ def run_checklist(facts: DataFrame, path=None) -> DataFrame:
             applies = applies & ((item["applies_when"] != flag) | F.col(flag))
         kw = F.try_element_at(F.filter(item["norm_keywords"], lambda k: F.col("norm").contains(k)), F.lit(1))
         generic = F.when((F.col("text") != "") & kw.isNotNull(), _res(
-            "found", "Формулировка есть.", 70, X.snippet_around(F.col("text"), kw, 180))).otherwise(
+            "found", "Формулировка есть.", 70, X.snippet_around(F.col("text"), kw, 180, F.col("norm")))).otherwise(
             _res("not_found", "Формулировки нет.", 55))
         out = F.when(~applies, _res("not_applicable", "К этому сайту не относится.")).when(item["special"] == "", generic)
         handlers = _handlers(item)
@@ -243,15 +243,16 @@ def detect_conflicts(facts: DataFrame) -> DataFrame:
 
 # ---- verdicts of an outside reviewer --------------------------------------------------
 def read_verdicts(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(site_id, doc_pos, answer) in loose JSON to item verdicts and conflicts."""
+    """(site_id, doc_pos, doc_type, url, answer) in loose JSON to item verdicts and conflicts."""
     item = "struct<id: string, status: string, evidence_quote: string, comment: string, confidence: int>"
     conf = "struct<type: string, detected_fact: string, document_statement: string, risk: string, comment: string>"
     a = answers.withColumn("a", F.from_json(
         X.lenient_json(F.col("answer")), f"struct<checklist_results: array<{item}>, conflicts: array<{conf}>>"))
     items = a.select("site_id", "doc_pos", F.posexplode("a.checklist_results").alias("pos", "v")).where(
         "v.id <> ''").groupBy("site_id", "doc_pos", F.col("v.id").alias("item_id")).agg(F.max_by("v", "pos").alias("v"))
-    conflicts = a.select("site_id", "doc_pos", F.posexplode("a.conflicts").alias("pos", "k")).where("k.type <> ''").select(
-        "site_id", "doc_pos", (F.col("pos") + 100).alias("pos"), "k.*")
+    key = ["site_id", "doc_pos", "doc_type", "url"]
+    conflicts = a.select(*key, F.posexplode("a.conflicts").alias("pos", "k")).where("k.type <> ''").select(
+        *key, (F.col("pos") + 100).alias("pos"), "k.*")
     return items, conflicts
 
 

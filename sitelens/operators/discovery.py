@@ -101,15 +101,12 @@ def plan_pages(links: DataFrame, sitemap: DataFrame, homes: DataFrame, max_pages
     pool = pool.withColumn("url", U.strip_fragment(F.col("url"))).where(
         (F.col("url") != "") & (U.url_key(F.col("url")) != U.url_key(F.col("base_url"))))
     once = pool.groupBy("site_id", "budget", "url").agg(F.min(F.struct("tier", "pos")).alias("at"))
+    # no tier can fill more than the whole budget, so one rank limit serves all tiers
+    limit = max_pages or 1000
     in_tier = F.row_number().over(Window.partitionBy("site_id", "at.tier").orderBy("at"))
-    capped = (
-        once.where(f"at.tier < {FORM_TIER}").select("site_id", "budget", "url", "at").unionByName(
-            once.where(f"at.tier = {FORM_TIER}").withColumn("k", in_tier).where(F.col("k") <= MAX_FORM_PAGES).drop("k"))
-        .unionByName(
-            once.where(f"at.tier = {GUESS_TIER}").withColumn("k", in_tier).where(F.col("k") <= MAX_GUESSES).drop("k"))
-    )
+    cap = F.when(F.col("at.tier") == FORM_TIER, MAX_FORM_PAGES).when(F.col("at.tier") == GUESS_TIER, MAX_GUESSES).otherwise(limit)
+    capped = once.withColumn("k", in_tier).where(F.col("k") <= limit).where(F.col("k") <= cap)
     pos = F.row_number().over(Window.partitionBy("site_id").orderBy("at"))
-    limit = max_pages or 1000
     ranked = capped.withColumn("plan_pos", pos).where(F.col("plan_pos") <= limit)
     return ranked.where("plan_pos <= budget").select("site_id", "plan_pos", "url")
 

@@ -6,14 +6,13 @@ intermediate value once, so that a lambda over scopes does not evaluate it again
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitelens import catalogue
 from sitelens.functions import elements as P
 from sitelens.functions import text as X
+from sitelens.functions.text import let
 
 MAX_CONTAINERS = 600
 NOT_A_FIELD = ("hidden", "submit", "button", "image", "reset")
@@ -68,10 +67,6 @@ FORM = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _first(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))
 

@@ -47,18 +47,19 @@ def tracker_hits(scripts: Column, iframes: Column, requests: Column, low_html: C
                  shown=t["domains"]) for t in catalogue.trackers(path)]
     services = catalogue.literal(rows, catalogue.TRACKERS_DDL + ", shown array<string>")
 
-    def find(p):
-        def in_source(kind, text):
-            at = F.filter(F.transform(p["domains"], lambda d, i: F.when(text.contains(d), i)), lambda i: i.isNotNull())
+    kinds = ("script", "iframe", "network")
+    texts = F.struct(*[_lines(u).alias(k) for k, u in zip(kinds, (scripts, iframes, requests))], low_html.alias("html"))
+
+    def find(t, p):
+        def in_source(kind):
+            at = F.filter(F.transform(p["domains"], lambda d, i: F.when(t[kind].contains(d), i)), lambda i: i.isNotNull())
             return F.struct(F.lit(kind).alias("kind"), _first(at).alias("at"))
 
-        sources = F.array(*[in_source(k, _lines(u)) for k, u in
-                            (("script", scripts), ("iframe", iframes), ("network", requests))])
         return F.struct(
-            p.alias("p"), _first(F.filter(sources, lambda s: s["at"].isNotNull())).alias("url"),
-            F.exists(p["patterns"], lambda t: low_html.contains(t)).alias("inline"))
+            p.alias("p"), _first(F.filter(F.array(*map(in_source, kinds)), lambda s: s["at"].isNotNull())).alias("url"),
+            F.exists(p["patterns"], lambda x: t["html"].contains(x)).alias("inline"))
 
-    found = F.filter(F.transform(services, find), lambda h: h["url"].isNotNull() | h["inline"])
+    found = F.filter(X.let(texts, lambda t: F.transform(services, lambda p: find(t, p))), lambda h: h["url"].isNotNull() | h["inline"])
     return F.transform(found, lambda h: F.struct(
         h["p"]["provider_pos"], h["p"]["provider_name"], h["p"]["category"], h["p"]["country_hint"],
         h["p"]["legal_risk"],

@@ -117,7 +117,7 @@ def audit(
     verdict_docs = None
     if verdict_answers is not None:
         answers = verdict_answers.join(
-            docs.select("site_id", F.col("url").alias("doc_url"), "doc_pos"), ["site_id", "doc_url"])
+            docs.select("site_id", F.col("url").alias("doc_url"), "url", "doc_type", "doc_pos"), ["site_id", "doc_url"])
         items, claimed = C.read_verdicts(answers)
         results = C.merge_verdicts(results, items, docs)
         conflicts = C.merge_conflicts(conflicts, claimed)
