@@ -3,13 +3,19 @@ hand from the fragments in ``queries.crawl``; the SQL rolls them up per host."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from queries.crawl import CTE, audited, facts
 from queries.joins import vals
 from queries.registry import query
+from sitelens.functions import urls as U
+from sitelens.operators import checklist as C
+from sitelens.operators import documents as W
 from sitelens.operators import findings as Fi
+from sitelens.operators import rules as R
 from sitelens.plans import report
+from sitelens.sources.crawl import body_texts
 
 c = F.col
 
@@ -91,7 +97,7 @@ def audit_pages(spark, sf):
 
 @query("a01_site_context", CTE + """
 SELECT host, n_pd AS n_forms, n_pd AS n_pd_forms, n_linked AS n_pd_linked, k4 AS newsletter_form, k5 AS file_upload, k5 AS medical, children, hr, k2 AS ecommerce,
-  trackers AS trackers_present, trackers AS foreign_trackers_present, trackers AS cookies_present, banner AS cookie_banner_found, trackers AS marketing_before_consent,
+  trackers AS trackers_present, trackers AS foreign_trackers_present, cookies AS cookies_present, banner AS cookie_banner_found, cookies AS marketing_before_consent,
   d7 AS has_privacy_policy, d6 AND home_k <> 11 AS has_cookie_policy, d11 AND home_k <> 11 AS has_ad_consent, d8 AND home_k <> 11 AS has_user_agreement,
   scheme = 'https' AS https_enabled, k10 AND scheme = 'https' AS mixed_content_found FROM flags""")
 def context(spark, sf):
@@ -107,8 +113,15 @@ def site_trackers(spark, sf):
     return audited(spark, sf).trackers.select(c("site_id").alias("host"), c("provider_name").alias("provider"), c("matched_domain").alias("domain"))
 
 
+@query("a17_site_cookies", CTE + """
+SELECT DISTINCT host, name, CASE name WHEN 'sid' THEN 'shop.ru' ELSE host END AS domain, CASE name WHEN 'sid' THEN 'unknown' ELSE 'analytics' END AS category
+FROM audited, (SELECT unnest(['sid', '_ga']) AS name) WHERE k = 4""")
+def site_cookies(spark, sf):
+    return audited(spark, sf).cookies.select(c("site_id").alias("host"), "name", "domain", "category")
+
+
 @query("a02_before_consent", CTE + """
-SELECT host, (CASE WHEN k6 THEN 2 ELSE 0 END) + (CASE WHEN k10 THEN 1 ELSE 0 END) AS n_items FROM flags WHERE trackers""")
+SELECT host, (CASE WHEN k6 THEN 2 ELSE 0 END) + (CASE WHEN k10 THEN 1 ELSE 0 END) + (CASE WHEN k4 THEN 1 ELSE 0 END) AS n_items FROM flags WHERE cookies""")
 def before(spark, sf):
     return audited(spark, sf).context.where("marketing_before_consent").select(c("site_id").alias("host"), F.size("before_consent_items").alias("n_items"))
 
@@ -150,7 +163,7 @@ def policy_items(spark, sf):
 @query("k01_k04_conflicts", CTE + """
 , d AS (SELECT *, home_k <> 11 AS linked FROM flags)
 SELECT host, 'user_agreement' AS doc_type, 'tracker_not_disclosed' AS type FROM d WHERE d8 AND linked AND trackers
-UNION ALL SELECT host, 'user_agreement', 'cookies_not_disclosed' FROM d WHERE d8 AND linked AND trackers
+UNION ALL SELECT host, 'user_agreement', 'cookies_not_disclosed' FROM d WHERE d8 AND linked AND cookies
 UNION ALL SELECT host, 'user_agreement', 'company_conflict' FROM d WHERE d8 AND linked""")
 def conflicts(spark, sf):
     return audited(spark, sf).conflicts.where("doc_type = 'user_agreement'").select(c("site_id").alias("host"), "doc_type", "type")
@@ -163,8 +176,8 @@ fired AS (
   SELECT host, unnest([
     CASE WHEN r1 THEN 'R001' END, CASE WHEN r2 THEN 'R002' END, CASE WHEN r3 THEN 'R003' END, CASE WHEN k3 THEN 'R004' END,
     CASE WHEN k2 THEN 'R005' END, CASE WHEN k2 THEN 'R006' END, CASE WHEN d7 AND pd AND k5 THEN 'R009' END,
-    CASE WHEN pd AND NOT d7 THEN 'R010' END, CASE WHEN trackers AND NOT banner THEN 'R011' END, CASE WHEN trackers THEN 'R012' END,
-    CASE WHEN trackers AND NOT (d6 AND linked) AND NOT d7 THEN 'R013' END, CASE WHEN trackers AND d7 THEN 'R014' END,
+    CASE WHEN pd AND NOT d7 THEN 'R010' END, CASE WHEN trackers AND NOT banner THEN 'R011' END, CASE WHEN cookies THEN 'R012' END,
+    CASE WHEN cookies AND NOT (d6 AND linked) AND NOT (d7 AND trackers) THEN 'R013' END, CASE WHEN trackers AND d7 THEN 'R014' END,
     CASE WHEN trackers THEN 'R015' END, CASE WHEN scheme <> 'https' THEN 'R017' END, CASE WHEN scheme = 'https' AND k10 THEN 'R018' END,
     CASE WHEN k4 AND NOT (d11 AND linked) THEN 'R019' END, CASE WHEN k5 THEN 'R020' END, CASE WHEN children THEN 'R021' END,
     CASE WHEN k5 THEN 'R022' END, CASE WHEN hr THEN 'R023' END, CASE WHEN k2 THEN 'R024' END, CASE WHEN d8 AND linked THEN 'R025' END,
@@ -214,8 +227,8 @@ checks AS (
   UNION ALL SELECT host, 14, 'Consent_011', CASE WHEN NOT pd THEN 'not_applicable' WHEN k2 THEN 'risk' WHEN k1 THEN 'ok' ELSE 'unclear' END FROM core
   UNION ALL SELECT host, 15, 'R003', CASE WHEN NOT pd THEN 'not_applicable' WHEN r3 THEN 'risk' ELSE 'ok' END FROM core
   UNION ALL SELECT host, 16, 'R017', CASE WHEN scheme = 'https' THEN 'ok' ELSE 'risk' END FROM core
-  UNION ALL SELECT host, 17, 'Cookie_001', CASE WHEN NOT trackers THEN 'not_applicable' WHEN banner THEN 'ok' ELSE 'risk' END FROM core
-  UNION ALL SELECT host, 18, 'Cookie_006', CASE WHEN trackers THEN 'risk' ELSE 'not_applicable' END FROM core
+  UNION ALL SELECT host, 17, 'Cookie_001', CASE WHEN NOT cookies THEN 'not_applicable' WHEN banner THEN 'ok' ELSE 'risk' END FROM core
+  UNION ALL SELECT host, 18, 'Cookie_006', CASE WHEN cookies THEN 'risk' ELSE 'not_applicable' END FROM core
   UNION ALL SELECT host, 19, 'PP_027', CASE WHEN k5 THEN 'risk' ELSE 'not_applicable' END FROM core
   UNION ALL SELECT host, 20, 'R019', CASE WHEN NOT k4 THEN 'not_applicable' WHEN d11 AND linked THEN 'ok' ELSE 'risk' END FROM core)
 """
@@ -274,7 +287,8 @@ def forms_table(spark, sf):
 
 
 @query("m04_services_table", CTE + f"""
-SELECT DISTINCT host, 'tracker' AS kind, provider AS name, domain FROM audited JOIN {vals(PAGE_HITS)} h(k, provider, domain, matched_on) USING (k)""")
+SELECT DISTINCT host, 'tracker' AS kind, provider AS name, domain FROM audited JOIN {vals(PAGE_HITS)} h(k, provider, domain, matched_on) USING (k)
+UNION ALL SELECT DISTINCT host, 'cookie', name, CASE name WHEN 'sid' THEN 'shop.ru' ELSE host END FROM audited, (SELECT unnest(['sid', '_ga']) AS name) WHERE k = 4""")
 def services(spark, sf):
     a = audited(spark, sf)
     return report.services_table(a.trackers, a.cookies).select(c("site_id").alias("host"), "kind", "name", "domain")
@@ -287,6 +301,72 @@ def cards(spark, sf):
     return report.risk_cards(audited(spark, sf).risks).select(c("site_id").alias("host"), "rank", "level", "level_label")
 
 
+# ---- outside input: stored bodies, suggestions, verdicts ------------------------------------
+@query("j06_j07_stored_bodies", CTE + """
+SELECT host, 'https://' AS x, TRUE AS readable, 'docx' AS format FROM hosts""")
+def bodies(spark, sf):
+    """Every site has a word file behind its usual offer path; the text arrives with the store."""
+    a = audited(spark, sf)
+    stored = a.homes.select(F.concat("base_url", F.lit("/oferta")).alias("url"), F.lit("application/msword").alias("content_type"),
+                            F.lit(b"x").alias("content"), F.lit("Публичная оферта").alias("text"))
+    docs = W.dedupe_documents(W.resolve_documents(a.candidates, a.audit, a.facts, body_texts(stored)))
+    return docs.where("doc_type = 'offer' and present").select(
+        c("site_id").alias("host"), F.lit("https://").alias("x"), c("is_accessible").alias("readable"), "format")
+
+
+@query("j12_suggestions", CTE + """
+, s AS (SELECT b.host, b.page_id, b.k, h.home_k, row_number() OVER (PARTITION BY b.host ORDER BY b.page_id) AS n FROM base b JOIN hosts h USING (host)
+  WHERE b.page_id <> h.home_id AND b.page_id NOT IN (SELECT page_id FROM firsts) AND b.k IN (0, 7))
+SELECT host, page_id FROM s WHERE n <= 10 AND k = 7""")
+def suggestions(spark, sf):
+    """A reviewer names the archived pages of a site as policies; those that read like one are kept."""
+    a = audited(spark, sf)
+    pages = a.facts.where(c("url").contains("/archive/") & (c("page_id") % 12).isin(0, 7)).withColumn("host", U.get_host(c("url")))
+    first = pages.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).where("n <= 25")
+    item = F.struct("n", F.struct("url", F.lit("privacy_policy").alias("doc_type")).alias("s"))
+    answers = first.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("l")).select(
+        c("host").alias("site_id"), F.concat(F.lit("```json\n"), F.to_json(F.struct(c("l").alias("missed_documents"))), F.lit("\n```")).alias("answer"))
+    new = W.ground_suggestions(W.read_suggestions(answers), a.documents, a.homes, a.audit, a.facts)
+    return new.select(c("site_id").alias("host"), F.regexp_extract("url", r"/archive/(\d+)", 1).cast("long").alias("page_id"))
+
+
+def _answers(a):
+    verdict = F.lit('{"checklist_results": [{"id": "PP_014", "status": "found", "evidence_quote": "МЕРЫ защиты  приняты", "confidence": 80}, '
+                    '{"id": "PP_007", "status": "found", "evidence_quote": "такой цитаты нет"}, {"id": "PP_003", "status": "not_found"},], '
+                    '"conflicts": [{"type": "company_name", "risk": "HIGH"}, {"type": "tone", "risk": "odd"}]}')
+    return a.documents.select("site_id", "doc_pos", "doc_type", "url", verdict.alias("answer"))
+
+
+@query("j10_merge_verdicts", CTE + """
+SELECT host, item_id, status, source FROM flags, (VALUES ('PP_014', 'found', 'merged'), ('PP_007', 'not_found', 'heuristic'), ('PP_003', 'found', 'heuristic')) v(item_id, status, source)
+WHERE d7""")
+def verdicts(spark, sf):
+    a = audited(spark, sf)
+    items, _ = C.read_verdicts(_answers(a))
+    merged = C.merge_verdicts(a.checklist, items, a.documents).where(c("item_id").isin("PP_014", "PP_007", "PP_003"))
+    present = a.documents.where("present").select("site_id", "doc_pos")
+    return merged.join(present, ["site_id", "doc_pos"]).select(c("site_id").alias("host"), "item_id", "status", "source")
+
+
+@query("j11_merge_conflicts", CTE + """
+SELECT host, 'user_agreement' AS doc_type, type, risk FROM flags, (VALUES ('tone', 'medium'), ('company_name', 'high')) v(type, risk)
+WHERE type = 'tone' OR (d8 AND home_k <> 11)""")
+def outside_conflicts(spark, sf):
+    a = audited(spark, sf)
+    _, claimed = C.read_verdicts(_answers(a))
+    return C.merge_conflicts(a.conflicts, claimed).where("source = 'llm' and doc_type = 'user_agreement'").select(
+        c("site_id").alias("host"), "doc_type", "type", "risk")
+
+
+@query("j16_legal_basis", RULES_CTE + """
+SELECT host, rule, rule <> 'R019' AS data_law FROM fired JOIN meta USING (rule) WHERE rule <> 'R024'
+UNION ALL SELECT host, rule, FALSE FROM fired WHERE rule = 'R024'""")
+def basis(spark, sf):
+    ids = audited(spark, sf).risks.select("site_id", "rule_id")
+    return R.legal_basis(ids).select(c("site_id").alias("host"), F.split_part("rule_id", F.lit("_"), F.lit(1)).alias("rule"),
+                                     c("legal_basis").startswith("152-ФЗ").alias("data_law"))
+
+
 # ---- without SQL: checked by unit tests on small fixtures ----------------------------------
 @query("a04_a06_doc_analysis")
 def doc_analysis(spark, sf):

@@ -81,7 +81,7 @@ site AS (
       regexp_extract_all(b.html, '[a-zA-Z0-9._%+\-]+@([a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})', 1),
       lambda x: regexp_extract(x, '([^.]+\.[^.]+)$', 1) <> regexp_extract(h.host, '([^.]+\.[^.]+)$', 1))) > 0) AS mail
   FROM hosts h JOIN audited a USING (host) JOIN base b USING (page_id) GROUP BY ALL),
-flags AS (SELECT *, n_pd > 0 AS pd, (k6 OR k10) AS trackers, industry = 'образование' AS children,
+flags AS (SELECT *, n_pd > 0 AS pd, (k6 OR k10) AS trackers, (k4 OR k6 OR k10) AS cookies, industry = 'образование' AS children,
                  industry = 'HR/рекрутинг' AS hr FROM site)
 """
 
@@ -104,6 +104,7 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
             F.col("page_id") == F.col("first_id"), F.concat(root, F.get(paths, F.col("k")))).otherwise(
             F.concat(F.col("h.scheme"), F.lit("://"), "host", F.lit("/archive/"), F.col("page_id").cast("string"))).alias("url"),
         F.when(F.col("k") == 11, "").otherwise(F.replace(F.col("html"), F.lit("<body>"), fragment)).alias("html"),
+        F.when(F.col("k") == 4, "sid=1; Domain=.shop.ru\n_ga=GA1.2; Path=/").otherwise("").alias("set_cookie"),
         F.lit(200).alias("status_code"), F.lit(True).alias("ok"),
     ).repartition(spark.sparkContext.defaultParallelism)  # small input: spread the parsing over the cores
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sitelens.functions.text import clean_text, strip
+from sitelens.functions.text import clean_text, let, strip
 
 # Python functions travel to the executors by value: nothing has to be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -89,23 +89,19 @@ def url_path(u: Column) -> Column:
 def registered_domain(u: Column, suffixes=MULTI_LABEL_SUFFIXES) -> Column:
     """Registered domain of a URL or bare host; the longest listed suffix wins, else the
     last two labels are kept."""
-    host = get_host(u)
-    host = F.split_part(F.when(host != "", host).otherwise(F.lower(u)), F.lit("/"), F.lit(1))
-    labels = F.split(host, r"\.")
+    def of_host(h):
+        return (
+            F.when(h.rlike(_IPV4), h)
+            .when(F.substring_index(h, ".", -2).isin(*suffixes), F.substring_index(h, ".", -3))
+            .otherwise(F.substring_index(h, ".", -2))
+        )
 
-    def tail(k):
-        return F.array_join(F.slice(labels, -k, k), ".")
-
-    return (
-        F.when(host.rlike(_IPV4) | (F.size(labels) < 3), host)
-        .when(tail(2).isin(*suffixes), tail(3))
-        .otherwise(tail(2))
-    )
+    named = let(get_host(u), lambda h: F.when(h != "", h).otherwise(F.substring_index(F.lower(u), "/", 1)))
+    return let(named, of_host)
 
 
 def same_registered_domain(a: Column, b: Column) -> Column:
-    da = registered_domain(a)
-    return (da != "") & (da == registered_domain(b))
+    return F.coalesce(F.nullif(registered_domain(a), F.lit("")) == registered_domain(b), F.lit(False))
 
 
 def is_external(u: Column, base: Column) -> Column:

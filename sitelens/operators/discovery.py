@@ -89,10 +89,12 @@ def plan_pages(links: DataFrame, sitemap: DataFrame, homes: DataFrame, max_pages
     """(site_id, plan_pos, url): document links, sitemap pages, up to 4 form pages, up to 8 guessed
     paths; max_pages in all. Every cap is a rank limit that Spark applies before shuffling."""
     sites = homes.where("reachable").select(
-        "site_id", "base_url", (F.lit(max_pages) if max_pages else F.greatest("max_pages", F.lit(1))).alias("budget"))
+        "site_id", "base_url", U.registered_domain(F.col("base_url")).alias("domain"),
+        (F.lit(max_pages) if max_pages else F.greatest("max_pages", F.lit(1))).alias("budget"))
+    # exploding the 0 or 1 tiers of a link evaluates the keyword tests once, a filter would repeat them
     followed = links.join(sites, "site_id").where(
-        U.same_registered_domain(F.col("url"), F.col("base_url"))
-    ).withColumn("tier", link_tier(F.col("url"), F.col("text"))).where("tier is not null")
+        (F.col("domain") != "") & (U.registered_domain(F.col("url")) == F.col("domain"))
+    ).select("*", F.explode(F.array_compact(F.array(link_tier(F.col("url"), F.col("text"))))).alias("tier"))
     mapped = sitemap.join(sites, "site_id").where(X.contains_any(F.col("url"), LINK_WORDS)).withColumn("tier", F.lit(2))
     guesses = sites.select("*", F.posexplode(F.array(*map(F.lit, PLAN_GUESSES))).alias("pos", "path")).select(
         "site_id", "budget", "base_url", "pos", F.concat("base_url", "path").alias("url"), F.lit(GUESS_TIER).alias("tier"))
@@ -137,7 +139,7 @@ def audit_set(homes: DataFrame, plan: DataFrame, facts: DataFrame) -> DataFrame:
 # ---- document candidates --------------------------------------------------------------
 def doc_candidates(audit: DataFrame, sitemap: DataFrame, homes: DataFrame) -> DataFrame:
     """All candidates of a site from anchors, page links, usual paths and sitemaps, with their order."""
-    sites = homes.where("reachable").select("site_id", "base_url")
+    sites = homes.where("reachable").select("site_id", "base_url", U.registered_domain(F.col("base_url")).alias("domain"))
     empty = F.lit("")
     anchors = audit.select("site_id", "page_pos", "page_url", F.posexplode("anchors").alias("pos", "a")).where(
         "a.href <> '' and a.url <> ''").select(
@@ -149,11 +151,12 @@ def doc_candidates(audit: DataFrame, sitemap: DataFrame, homes: DataFrame) -> Da
     mapped = sitemap.join(sites, "site_id").select(
         "site_id", F.lit("sitemap").alias("source"), F.lit(4).alias("src_pos"), F.lit(0).alias("page_pos"), "pos",
         F.col("base_url").alias("page_url"), "url", empty.alias("anchor_text"), empty.alias("title"))
+    # a link looks like a document exactly when its words give it a type
+    kind = X.let(P.link_blob(F.col("anchor_text"), F.col("url"), F.col("title")),
+                 lambda b: F.nullif(P.doc_type_of_blob(b), F.lit("other")))
     seen = anchors.unionByName(links).unionByName(mapped).join(sites, "site_id").where(
-        U.same_registered_domain(F.col("url"), F.col("base_url"))
-    ).withColumn("blob", P.link_blob(F.col("anchor_text"), F.col("url"), F.col("title"))).where(
-        X.has_any(F.col("blob"), P.ALL_DOC_WORDS)
-    ).withColumn("doc_type", P.doc_type_of_blob(F.col("blob"))).drop("blob", "base_url")
+        (F.col("domain") != "") & (U.registered_domain(F.col("url")) == F.col("domain"))
+    ).select("*", F.explode(F.array_compact(F.array(kind))).alias("doc_type")).drop("base_url", "domain")
     paths = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("doc_type")) for p, t in P.GUESS_PATHS.items()])
     guesses = sites.select("*", F.posexplode(paths).alias("pos", "g")).select(
         "site_id", F.lit("priority_path").alias("source"), F.lit(3).alias("src_pos"), F.lit(0).alias("page_pos"), "pos",

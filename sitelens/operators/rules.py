@@ -147,6 +147,12 @@ def top_titles(risks: DataFrame, n: int = 3) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]), "; ").alias("top_risks"))
 
 
+def legal_basis(ids: DataFrame, path=None) -> DataFrame:
+    """Legal basis text per rule id, empty for an unknown id."""
+    meta = catalogue.load_rules(ids.sparkSession, path).select("rule_id", "legal_basis")
+    return ids.join(F.broadcast(meta), "rule_id", "left").withColumn("legal_basis", F.coalesce("legal_basis", F.lit("")))
+
+
 def score_level(score: Column) -> Column:
     return F.when(score <= 20, "low").when(score <= 50, "medium").when(score <= 80, "high").when(score > 80, "critical") \
         .otherwise("unknown")
