@@ -301,6 +301,69 @@ def cards(spark, sf):
     return report.risk_cards(audited(spark, sf).risks).select(c("site_id").alias("host"), "rank", "level", "level_label")
 
 
+PAGES = "CASE WHEN home_k = 11 THEN 9 ELSE 20 END"
+
+
+@query("a09_a18_confidence", SCORE_CTE + f"""
+, n AS (SELECT host, count(*) AS fired FROM fired WHERE rule IS NOT NULL GROUP BY host),
+q AS (SELECT f.host, 50 + least(5 * (d7::INT + CASE WHEN linked THEN d6::INT + d8::INT ELSE 0 END), 20) + least(3 * coalesce(fired, 0), 12) + 5 * trackers::INT + 3 * k4::INT
+    + 5 - 6 * (d11 AND linked)::INT - least(5 * ({PAGES} - n_audited), 20) - 10 - 5 - 1 AS confidence FROM f LEFT JOIN n USING (host))
+SELECT host, confidence, confidence < 50 AS low_confidence FROM q""")
+def confidence(spark, sf):
+    return audited(spark, sf).scored.select(c("site_id").alias("host"), "confidence", "low_confidence")
+
+
+@query("w08_unique_documents", CTE + """
+, d AS (SELECT *, home_k <> 11 AS linked, scheme || '://' || host AS b FROM flags)
+SELECT host, 'privacy_policy' AS doc_type, b || '/privacy-policy' AS url, FALSE AS manual_only FROM d WHERE d7
+UNION ALL SELECT host, 'cookie_policy', b || '/about', FALSE FROM d WHERE d6 AND linked
+UNION ALL SELECT host, 'user_agreement', b || '/legal/doc-8', FALSE FROM d WHERE d8 AND linked
+UNION ALL SELECT host, 'ad_consent', b || '/shell', TRUE FROM d WHERE d11 AND linked""")
+def unique_documents(spark, sf):
+    a = audited(spark, sf)
+    return report.unique_documents(a.documents, a.analysis, a.checklist).select(c("site_id").alias("host"), "doc_type", "url", "manual_only")
+
+
+@query("m05_executive_summary", SCORE_CTE + f"""
+SELECT host, {PAGES} AS pages, n_pd AS forms, d7::INT + CASE WHEN linked THEN d6::INT + d8::INT ELSE 0 END AS docs, risk_score AS score,
+  CASE WHEN trackers THEN 'есть' ELSE 'не замечены' END AS services FROM scored JOIN f USING (host)""")
+def executive(spark, sf):
+    a = audited(spark, sf)
+    t = report.executive_summary(a.scored, a.risks)
+
+    def num(word):
+        return F.regexp_extract("executive_summary", word + r" (\d+)", 1).cast("int")
+
+    return t.select(c("site_id").alias("host"), num("Страниц:").alias("pages"), num("форм:").alias("forms"), num("документов:").alias("docs"),
+                    num("баллы").alias("score"), F.regexp_extract("executive_summary", "сервисы (есть|не замечены)", 1).alias("services"))
+
+
+@query("m06_f13_facts", FINDINGS_CTE + f"""
+, g AS (SELECT host, count(*) AS n, least(150, sum(coalesce(rule_score, 20)))::INT AS pd_score FROM found GROUP BY host)
+SELECT host, {PAGES} AS pages, n_pd AS forms, coalesce(pd_score, 0) AS risk_score, greatest(0, coalesce(n, 0) - 4) AS hidden, coalesce(n, 0) AS n_ids,
+  d7::INT + CASE WHEN linked THEN d6::INT + d8::INT + d11::INT ELSE 0 END AS n_docs,
+  d7::INT + CASE WHEN linked THEN d6::INT + d8::INT ELSE 0 END AS n_read, TRUE AS compact FROM f LEFT JOIN g USING (host)""")
+def fact_texts(spark, sf):
+    a = audited(spark, sf)
+    b = Fi.fact_bundle(a.scored, a.documents, a.trackers, a.findings)
+    t = report.text_facts(a.scored, a.documents, a.trackers, a.risks)
+    return b.join(t, "site_id").select(
+        c("site_id").alias("host"), c("bundle.pages_checked").alias("pages"), c("bundle.forms_found").alias("forms"), c("bundle.risk_score").alias("risk_score"),
+        c("bundle.hidden_findings_count").alias("hidden"), F.size("bundle.all_finding_ids").alias("n_ids"), F.size("bundle.documents").alias("n_docs"),
+        F.size("facts.documents_found").alias("n_read"), (F.length(F.to_json("bundle")) < 12000).alias("compact"))
+
+
+@query("m11_scan_header", SCORE_CTE + f"""
+SELECT host, '2024-01-01T00:00:00' AS created_at, 'https://' || host AS site_url, scheme || '://' || host AS final_url, risk_score, {PAGES} AS pages_checked,
+  banner AS cookie_banner_found, cookies AS marketing_before_consent, trackers AS foreign_trackers_found, 'scanned' AS status, 'http' AS fetch_method
+FROM scored JOIN f USING (host)""")
+def header(spark, sf):
+    a = audited(spark, sf)
+    return report.scan_header(a.scored, a.risks, "2024-01-01T00:00:00").select(
+        c("site_id").alias("host"), "created_at", "site_url", "final_url", "risk_score", "pages_checked", "cookie_banner_found", "marketing_before_consent",
+        "foreign_trackers_found", "status", "fetch_method")
+
+
 # ---- outside input: stored bodies, suggestions, verdicts ------------------------------------
 @query("j06_j07_stored_bodies", CTE + """
 SELECT host, 'https://' AS x, TRUE AS readable, 'docx' AS format FROM hosts""")
@@ -373,11 +436,6 @@ def doc_analysis(spark, sf):
     return audited(spark, sf).analysis.select(c("site_id").alias("host"), "doc_pos", "doc_type", "overall_completeness", "n_conflicts", "summary")
 
 
-@query("a09_a20_confidence")
-def confidence(spark, sf):
-    return audited(spark, sf).scored.select(c("site_id").alias("host"), "confidence", "low_confidence", F.array_join("errors", "; ").alias("errors"))
-
-
 @query("m03_w07_w09_documents_table")
 def documents_table(spark, sf):
     a = audited(spark, sf)
@@ -385,29 +443,3 @@ def documents_table(spark, sf):
     return t.select(c("site_id").alias("host"), "doc_pos", "doc_type", "url", "is_accessible", "overall_completeness",
                     F.array_join("critical_missing", "; ").alias("critical_missing"), F.array_join("conflicts", "; ").alias("conflicts"),
                     F.array_join("open_items", "; ").alias("open_items"))
-
-
-@query("w08_unique_documents")
-def unique_documents(spark, sf):
-    a = audited(spark, sf)
-    return report.unique_documents(a.documents, a.analysis, a.checklist).select(c("site_id").alias("host"), "doc_pos", "doc_type", "url", "manual_only")
-
-
-@query("m05_executive_summary")
-def executive(spark, sf):
-    a = audited(spark, sf)
-    return report.executive_summary(a.scored, a.risks).withColumnRenamed("site_id", "host")
-
-
-@query("m06_f13_facts")
-def fact_texts(spark, sf):
-    a = audited(spark, sf)
-    b = Fi.fact_bundle(a.scored, a.documents, a.trackers, a.findings)
-    t = report.text_facts(a.scored, a.documents, a.trackers, a.risks)
-    return b.join(t, "site_id").select(c("site_id").alias("host"), F.to_json("bundle").alias("bundle"), F.to_json("facts").alias("facts"))
-
-
-@query("m11_scan_header")
-def header(spark, sf):
-    a = audited(spark, sf)
-    return report.scan_header(a.scored, a.risks, "2024-01-01T00:00:00").drop("errors").withColumnRenamed("site_id", "host")
