@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.registry import query, table
+from queries.registry import query, spread, table
 from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
@@ -157,7 +157,7 @@ SELECT doc_id, md5({sql_clean('text')}) AS clean, md5({sql_norm("'Ё  ' || text"
   CASE WHEN length(s) <= 100 THEN s ELSE regexp_replace(substr(s, 1, 99), '{WS}+$', '') || '…' END AS head
 FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '^{WS}+', ''), '{WS}+$', '') AS s FROM documents)""")
 def x01(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(spark, sf, "documents").select(
         "doc_id", F.md5(X.clean_text(c("text"))).alias("clean"),
         F.md5(X.normalize_for_search(F.concat(F.lit("Ё  "), c("text")))).alias("norm"), X.truncate(c("text"), 100).alias("head"))
 
@@ -171,7 +171,7 @@ m AS (SELECT doc_id, list_filter({list(WORDS)}, lambda k: contains(n, k)) AS fou
 SELECT doc_id, len(found) > 0 AS any_found, found[1] AS first_found, array_to_string(found, '|') AS all_found FROM m""")
 def x04(spark, sf):
     t = c("text")
-    return table(spark, sf, "documents").select(
+    return spread(spark, sf, "documents").select(
         "doc_id", X.contains_any(t, WORDS).alias("any_found"), X.find_first(t, WORDS).alias("first_found"),
         joined(X.find_all_matches(t, WORDS)).alias("all_found"))
 
@@ -193,7 +193,7 @@ def x07(spark, sf):
     t = (F.when(m == 0, F.concat(c("text"), F.lit(" ИНН: 77"), n, F.lit(", ОГРН № 1"), k))
          .when(m == 1, F.concat(c("text"), F.lit(" "), (c("doc_id") + F.lit(100000000000)).cast("string"), F.lit(" 1027700132195 ")))
          .when(m == 2, F.concat(c("text"), F.lit(" ИНН 500100732259"))).otherwise(c("text")))
-    return table(spark, sf, "documents").select("doc_id", joined(X.find_inn(t)).alias("inn"), joined(X.find_ogrn(t)).alias("ogrn"))
+    return spread(spark, sf, "documents").select("doc_id", joined(X.find_inn(t)).alias("inn"), joined(X.find_ogrn(t)).alias("ogrn"))
 
 
 PHONE = "(?:\\+7|8|7)[\\s\\-]?\\(?\\d{3}\\)?[\\s\\-]?\\d{3}[\\s\\-]?\\d{2}[\\s\\-]?\\d{2}"
@@ -213,7 +213,7 @@ def x09(spark, sf):
         c("text"), F.when(m == 0, F.concat(F.lit(" +7 (495) 123-45-"), F.lpad((i % 90 + 10).cast("string"), 2, "0"),
                                            F.lit(" от 5 марта 2024 г., версия "), (i % 9).cast("string"), F.lit(".1")))
         .when(m == 1, F.concat(F.lit(" 2024-01-0"), (i % 9 + 1).cast("string"), F.lit(" Редакция № 3"))).otherwise(""))
-    return table(spark, sf, "documents").withColumn("t", t).select(
+    return spread(spark, sf, "documents").withColumn("t", t).select(
         "doc_id", joined(X.find_emails(c("t"))).alias("emails"), joined(X.find_phones(c("t"))).alias("phones"),
         joined(X.find_dates(c("t"))).alias("dates"), X.detect_date(c("t")).alias("first_date"), X.detect_version(c("t")).alias("version"))
 
@@ -226,7 +226,7 @@ def x11(spark, sf):
     m = c("doc_id") % 4
     t = F.concat(c("text"), F.when(m == 0, " [наименование] ООО «Ромашка» ").when(m == 1, " ____ {{company}} указать ")
                  .when(m == 2, " ВАША КОМПАНИЯ ").otherwise(""))
-    return table(spark, sf, "documents").select("doc_id", joined(X.find_placeholders(t)).alias("found"))
+    return spread(spark, sf, "documents").select("doc_id", joined(X.find_placeholders(t)).alias("found"))
 
 
 @query("x14_x15_operator_purposes", """
@@ -236,8 +236,8 @@ def x14(spark, sf):
     m = c("doc_id") % 3
     t = (F.when(m == 0, F.concat(F.lit("Фирма ООО «Фирма "), "doc_id", F.lit("» для обратной связи и доставки. "), "text"))
          .when(m == 1, F.concat(F.lit("Оператором является ООО Альфа. "), "text"))
-         .otherwise(F.concat(F.lit("ИП Иванов Иван, маркетинг, до отзыва. "), "text")))
-    return table(spark, sf, "documents").withColumn("t", t).select(
+         .otherwise(F.concat(F.lit("ИП Иванов Иван, маркетинг, до отзыва. " + "- " * 70), "text")))
+    return spread(spark, sf, "documents").withColumn("t", t).select(
         "doc_id", X.find_operator(c("t")).alias("operator"), joined(X.find_purposes(c("t"))).alias("purposes"),
         X.find_retention(c("t")).alias("retention"))
 
@@ -248,7 +248,7 @@ m AS (SELECT *, instr(n, needle) - 1 AS idx FROM d), w AS (SELECT *, greatest(0,
 SELECT doc_id, CASE WHEN idx < 0 THEN CASE WHEN length({sql_clean('text')}) <= 80 THEN {sql_clean('text')} ELSE regexp_replace(substr({sql_clean('text')}, 1, 79), ' +$', '') || '…' END
   ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || {sql_clean('substr(text, s + 1, greatest(0, e - s))')} || CASE WHEN e < length(text) THEN '…' ELSE '' END END AS snippet FROM w""")
 def x16(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.snippet_around(c("text"), F.lit("The"), 40).alias("snippet"))
+    return spread(spark, sf, "documents").select("doc_id", X.snippet_around(c("text"), F.lit("The"), 40).alias("snippet"))
 
 
 def sql_untag(x, blocks):
@@ -266,7 +266,7 @@ def x17(spark, sf):
 
 def sql_entities(x):
     for e, ch in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        x = f"replace({x}, '&{e};', '{ch}')"
+        x = f"regexp_replace({x}, '&{e};?', '{ch}', 'g')"
     return x
 
 
@@ -342,7 +342,7 @@ def x27(spark, sf):
               .when(m == 3, F.concat(F.lit("```"), obj, F.lit(" , } ")))
               .when(m == 4, F.concat(F.lit('[{"id": "'), i, F.lit('"}]'))).otherwise("нет ответа { ]"))
     t = X.lenient_json(answer)
-    return table(spark, sf, "documents").withColumn("j", F.from_json(t, "id string, lang string, items array<struct<id: string>>")).select(
+    return spread(spark, sf, "documents").withColumn("j", F.from_json(t, "id string, lang string, items array<struct<id: string>>")).select(
         "doc_id", F.coalesce("j.id", F.get("j.items", F.lit(0))["id"]).alias("id"), c("j.lang").alias("lang"))
 
 
@@ -380,7 +380,7 @@ FIELDS = [("user_email", "", "", "", "email"), ("x", "tel", "", "", "phone"), ("
 @query("p01_classify_field", "SELECT event_id, (%s)[event_id %% %d + 1] AS category FROM events" % ([f[4] for f in FIELDS], len(FIELDS)))
 def p01(spark, sf):
     f = F.get(F.array(*[F.struct(*map(F.lit, x[:4])) for x in FIELDS]), (c("event_id") % len(FIELDS)).cast("int"))
-    return table(spark, sf, "events").withColumn("f", f).select(
+    return spread(spark, sf, "events").withColumn("f", f).select(
         "event_id", P.classify_field(*[c(f"f.col{i}") for i in (1, 2, 3, 4)]).alias("category"))
 
 
@@ -406,7 +406,7 @@ def p11(spark, sf):
     src = F.when(m.isin(0, 1, 3), "guess").when(m == 2, "agent").otherwise("anchor")
     accessible, confirmed = m.isin(0, 2, 3), m == 4
     kind = F.lit("privacy_policy")
-    return table(spark, sf, "documents").withColumn("t", text).select(
+    return spread(spark, sf, "documents").withColumn("t", text).select(
         "doc_id", P.text_matches_doc_type(c("t"), kind, F.lit("")).alias("matches"),
         P.document_is_present(src, kind, accessible, confirmed, c("t"), F.lit("")).alias("present"))
 

@@ -7,11 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.registry import table
+from queries.registry import spread, table
 from sitelens.functions import urls as U
 from sitelens.plans.audit import AuditTables, audit, stage_facts
 from sitelens.sources.leads import normalize_leads
-from sitelens.sources.staging import work_dir
+from sitelens.sources.staging import sql_conf, work_dir
 
 PATHS = ["/plain", "/contacts", "/order", "/callback", "/news", "/doctor", "/about", "/privacy-policy", "/legal/doc-8",
          "/form", "/gallery", "/shell"]
@@ -87,7 +87,7 @@ flags AS (SELECT *, n_pd > 0 AS pd, (k6 OR k10) AS trackers, (k4 OR k6 OR k10) A
 
 
 def crawl(spark: SparkSession, sf: str) -> DataFrame:
-    base = table(spark, sf, "pages").select(
+    base = spread(spark, sf, "pages").select(
         "page_id", F.col("url").alias("src"), "html", (F.col("page_id") % 12).cast("int").alias("k"),
         U.get_host(F.col("url")).alias("host"))
     home = base.groupBy("host").agg(
@@ -106,7 +106,7 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("k") == 11, "").otherwise(F.replace(F.col("html"), F.lit("<body>"), fragment)).alias("html"),
         F.when(F.col("k") == 4, "sid=1; Domain=.shop.ru\n_ga=GA1.2; Path=/").otherwise("").alias("set_cookie"),
         F.lit(200).alias("status_code"), F.lit(True).alias("ok"),
-    ).repartition(spark.sparkContext.defaultParallelism)  # small input: spread the parsing over the cores
+    )
 
 
 def leads(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +128,9 @@ def _key(spark, sf):
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of the derived crawl, written once per session and scale."""
     if _key(spark, sf) not in _facts:
-        _facts[_key(spark, sf)] = stage_facts(crawl(spark, sf), work_dir(spark))
+        # shuffled small partitions would be merged into one task by default, and parsing is CPU-bound
+        with sql_conf(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+            _facts[_key(spark, sf)] = stage_facts(crawl(spark, sf), work_dir(spark))
     return _facts[_key(spark, sf)]
 
 

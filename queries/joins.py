@@ -6,8 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from queries.columns import HOST, sql_clean, sql_norm  # noqa: F401
-from queries.registry import query, table
+from queries.columns import HOST, sql_clean, sql_entities
+from queries.registry import query, spread, table
 from sitelens import catalogue
 from sitelens.functions import elements as P
 from sitelens.functions import text as X
@@ -32,8 +32,7 @@ def page_table(spark, sf):
     """Facts of the plain pages, written once per session and scale."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _facts:
-        pages = table(spark, sf, "pages").repartition(spark.sparkContext.defaultParallelism)
-        _facts[key] = stage_facts(pages, work_dir(spark))
+        _facts[key] = stage_facts(spread(spark, sf, "pages"), work_dir(spark))
     return _facts[key]
 
 
@@ -103,8 +102,8 @@ def s06(spark, sf):
 
 
 # ---- element extraction ---------------------------------------------------------------
-@query("h01_page_facts", """
-SELECT page_id, length(html) AS html_length, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, 0 AS n_forms, 0 AS n_trackers FROM pages""")
+@query("h01_page_facts", f"""
+SELECT page_id, length(html) AS html_length, {sql_clean(sql_entities("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} AS title, 0 AS n_forms, 0 AS n_trackers FROM pages""")
 def h01(spark, sf):
     return page_table(spark, sf).select("page_id", "html_length", "title", F.size("forms").alias("n_forms"), F.size("trackers").alias("n_trackers"))
 
@@ -146,7 +145,7 @@ SELECT event_id, name, category, provider, category IN ('analytics', 'marketing'
 FROM (SELECT event_id, (event_id % {len(COOKIES)})::INT AS k FROM events) JOIN (SELECT row_number() OVER () - 1 AS k, * FROM {vals(COOKIES)} t(name, category, provider)) v USING (k)""")
 def j03(spark, sf):
     ck = F.array(F.struct(by_mod([(x[0],) for x in COOKIES], "event_id", ["name"])["name"].alias("name"), F.lit("v").alias("value"), F.lit("d").alias("domain")))
-    return table(spark, sf, "events").select("event_id", F.explode(T.classify_cookies(ck)).alias("k")).select(
+    return spread(spark, sf, "events").select("event_id", F.explode(T.classify_cookies(ck)).alias("k")).select(
         "event_id", "k.name", "k.category", "k.provider", "k.is_tracking")
 
 
@@ -161,7 +160,7 @@ JOIN (SELECT row_number() OVER () - 1 AS k, provider_name, matched_domain, match
 WHERE provider_name <> ''""")
 def j01(spark, sf):
     r = by_mod([x[:4] for x in HITS], "event_id", ["s", "i", "n", "h"])
-    df = table(spark, sf, "events").withColumn("r", r)
+    df = spread(spark, sf, "events").withColumn("r", r)
     hits = T.tracker_hits(F.array("r.s"), F.array("r.i"), F.array("r.n"), F.lower("r.h"))
     return df.select("event_id", F.explode(hits).alias("t")).select("event_id", "t.provider_name", "t.matched_domain", "t.matched_on")
 
@@ -175,7 +174,7 @@ SELECT event_id, cdn, risky FROM (SELECT event_id, (event_id % {len(NETS)})::INT
 JOIN (SELECT row_number() OVER () - 1 AS k, cdn, risky FROM {vals(NETS)} t(u, cdn, risky)) v USING (k)""")
 def j04(spark, sf):
     u = F.array(F.lit("https://first.ru"), by_mod([(x[0],) for x in NETS], "event_id", ["u"])["u"])
-    return table(spark, sf, "events").select(
+    return spread(spark, sf, "events").select(
         "event_id", F.coalesce(T.cdn(u), F.lit("")).alias("cdn"), F.array_join(T.risk_requests(u), "|").alias("risky"))
 
 
@@ -229,7 +228,7 @@ SELECT event_id, tier FROM (SELECT event_id, (event_id % {len(LINK_CASES)})::INT
 JOIN (SELECT row_number() OVER () - 1 AS k, tier FROM {vals(LINK_CASES)} t(u, x, tier)) v USING (k)""")
 def d02(spark, sf):
     x = by_mod([r[:2] for r in LINK_CASES], "event_id", ["u", "x"])
-    df = table(spark, sf, "events").withColumn("x", x)
+    df = spread(spark, sf, "events").withColumn("x", x)
     return df.select("event_id", F.coalesce(D.link_tier(F.concat(F.lit("https://a.ru"), "x.u"), c("x.x")), F.lit(0)).alias("tier"))
 
 
@@ -245,7 +244,7 @@ SELECT * FROM r WHERE plan_pos <= 12""")
 def d03(spark, sf):
     kind = c("o_orderkey") % 4
     part = F.when(kind == 0, "privacy/").when(kind == 1, "contact/").when(kind == 2, "catalog/").otherwise("terms/")
-    links = table(spark, sf, "orders").select(
+    links = spread(spark, sf, "orders").select(
         c("o_custkey").alias("site_id"), c("o_orderkey").alias("pos"), F.lit("").alias("text"), F.concat(F.lit("https://s.ru/"), part, "o_orderkey").alias("url"))
     homes = links.select("site_id").distinct().withColumns({"base_url": F.lit("https://s.ru"), "reachable": F.lit(True), "max_pages": F.lit(20)})
     sitemap = spark.createDataFrame([], "site_id bigint, pos bigint, url string")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +21,12 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table over all cores. A driver table is one row group, hence one task; large inputs come
+    in many and are left as they are."""
+    df, cores = table(spark, sf, name), spark.sparkContext.defaultParallelism
+    path = f"{sf}/{name}.parquet"
+    small = os.path.isfile(path) and os.path.getsize(path) < 64 << 20
+    return df.repartition(cores) if small else df

@@ -154,13 +154,19 @@ def cookie_banner(html: Column, text: Column) -> Column:
         X.mentions(low_text, words) | X.mentions(low_html, words) | low_html.rlike(BANNER_CONTAINER)
     )
     source = X.clean_text(F.when(X.mentions(low_text, COOKIE_MENTION), text).otherwise(html))
-    norm = X.normalize_for_search(source)
-    at = F.when(norm.contains("cookie"), F.instr(norm, "cookie")).otherwise(F.instr(norm, "куки"))
-    start = F.greatest(F.lit(1), at - 120)
-    window = F.substr(source, start, at + 180 - start)
+
+    def window(src):
+        def cut(at):
+            start = F.greatest(F.lit(1), at - 120)
+            return X.truncate(F.substr(src, start, at + 180 - start), 300)
+
+        return X.let(X.normalize_for_search(src), lambda n: X.let(
+            F.when(n.contains("cookie"), F.instr(n, "cookie")).otherwise(F.instr(n, "куки")), cut))
+
     return F.struct(
         F.coalesce(found, F.lit(False)).alias("found"),
-        F.when(found, X.truncate(window, 300)).otherwise("").alias("evidence"),
+        # bound inside the branch: only pages with a banner are cleaned
+        F.when(found, X.let(source, window)).otherwise("").alias("evidence"),
     )
 
 

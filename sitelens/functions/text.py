@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,10 +64,22 @@ def minimal(keywords) -> list[str]:
     return [k for k in norm if not any(o != k and o in k for o in norm)]
 
 
+FEW = 4
+
+
+def _either(tests) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
 def has_any(norm: Column, keywords) -> Column:
-    """Substring test on an already normalised column, as one alternation of literals."""
+    """Substring test on an already normalised column: plain searches for a few words, one
+    alternation of literals for many."""
     words = minimal(keywords)
-    return norm.rlike("|".join(map(re.escape, words))) if words else F.lit(False)
+    if not words:
+        return F.lit(False)
+    if len(words) <= FEW:
+        return _either(norm.contains(w) for w in words)
+    return norm.rlike("|".join(map(re.escape, words)))
 
 
 def mentions(low: Column, keywords) -> Column:
@@ -75,6 +88,8 @@ def mentions(low: Column, keywords) -> Column:
     words = minimal(keywords)
     if "" in words or not words:
         return F.lit("" in words)
+    if len(words) <= FEW and not any(ch in w for w in words for ch in " е"):
+        return _either(low.contains(w) for w in words)
     pats = ("".join(WS + "+" if ch == " " else "[её]" if ch == "е" else re.escape(ch) for ch in w) for w in words)
     return low.rlike("|".join(pats))
 
@@ -249,7 +264,7 @@ def html_to_text_regex(c: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     for entity, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"),
                          ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        t = F.replace(t, F.lit(f"&{entity};"), F.lit(char))
+        t = F.regexp_replace(t, f"&{entity};?", char)
     return clean_text(t)
 
 

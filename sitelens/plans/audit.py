@@ -22,7 +22,7 @@ from sitelens.operators import rules as R
 from sitelens.operators import trackers as T
 from sitelens.operators.page_facts import page_facts
 from sitelens.sources.crawl import parse_robots, parse_sitemaps, sitemap_urls
-from sitelens.sources.staging import staged, work_dir
+from sitelens.sources.staging import sql_conf, staged, work_dir
 
 
 @dataclass
@@ -59,8 +59,10 @@ def _empty(spark: SparkSession, ddl: str) -> DataFrame:
 
 
 def stage_facts(pages: DataFrame, folder: str, trackers=None) -> DataFrame:
-    """Page facts as a written table with a stable row id."""
-    return staged(page_facts(pages, trackers).withColumn("uid", F.monotonically_increasing_id()), folder, "facts")
+    """Page facts as a written table with a stable row id. Pages may be megabytes long, so Arrow
+    batches hold few of them."""
+    with sql_conf(pages.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "256"):
+        return staged(page_facts(pages, trackers).withColumn("uid", F.monotonically_increasing_id()), folder, "facts")
 
 
 def audit(

@@ -28,10 +28,11 @@ def _write(df: DataFrame, path: str, mode: str, buckets: int = BUCKETS):
      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 
-def write_scan_mart(tables: dict[str, DataFrame], path: str):
-    """Write header and child tables, each with a scan_id column."""
+def write_scan_mart(tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS):
+    """Write header and child tables, each with a scan_id column. Choose ``buckets`` so that one holds
+    a few hundred MB and keep it for the life of the store."""
     for name, df in tables.items():
-        _write(df, f"{path}/{name}", "overwrite")
+        _write(df, f"{path}/{name}", "overwrite", buckets)
 
 
 def read_table(spark: SparkSession, path: str, name: str = "scans") -> DataFrame:
@@ -43,13 +44,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "scan_id") -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert_scans(tables: dict[str, DataFrame], path: str):
+def upsert_scans(tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS):
     """Replace every row of the given scans in all tables; other buckets are not rewritten. A table
     without new rows still loses the old rows of these scans."""
     spark = tables["scans"].sparkSession
     folder = work_dir(spark)
     ids = staged(tables["scans"].select("scan_id").distinct(), folder, "ids")
-    touched = F.broadcast(ids.select(_bucket(BUCKETS).alias("bucket")).distinct())  # at most BUCKETS rows
+    touched = F.broadcast(ids.select(_bucket(buckets).alias("bucket")).distinct())  # at most ``buckets`` rows
     for name, new in tables.items():
         target = f"{path}/{name}"
         try:
@@ -57,18 +58,18 @@ def upsert_scans(tables: dict[str, DataFrame], path: str):
         except Exception as missing:  # the first write of this table
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            _write(new, target, "overwrite")
+            _write(new, target, "overwrite", buckets)
             continue
         kept = old.join(touched, "bucket", "left_semi").join(ids, "scan_id", "left_anti").drop("bucket")
         merged = staged(kept.unionByName(new, allowMissingColumns=True), folder, name)
-        _replace_buckets(merged, old, ids, target)
+        _replace_buckets(merged, ids, target, buckets)
 
 
-def _replace_buckets(merged: DataFrame, old: DataFrame, ids: DataFrame, target: str):
-    _write(merged, target, "overwrite")
+def _replace_buckets(merged: DataFrame, ids: DataFrame, target: str, buckets: int):
+    _write(merged, target, "overwrite", buckets)
     spark = merged.sparkSession
-    left = {r[0] for r in merged.select(_bucket(BUCKETS)).distinct().collect()}  # at most BUCKETS values
-    gone = {r[0] for r in ids.select(_bucket(BUCKETS)).distinct().collect()} - left
+    left = {r[0] for r in merged.select(_bucket(buckets)).distinct().collect()}  # at most ``buckets`` values
+    gone = {r[0] for r in ids.select(_bucket(buckets)).distinct().collect()} - left
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     for b in gone:  # buckets that became empty: dynamic overwrite does not see them
         folder = hadoop(f"{target}/bucket={b}")
@@ -79,23 +80,22 @@ def delete_scans(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, Data
     return {n: df.join(ids.select("scan_id").distinct(), "scan_id", "left_anti") for n, df in tables.items()}
 
 
-def delete_scans_in(spark: SparkSession, path: str, ids: DataFrame, names=("scans",) + CHILDREN):
-    empty = {n: read_table(spark, path, n).drop("bucket").limit(0) for n in names}
-    empty["scans"] = empty["scans"].limit(0)
+def delete_scans_in(spark: SparkSession, path: str, ids: DataFrame, names=("scans",) + CHILDREN, buckets: int = BUCKETS):
+    """Remove scans from the stored tables; only the buckets that hold them are rewritten."""
     folder = work_dir(spark)
     kept_ids = staged(ids.select("scan_id").distinct(), folder, "ids")
-    touched = F.broadcast(kept_ids.select(_bucket(BUCKETS).alias("bucket")).distinct())
+    touched = F.broadcast(kept_ids.select(_bucket(buckets).alias("bucket")).distinct())
     for n in names:
         old = read_table(spark, path, n)
         kept = staged(old.join(touched, "bucket", "left_semi").join(kept_ids, "scan_id", "left_anti").drop("bucket"), folder, n)
-        _replace_buckets(kept, old, kept_ids, f"{path}/{n}")
+        _replace_buckets(kept, kept_ids, f"{path}/{n}", buckets)
 
 
-def get_scan(scans: DataFrame, scan_id: str) -> DataFrame:
+def get_scan(scans: DataFrame, scan_id: str, buckets: int = BUCKETS) -> DataFrame:
     """One scan; on a stored table the bucket filter prunes partitions."""
     out = scans.where(F.col("scan_id") == scan_id)
     if "bucket" in scans.columns:
-        out = out.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(scan_id)), F.lit(BUCKETS)).cast("int"))
+        out = out.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(scan_id)), F.lit(buckets)).cast("int"))
     return out
 
 
