@@ -113,12 +113,14 @@ def plan_pages(links: DataFrame, sitemap: DataFrame, homes: DataFrame, max_pages
     return ranked.where("plan_pos <= budget").select("site_id", "plan_pos", "url")
 
 
-def audit_set(homes: DataFrame, plan: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts of the audited pages with page_pos; a planned URL without a stored page is an error row."""
+def audit_set(homes: DataFrame, plan: DataFrame, facts: DataFrame, winners: DataFrame | None = None) -> DataFrame:
+    """Facts of the audited pages with page_pos; a planned URL without a stored page is an error row.
+    Page texts stay behind: only documents need them, and they fetch their own."""
+    facts = facts.drop("doc_text", "html_head")
     home = homes.where("reachable").select(
         "site_id", F.lit(0).alias("page_pos"), F.col("home_url").alias("want"), F.col("home_uid").alias("uid"))
     budget = homes.select("site_id", F.greatest("max_pages", F.lit(1)).alias("budget"))
-    rest = plan.join(url_winners(facts), F.col("url") == F.col("key"), "left").select(
+    rest = plan.join(url_winners(facts) if winners is None else winners, F.col("url") == F.col("key"), "left").select(
         "site_id", F.col("plan_pos").alias("page_pos"), F.col("url").alias("want"), "uid")
     chosen = home.unionByName(rest).join(budget, "site_id").where("page_pos < budget").drop("budget")
     joined = chosen.join(facts, "uid", "left")

@@ -17,14 +17,15 @@ BODIES_DDL = ("url string, final_url string, status_code int, ok boolean, conten
               "text string, error string")
 
 
-def resolve_documents(cands: DataFrame, audit: DataFrame, facts: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+def resolve_documents(cands: DataFrame, audit: DataFrame, facts: DataFrame, bodies: DataFrame | None = None,
+                      winners: DataFrame | None = None) -> DataFrame:
     """Documents from candidates: an audited page under the same URL (its own or its final one),
     else a stored page, else a stored body."""
     own = audit.where("stored").select("site_id", "page_pos", "uid", F.explode(F.array(
         F.struct(F.lit(0).alias("prio"), U.strip_fragment(F.col("url")).alias("key")),
         F.struct(F.lit(1).alias("prio"), U.strip_fragment(F.col("page_url")).alias("key")))).alias("k"))
     own = own.groupBy("site_id", "k.key").agg(F.min_by("uid", F.struct("k.prio", "page_pos")).alias("own_uid"))
-    stored = url_winners(facts).withColumnRenamed("uid", "any_uid")
+    stored = (url_winners(facts) if winners is None else winners).withColumnRenamed("uid", "any_uid")
     page = facts.select(
         "uid", F.col("status_code").alias("p_status"), F.col("ok").alias("p_ok"), "has_html",
         F.coalesce("final_url", "url").alias("p_final"), F.col("title").alias("p_title"), "doc_text", "html_head")
@@ -107,7 +108,7 @@ def read_suggestions(answers: DataFrame) -> DataFrame:
 
 
 def ground_suggestions(sugg: DataFrame, docs: DataFrame, sites: DataFrame, audit: DataFrame, facts: DataFrame,
-                       bodies: DataFrame | None = None) -> DataFrame:
+                       bodies: DataFrame | None = None, winners: DataFrame | None = None) -> DataFrame:
     """Suggested documents that are on the site, not known yet, and read like their type."""
     known = docs.select("site_id", U.url_key(F.col("url")).alias("ukey")).distinct()
     new = (sugg.join(sites.select("site_id", "base_url"), "site_id")
@@ -120,4 +121,4 @@ def ground_suggestions(sugg: DataFrame, docs: DataFrame, sites: DataFrame, audit
         "site_id", (F.col("k") + 1000).alias("cand_pos"), U.strip_fragment(F.col("s.url")).alias("key"), "s.url",
         "s.doc_type", F.col("s.reason").alias("anchor_text"), F.lit("").alias("title"), F.lit("agent").alias("source"),
         F.lit("").alias("page_url"))
-    return resolve_documents(cands, audit, facts, bodies).where("present")
+    return resolve_documents(cands, audit, facts, bodies, winners).where("present")

@@ -13,8 +13,8 @@ from sitelens import catalogue
 from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions.text import let
+from sitelens.operators.html_parse import MAX_CONTAINERS
 
-MAX_CONTAINERS = 600
 NOT_A_FIELD = ("hidden", "submit", "button", "image", "reset")
 
 # ---- fixed values: words of form purposes and of consent ---------------------------

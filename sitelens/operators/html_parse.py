@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(("script", "style", "template", "rt", "rp"))
 CONTAINERS = frozenset(("div", "section", "aside", "article"))
+MAX_CONTAINERS = 600  # only the first containers of a page may count as forms
 CONTROLS = frozenset(("input", "textarea", "select"))
 KEPT = CONTAINERS | CONTROLS | {"form", "button", "a", "label"}
 ATTRS = ("type", "id", "for", "name", "placeholder", "aria-label", "title", "value", "alt", "href", "class",
@@ -108,6 +109,12 @@ class _Page(HTMLParser):
 
     handle_decl = handle_pi = unknown_decl = handle_comment
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # an unknown marked section such as <![x y[: read it as a comment
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         self._flush()
         self.count += 1
@@ -179,7 +186,7 @@ class _Page(HTMLParser):
             return []
         out = []
         for el in self.kept:
-            if el.tag in CONTAINERS and not el.holds and el.attrs.get("role") != "checkbox":
+            if el.tag in CONTAINERS and (not el.holds or el.rank >= MAX_CONTAINERS) and el.attrs.get("role") != "checkbox":
                 continue
             rec = {a.replace("-", "_"): el.attrs.get(a, "") for a in ATTRS if a != "for"}
             t0, t1 = span(el)

@@ -87,6 +87,7 @@ def audit(
     folder = folder or work_dir(spark)
     facts = facts if facts is not None else stage_facts(pages, folder, catalogues.trackers)
     homes = staged(D.homepages(leads, facts), folder, "homes")
+    winners = staged(D.url_winners(facts), folder, "urls")
 
     robots = _empty(spark, "base_url string, status_code int, body string") if robots is None else robots
     robots = parse_robots(homes.select("site_id", "base_url").join(robots, "base_url"))
@@ -94,13 +95,13 @@ def audit(
     sitemap = staged(sitemap_urls(homes.where("reachable"), robots, maps), folder, "sitemap")
 
     plan = D.plan_pages(D.homepage_links(homes, facts), sitemap, homes)
-    pages_of_sites = staged(D.audit_set(homes, plan, facts), folder, "audit")
+    pages_of_sites = staged(D.audit_set(homes, plan, facts, winners), folder, "audit")
 
     cands = staged(D.dedupe_candidates(D.doc_candidates(pages_of_sites, sitemap, homes)), folder, "candidates")
-    docs = W.relevant_documents(W.dedupe_documents(W.resolve_documents(cands, pages_of_sites, facts, bodies)), homes)
+    docs = W.relevant_documents(W.dedupe_documents(W.resolve_documents(cands, pages_of_sites, facts, bodies, winners)), homes)
     docs = staged(docs, folder, "documents")
     if suggestions is not None:
-        extra = W.ground_suggestions(W.read_suggestions(suggestions), docs, homes, pages_of_sites, facts, bodies)
+        extra = W.ground_suggestions(W.read_suggestions(suggestions), docs, homes, pages_of_sites, facts, bodies, winners)
         known = docs.withColumn("cand_pos", F.col("doc_pos")).drop("doc_pos")
         docs = staged(W.dedupe_documents(known.unionByName(extra)), folder, "documents_all")
 

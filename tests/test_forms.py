@@ -77,3 +77,12 @@ def test_parser_on_broken_markup():
     assert p["text"] == "a b c d e n &" and p["doc_text"] == "a b c d e &"
     assert p["anchors"] == [{"href": "/x", "url": "https://s.ru/x", "text": "c d", "title": "t", "has_href": True}]
     assert parse_page("", "")["text"] == "" and parse_page("<a href=", "")["nodes"] == []
+
+
+def test_parser_survives_anything():
+    for bad in ("<![x y[z]]>ok", "<![CDATA[x]]>ok", "<!DOCTYPE [<!x>]>ok", "<!ok>ok", "<?php x ?>ok", "<a b='\"<c>ok", "</>ok", "<!-- <p>ok", "&#xD800;ok", "&#99999999;ok",
+                "<svg/onload=x>ok", "<<p>>ok", "\x00<p\x00>ok", "<script>ok", "<title>a<b>c</title>ok"):
+        assert isinstance(parse_page(bad, "https://s.ru/")["text"], str)
+    assert parse_page("<![x y[z]]>ok", "")["text"].endswith("ok")
+    deep = parse_page("<div>" * 5000 + "<input name=a><button>b</button>", "")
+    assert sum(n["tag"] == "div" for n in deep["nodes"]) == 600
