@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_line_crf, op07_ranking
+from . import op02_line_crf, op03_packing, op07_ranking
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,8 @@ def op2(spark, sf_dir):
 @query("op7_bradley_terry")
 def op7(spark, sf_dir):
     return op07_ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark, sf_dir):
+    return op03_packing.pack_documents(table(spark, sf_dir, "documents"))
