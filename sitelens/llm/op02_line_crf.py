@@ -114,15 +114,14 @@ def fit(chains: list[np.ndarray], labels: list[int], steps: int = 60, rate: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, max_texts: int = TRAIN_TEXTS, max_chars: int = TRAIN_CHARS) -> Field:
-    """A field from the labelled texts with the smallest id hashes: max_texts of each label at most,
-    none longer than max_chars. Only this bounded sample comes to the driver."""
+    """A field from the labelled texts with the smallest id hashes: max_texts of each label at most, of
+    which those longer than max_chars are left out. Only this bounded sample comes to the driver."""
     marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
-    known = texts(docs.where(F.length("text") <= max_chars)).join(marked, "doc_id")
     sample = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "text").limit(max_texts)
+        part = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(max_texts)
         sample = part if sample is None else sample.union(part)
-    got = sample.toPandas()
+    got = texts(docs.where(F.length("text") <= max_chars)).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").toPandas()
     chains, ys = [], []
     if len(got):
         batch = pa.RecordBatch.from_pydict({"text": pa.array(got["text"], pa.string())})
