@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_line_crf, op03_packing, op07_ranking
+from . import op02_line_crf, op03_packing, op05_simhash, op06_secrets, op07_ranking
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,13 @@ def op7(spark, sf_dir):
 @query("op3_best_fit_packing")
 def op3(spark, sf_dir):
     return op03_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_simhash")
+def op5(spark, sf_dir):
+    return op05_simhash.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_ledger")
+def op6(spark, sf_dir):
+    return op06_secrets.secret_report(table(spark, sf_dir, "documents"))
