@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_line_crf, op03_packing, op05_simhash, op06_secrets, op07_ranking
+from . import op02_line_crf, op03_packing, op05_simhash, op06_secrets, op07_ranking, op10_minhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op5(spark, sf_dir):
 @query("op6_secret_ledger")
 def op6(spark, sf_dir):
     return op06_secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_minhash")
+def op10(spark, sf_dir):
+    return op10_minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
