@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_line_crf, op03_packing, op05_simhash, op06_secrets, op07_ranking, op10_minhash
+from . import (
+    op01_lm_scoring,
+    op02_line_crf,
+    op03_packing,
+    op05_simhash,
+    op06_secrets,
+    op07_ranking,
+    op08_mixing,
+    op10_minhash,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +59,17 @@ def op6(spark, sf_dir):
 @query("op10_minhash")
 def op10(spark, sf_dir):
     return op10_minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+@query("op1_cross_entropy_difference")
+def op1(spark, sf_dir):
+    return op01_lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
+
+
+#: target shares of tokens by domain
+TARGETS = {"good": 0.9, "poor": 0.04, "toxic": 0.06}
+
+
+@query("op8_soft_mixing")
+def op8(spark, sf_dir):
+    return op08_mixing.mix(table(spark, sf_dir, "documents"), op08_mixing.domain_labels(table(spark, sf_dir, "labels")), TARGETS)
