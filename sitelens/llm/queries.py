@@ -10,10 +10,12 @@ from . import (
     op01_lm_scoring,
     op02_line_crf,
     op03_packing,
+    op04_debruijn,
     op05_simhash,
     op06_secrets,
     op07_ranking,
     op08_mixing,
+    op09_bwt,
     op10_minhash,
 )
 from .common import table
@@ -73,3 +75,13 @@ TARGETS = {"good": 0.9, "poor": 0.04, "toxic": 0.06}
 @query("op8_soft_mixing")
 def op8(spark, sf_dir):
     return op08_mixing.mix(table(spark, sf_dir, "documents"), op08_mixing.domain_labels(table(spark, sf_dir, "labels")), TARGETS)
+
+
+@query("op4_de_bruijn")
+def op4(spark, sf_dir):
+    return op04_debruijn.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op9_merged_bwt")
+def op9(spark, sf_dir):
+    return op09_bwt.digests(table(spark, sf_dir, "documents"))
