@@ -1,4 +1,4 @@
-"""SimHash fingerprints of 128 bits, and all fingerprints within a Hamming radius.
+"""SimHash fingerprints of 256 bits, and all fingerprints within a Hamming radius.
 
 Terms are pairs of neighbouring words (the first word also alone), weighted by their length; texts of
 few words vote with their byte 4-grams as well. Each term's hash votes for or against every bit.
@@ -7,7 +7,8 @@ The search cuts fingerprints into radius + 2 blocks: of two within the radius at
 equal. One permuted table a pair of blocks, keyed by both, finds all of them; the Hamming distance
 then decides. Equal fingerprints count as one in the search, so groups of copies cost one row.
 
-Cases: null and empty texts have no term and the fingerprint zero. The next document of a row is the
+Cases: null and empty texts have no term and the fingerprint zero. Rows without doc_id have no place
+in the order and no result. The next document of a row is the
 next row by (doc_id, text), also among repeated ids; a single row is its own next. Other columns are
 not read. An empty table gives no rows.
 """
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import U, SpanHash, blocks, mix, staged, texts, utf8, word_windows, words
 
-BITS = 128
+BITS = 256
+PARTS = [f"f{i}" for i in range(BITS // 64)]
 #: texts of fewer words vote with byte 4-grams too
 FEW_WORDS = 64
 BLOCK = 512 << 10
@@ -33,7 +35,7 @@ WORD, TERM, GRAM = SpanHash(21), SpanHash(22), SpanHash(23)
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """rows x 16 bytes, the fingerprints of whole texts."""
+    """rows x 32 bytes, the fingerprints of whole texts."""
     rows = len(off) - 1
     out = np.zeros((rows, BITS // 8), np.uint8)
     for a, b in blocks(off, BLOCK):
@@ -61,7 +63,7 @@ def _fingerprints(data, off):
         return np.zeros((rows, BITS // 8), np.uint8)
     order = np.argsort(of, kind="stable")
     key, of, weight = key[order], of[order], weight[order]
-    hashes = np.column_stack([mix(key), mix(key ^ U(0xA5A5A5A5A5A5A5A5))])
+    hashes = np.column_stack([mix(key ^ U(0xA5A5A5A5A5A5A5A5) * U(i + 1)) for i in range(len(PARTS))])
     votes = np.unpackbits(hashes.view(np.uint8).reshape(len(key), BITS // 8), axis=1)
     votes *= weight[:, None]
     begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
@@ -87,19 +89,22 @@ def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
     follows it (tail), so that a task that reads a bucket in order sees every row's next one.
     Only the bucket bounds, a number of ids, come to the driver."""
     spark = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     got = docs.agg(F.min("doc_id").alias("least"),
                    F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], F.lit(100 * parts)).alias("cuts")).first()
     least = got["least"]
     cuts = sorted({c for c in got["cuts"] or [] if c is not None and c > least})
     bounds = np.array(cuts, np.int64)
 
-    @F.pandas_udf("long")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right"))
+    @F.pandas_udf("bucket long, follows boolean")
+    def bucket(ids: pd.Series) -> pd.DataFrame:
+        """The range, and whether the row begins it."""
+        ids = ids.to_numpy()
+        at = np.searchsorted(bounds, ids, side="right")
+        return pd.DataFrame({"bucket": at, "follows": np.append(np.iinfo(np.int64).min, bounds)[at] == ids})
 
-    own = texts(docs).withColumn("bucket", bucket("doc_id"))
-    tail = F.when(F.col("doc_id") == least, F.lit(len(cuts))).when(F.col("doc_id").isin(cuts) if cuts else F.lit(False), F.col("bucket") - 1)
+    own = texts(docs).where(F.col("doc_id").isNotNull()).withColumn("at", bucket("doc_id")).select("doc_id", "text", "at.*")
+    tail = F.when(F.col("doc_id") == least, F.lit(len(cuts))).when(F.col("follows"), F.col("bucket") - 1)
     places = F.array(F.struct("bucket", F.lit(False).alias("tail")), F.struct(tail.alias("bucket"), F.lit(True).alias("tail")))
     return (own.select("doc_id", "text", F.explode(places).alias("p")).where(F.col("p.bucket").isNotNull())
             .select("doc_id", "text", "p.bucket", "p.tail").repartition(F.col("bucket"))
@@ -147,44 +152,44 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- search
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as two numbers, of every text."""
+    """doc_id and the fingerprint as numbers, of every text."""
 
     def run(batches):
         for batch in batches:
             f = fingerprints(*utf8(batch.column("text"))).view(">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in f.T)], ["doc_id", *PARTS])
 
-    return texts(docs).mapInArrow(run, "doc_id long, hi long, lo long")
+    return texts(docs).mapInArrow(run, ", ".join(["doc_id long", *(f"{p} long" for p in PARTS)]))
 
 
 def block_keys(radius: int) -> list[F.Column]:
-    """One key for each pair of the radius + 2 blocks of bits of (hi, lo)."""
+    """One key for each pair of the radius + 2 blocks of bits of a fingerprint."""
     n = radius + 2
     edges = [round(BITS * i / n) for i in range(n + 1)]
 
     def block(i):
         out = []
-        for half, low in (("hi", 64), ("lo", 0)):  # bits low .. low + 63
-            a, b = max(edges[i], low) - low, min(edges[i + 1], low + 64) - low
+        for j, part in enumerate(PARTS):  # bits 64 j .. 64 j + 63
+            a, b = max(edges[i], 64 * j) - 64 * j, min(edges[i + 1], 64 * j + 64) - 64 * j
             if b > a:
                 mask = ((1 << (b - a)) - 1) << a
-                out.append(F.col(half).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+                out.append(F.col(part).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
         return out
 
     return [F.xxhash64(F.lit(t), *block(i), *block(j)) for t, (i, j) in enumerate(combinations(range(n), 2))]
 
 
 def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
-    """For each distinct fingerprint of queries, every distinct one of prints within the radius:
-    hi, lo, near_hi, near_lo, distance. Fingerprints of documents are joined back by their values."""
+    """For each distinct fingerprint of queries, every distinct one of prints within the radius, with
+    the distance: f0.., near_f0.., distance. Documents are joined back by their fingerprints."""
     def tabled(df):
-        distinct = df.select("hi", "lo").distinct()
-        return distinct.select("hi", "lo", F.explode(F.array(*block_keys(radius))).alias("key"))
+        return df.select(*PARTS).distinct().select(*PARTS, F.explode(F.array(*block_keys(radius))).alias("key"))
 
     a = tabled(queries)
-    b = tabled(prints).withColumnsRenamed({"hi": "near_hi", "lo": "near_lo"})
-    distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("near_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("near_lo")))
-    return a.join(b, (a["key"] == b["key"]) & (distance <= radius)).select("hi", "lo", "near_hi", "near_lo", distance.alias("distance")).distinct()
+    b = tabled(prints).withColumnsRenamed({p: f"near_{p}" for p in PARTS} | {"key": "near_key"})
+    distance = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"near_{p}"))) for p in PARTS), F.lit(0))
+    found = a.join(b, (F.col("key") == F.col("near_key")) & (distance <= radius))
+    return found.select(*PARTS, *(f"near_{p}" for p in PARTS), distance.cast("int").alias("distance")).distinct()
 
 
 def stored_prints(docs: DataFrame) -> DataFrame:
