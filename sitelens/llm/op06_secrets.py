@@ -130,13 +130,14 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with their secrets replaced by the mark: rows, order of columns and clean texts stay."""
-    found = (scan(docs, rules)[0].where(F.size("spans") > 0).select(F.col("blob").alias("blob_"), "spans").dropDuplicates(["blob_"]))
-    text = F.coalesce(docs["text"], F.lit(""))
+    """docs with their secrets replaced by the mark; all rows and columns stay, clean texts as they are."""
+    found = scan(docs, rules)[0].where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256).alias("own"))
+    joined_rows, text = rows.join(found, F.col("own") == F.col("blob"), "left"), F.col("row.text")
     cut = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] < acc["at"], acc["out"]).otherwise(
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out")))
-    whole = F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.length(text)))
-    return (docs.withColumn("blob_here_", F.sha2(text.cast("binary"), 256)).join(found, F.col("blob_here_") == F.col("blob_"), "left")
-            .select(*(F.when(F.col("spans").isNotNull(), whole).otherwise(docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns)))
+            F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out")))
+    whole = F.concat(cut["out"], F.substring(text, (cut["at"] + 1).cast("int"), F.length(text)))
+    clean = F.when(F.col("spans").isNull(), text).otherwise(whole)
+    return joined_rows.select(*(clean.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

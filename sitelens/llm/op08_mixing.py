@@ -171,3 +171,11 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     """doc_id, domain: toxic, poor or good."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
     return labels.select("doc_id", domain.alias("domain"))
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: int = 0) -> DataFrame:
+    """The rows of docs, each as often as its copies say and `least` times at least."""
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"], docs["text"])
+    rated = mix(whole, labels, targets, "row")
+    times = F.greatest("copies", F.lit(least))
+    return rated.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")

@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, SpanHash, mix, staged, text_blocks, texts, utf8, word_windows, words
+from .common import U, SpanHash, blocks, mix, staged, text_blocks, texts, utf8, word_windows, words
 from .components import components
 from .stats import UPPER
 
@@ -33,7 +34,7 @@ BANDS, ROWS = 32, 4
 #: pairs whose signatures agree less are no links: six standard deviations below the threshold
 SLACK = 0.2
 WORD, SHINGLE = SpanHash(31), SpanHash(32)
-SCHEMA = "doc_id long, n_shingles long, key binary, bands array<long>, signature binary"
+SCHEMA = "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>, signature binary"
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int):
@@ -88,13 +89,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 raw, name = m.astype("<u2").tobytes(), keys(h, bounds).tobytes()
                 width = 2 * BANDS * ROWS
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)),
+                    batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(n.astype(np.int64)),
                     pa.array([name[16 * i:16 * i + 16] for i in range(b - a)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[n > 0].ravel().astype(np.int64))),
                     pa.array([raw[width * i:width * (i + 1)] for i in range(b - a)], pa.binary())],
-                    ["doc_id", "n_shingles", "key", "bands", "signature"])
+                    ["doc_id", "text_hash", "n_shingles", "key", "bands", "signature"])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, SCHEMA)
 
 
 def _alike(pairs: DataFrame, least: float) -> DataFrame:
@@ -115,26 +116,36 @@ def _links(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     with repeated ids a row may hold another text, whose key then differs, and is left out."""
 
     def run(batches):
-        for batch in batches:
-            ka, kb = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            data, off = utf8(pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]))
-            h, bounds = shingles(data, off, k)
-            name, n = keys(h, bounds).tobytes(), batch.num_rows
-            keep = []
-            for i in range(n):
-                x, y = h[bounds[i]:bounds[i + 1]], h[bounds[n + i]:bounds[n + i + 1]]
-                ok = name[16 * i:16 * i + 16] == ka[i] and name[16 * (n + i):16 * (n + i) + 16] == kb[i]
-                both = np.concatenate([x, y])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(ok and 100 * inter >= percent * (len(both) - inter))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            sizes = np.zeros(whole.num_rows + 1, np.int64)
+            np.cumsum(sum(pc.binary_length(whole.column(c)).to_numpy().astype(np.int64) for c in ("text_a", "text_b")), out=sizes[1:])
+            for u, v in blocks(sizes):
+                yield check(whole.slice(u, v - u))
+
+    def check(batch):
+        ka, kb = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        data, off = utf8(pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]))
+        h, bounds = shingles(data, off, k)
+        name, n = keys(h, bounds).tobytes(), batch.num_rows
+        keep = []
+        for i in range(n):
+            x, y = h[bounds[i]:bounds[i + 1]], h[bounds[n + i]:bounds[n + i + 1]]
+            ok = name[16 * i:16 * i + 16] == ka[i] and name[16 * (n + i):16 * (n + i) + 16] == kb[i]
+            both = np.concatenate([x, y])
+            both.sort()
+            inter = int((both[1:] == both[:-1]).sum())
+            keep.append(ok and 100 * inter >= percent * (len(both) - inter))
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    return _near_duplicates(docs, k, percent).drop("text_hash")
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = staged(signatures(docs, k))
     classes = staged(rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")))
@@ -178,15 +189,16 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     least = classes.select("key", "rep").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     first = least.groupBy("label").agg(F.min("rep").alias("component"))
     of = least.join(first, "label").select("key", "component")
-    out = rows.select("doc_id", "n_shingles", "key").join(of, "key", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "key").join(of, "key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose text represents its component; of repeated rows of that id, one."""
-    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("id_")).distinct()
-    names = docs.columns
-    own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id_"]), "left_semi")
-    return own.groupBy("doc_id").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in names if c != "doc_id"))).alias("row_")).select(
-        *("doc_id" if c == "doc_id" else F.col(f"row_.`{c}`") for c in names))
+    """The rows of docs that represent their components, with all columns; of rows with equal id and
+    text, one."""
+    kept = _near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("id"), "text_hash").distinct()
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("own_id"),
+                      F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("own_hash"))
+    found = own.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left_semi")
+    return found.dropDuplicates(["own_id", "own_hash"]).select("row.*")
