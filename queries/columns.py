@@ -426,7 +426,7 @@ SELECT n_nationkey, page_id, url LIKE 'https://%' AS https, NOT (n_name = 'RUSSI
 FROM pages JOIN nation ON n_nationkey = page_id % 25""")
 def p16(spark, sf):
     n = table(spark, sf, "nation")
-    return table(spark, sf, "pages").join(F.broadcast(n), c("page_id") % 25 == c("n_nationkey")).select(
+    return table(spark, sf, "pages").join(n, c("page_id") % 25 == c("n_nationkey")).select(
         "n_nationkey", "page_id", P.is_https(c("url")).alias("https"), P.country_is_foreign(c("n_name")).alias("is_foreign"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from queries.registry import spread, table
 from sitelens.functions import urls as U
 from sitelens.plans.audit import AuditTables, audit, stage_facts
+from sitelens.limits import INTERACTIVE
 from sitelens.sources.leads import normalize_leads
 from sitelens.sources.staging import sql_conf, work_dir
 
@@ -92,8 +93,9 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
         U.get_host(F.col("url")).alias("host"))
     home = base.groupBy("host").agg(
         F.min_by(F.struct("page_id", F.regexp_extract("src", "^([a-z]+):", 1).alias("scheme")), "page_id").alias("h"))
-    firsts = base.join(home, "host").where("page_id <> h.page_id").groupBy("host", "k").agg(F.min("page_id").alias("first_id"))
-    df = base.join(home, "host").join(firsts, ["host", "k"], "left")
+    keys = base.select("page_id", "host", "k").join(home, "host")  # the markup stays out of the joins by host
+    firsts = keys.where("page_id <> h.page_id").groupBy("host", "k").agg(F.min("page_id").alias("first_id"))
+    df = base.drop("host", "k").join(keys.join(firsts, ["host", "k"], "left"), "page_id")
     is_home = F.col("page_id") == F.col("h.page_id")
     paths, fragments = (F.array(*map(F.lit, x)) for x in (PATHS, FRAGMENTS))
     root = F.concat("h.scheme", F.lit("://"), "host")
@@ -114,7 +116,7 @@ def leads(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "pages").select(host.alias("site_id")).distinct().select(
         "site_id", F.concat(F.lit("https://"), "site_id").alias("site_url"), F.lit("").alias("company_name"),
         F.get(F.array(*map(F.lit, INDUSTRIES)), (F.length("site_id") % 3)).alias("industry"))
-    return normalize_leads(rows)
+    return normalize_leads(rows, 20)
 
 
 _facts: dict = {}
@@ -136,5 +138,5 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 
 def audited(spark: SparkSession, sf: str) -> AuditTables:
     if _key(spark, sf) not in _audits:
-        _audits[_key(spark, sf)] = audit(leads(spark, sf), None, facts=facts(spark, sf))
+        _audits[_key(spark, sf)] = audit(leads(spark, sf), None, facts=facts(spark, sf), limits=INTERACTIVE)
     return _audits[_key(spark, sf)]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from queries.columns import HOST, sql_clean, sql_entities
@@ -12,6 +10,7 @@ from sitelens import catalogue
 from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
+from sitelens.limits import INTERACTIVE
 from sitelens.operators import context as A
 from sitelens.operators import discovery as D
 from sitelens.operators import findings as Fi
@@ -98,7 +97,7 @@ def s06(spark, sf):
     children = h.where("k = 1").select("base_url", F.explode(kids).alias("j")).select(
         F.concat("base_url", F.lit("/c"), "j", F.lit(".xml")).alias("url"), urlset(F.concat("base_url", F.lit("/c"), "j")).alias("body"))
     robots = spark.createDataFrame([], "site_id bigint, sitemaps array<string>")
-    return sitemap_urls(h, robots, parse_sitemaps(own.unionByName(children))).select(c("site_id").alias("page_id"), "url")
+    return sitemap_urls(h, robots, parse_sitemaps(own.unionByName(children)), INTERACTIVE).select(c("site_id").alias("page_id"), "url")
 
 
 # ---- element extraction ---------------------------------------------------------------
@@ -248,7 +247,7 @@ def d03(spark, sf):
         c("o_custkey").alias("site_id"), c("o_orderkey").alias("pos"), F.lit("").alias("text"), F.concat(F.lit("https://s.ru/"), part, "o_orderkey").alias("url"))
     homes = links.select("site_id").distinct().withColumns({"base_url": F.lit("https://s.ru"), "reachable": F.lit(True), "max_pages": F.lit(20)})
     sitemap = spark.createDataFrame([], "site_id bigint, pos bigint, url string")
-    return D.plan_pages(links, sitemap, homes, 12).select(c("site_id").alias("o_custkey"), "url", "plan_pos")
+    return D.plan_pages(links, sitemap, homes, 12, INTERACTIVE).select(c("site_id").alias("o_custkey"), "url", "plan_pos")
 
 
 DOC_PATHS = list(P.GUESS_PATHS.items())
@@ -332,12 +331,12 @@ g AS (SELECT lower(risk_level) AS level, count(*) AS n FROM l GROUP BY 1)
 SELECT sum(n)::BIGINT AS total, sum(n) FILTER (level IN ('high', 'critical'))::BIGINT AS high_critical, string_agg(level || '=' || n, ',' ORDER BY level) AS levels FROM g""")
 def a15(spark, sf):
     pairs = F.transform(F.array_sort(F.map_entries("by_level")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return store.dashboard(_scans(spark, sf)).select("total", "high_critical", F.array_join(pairs, ",").alias("levels"))
+    return store.dashboard(_scans(spark, sf), 1000).select("total", "high_critical", F.array_join(pairs, ",").alias("levels"))
 
 
 @query("w04_scan_history", f"WITH {SCANS} SELECT * FROM scans ORDER BY created_at DESC, scan_id LIMIT 500")
 def w04(spark, sf):
-    return store.scan_history(_scans(spark, sf))
+    return store.scan_history(_scans(spark, sf), 500)
 
 
 @query("w05_recent_scans", f"WITH {SCANS} SELECT * FROM scans ORDER BY created_at DESC, scan_id LIMIT 10")

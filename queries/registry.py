@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +23,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The table over all cores. A driver table is one row group, hence one task; large inputs come
-    in many and are left as they are."""
-    df, cores = table(spark, sf, name), spark.sparkContext.defaultParallelism
-    path = f"{sf}/{name}.parquet"
-    small = os.path.isfile(path) and os.path.getsize(path) < 64 << 20
-    return df.repartition(cores) if small else df
+    """The table dealt evenly over the session's partitions: what follows costs more a row than the
+    shuffle, and files with few row groups would be few tasks."""
+    return table(spark, sf, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -103,7 +103,7 @@ def looks_like_document(anchor: Column, url: Column, title: Column) -> Column:
 
 def text_matches_doc_type(text: Column, doc_type: Column, title: Column) -> Column:
     blob = X.normalize_for_search(
-        F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(text, F.lit("")), 1, 4000))
+        F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
     )
     hit = F.lit(False)
     for kind, words in DOC_KEYWORDS.items():

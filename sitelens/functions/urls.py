@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from contextlib import contextmanager
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -30,32 +31,27 @@ ASSET_SUFFIXES = (
     "ttf", "mp4", "mp3", "zip", "rar", "xml", "json",
 )
 
-# A small table of public suffixes with more than one label. Pass your own list (for
-# example the whole public suffix list) to ``registered_domain`` where it matters.
-MULTI_LABEL_SUFFIXES = tuple(
-    f"{second}.{tld}"
-    for tld, seconds in {
-        "uk": "co org gov ac net ltd plc me",
-        "ru": "com org net msk spb pp",
-        "ua": "com in org net kiev",
-        "by": "com net",
-        "kz": "com org net",
-        "uz": "co com",
-        "au": "com net org edu gov",
-        "nz": "co net org",
-        "jp": "co ne or ac go",
-        "kr": "co or",
-        "in": "co net org",
-        "br": "com net org",
-        "tr": "com net org gov",
-        "il": "co org",
-        "za": "co org",
-        "cn": "com net org gov",
-        "mx": "com org",
-        "ar": "com org",
-    }.items()
-    for second in seconds.split()
-)
+# Public suffixes of two labels. Where the whole public suffix list matters, pass it as ``suffixes``:
+# here, to ``audit``, or for a block of plans with ``public_suffixes``.
+# Second labels under which country domains register, and country domains without such.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "govt", "ltd", "me", "mil", "ne", "net", "nic", "nom", "or", "org",
+                 "plc", "sch")
+DIRECT_COUNTRIES = ("ch", "cz", "de", "eu", "fi", "nl", "no", "se", "sk", "us")
+# Further suffixes of two labels.
+MORE_SUFFIXES = ("in.ua", "kiev.ua", "msk.ru", "pp.ru", "spb.ru", "ac.jp", "go.jp", "go.kr", "re.kr", "pe.kr", "firm.in", "gen.in",
+                 "ind.in", "id.au", "asn.au", "geek.nz", "school.nz", "web.id", "sch.id", "waw.pl", "info.pl", "biz.pl", "gen.tr",
+                 "k12.tr", "web.tr", "blog.br", "art.br", "eco.br", "muni.il", "web.za", "gob.mx", "gob.ar", "gouv.fr", "asso.fr")
+_suffixes: list[tuple[str, ...] | None] = [None]
+
+
+@contextmanager
+def public_suffixes(suffixes):
+    """Plans made inside the block know exactly these suffixes (any number of labels)."""
+    _suffixes.append(None if suffixes is None else tuple(suffixes))
+    try:
+        yield
+    finally:
+        _suffixes.pop()
 
 
 def _fold_scheme(u: Column) -> Column:
@@ -86,15 +82,23 @@ def url_path(u: Column) -> Column:
     return F.regexp_extract(F.coalesce(u, F.lit("")), _PATH, 1)
 
 
-def registered_domain(u: Column, suffixes=MULTI_LABEL_SUFFIXES) -> Column:
-    """Registered domain of a URL or bare host; the longest listed suffix wins, else the
-    last two labels are kept."""
+def registered_domain(u: Column, suffixes=None) -> Column:
+    """Registered domain of a URL or bare host: one label more than its longest known suffix, else
+    the last two labels."""
+    listed = suffixes if suffixes is not None else _suffixes[-1]
+
     def of_host(h):
-        return (
-            F.when(h.rlike(_IPV4), h)
-            .when(F.substring_index(h, ".", -2).isin(*suffixes), F.substring_index(h, ".", -3))
-            .otherwise(F.substring_index(h, ".", -2))
-        )
+        two = F.substring_index(h, ".", -2)
+        if listed is None:
+            second, country = F.substring_index(two, ".", 1), F.substring_index(two, ".", -1)
+            general = second.isin(*SECOND_LABELS) & (F.length(country) == 2) & ~country.isin(*DIRECT_COUNTRIES)
+            known = F.when(general | two.isin(*MORE_SUFFIXES), F.substring_index(h, ".", -3))
+        else:
+            known, sizes = F.lit(None).cast("string"), sorted({x.count(".") + 1 for x in listed if "." in x}, reverse=True)
+            for n in sizes:  # the longest suffix wins
+                of = [x for x in listed if x.count(".") + 1 == n]
+                known = F.coalesce(known, F.when(F.substring_index(h, ".", -n).isin(*of), F.substring_index(h, ".", -n - 1)))
+        return F.when(h.rlike(_IPV4), h).otherwise(F.coalesce(known, two))
 
     named = let(get_host(u), lambda h: F.when(h != "", h).otherwise(F.substring_index(F.lower(u), "/", 1)))
     return let(named, of_host)

@@ -261,8 +261,8 @@ def merge_verdicts(items: DataFrame, verdicts: DataFrame, docs: DataFrame) -> Da
     really contains, and more information than before."""
     quotes = verdicts.select("site_id", "doc_pos", "item_id", "v").join(
         docs.select("site_id", "doc_pos", "text"), ["site_id", "doc_pos"])
-    q = X.truncate(F.col("v.evidence_quote"), 500)
-    nq = X.normalize_for_search(q)
+    q = X.truncate(F.col("v.evidence_quote"), 500)  # for display only; the search is for the whole quote
+    nq = X.normalize_for_search(F.coalesce("v.evidence_quote", F.lit("")))
     status = X.strip(F.coalesce("v.status", F.lit("")))
     grounded = (F.col("text") == "") | ((F.length(nq) >= 8) & X.normalize_for_search(F.col("text")).contains(nq))
     usable = status.isin(*VERDICT_RANK) & (~status.isin("found", "unclear") | ((q != "") & grounded))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
+from sitelens.limits import NONE, Limits
 
 # ---- fixed values -----------------------------------------------------------------
 LINK_WORDS = ("политика", "конфиденциальность", "персональные данные", "privacy", "policy", "согласие", "consent",
@@ -19,17 +20,15 @@ PLAN_GUESSES = ("/contacts", "/contact", "/kontakty", "/privacy", "/privacy-poli
                 "/personal-data-policy", "/politika", "/politika-konfidentsialnosti", "/privacy.html", "/soglasie",
                 "/consent", "/agreement", "/user-agreement", "/terms", "/oferta", "/offer", "/publichnaya-oferta",
                 "/cookie", "/cookies", "/cookie-policy", "/obrabotka-personalnyh-dannyh")
-MAX_FORM_PAGES = 4
-MAX_GUESSES = 8
-MAX_CANDIDATES = 40
 SOURCE_RANK = {"anchor": 4, "page_link": 3, "priority_path": 2, "sitemap": 1}
 
 FORM_TIER, GUESS_TIER = 3, 4
 
 
 def url_winners(facts: DataFrame) -> DataFrame:
-    """One stored page per fragment-less URL."""
-    return facts.select(U.strip_fragment(F.col("url")).alias("key"), "uid").groupBy("key").agg(F.min("uid").alias("uid"))
+    """One stored page per fragment-less URL; of several copies the one that comes first by content."""
+    content = F.struct(F.xxhash64("url", "status_code", "title", "html_length", "text_length").alias("hash"), "uid")
+    return facts.select(U.strip_fragment(F.col("url")).alias("key"), "uid", content.alias("at")).groupBy("key").agg(F.min_by("uid", "at").alias("uid"))
 
 
 def homepages(leads: DataFrame, facts: DataFrame) -> DataFrame:
@@ -85,12 +84,12 @@ def link_tier(url, text):
         U.is_probably_html_url(url) & X.contains_any(blob, FORM_PAGE_WORDS), FORM_TIER)
 
 
-def plan_pages(links: DataFrame, sitemap: DataFrame, homes: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """(site_id, plan_pos, url): document links, sitemap pages, up to 4 form pages, up to 8 guessed
-    paths; max_pages in all. Every cap is a rank limit that Spark applies before shuffling."""
+def plan_pages(links: DataFrame, sitemap: DataFrame, homes: DataFrame, max_pages: int | None = None, limits: Limits = NONE) -> DataFrame:
+    """(site_id, plan_pos, url): document links, sitemap pages, form pages, guessed paths; of a site at
+    most max_pages, else its own budget (no budget: all). No other limit holds unless ``limits`` sets it."""
     sites = homes.where("reachable").select(
         "site_id", "base_url", U.registered_domain(F.col("base_url")).alias("domain"),
-        (F.lit(max_pages) if max_pages else F.greatest("max_pages", F.lit(1))).alias("budget"))
+        (F.lit(max_pages) if max_pages else F.when(F.col("max_pages").isNotNull(), F.greatest("max_pages", F.lit(1)))).cast("int").alias("budget"))
     # exploding the 0 or 1 tiers of a link evaluates the keyword tests once, a filter would repeat them
     followed = links.join(sites, "site_id").where(
         (F.col("domain") != "") & (U.registered_domain(F.col("url")) == F.col("domain"))
@@ -103,14 +102,19 @@ def plan_pages(links: DataFrame, sitemap: DataFrame, homes: DataFrame, max_pages
     pool = pool.withColumn("url", U.strip_fragment(F.col("url"))).where(
         (F.col("url") != "") & (U.url_key(F.col("url")) != U.url_key(F.col("base_url"))))
     once = pool.groupBy("site_id", "budget", "url").agg(F.min(F.struct("tier", "pos")).alias("at"))
-    # no tier can fill more than the whole budget, so one rank limit serves all tiers
-    limit = max_pages or 1000
-    in_tier = F.row_number().over(Window.partitionBy("site_id", "at.tier").orderBy("at"))
-    cap = F.when(F.col("at.tier") == FORM_TIER, MAX_FORM_PAGES).when(F.col("at.tier") == GUESS_TIER, MAX_GUESSES).otherwise(limit)
-    capped = once.withColumn("k", in_tier).where(F.col("k") <= limit).where(F.col("k") <= cap)
+    caps = {t: n for t, n in ((FORM_TIER, limits.form_pages), (GUESS_TIER, limits.guesses)) if n is not None}
+    capped = once
+    if caps:
+        in_tier = F.row_number().over(Window.partitionBy("site_id", "at.tier").orderBy("at"))
+        over = F.lit(False)
+        for t, n in caps.items():
+            over = over | ((F.col("at.tier") == t) & (F.col("k") > n))
+        capped = once.withColumn("k", in_tier).where(~over)
     pos = F.row_number().over(Window.partitionBy("site_id").orderBy("at"))
-    ranked = capped.withColumn("plan_pos", pos).where(F.col("plan_pos") <= limit)
-    return ranked.where("plan_pos <= budget").select("site_id", "plan_pos", "url")
+    ranked = capped.withColumn("plan_pos", pos)
+    if max_pages:
+        ranked = ranked.where(F.col("plan_pos") <= max_pages)  # a rank limit before the shuffle
+    return ranked.where("budget is null or plan_pos <= budget").select("site_id", "plan_pos", "url")
 
 
 def audit_set(homes: DataFrame, plan: DataFrame, facts: DataFrame, winners: DataFrame | None = None) -> DataFrame:
@@ -119,10 +123,10 @@ def audit_set(homes: DataFrame, plan: DataFrame, facts: DataFrame, winners: Data
     facts = facts.drop("doc_text", "html_head")
     home = homes.where("reachable").select(
         "site_id", F.lit(0).alias("page_pos"), F.col("home_url").alias("want"), F.col("home_uid").alias("uid"))
-    budget = homes.select("site_id", F.greatest("max_pages", F.lit(1)).alias("budget"))
+    budget = homes.select("site_id", F.when(F.col("max_pages").isNotNull(), F.greatest("max_pages", F.lit(1))).alias("budget"))
     rest = plan.join(url_winners(facts) if winners is None else winners, F.col("url") == F.col("key"), "left").select(
         "site_id", F.col("plan_pos").alias("page_pos"), F.col("url").alias("want"), "uid")
-    chosen = home.unionByName(rest).join(budget, "site_id").where("page_pos < budget").drop("budget")
+    chosen = home.unionByName(rest).join(budget, "site_id").where("budget is null or page_pos < budget").drop("budget")
     joined = chosen.join(facts, "uid", "left")
     blank = {c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in facts.dtypes if t.startswith("array")}
     missing = F.array(F.concat(F.lit("not stored: "), "want"))
@@ -167,7 +171,7 @@ def doc_candidates(audit: DataFrame, sitemap: DataFrame, homes: DataFrame) -> Da
     return seen.unionByName(guesses)
 
 
-def dedupe_candidates(cands: DataFrame, cap: int = MAX_CANDIDATES) -> DataFrame:
+def dedupe_candidates(cands: DataFrame, cap: int | None = None) -> DataFrame:
     """One candidate per URL: a specific type beats ``other``, then the stronger source, then the
     earlier; the first-seen position decides the order and the cap."""
     rank = F.create_map(*[F.lit(x) for kv in SOURCE_RANK.items() for x in kv])
@@ -177,6 +181,7 @@ def dedupe_candidates(cands: DataFrame, cap: int = MAX_CANDIDATES) -> DataFrame:
         F.min_by(F.struct("url", "doc_type", "anchor_text", "title", "source", "page_url"), strength).alias("c"),
         F.min(at).alias("at"))
     pos = F.row_number().over(Window.partitionBy("site_id").orderBy("at"))
-    return once.withColumn("cand_pos", pos).where(F.col("cand_pos") <= cap).select(
+    ranked = once.withColumn("cand_pos", pos)
+    return (ranked if cap is None else ranked.where(F.col("cand_pos") <= cap)).select(
         "site_id", "cand_pos", "key", "c.url", "c.doc_type", X.truncate(F.col("c.anchor_text"), 200).alias("anchor_text"),
         X.truncate(F.col("c.title"), 200).alias("title"), "c.source", "c.page_url")

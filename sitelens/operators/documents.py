@@ -11,8 +11,6 @@ from sitelens.functions import urls as U
 from sitelens.operators.discovery import url_winners
 
 SUGGESTED_TYPES = tuple(X.LABELS["doc_type"])
-MAX_READ_SUGGESTIONS = 20
-MAX_SUGGESTIONS = 10
 BODIES_DDL = ("url string, final_url string, status_code int, ok boolean, content_type string, format string, "
               "text string, error string")
 
@@ -94,21 +92,21 @@ def relevant_documents(docs: DataFrame, sites: DataFrame) -> DataFrame:
         U.same_registered_domain(F.col("url"), F.col("base_url"))).drop("base_url")
 
 
-def read_suggestions(answers: DataFrame) -> DataFrame:
+def read_suggestions(answers: DataFrame, limit: int | None = None) -> DataFrame:
     """(site_id, answer) of an outside reviewer, answers in loose JSON, to suggested documents."""
     one = "struct<url: string, doc_type: string, reason: string>"
     parsed = F.from_json(X.lenient_json(F.col("answer")),
                          f"struct<missed_documents: array<{one}>, items: array<{one}>, notes: string>")
     listed = F.coalesce(F.col("a.missed_documents"), F.col("a.items"))
     return answers.withColumn("a", parsed).select(
-        "site_id", F.posexplode(F.slice(listed, 1, MAX_READ_SUGGESTIONS)).alias("pos", "s")).select(
+        "site_id", F.posexplode(listed if limit is None else F.slice(listed, 1, limit)).alias("pos", "s")).select(
         "site_id", "pos", X.strip(F.coalesce("s.url", F.lit(""))).alias("url"),
         F.when(F.col("s.doc_type").isin(*SUGGESTED_TYPES), F.col("s.doc_type")).otherwise("other").alias("doc_type"),
         X.truncate(F.col("s.reason"), 200).alias("reason"))
 
 
 def ground_suggestions(sugg: DataFrame, docs: DataFrame, sites: DataFrame, audit: DataFrame, facts: DataFrame,
-                       bodies: DataFrame | None = None, winners: DataFrame | None = None) -> DataFrame:
+                       bodies: DataFrame | None = None, winners: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Suggested documents that are on the site, not known yet, and read like their type."""
     known = docs.select("site_id", U.url_key(F.col("url")).alias("ukey")).distinct()
     new = (sugg.join(sites.select("site_id", "base_url"), "site_id")
@@ -117,8 +115,10 @@ def ground_suggestions(sugg: DataFrame, docs: DataFrame, sites: DataFrame, audit
            .join(known, ["site_id", "ukey"], "left_anti"))
     once = new.groupBy("site_id", "ukey").agg(F.min(F.struct("pos", "url", "doc_type", "reason")).alias("s"))
     rank = F.row_number().over(Window.partitionBy("site_id").orderBy("s.pos"))
-    cands = once.withColumn("k", rank).where(F.col("k") <= MAX_SUGGESTIONS).select(
-        "site_id", (F.col("k") + 1000).alias("cand_pos"), U.strip_fragment(F.col("s.url")).alias("key"), "s.url",
+    ranked = once.withColumn("k", rank)
+    # suggestions stand behind all candidates
+    cands = (ranked if limit is None else ranked.where(F.col("k") <= limit)).select(
+        "site_id", (F.col("k") + (1 << 30)).cast("int").alias("cand_pos"), U.strip_fragment(F.col("s.url")).alias("key"), "s.url",
         "s.doc_type", F.col("s.reason").alias("anchor_text"), F.lit("").alias("title"), F.lit("agent").alias("source"),
         F.lit("").alias("page_url"))
     return resolve_documents(cands, audit, facts, bodies, winners).where("present")

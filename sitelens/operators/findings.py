@@ -31,13 +31,13 @@ def load_findings(spark, path=None) -> tuple[DataFrame, DataFrame]:
 
 def finding_sources(sources: DataFrame, risks: DataFrame, core: DataFrame) -> DataFrame:
     """Strongest fired rule and preferred core check in state risk per site and finding."""
-    rules = F.broadcast(sources.where("side = 'rule'"))
+    rules = sources.where("side = 'rule'")
     prefix = F.split_part("rule_id", F.lit("_"), F.lit(1))
     by_risk = risks.withColumn("ref", prefix).join(rules, "ref").groupBy("site_id", "finding_pos").agg(F.min_by(
         F.struct("rule_id", "risk_level", "score", "page_url", F.col("evidence.quote").alias("quote"), "report_phrase", "title",
                  "recommendation"),
         F.struct(-X.level_rank(F.col("risk_level")), -F.col("score"), F.col("rank"))).alias("r"))
-    checks = F.broadcast(sources.where("side = 'core'"))
+    checks = sources.where("side = 'core'")
     by_core = core.where("status = 'risk'").withColumnRenamed("id", "ref").join(checks, "ref").groupBy(
         "site_id", "finding_pos").agg(F.min_by(
             F.struct(F.col("ref").alias("id"), "risk_level", "comment", "evidence"), "pref").alias("c"))
@@ -48,7 +48,7 @@ def findings(ctx: DataFrame, risks: DataFrame, core: DataFrame, path=None) -> Da
     """Ranked findings per site, one row per finding id."""
     texts, sources = load_findings(ctx.sparkSession, path)
     denied = catalogue.findings(path)["denied_transfer"]
-    df = finding_sources(sources, risks, core).join(F.broadcast(texts), "finding_pos").join(
+    df = finding_sources(sources, risks, core).join(texts, "finding_pos").join(
         ctx.select("site_id", "form_prechecked", "transfer_denied"), "site_id")
     df = df.withColumn("c", F.when(~F.col("prechecked_only") | F.col("form_prechecked"), F.col("c"))).where(
         "r is not null or c is not null")
@@ -98,7 +98,7 @@ def commercial_score(f: DataFrame) -> DataFrame:
 
 def attach_liability(f: DataFrame, liability: DataFrame) -> DataFrame:
     """Liability text, amount and the flag for "counted separately" per finding."""
-    item = F.broadcast(liability.select(F.lower("label").alias("lkey"), F.col("label").alias("l_label"), "basis", "amount"))
+    item = liability.select(F.lower("label").alias("lkey"), F.col("label").alias("l_label"), "basis", "amount")
     df = f.withColumn("lkey", F.lower(X.squeeze(F.col("liability_hint"), 220))).join(item, "lkey", "left")
     meta = F.concat_ws(" · ", F.when(F.col("basis") != "", F.col("basis")), F.when(F.col("amount") != "", F.col("amount")))
     known = F.col("l_label").isNotNull()

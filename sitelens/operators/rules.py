@@ -74,7 +74,7 @@ def rule_columns() -> dict[str, Column]:
         "R011": ev((F.size("tracking_names") > 0) & ~c("cookie_banner_found"),
                    F.coalesce(F.when(c("t_tracking.page_url") != "", c("t_tracking.page_url")), first),
                    "Счётчики без баннера.", trackers=_joined(c("tracking_names"), 10)),
-        "R012": ev(c("marketing_before_consent"), first, "Слежение до согласия."),
+        "R012": ev(c("marketing_before_consent"), first, _or(c("before_consent_evidence"), "Слежение до согласия.")),
         "R013": ev(c("cookies_present") & ~c("has_cookie_policy") & ~found("PP_022"), first, "О cookies не рассказано."),
         "R014": ev(c("trackers_present") & c("has_privacy_policy") & ~found("PP_024"), first, "Сервисы не названы.",
                    trackers=_joined(c("tracker_names"), 10)),
@@ -83,7 +83,7 @@ def rule_columns() -> dict[str, Column]:
         "R016": ev(pd & abroad, first, "Адрес сервера за границей.", server_country=c("server_country"),
                    geoip_confidence=c("geoip_confidence"), ip_addresses=_joined(c("ip_addresses"), 5)),
         "R017": ev(~c("https_enabled"), final, "Нет HTTPS."),
-        "R018": ev(c("mixed_content_found"), final, "Ресурсы по HTTP.", mixed_content_urls=_joined(c("mixed_content_urls"), 20)),
+        "R018": ev(c("mixed_content_found"), final, "Ресурсы по HTTP.", mixed_content_urls=F.array_join("mixed_content_urls", ", ")),
         "R019": ev(c("newsletter_form") & ~c("has_ad_consent") & ~c("form_ad_consent"), form_page("f_newsletter"),
                    "Подписка без согласия на рекламу."),
         "R020": ev(c("medical") & ~(found("PP_027") & found("Consent_014")), form_page("f_medical"), "Возможны данные о здоровье."),
@@ -130,7 +130,7 @@ def apply_rules(ctx: DataFrame, path=None) -> DataFrame:
         "site_id", F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("r")).select(
         "site_id", "r.rule_pos", "r.evidence")
     meta = catalogue.load_rules(ctx.sparkSession, path)
-    return rank_risks(each.join(F.broadcast(meta), "rule_pos").withColumn("page_url", F.col("evidence.page_url")))
+    return rank_risks(each.join(meta, "rule_pos").withColumn("page_url", F.col("evidence.page_url")))
 
 
 def rank_risks(risks: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def top_titles(risks: DataFrame, n: int = 3) -> DataFrame:
 def legal_basis(ids: DataFrame, path=None) -> DataFrame:
     """Legal basis text per rule id, empty for an unknown id."""
     meta = catalogue.load_rules(ids.sparkSession, path).select("rule_id", "legal_basis")
-    return ids.join(F.broadcast(meta), "rule_id", "left").withColumn("legal_basis", F.coalesce("legal_basis", F.lit("")))
+    return ids.join(meta, "rule_id", "left").withColumn("legal_basis", F.coalesce("legal_basis", F.lit("")))
 
 
 def score_level(score: Column) -> Column:

@@ -16,7 +16,6 @@ from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
 
-MIXED_CAP = 20
 
 # Host fragments of content delivery networks, in order of preference.
 CDN_MARKERS = [
@@ -142,22 +141,20 @@ def insecure_resources(url: Column, resources: Column, requests: Column) -> Colu
 
 
 # ---- per site ------------------------------------------------------------------------
-def mixed_content(pages: DataFrame, cap: int = MIXED_CAP) -> DataFrame:
-    """Distinct insecure URLs per site in page order, the first ``cap`` of them."""
+def mixed_content(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct insecure URLs per site in page order; with ``cap`` the first ones."""
     each = pages.select("site_id", "page_pos", F.posexplode("insecure").alias("pos", "url"))
     first = each.groupBy("site_id", "url").agg(F.min(F.struct("page_pos", "pos")).alias("at"))
     return _take_first(first, "url", cap).withColumnRenamed("items", "mixed_content_urls")
 
 
-def _take_first(df: DataFrame, value: str, cap: int) -> DataFrame:
-    """Ordered list per site of at most ``cap`` values; the rank limit is applied before the shuffle."""
+def _take_first(df: DataFrame, value: str, cap: int | None) -> DataFrame:
+    """Ordered list per site; with ``cap`` a rank limit is applied before the shuffle."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("site_id").orderBy("at"))
-    return (
-        df.withColumn("rank", rank).where(F.col("rank") <= cap).groupBy("site_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda x: x[value]).alias("items"))
-    )
+    if cap is not None:
+        df = df.withColumn("rank", F.row_number().over(Window.partitionBy("site_id").orderBy("at"))).where(F.col("rank") <= cap)
+    return df.groupBy("site_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias("items"))
 
 
 def site_cdn(pages: DataFrame) -> DataFrame:

@@ -7,11 +7,14 @@ reads these two tables with only the columns it needs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelens.functions import urls as U
+from sitelens.limits import NONE, Limits
 from sitelens.operators import checklist as C
 from sitelens.operators import context as A
 from sitelens.operators import core_checks as E
@@ -78,11 +81,19 @@ def audit(
     catalogues: Catalogues = Catalogues(),
     folder: str | None = None,
     facts: DataFrame | None = None,
+    limits: Limits = NONE,
+    suffixes: Sequence[str] | None = None,
 ) -> AuditTables:
     """Audit all leads. ``leads`` come from ``normalize_leads``; ``pages`` are raw crawl rows, or pass
     already staged ``facts``. Optional inputs: robots.txt and sitemap bodies (base_url, status_code,
     body / url, body), document bodies (from ``body_texts``), addresses with a country range table,
-    suggested documents and outside verdicts (site_id, doc_url, answer)."""
+    suggested documents and outside verdicts (site_id, doc_url, answer). Nothing is capped but by a
+    lead's own page budget, unless ``limits`` says so. ``suffixes``: a public suffix list."""
+    with U.public_suffixes(suffixes):
+        return _audit(leads, pages, robots, sitemaps, bodies, site_ips, ip_ranges, suggestions, verdict_answers, catalogues, folder, facts, limits)
+
+
+def _audit(leads, pages, robots, sitemaps, bodies, site_ips, ip_ranges, suggestions, verdict_answers, catalogues, folder, facts, limits):
     spark = leads.sparkSession
     folder = folder or work_dir(spark)
     facts = facts if facts is not None else stage_facts(pages, folder, catalogues.trackers)
@@ -92,16 +103,16 @@ def audit(
     robots = _empty(spark, "base_url string, status_code int, body string") if robots is None else robots
     robots = parse_robots(homes.select("site_id", "base_url").join(robots, "base_url"))
     maps = parse_sitemaps(_empty(spark, "url string, body string") if sitemaps is None else sitemaps)
-    sitemap = staged(sitemap_urls(homes.where("reachable"), robots, maps), folder, "sitemap")
+    sitemap = staged(sitemap_urls(homes.where("reachable"), robots, maps, limits), folder, "sitemap")
 
-    plan = D.plan_pages(D.homepage_links(homes, facts), sitemap, homes)
+    plan = D.plan_pages(D.homepage_links(homes, facts), sitemap, homes, limits=limits)
     pages_of_sites = staged(D.audit_set(homes, plan, facts, winners), folder, "audit")
 
-    cands = staged(D.dedupe_candidates(D.doc_candidates(pages_of_sites, sitemap, homes)), folder, "candidates")
+    cands = staged(D.dedupe_candidates(D.doc_candidates(pages_of_sites, sitemap, homes), limits.candidates), folder, "candidates")
     docs = W.relevant_documents(W.dedupe_documents(W.resolve_documents(cands, pages_of_sites, facts, bodies, winners)), homes)
     docs = staged(docs, folder, "documents")
     if suggestions is not None:
-        extra = W.ground_suggestions(W.read_suggestions(suggestions), docs, homes, pages_of_sites, facts, bodies, winners)
+        extra = W.ground_suggestions(W.read_suggestions(suggestions, limits.read_suggestions), docs, homes, pages_of_sites, facts, bodies, winners, limits.suggestions)
         known = docs.withColumn("cand_pos", F.col("doc_pos")).drop("doc_pos")
         docs = staged(W.dedupe_documents(known.unionByName(extra)), folder, "documents_all")
 

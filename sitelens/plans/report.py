@@ -16,27 +16,34 @@ def _yes(cond):
     return F.when(cond, YES).otherwise(NO)
 
 
-def summary(scored: DataFrame, risks: DataFrame) -> DataFrame:
-    """Bulk summary, one row per lead."""
-    df = scored.join(R.top_titles(risks), "site_id", "left")
+def summary(scored: DataFrame, risks: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """Bulk summary, one row per lead; ``reports`` (site_id, pdf_path) gives the paths of exports."""
+    df = _with_reports(scored.join(R.top_titles(risks), "site_id", "left"), reports)
     types = F.coalesce("accessible_types", F.array().cast("array<string>"))
     return df.select(
-        "site_id", "company_name", "site_url", "industry", F.lit("quick").alias("scan_mode"), "email", "risk_level",
+        "site_id", "company_name", "site_url", "industry", "scan_mode", "email", "risk_level",
         "risk_score", "confidence", F.coalesce("top_risks", F.lit("")).alias("top_risks"), F.col("n_forms").alias("forms_found"),
         F.array_contains(types, "privacy_policy").alias("privacy_policy_found"),
         F.array_contains(types, "consent").alias("consent_found"), "cookie_banner_found",
         F.col("n_trackers").alias("trackers_found"), F.col("foreign_trackers_present").alias("foreign_trackers_found"),
-        F.lit("").alias("pdf_path"), F.lit("scanned").alias("status"))
+        "pdf_path", F.lit("scanned").alias("status"))
 
 
-def scan_header(scored: DataFrame, risks: DataFrame, created_at: str) -> DataFrame:
+def _with_reports(df: DataFrame, reports: DataFrame | None) -> DataFrame:
+    if reports is None:
+        return df.withColumn("pdf_path", F.lit(""))
+    latest = reports.groupBy("site_id").agg(F.max("pdf_path").alias("pdf_path"))
+    return df.join(latest, "site_id", "left").withColumn("pdf_path", F.coalesce("pdf_path", F.lit("")))
+
+
+def scan_header(scored: DataFrame, risks: DataFrame, created_at: str, reports: DataFrame | None = None) -> DataFrame:
     """Header row of the scan store."""
-    df = scored.join(R.top_titles(risks), "site_id", "left").join(executive_summary(scored, risks), "site_id", "left")
+    df = _with_reports(scored, reports).join(R.top_titles(risks), "site_id", "left").join(executive_summary(scored, risks), "site_id", "left")
     return df.select(
         F.substring(F.sha2(F.concat_ws("|", "site_id", F.lit(created_at)), 256), 1, 12).alias("scan_id"), "site_id",
         F.lit(created_at).alias("created_at"), "company_name", "site_url", F.col("site_final_url").alias("final_url"),
         "industry", "email", "comment", "risk_score", "risk_level", "confidence", F.lit("scanned").alias("status"),
-        F.lit("").alias("pdf_path"), "executive_summary", F.coalesce("top_risks", F.lit("")).alias("top_risks"),
+        "pdf_path", "executive_summary", F.coalesce("top_risks", F.lit("")).alias("top_risks"),
         "pages_checked", "cookie_banner_found", "marketing_before_consent",
         F.col("foreign_trackers_present").alias("foreign_trackers_found"), "fetch_method", "homepage_links", "errors",
         "requires_manual_review")

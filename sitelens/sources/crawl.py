@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
+from sitelens.limits import NONE, Limits
 from sitelens.operators.html_parse import parse_page
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,9 +27,6 @@ PAGES_DDL = (
     "network_requests array<string>, cookies array<struct<name: string, value: string, domain: string>>, "
     "modal_htmls array<string>, content_type string, fetch_method string, errors array<string>"
 )
-MAX_INDEX_CHILDREN = 3
-MAX_MAPS = 3
-MAX_MAP_URLS = 200
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -68,8 +66,8 @@ def parse_robots(df: DataFrame) -> DataFrame:
 
 # ---- sitemaps -------------------------------------------------------------------------
 def _read_map(xml: str):
-    head = xml[:4096].lower()
-    if "<!entity" in head or "<!doctype" in head:
+    low = xml.lower()
+    if "<!entity" in low or "<!doctype" in low:
         return None
     for text in (xml, xml[max(xml.find("<"), 0):]):
         try:
@@ -95,18 +93,21 @@ def parse_sitemaps(df: DataFrame) -> DataFrame:
                     F.coalesce("m.locs", F.array().cast("array<string>")).alias("locs"))
 
 
-def sitemap_urls(sites: DataFrame, robots: DataFrame, maps: DataFrame) -> DataFrame:
-    """(site_id, pos, url): the pages named by up to three maps of a site, an index opened for its
-    first three children, up to 200 distinct URLs per map."""
+def sitemap_urls(sites: DataFrame, robots: DataFrame, maps: DataFrame, limits: Limits = NONE) -> DataFrame:
+    """(site_id, pos, url): the distinct pages named by each map of a site, an index opened for its
+    children; all of them unless ``limits`` says otherwise."""
+    def first_of(column, n):
+        return F.col(column) if n is None else F.slice(column, 1, n)
+
     listed = sites.join(robots.select("site_id", "sitemaps"), "site_id", "left").select(
         "site_id",
-        F.posexplode(F.when(F.size("sitemaps") > 0, F.slice("sitemaps", 1, MAX_MAPS)).otherwise(
+        F.posexplode(F.when(F.size("sitemaps") > 0, first_of("sitemaps", limits.maps)).otherwise(
             F.array(F.concat(F.rtrim("base_url", F.lit("/")), F.lit("/sitemap.xml"))))).alias("map_pos", "map_url"))
     bodies = maps.select(F.col("url").alias("map_url"), "kind", "locs").dropDuplicates(["map_url"])
     top = listed.join(bodies, "map_url")
     opened = top.select(
         "site_id", "map_pos", "kind", "locs", "map_url",
-        F.posexplode_outer(F.when(F.col("kind") == "sitemapindex", F.slice("locs", 1, MAX_INDEX_CHILDREN)))
+        F.posexplode_outer(F.when(F.col("kind") == "sitemapindex", first_of("locs", limits.children)))
         .alias("child_pos", "child_url"))
     children = bodies.select(F.col("map_url").alias("child_url"), F.col("locs").alias("child_locs"))
     each = opened.join(children, "child_url", "left").select(
@@ -114,9 +115,11 @@ def sitemap_urls(sites: DataFrame, robots: DataFrame, maps: DataFrame) -> DataFr
         F.posexplode(F.when(F.col("kind") == "sitemapindex", F.col("child_locs")).otherwise(F.col("locs")))
         .alias("loc_pos", "url"))
     first = each.groupBy("site_id", "map_pos", "url").agg(F.min(F.struct("child_pos", "loc_pos")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("site_id", "map_pos").orderBy("at"))
-    return first.withColumn("rank", rank).where(F.col("rank") <= MAX_MAP_URLS).select(
-        "site_id", (F.col("map_pos") * MAX_MAP_URLS + F.col("rank")).alias("pos"), "url")
+    if limits.map_urls is not None:
+        rank = F.row_number().over(Window.partitionBy("site_id", "map_pos").orderBy("at"))
+        first = first.withColumn("rank", rank).where(F.col("rank") <= limits.map_urls)
+    pos = F.row_number().over(Window.partitionBy("site_id").orderBy("map_pos", "at", "url"))
+    return first.select("site_id", pos.alias("pos"), "url")
 
 
 # ---- document bodies ------------------------------------------------------------------

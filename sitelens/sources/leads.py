@@ -18,8 +18,12 @@ def read_leads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def normalize_leads(df: DataFrame, max_pages: int = 20) -> DataFrame:
-    """Trimmed leads with a stable site_id; rows without a URL are left out."""
+MODES = ("quick", "full")
+
+
+def normalize_leads(df: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Trimmed leads, one row per stable site_id; rows without a URL are left out. Of rows with one id
+    the first by their columns stays, with the largest page budget (NULL: no limit) of them."""
     have = set(df.columns)
 
     def text(c):
@@ -34,9 +38,12 @@ def normalize_leads(df: DataFrame, max_pages: int = 20) -> DataFrame:
         *([F.col("site_id").cast("string")] if "site_id" in have else []),
         text("company_name").alias("company_name"), url.alias("site_url"), industry.alias("industry"),
         text("email").alias("email"), text("comment").alias("comment"),
+        F.when(text("scan_mode").isin(*MODES), text("scan_mode")).otherwise(MODES[0]).alias("scan_mode"),
         (F.coalesce(F.col("max_pages").cast("int"), F.lit(max_pages)) if "max_pages" in have
-         else F.lit(max_pages)).alias("max_pages"),
+         else F.lit(max_pages)).cast("int").alias("max_pages"),
     ).where("site_url <> ''")
     if "site_id" not in have:
-        out = out.distinct().withColumn("site_id", F.substring(F.sha2(F.concat_ws("\x1f", *COLUMNS), 256), 1, 12))
-    return out
+        out = out.withColumn("site_id", F.substring(F.sha2(F.concat_ws("\x1f", *COLUMNS), 256), 1, 12))
+    unlimited = F.bool_or(F.col("max_pages").isNull())
+    first = out.groupBy("site_id").agg(F.min(F.struct(*COLUMNS, "scan_mode")).alias("m"), F.when(~unlimited, F.max("max_pages")).alias("max_pages"))
+    return first.select("site_id", "m.*", "max_pages")

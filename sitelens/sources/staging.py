@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def work_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables inside the cluster's checkpoint folder; a local one only when
-    none is set (tests)."""
+    """Folder for intermediate tables inside the cluster's checkpoint folder. A local session without
+    one gets a temporary folder that goes with the process; on a cluster it is an error, as executors
+    would write to their own disks and later reads would miss rows."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("sitelens.work.dir", spark.conf.get("sitelens.work.dir", root))
-        root = spark.conf.get("sitelens.work.dir")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/sitelens-{uuid.uuid4().hex[:12]}"
 
 

@@ -110,14 +110,16 @@ def from_scan_json(df: DataFrame, schema: str) -> DataFrame:
 
 
 def update_status(scans: DataFrame, updates: DataFrame) -> DataFrame:
-    """New lead status per (scan_id, status), also inside the stored JSON; other rows unchanged."""
+    """New lead status per (scan_id, status), also as the top-level ``status`` of the stored JSON: nested
+    statuses and all other values stay. Other rows are unchanged."""
     new = updates.where(F.col("status").isin(*STATUSES)).groupBy("scan_id").agg(F.max("status").alias("new_status"))
     df = scans.join(new, "scan_id", "left")
     changed = F.col("new_status").isNotNull()
     out = df.withColumn("status", F.coalesce("new_status", "status"))
     if "raw_json" in scans.columns:
-        member = r'("status"\s*:\s*)"(?:[^"\\]|\\.)*"'
-        fixed = F.regexp_replace(F.col("raw_json"), F.lit(member), F.concat(F.lit('$1"'), "new_status", F.lit('"')))
+        whole = F.try_parse_json("raw_json").cast("map<string,variant>")
+        value = F.parse_json(F.concat(F.lit('"'), "new_status", F.lit('"')))
+        fixed = F.coalesce(F.to_json(F.transform_values(whole, lambda k, v: F.when(k == "status", value).otherwise(v))), "raw_json")
         out = out.withColumn("raw_json", F.when(changed, fixed).otherwise(F.col("raw_json")))
     return out.select(*scans.columns)
 
@@ -127,17 +129,19 @@ def report_register(exports: DataFrame) -> DataFrame:
     return exports.groupBy("scan_id").agg(F.max_by("pdf_path", F.struct("created_at", "pdf_path")).alias("pdf_path"))
 
 
-def scan_history(scans: DataFrame, limit: int = 500) -> DataFrame:
-    return scans.orderBy(F.desc("created_at"), "scan_id").limit(limit)
+def scan_history(scans: DataFrame, limit: int | None = None) -> DataFrame:
+    """Scans, newest first, without their stored JSON."""
+    ordered = scans.drop("raw_json").orderBy(F.desc("created_at"), "scan_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def recent_scans(scans: DataFrame, n: int = 10) -> DataFrame:
     return scan_history(scans, n)
 
 
-def dashboard(scans: DataFrame, window: int = 1000) -> DataFrame:
-    """One row over the newest scans: total, high or critical, and a count per level."""
-    latest = scan_history(scans, window)
+def dashboard(scans: DataFrame, window: int | None = None) -> DataFrame:
+    """One row over all scans, or the newest ``window``: total, high or critical, a count per level."""
+    latest = scans if window is None else scan_history(scans.select("scan_id", "created_at", "risk_level"), window)
     by_level = latest.groupBy(F.coalesce(F.lower("risk_level"), F.lit("")).alias("level")).agg(F.count("*").alias("n"))
     return by_level.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from sitelens import catalogue
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
+from sitelens.limits import INTERACTIVE
 from sitelens.operators import discovery as D
 from sitelens.sources import crawl, leads, store
 
 
 def test_leads_from_csv(spark, tmp_path):
     (tmp_path / "l.csv").write_text('company_name,url,industry,extra\n"A, Inc",a.ru,медицина,1\nnan,,x,2\n  ,b.ru,космос,3\n', encoding="utf-8")
-    rows = leads.normalize_leads(leads.read_leads(spark, str(tmp_path / "l.csv"))).orderBy("site_url").collect()
+    rows = leads.normalize_leads(leads.read_leads(spark, str(tmp_path / "l.csv")), 20).orderBy("site_url").collect()
     assert [(r.company_name, r.site_url, r.industry, r.max_pages) for r in rows] == [("A, Inc", "a.ru", "медицина", 20), ("", "b.ru", "auto", 20)]
     assert len({r.site_id for r in rows}) == 2 and all(len(r.site_id) == 12 for r in rows)
 
@@ -60,7 +61,7 @@ def test_sitemap_caps(spark):
     sites = spark.createDataFrame([("s", "https://s.ru")], "site_id string, base_url string")
     robots = spark.createDataFrame([("s", [f"m{i}" for i in range(5)])], "site_id string, sitemaps array<string>")
     maps = spark.createDataFrame([(f"m{i}", "urlset", [f"u{i}-{j}" for j in range(300)] + [f"u{i}-0"]) for i in range(5)], "url string, kind string, locs array<string>")
-    rows = crawl.sitemap_urls(sites, robots, maps).orderBy("pos").collect()
+    rows = crawl.sitemap_urls(sites, robots, maps, INTERACTIVE).orderBy("pos").collect()
     assert [r.url for r in rows] == [f"u{i}-{j}" for i in range(3) for j in range(200)]
 
 
@@ -76,7 +77,7 @@ def test_targeted_plan(spark):
     assert plan[:5] == ["/docs/1", "/x", "/terms", "/feedback", "/uslugi-2"]
     assert plan[5:] == ["/contacts", "/contact", "/kontakty", "/privacy", "/privacy-policy"]
     many = spark.createDataFrame([("s", i, f"https://s.ru/contact/{i}", "") for i in range(6)], "site_id string, pos int, url string, text string")
-    assert sum("/contact/" in r.url for r in D.plan_pages(many, sitemap.limit(0), homes).collect()) == 4
+    assert sum("/contact/" in r.url for r in D.plan_pages(many, sitemap.limit(0), homes, limits=INTERACTIVE).collect()) == 4
 
 
 def test_store(spark, tmp_path):
