@@ -10,25 +10,30 @@ from sitelens.functions import urls as U
 
 # ---- fixed values: field keywords, checked in this order --------------------------
 FIELD_KEYWORDS = {
-    "passport": ("passport", "snils", "паспорт", "снилс", "документ удостоверяющий"),
+    "passport": ("passport", "snils", "паспорт", "снилс", "серия паспорта", "номер паспорта", "паспортные данные",
+                 "документ удостоверяющий"),
     "inn": ("inn", "ogrn", "kpp", "инн", "огрн", "кпп", "реквизиты", "расчетный счет", "бик"),
-    "birthdate": ("birth", "bday", "dob", "дата рождения", "день рождения", "год рождения", "возраст"),
+    "birthdate": ("birth", "birthday", "birthdate", "bday", "dob", "date_of_birth", "дата рождения", "день рождения",
+                  "год рождения", "возраст"),
     "medical": ("diagnosis", "symptom", "clinic", "doctor", "appointment", "диагноз", "симптом", "жалоб",
-                "заболевание", "болезнь", "здоровье", "к врачу", "прием врача", "анализ", "медицин",
+                "заболевание", "болезнь", "здоровье", "к врачу", "запись к врачу", "прием врача", "анализ", "медицин",
                 "клиник", "лечен"),
-    "children": ("child", "kid", "son", "daughter", "ребенок", "ребенка", "дети", "детей", "сын", "дочь",
-                 "школьник", "класс ученика"),
-    "email": ("mail", "почта", "электронный адрес"),
-    "phone": ("phone", "tel", "mobile", "whatsapp", "тел", "моб", "номер"),
-    "file": ("file", "upload", "attach", "resume", "cv", "document", "файл", "загрузить", "прикрепить",
+    "children": ("child", "children", "kid", "kids", "son", "daughter", "ребенок", "ребенка", "дети", "детей", "сын",
+                 "дочь", "имя ребенка", "возраст ребенка", "школьник", "класс ученика"),
+    "email": ("email", "e-mail", "mail", "почта", "эл. почта", "электронная почта", "электронный адрес", "e mail"),
+    "phone": ("phone", "tel", "telephone", "mobile", "whatsapp", "телефон", "тел", "номер телефона", "моб", "мобильный",
+              "контактный телефон", "номер"),
+    "file": ("file", "upload", "attach", "attachment", "resume", "cv", "document", "файл", "загрузить", "прикрепить",
              "вложение", "резюме", "документ", "фото", "скан"),
     "company": ("company", "organization", "org", "firm", "brand", "компания", "организация",
                 "название компании", "юридическое лицо", "наименование организации", "должность", "position"),
     "address": ("address", "city", "street", "zip", "postcode", "region", "адрес", "город", "улица", "индекс",
                 "регион", "область", "населенный пункт", "дом", "квартира"),
-    "name": ("name", "fio", "имя", "фамилия", "отчество", "фио", "как вас зовут", "контактное лицо"),
-    "message": ("message", "comment", "question", "text", "msg", "description", "feedback", "detail",
-                "сообщение", "комментарий", "вопрос", "текст", "опишите", "пожелания", "детали"),
+    "name": ("name", "fio", "fname", "lname", "firstname", "lastname", "surname", "имя", "фамилия", "отчество", "фио",
+             "ваше имя", "как вас зовут", "контактное лицо", "имя и фамилия"),
+    "message": ("message", "comment", "question", "text", "msg", "description", "comments", "feedback", "detail",
+                "сообщение", "комментарий", "вопрос", "текст", "опишите", "ваше сообщение", "ваш вопрос", "пожелания",
+                "детали"),
 }
 CHECKBOX_CONSENT = ("согласие", "согласен", "согласна", "принимаю", "ознакомлен", "consent", "agree",
                     "политик", "персональн", "обработк", "рассылк", "оферт")
@@ -54,16 +59,21 @@ def classify_field(name: Column, field_type: Column, label: Column, placeholder:
 
 # ---- fixed values: document types, checked in this order --------------------------
 DOC_KEYWORDS = {
-    "cookie_policy": ("cookie", "куки"),
-    "ad_consent": ("рекламн", "рассылк", "маркетингов", "получение рекламы", "согласие на рекламу"),
-    "consent": ("согласие на обработку", "согласие субъекта", "даю согласие", "soglasie", "consent",
-                "форма согласия"),
-    "offer": ("оферта", "договор оферты", "oferta", "offer", "публичн оферт"),
-    "user_agreement": ("пользовательское соглашение", "user agreement", "user-agreement",
-                       "условия использования", "terms", "правила пользования", "правила использования",
+    "cookie_policy": ("cookie", "cookies", "куки", "файлы cookie", "политика cookie", "политика в отношении cookie",
+                      "cookie-policy", "cookie_policy", "обработк cookie"),
+    "ad_consent": ("рекламн", "рассылк", "маркетингов", "получение рекламы", "рекламная рассылка", "согласие на рекламу",
+                   "согласие на рассылку", "информационная рассылка", "e-mail рассылк", "email-рассылк"),
+    "consent": ("согласие на обработку", "согласие на обработку персональных", "согласие субъекта", "даю согласие",
+                "soglasie", "consent", "согласие на обработку пдн", "форма согласия"),
+    "offer": ("оферта", "публичная оферта", "договор оферты", "oferta", "offer", "публичн оферт", "публичная-оферта"),
+    "user_agreement": ("пользовательское соглашение", "user agreement", "user-agreement", "условия использования", "terms",
+                       "terms of use", "terms of service", "правила пользования", "правила использования",
                        "соглашение об использовании"),
-    "privacy_policy": ("политик", "конфиденциальность", "персональные данные", "персональных данных",
-                       "privacy", "personal data", "personal-data", "politika", "обработка пдн"),
+    "privacy_policy": ("политика конфиденциальности", "политика обработки", "политика обработки персональных данных",
+                       "конфиденциальность", "персональные данные", "обработка персональных данных",
+                       "защита персональных данных", "privacy", "privacy policy", "privacy-policy", "personal data",
+                       "personal-data", "politika", "политика в отношении обработки", "обработка пдн",
+                       "персональных данных", "политик"),
 }
 GUESS_PATHS = {
     "/privacy": "privacy_policy", "/privacy-policy": "privacy_policy", "/privacy.html": "privacy_policy",
@@ -134,13 +144,14 @@ def link_confirmed(url: Column, final_url: Column, status: Column, ok: Column) -
 
 
 # ---- cookie banner (fixed values) -------------------------------------------------
-COOKIE_MENTION = ("cookie", "куки")
+COOKIE_MENTION = ("cookie", "куки", "cookies")
 ACCEPT_WORDS = ("принять", "принимаю", "согласен", "согласна", "соглашаюсь", "accept", "agree", "ок",
                 "okay", "хорошо", "понятно", "разрешить", "allow")
 CONTINUE_PHRASES = ("используя сайт", "используя данный сайт", "используя этот сайт",
                     "продолжая пользоваться", "продолжая использовать", "оставаясь на сайте",
                     "продолжая просмотр")
-_HINT = "(?:cookie|consent|gdpr)"
+BANNER_HINTS = ("cookie", "consent", "cookiebanner", "cookie-banner", "cookie-consent", "cookie-notice", "cookie-policy", "gdpr")
+_HINT = f"(?:{'|'.join(BANNER_HINTS)})"
 BANNER_CONTAINER = rf"(?:class|id){X.WS}*={X.WS}*(?:\"[^\"]*{_HINT}|'[^']*{_HINT}|[^\s>\"']*{_HINT})"
 
 

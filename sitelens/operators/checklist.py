@@ -19,8 +19,8 @@ from sitelens.functions import urls as U
 APPLIES = ("has_pd_forms", "has_forms", "trackers_present", "foreign_trackers_present", "cookies_present",
            "newsletter_form", "file_upload", "medical", "children", "hr", "ecommerce", "finance", "publishes_people")
 CATEGORY_WORDS = {
-    "name": ("фамили", "имя", "фио", "отчеств"), "phone": ("телефон", "контактн"),
-    "email": ("email", "e-mail", "электронн"), "address": ("адрес", "место жительства", "почтов"),
+    "name": ("фамили", "имя", "фио", "отчеств"), "phone": ("телефон", "номер телефона", "контактн"),
+    "email": ("email", "e-mail", "электронн", "адрес электронной"), "address": ("адрес", "место жительства", "почтов"),
     "birthdate": ("дата рождения", "возраст"),
     "message": ("сообщени", "текст обращени", "комментар", "иные данные", "иные сведения"),
     "file": ("файл", "документ", "вложени", "резюме"), "passport": ("паспорт", "документ, удостоверяющ"),
@@ -28,8 +28,8 @@ CATEGORY_WORDS = {
     "medical": ("состояни здоровья", "здоровь", "медицинск", "специальны категори"),
     "children": ("несовершеннолетн", "ребен", "дет", "родител"),
 }
-THIRD_PARTY_WORDS = ("третьи лиц", "обработчик", "по поручению", "хостинг", "crm", "аналитик", "платежн", "доставк")
-BORDER_WORDS = ("трансгранич", "за пределы российской федерации", "иностранн")
+THIRD_PARTY_WORDS = ("третьи лиц", "обработчик", "по поручению", "хостинг", "crm", "аналитик", "платёжн", "платежн", "доставк")
+BORDER_WORDS = ("трансгранич", "за пределы российской федерации", "иностранн", "иностранное государство")
 DATE_WORDS = ("утвержд", "дата", "версия", "редакция", "от 20")
 PUBLIC_MAIL = ("gmail.com", "googlemail.com", "yandex.ru", "ya.ru", "mail.ru", "bk.ru", "inbox.ru", "list.ru",
                "rambler.ru", "outlook.com", "hotmail.com", "icloud.com", "yahoo.com", "proton.me", "protonmail.com")

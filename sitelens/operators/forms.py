@@ -19,19 +19,21 @@ NOT_A_FIELD = ("hidden", "submit", "button", "image", "reset")
 
 # ---- fixed values: words of form purposes and of consent ---------------------------
 NEWSLETTER = ("подписаться", "подписк", "рассылк", "новости", "subscribe", "newsletter", "дайджест")
-CALLBACK = ("звонк", "звонок", "перезвон", "callback", "заявк", "обратная связь")
+CALLBACK = ("звонк", "звонок", "перезвон", "callback", "заявк", "обратный звонок", "заказать звонок", "перезвоните",
+            "обратная связь", "жду звонка")
 ORDER = ("заказ", "корзин", "оформить", "купить", "оплат", "checkout", "order", "cart", "buy",
          "оформление заказа")
-MEDICAL = ("медицин", "клиник", "врач", "диагноз", "симптом", "запись на прием", "здоровье", "лечен", "анализ")
-HR = ("резюме", "ваканси", "career", "работа у нас", "отклик", "трудоустройство", "соискател", "job")
-CHILDREN = ("ребен", "дети", "детей", "школьник", "ученик", "детск")
-CONSENT_TEXT = ("согласие", "согласен", "согласна", "обработка персональных данных",
+MEDICAL = ("медицин", "клиник", "врач", "диагноз", "симптом", "запись на прием", "запись к врачу", "здоровье", "лечен",
+           "анализ")
+HR = ("резюме", "ваканси", "career", "careers", "работа у нас", "отклик", "трудоустройство", "соискател", "job")
+CHILDREN = ("ребен", "дети", "детей", "школьник", "ученик", "возраст ребенка", "имя ребенка", "детск")
+CONSENT_TEXT = ("согласие", "согласен", "согласна", "даю согласие", "обработка персональных данных",
                 "обработку персональных данных", "персональные данные", "персональных данных", "политика",
                 "политику", "privacy", "consent")
 PRIVACY_LINK = ("privacy", "policy", "персональн", "политик", "consent", "согласие", "cookie", "куки", "оферт",
-                "конфиденциальн", "soglasie", "personal")
+                "конфиденциальн", "personal-data", "soglasie", "personal")
 CONSENT_LINK = ("согласие", "consent", "soglasie")
-AD_CONSENT = ("реклам", "рассылк", "маркетинг", "marketing")
+AD_CONSENT = ("реклам", "рассылк", "маркетинг", "marketing", "рекламн")
 COOKIE_CONSENT = ("cookie", "куки")
 BUTTON_ACCEPTANCE = ("нажимая кнопку", "нажимая на кнопку", "отправляя форму", "нажимая «отправить»",
                      'нажимая "отправить"', "нажатием кнопки")
