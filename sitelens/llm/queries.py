@@ -17,11 +17,12 @@ from . import (
     op08_mixing,
     op09_bwt,
     op10_minhash,
+    oracles,
 )
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
 
 
 def query(name: str):
