@@ -116,7 +116,7 @@ def page_rollup(audit: DataFrame) -> DataFrame:
     bad = (F.col("status_code") >= 400) | ((F.col("status_code") == 0) & (F.col("text_length") == 0))
     log = F.expr("flatten(transform(array_sort(collect_list(struct(page_pos, errors))), x -> x.errors))")
     return audit.groupBy("site_id").agg(
-        F.count("*").alias("pages_checked"), F.count_if(bad).alias("n_unreachable"),
+        F.coalesce(F.bool_or("has_screenshot"), F.lit(False)).alias("has_screenshot"), F.count("*").alias("pages_checked"), F.count_if(bad).alias("n_unreachable"),
         F.coalesce(F.bool_or("banner_found"), F.lit(False)).alias("cookie_banner_found"),
         F.min(F.when(F.col("page_url") != "", F.struct("page_pos", "page_url"))).alias("p_first"),
         F.array_join(F.transform(ordered, lambda x: x["title"]), " ").alias("titles"),
@@ -150,10 +150,12 @@ def server_country(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     blocks = ranges.where(F.col("country") != "").select(
         "range_start", "range_end", "country",
         F.explode(F.sequence((F.col("range_start") / block).cast("long"), (F.col("range_end") / block).cast("long"))).alias("b"))
-    known = ips.withColumn("n", U.ipv4_number(F.col("ip")))
+    # addresses are resolved once each: a delivery network's block is hot by site, not by address
+    known = ips.select("ip").distinct().withColumn("n", U.ipv4_number(F.col("ip")))
     public = known.where(~U.is_private_ip(F.col("ip")) & F.col("n").isNotNull()).withColumn("b", (F.col("n") / block).cast("long"))
-    hit = public.join(blocks, "b").where("n between range_start and range_end").groupBy("site_id").agg(
-        F.min_by("country", F.struct("ip_pos", "range_start")).alias("server_country"))
+    resolved = public.join(blocks, "b").where("n between range_start and range_end").groupBy("ip").agg(
+        F.min_by("country", "range_start").alias("country"))
+    hit = ips.join(resolved, "ip").groupBy("site_id").agg(F.min_by("country", F.struct("ip_pos", "ip")).alias("server_country"))
     all_ips = ips.groupBy("site_id").agg(
         F.expr("transform(array_sort(collect_list(struct(ip_pos, ip))), x -> x.ip)").alias("ip_addresses"))
     return all_ips.join(hit, "site_id", "left").select(

@@ -31,6 +31,8 @@ def complete(pages: DataFrame) -> DataFrame:
     add["status_code"] = F.when(F.coalesce("html", F.lit("")) != "", 200).otherwise(0)
     add["ok"] = F.col("status_code").between(200, 399) if "status_code" in have else F.coalesce("html", F.lit("")) != ""
     add["fetch_method"] = F.lit("http")
+    add["headers"] = F.lit(None).cast("map<string,string>")
+    add["has_screenshot"] = F.lit(False)
     return pages.withColumns({k: v for k, v in add.items() if k not in have})
 
 
@@ -80,7 +82,8 @@ def page_facts(pages: DataFrame, trackers_path=None) -> DataFrame:
         trackers.tracker_hits(s, i, n, F.col("low"), trackers_path).alias("trackers"),
         trackers.classify_cookies(cookies, trackers_path).alias("cookies"),
         trackers.risk_requests(n, trackers_path).alias("risk_requests"),
-        trackers.cdn(F.concat(r, n, s, i)).alias("cdn"),
+        F.coalesce(trackers.cdn_from_headers(F.col("headers")), trackers.cdn(F.concat(r, n, s, i))).alias("cdn"),
+        F.coalesce("has_screenshot", F.lit(False)).alias("has_screenshot"),
         trackers.insecure_resources(F.col("page_url"), r, n).alias("insecure"),
         F.col("banner.found").alias("banner_found"), F.col("banner.evidence").alias("banner_evidence"),
         F.substring("html", 1, 800).alias("html_head"),

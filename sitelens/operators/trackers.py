@@ -88,7 +88,10 @@ def cdn(pages_urls: Column) -> Column:
 
 def cdn_from_headers(headers: Column) -> Column:
     """The same from a map of response headers (server, via, x-cache, cf-ray)."""
-    low = F.transform_values(F.transform_keys(headers, lambda k, v: F.lower(k)), lambda k, v: F.lower(v))
+    pairs = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.lower(e["value"]).alias("value")))
+    # of names that differ only in case the last one counts
+    names = F.transform(pairs, lambda e: e["key"])
+    low = F.map_from_entries(F.filter(pairs, lambda e, i: F.array_position(F.slice(names, i + 2, F.size(names)), e["key"]) == 0))
 
     def get(k):
         return F.coalesce(F.try_element_at(low, F.lit(k)), F.lit(""))

@@ -25,7 +25,8 @@ PAGES_DDL = (
     "url string, final_url string, title string, status_code int, ok boolean, html string, visible_text string, "
     "links array<string>, script_srcs array<string>, iframe_srcs array<string>, external_resources array<string>, "
     "network_requests array<string>, cookies array<struct<name: string, value: string, domain: string>>, "
-    "modal_htmls array<string>, content_type string, fetch_method string, errors array<string>"
+    "modal_htmls array<string>, content_type string, fetch_method string, errors array<string>, "
+    "headers map<string, string>, has_screenshot boolean"
 )
 
 

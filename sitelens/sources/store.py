@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitelens.sources.staging import staged, work_dir
 
-BUCKETS = 64
+BUCKETS, FILES = 64, 4
 CHILDREN = ("pages", "forms", "documents", "risks", "exports")
 SCANS_DDL = ("scan_id string, created_at string, company_name string, site_url string, final_url string, industry string, "
              "email string, comment string, risk_score int, risk_level string, confidence int, status string, "
@@ -23,8 +23,10 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("scan_id"), F.lit(buckets)).cast("int")
 
 
-def _write(df: DataFrame, path: str, mode: str, buckets: int = BUCKETS):
-    (df.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode(mode)
+def _write(df: DataFrame, path: str, mode: str, buckets: int = BUCKETS, files: int = FILES):
+    """``files`` tasks write a bucket, each its share of the scans."""
+    share = F.pmod(F.xxhash64("scan_id", F.lit("file")), F.lit(files))
+    (df.withColumn("bucket", _bucket(buckets)).repartition("bucket", share).write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 

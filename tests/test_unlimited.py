@@ -104,3 +104,12 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         work_dir(Session())
+
+
+def test_network_from_headers(spark):
+    from sitelens.operators.page_facts import page_facts
+
+    rows = [("https://a.ru", "<p>x</p>", {"Server": "cloudflare", "CF-RAY": "1"}, True), ("https://b.ru", "<p>x</p>", {"server": "nginx"}, None),
+            ("https://c.ru", "<p>x</p>", None, None), ("https://d.ru", "<p>x</p>", {"Via": "1.1 fastly", "VIA": "1.1 fastly"}, False)]
+    got = {r.url: (r.cdn, r.has_screenshot) for r in page_facts(spark.createDataFrame(rows, "url string, html string, headers map<string,string>, has_screenshot boolean")).collect()}
+    assert got == {"https://a.ru": ("Cloudflare", True), "https://b.ru": (None, False), "https://c.ru": (None, False), "https://d.ru": ("Fastly", False)}
