@@ -35,3 +35,17 @@ def test_empty_documents(spark):
         docs = staged(stage(spark, docs, SF))
         assert docs.count() == 0
     assert op07_ranking.train(docs.selectExpr("doc_id", "'' AS text"), table(spark, SF, "labels")).threshold == 0.0
+
+
+def test_odd_rows_pass_through(spark, odd, docs):
+    """Nulls in every column, repeated rows and ids, further columns with clashing names."""
+    for frame in (odd, docs):
+        now, columns = frame, frame.columns
+        for name, stage in corpus_pipeline.STAGES:
+            now = staged(stage(spark, now, SF))
+            if name != "packing":
+                assert now.columns == columns
+        assert {"doc_id", "piece", "sequence_id", "offset"} <= set(now.columns)
+    each = {name: stage(spark, odd, SF).count() for name, stage in corpus_pipeline.STAGES if name != "quality"}
+    # of seven rows one repeats another, one is a near copy of a smaller id
+    assert each == {"near duplicates": 5, "secrets": 7, "mixing": each["mixing"], "packing": 7} and each["mixing"] >= 7

@@ -65,7 +65,7 @@ def test_merged_order_is_the_suffix_order():
     parts = [np.append(rng.integers(97, 100, n), 255).astype(np.uint8) for n in (40, 80, 57)]
     text, at, shards = np.concatenate(parts), 0, []
     for p in parts:
-        order, bwt, _ = op09_bwt.transform(p)
+        order, bwt = op09_bwt.transform(p)
         shards.append((order + at, bwt))
         at += len(p)
     merged = op09_bwt.merge(shards, 50)
