@@ -58,8 +58,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows in them; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.string())
+    if column.null_count:
+        column = column.fill_null("")
+    width = np.int32 if pa.types.is_string(column.type) else np.int64
+    off = np.frombuffer(column.buffers()[1], width)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     if not len(off):
         off = np.zeros(1, np.int64)
     data = column.buffers()[2]

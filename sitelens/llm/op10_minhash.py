@@ -1,12 +1,13 @@
 """MinHash near-duplicates: universal hash minima, banding, verification, components.
 
 Texts with equal shingle sets are one class from the start. Classes that share a band of minima are
-candidates. A bucket never emits all its pairs: its members are compared with one pivot, then what is
-left is compared across components only, until no bucket holds an untested pair of two components:
+candidates. A bucket never emits all its pairs:
 
-1. pivot = least member of each bucket; components of the verified links;
-2. pivot = greatest member, in buckets that still hold several components;
-3. all untested pairs of different components that share a bucket and whose signatures allow it.
+1. its members are compared with one pivot, the class with the smallest document id, and the verified
+   links give components;
+2. where the members around a pivot still form several components, those outside the largest one are
+   compared with all members around it, in tiles of bounded size: a tile counts the intersections of
+   its full sets through an index and returns a spanning forest of its links, never its pairs.
 
 A pair is verified by its signatures first (a likeness far below the threshold ends it), then exactly
 on the full shingle sets of both texts. With 32 bands of 4 minima a pair at similarity 0.8 shares no
@@ -33,6 +34,8 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
 #: pairs whose signatures agree less are no links: six standard deviations below the threshold
 SLACK = 0.2
+#: classes on either side of a tile
+TILE = 512
 WORD, SHINGLE = SpanHash(31), SpanHash(32)
 SCHEMA = "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>, signature binary"
 
@@ -140,6 +143,49 @@ def _links(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def _forest(tile: pa.Table, k: int, percent: int) -> pa.Table:
+    """Links between classes of different labels in a tile, as few as connect what is linked."""
+    tile = tile.combine_chunks()
+    keys_of, label, asks = (tile.column(c).to_pylist() for c in ("key", "label", "asks"))
+    parts = [shingles(data, off, k) for _, _, data, off in text_blocks(tile.to_batches()[0])]
+    sets = [h[bo[i]:bo[i + 1]] for h, bo in parts for i in range(len(bo) - 1)]
+    # with repeated ids a row may hold another text than the class's; its key differs then
+    right = [n == key for n, key in zip((n for h, bo in parts for n in _names(h, bo)), keys_of, strict=True)]
+    held = [i for i, a in enumerate(asks) if not a and right[i]]
+    size = np.array([len(sets[i]) for i in held])
+    owner = np.repeat(np.arange(len(held)), size)
+    index = np.concatenate([sets[i] for i in held]) if held else np.zeros(0, U)
+    order = np.argsort(index)
+    index, owner = index[order], owner[order]
+    parent = {x: x for x in label}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, a in enumerate(asks):
+        if not a or not right[i]:
+            continue
+        lo, hi = np.searchsorted(index, sets[i], "left"), np.searchsorted(index, sets[i], "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        both = np.bincount(owner[at], minlength=len(held))
+        for j in np.flatnonzero(100 * both >= percent * (len(sets[i]) + size - both)):
+            x, y = find(label[i]), find(label[held[j]])
+            if x != y:
+                parent[x] = y
+                out.append((keys_of[i], keys_of[held[j]]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+
+def _names(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    raw = keys(h, bounds).tobytes()
+    return [raw[i:i + 16] for i in range(0, len(raw), 16)]
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     return _near_duplicates(docs, k, percent).drop("text_hash")
@@ -149,43 +195,38 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = staged(signatures(docs, k))
     classes = staged(rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")))
-    places = classes.select("key", F.explode("bands").alias("band"))
-    shared = places.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where(F.col("lo") < F.col("hi"))
-    members = staged(places.join(shared, "band"))  # of buckets with two classes at least
-    held = classes.join(members.select("key").distinct(), "key", "left_semi").select("key", "rep", "signature")
+    places = classes.select("key", "rep", F.explode("bands").alias("band"))
+    shared = places.groupBy("band").agg(F.min(F.struct("rep", "key")).alias("pivot"), F.max(F.struct("rep", "key")).alias("last")).where(
+        F.col("pivot") < F.col("last")).select("band", F.col("pivot.key").alias("pivot"))
+    members = places.select("key", "band").join(shared, "band").where(F.col("key") != F.col("pivot"))
+    tested = staged(members.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
+    some = staged(tested.select(F.col("a").alias("key")).union(tested.select("b")).distinct())
+    held = classes.join(some, "key", "left_semi").select("key", "rep", "signature")
     body = staged(texts(docs).join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         sig_a = held.select(F.col("key").alias("a"), F.col("rep").alias("rep_a"), F.col("signature").alias("sig_a"))
         sig_b = held.select(F.col("key").alias("b"), F.col("rep").alias("rep_b"), F.col("signature").alias("sig_b"))
         likely = _alike(pairs.join(sig_a, "a").join(sig_b, "b"), percent / 100 - SLACK)
-        text = body.select("doc_id", "text")
-        full = (likely.join(text.withColumnsRenamed({"doc_id": "rep_a", "text": "text_a"}), "rep_a")
-                .join(text.withColumnsRenamed({"doc_id": "rep_b", "text": "text_b"}), "rep_b").select("a", "b", "text_a", "text_b"))
+        full = (likely.join(body.withColumnsRenamed({"doc_id": "rep_a", "text": "text_a"}), "rep_a")
+                .join(body.withColumnsRenamed({"doc_id": "rep_b", "text": "text_b"}), "rep_b").select("a", "b", "text_a", "text_b"))
         return staged(_links(full, k, percent))
 
-    def open_buckets(labels: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components, with their labels."""
-        now = members.select("band", "key").join(labels.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        several = now.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("key", "label")).alias("pivot")).where(F.col("x") < F.col("y"))
-        return now.join(several.select("band", "pivot"), "band")
-
-    tested = staged(members.where(F.col("key") != F.col("lo")).select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct())
     links = verified(tested)
     labels = components(links)
-    rest = (open_buckets(labels).where(F.col("label") != F.col("pivot.label")).select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti"))
-    rest = staged(rest)
-    if not rest.isEmpty():
-        links, tested = links.union(verified(rest)), tested.union(rest)
-        labels = components(links)
-    at = staged(open_buckets(labels).select("band", "key", "label"))
-    if not at.isEmpty():
-        other = at.withColumnsRenamed({"key": "key_b", "label": "label_b"})
-        pairs = (at.join(other, "band").where((F.col("label") != F.col("label_b")) & (F.col("key") < F.col("key_b")))
-                 .select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        links = links.union(verified(pairs))
-        labels = components(links)
+    # around a pivot: all classes that share one of its buckets, and itself
+    around = tested.select(F.col("a").alias("pivot"), F.col("b").alias("key")).union(tested.select("a", "a").distinct())
+    now = staged(around.join(labels.withColumnRenamed("node", "key"), "key", "left").select("pivot", "key", F.coalesce("label", "key").alias("label")))
+    most = now.groupBy("pivot", "label").count().groupBy("pivot").agg(
+        F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"), F.count("label").alias("labels")).where("labels > 1")
+    open_ = now.join(most, "pivot").withColumn("asks", F.col("label") != F.col("m.label")).withColumn("h", F.xxhash64("key"))
+    rows_of, asks_of = (F.ceil(n / TILE).cast("int") for n in (F.col("n"), F.col("n") - F.col("m.count")))
+    held_side = open_.select("pivot", "key", "label", F.lit(False).alias("asks"), F.pmod("h", rows_of).alias("row"), F.explode(F.sequence(F.lit(0), asks_of - 1)).alias("col"))
+    asks_side = open_.where("asks").select("pivot", "key", "label", "asks", F.explode(F.sequence(F.lit(0), rows_of - 1)).alias("row"), F.pmod("h", asks_of).alias("col"))
+    tiles = held_side.unionByName(asks_side).join(held.select("key", "rep"), "key").join(body.withColumnRenamed("doc_id", "rep"), "rep")
+    forest = tiles.select("pivot", "row", "col", "key", "label", "asks", "text").groupBy("pivot", "row", "col").applyInArrow(
+        lambda tile: _forest(tile, k, percent), "a binary, b binary")
+    labels = components(links.union(staged(forest)))
     least = classes.select("key", "rep").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     first = least.groupBy("label").agg(F.min("rep").alias("component"))
     of = least.join(first, "label").select("key", "component")
