@@ -1,7 +1,7 @@
 """Helpers of the corpus operators: whole-text kernels on Arrow buffers, staging, small Spark idioms.
 
 Text kernels work on UTF-8 bytes. Every byte that separates words is ASCII, so words found in the
-bytes are the words of the text. A batch is cut into blocks of some megabytes (a longer text is a
+bytes are the words of the text. A batch is cut into blocks of half a megabyte (a longer text is a
 block of its own), which bounds the arrays a task holds whatever the batch size is.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 U = np.uint64
 #: the characters \x09-\x0D and \x20
 SPACE = np.zeros(256, bool)
@@ -126,6 +126,13 @@ class SpanHash:
         self.p = int(rng.integers(2 ** 61, 2 ** 62)) * 4 + 3 & (2 ** 64 - 1)
         self.power = self.inverse = np.ones(1, U)
 
+    def __getstate__(self):
+        """The powers are made again where the hash arrives."""
+        return {"values": self.values, "p": self.p}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, power=np.ones(1, U), inverse=np.ones(1, U))
+
     def _grow(self, n: int) -> None:
         if len(self.power) < n:
             n = max(n, 2 * len(self.power))

@@ -19,8 +19,9 @@ are by row). Other columns are not read. An empty table gives no pieces and no s
 from __future__ import annotations
 
 import base64
+import sys
+import types
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,9 +102,13 @@ class Encoder:
         return self._ids(text) if None in got else self._ids(head) + b"".join(got)
 
 
-@lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
-    return Encoder(name)
+    """One encoder a Python worker, whatever the number of its tasks: this module travels by value, so
+    what outlives a task is kept beside the worker's modules."""
+    kept = sys.modules.setdefault("_sitelens_kept", types.ModuleType("_sitelens_kept")).__dict__
+    if name not in kept:
+        kept[name] = Encoder(name)
+    return kept[name]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -34,7 +34,7 @@ def symbols(data: np.ndarray, off: np.ndarray):
 
 
 def edge_owners(width: int):
-    def resolve(h, first, n, sym, bounds):
+    def resolve(h, first, n, place, sym, bounds):
         """The least document of every edge of the contents; an edge lies under one anchor."""
         at, row = word_windows(bounds, width)
         key = mix(EDGE.of(EDGE.prefix(sym), at, at + width) ^ mix(h[row]))

@@ -63,7 +63,7 @@ def _fingerprints(data, off):
         return np.zeros((rows, BITS // 8), np.uint8)
     order = np.argsort(of, kind="stable")
     key, of, weight = key[order], of[order], weight[order]
-    hashes = np.column_stack([mix(key ^ U(0xA5A5A5A5A5A5A5A5) * U(i + 1)) for i in range(len(PARTS))])
+    hashes = np.column_stack([mix(key ^ U(0xA5A5A5A5A5A5A5A5 * (i + 1) % 2 ** 64)) for i in range(len(PARTS))])
     votes = np.unpackbits(hashes.view(np.uint8).reshape(len(key), BITS // 8), axis=1)
     votes *= weight[:, None]
     begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))

@@ -3,9 +3,10 @@
 A classifier learned from a labelled table gives every text posteriors p over domains. Rates r >= 0
 of documents minimise
 
-    1/2 sum_k w_k (sum_d n_d r_d p_dk / N - t_k)^2 + mu/2 sum_d n_d / N (r_d - 1)^2
+    1/2 e' W e + mu/2 sum_d n_d / N (r_d - 1)^2,   e_k = sum_d n_d r_d p_dk / N - t_k
 
-(n_d tokens of document d, N of all, t_k target shares) by accelerated projected gradient. A
+(n_d tokens of document d, N of all, t_k target shares) by accelerated projected gradient. W is the
+inverse of the memberships' products, which makes the steps converge alike for large and small domains. A
 gradient step needs of other documents only the domain totals: each iteration is one aggregate to K
 numbers. A rate follows from its posteriors and the residuals so far, so no rates are stored or
 shuffled between iterations.
@@ -23,30 +24,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix as finish
 from .common import staged, text_blocks, texts
 from .stats import N_TEXT, Counts
 
-#: labelled documents that training reads at most
-TRAIN_ROWS = 20_000
+#: labelled documents that training reads at most, and signal words of a domain
+TRAIN_ROWS, SIGNALS = 20_000, 24
 MU, STEPS, CLOSE = 1e-3, 40, 1e-3
 
 
 class Classifier:
-    """Softmax regression on the counts of a text."""
+    """Softmax regression on the counts of a text and on the presence of signal words (hashes)."""
 
-    def __init__(self, domains: list[str], center: np.ndarray, scale: np.ndarray, weights: np.ndarray):
-        self.domains, self.center, self.scale, self.weights = domains, center, scale, weights
+    def __init__(self, domains: list[str], signals: np.ndarray, center: np.ndarray, scale: np.ndarray, weights: np.ndarray):
+        self.domains, self.signals, self.center, self.scale, self.weights = domains, signals, center, scale, weights
 
-    def posteriors(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.center) / self.scale @ self.weights[:-1] + self.weights[-1]
+    def posteriors(self, c: Counts) -> np.ndarray:
+        z = (design(c, self.signals) - self.center) / self.scale @ self.weights[:-1] + self.weights[-1]
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, domains: list[str], steps: int = 300, rate: float = 0.1, l2: float = 1e-4) -> Classifier:
-    center, scale = (x.mean(0), np.maximum(x.std(0), 1e-3)) if len(x) else (np.zeros(N_TEXT), np.ones(N_TEXT))
+def design(c: Counts, signals: np.ndarray) -> np.ndarray:
+    """The features of a block of texts: counts, then which signal words (sorted hashes) occur."""
+    there = np.zeros((len(c.n_words), len(signals)))
+    if len(signals):
+        at = np.minimum(np.searchsorted(signals, c.word_hash), len(signals) - 1)
+        hit = signals[at] == c.word_hash
+        there[np.repeat(np.arange(len(c.n_words)), c.n_words)[hit], at[hit]] = 1
+    return np.column_stack([c.text_features(), there])
+
+
+def fit(x: np.ndarray, y: np.ndarray, domains: list[str], signals: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = 1e-4) -> Classifier:
+    n = N_TEXT + len(signals)
+    center, scale = (x.mean(0), np.maximum(x.std(0), 1e-3)) if len(x) else (np.zeros(n), np.ones(n))
     z = np.column_stack([(x - center) / scale, np.ones(len(x))])
-    w, m, v = np.zeros((N_TEXT + 1, len(domains))), 0.0, 0.0
+    w, m, v = np.zeros((n + 1, len(domains))), 0.0, 0.0
     truth = np.eye(len(domains))[y]
     for i in range(1, steps + 1) if len(domains) > 1 else ():
         p = z @ w
@@ -55,26 +68,54 @@ def fit(x: np.ndarray, y: np.ndarray, domains: list[str], steps: int = 300, rate
         g = z.T @ (p - truth) / len(z) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9 ** i)) / (np.sqrt(v / (1 - 0.999 ** i)) + 1e-8)
-    return Classifier(domains, center, scale, w)
+    return Classifier(domains, signals, center, scale, w)
+
+
+def signal_words(known: DataFrame, sizes: dict[str, int], each: int = SIGNALS, least: int = 5) -> np.ndarray:
+    """Hashes of the words whose presence speaks most for each domain: n log(share there / share)."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, off in text_blocks(batch):
+                c = Counts(data, off)
+                row = np.repeat(np.arange(a, b), c.n_words)
+                _, first = np.unique(mixed_hash(c.word_hash, row), return_index=True)
+                yield pa.RecordBatch.from_arrays([batch.column("domain").take(pa.array(row[first])), pa.array(c.word_hash[first].view(np.int64))], ["domain", "h"])
+
+    n = known.mapInArrow(run, "domain string, h long").groupBy("h", "domain").agg(F.count("domain").alias("n"))
+    whole = n.groupBy("h").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
+    rated, out = staged(n.join(whole, "h")), []
+    for d, size in sizes.items():
+        gain = F.col("n") * F.log(F.col("n") / F.col("all") / (size / sum(sizes.values())))
+        out += [r.h for r in rated.where((F.col("domain") == d) & (gain > 3)).orderBy(gain.desc(), "h").limit(each).select("h").collect()]
+    return np.unique(np.array(out, np.int64).view(np.uint64))
+
+
+def mixed_hash(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return finish(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Classifier:
     """labels: doc_id, domain. Only the max_rows labelled ids with the smallest hashes are used."""
     marked = labels.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     part = F.broadcast(marked.orderBy(F.xxhash64("doc_id")).limit(max_rows))  # at most max_rows ids
+    known = staged(texts(docs).join(part, "doc_id"))
+    sizes = {r.domain: r.n for r in known.groupBy("domain").agg(F.count("domain").alias("n")).orderBy("domain").collect()}
+    signals = signal_words(known, sizes)
+    width = N_TEXT + len(signals)
 
     def run(batches):
         for batch in batches:
             for a, b, data, off in text_blocks(batch):
-                x = Counts(data, off).text_features()
+                x = design(Counts(data, off), signals)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("domain").slice(a, b - a), pa.ListArray.from_arrays(
-                    np.arange(0, x.size + 1, N_TEXT, dtype=np.int32), pa.array(x.ravel()))], ["doc_id", "domain", "x"])
+                    np.arange(0, x.size + 1, width, dtype=np.int32), pa.array(x.ravel()))], ["doc_id", "domain", "x"])
 
-    known = texts(docs).join(part, "doc_id").mapInArrow(run, "doc_id long, domain string, x array<double>")
-    got = known.groupBy("doc_id", "domain").agg(F.min("x").alias("x")).orderBy("doc_id").toPandas()
-    domains = sorted(set(got["domain"])) or ["all"]
-    x = np.stack(got["x"]) if len(got) else np.zeros((0, N_TEXT))
-    return fit(x, np.array([domains.index(d) for d in got["domain"]], np.int64), domains)
+    found = known.mapInArrow(run, "doc_id long, domain string, x array<double>")
+    got = found.groupBy("doc_id", "domain").agg(F.min("x").alias("x")).orderBy("doc_id").toPandas()
+    domains = sorted(sizes) or ["all"]
+    x = np.stack(got["x"]) if len(got) else np.zeros((0, width))
+    return fit(x, np.array([domains.index(d) for d in got["domain"]], np.int64), domains, signals)
 
 
 def memberships(docs: DataFrame, model: Classifier, *more: str) -> DataFrame:
@@ -87,7 +128,7 @@ def memberships(docs: DataFrame, model: Classifier, *more: str) -> DataFrame:
         for batch in batches:
             for a, b, data, off in text_blocks(batch):
                 c = Counts(data, off)
-                p = model.posteriors(c.text_features())
+                p = model.posteriors(c)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array(c.n_words.astype(np.int64)),
                      pa.ListArray.from_arrays(np.arange(0, p.size + 1, k, dtype=np.int32), pa.array(p.ravel())), *(batch.column(f.name).slice(a, b - a) for f in extra)],
@@ -132,17 +173,15 @@ def solve(members: DataFrame, targets: np.ndarray, mu: float = MU, steps: int =
     n = s[0]
     if not n:
         return [], 0.0
-    base = np.maximum(s[1:1 + k] / n, 1e-6)
-    weight = 1 / base
     gram = s[1 + 2 * k:].reshape(k, k) / n
-    root = np.sqrt(weight)
-    eta = 1 / (np.linalg.eigvalsh(root[:, None] * gram * root).max() + mu)
-    history = [weight * (s[1:1 + k] / n - targets)]
+    weight = np.linalg.inv(gram + np.eye(k) * 1e-4 * np.trace(gram) / k)
+    eta = 1 / (np.linalg.eigvals(weight @ gram).real.max() + mu)
+    history = [weight @ (s[1:1 + k] / n - targets)]
     while len(history) < steps:
         s = totals(history, eta)
         if np.abs(s[1 + k:1 + 2 * k] / n - targets).max() < close * targets.max():
             break
-        history.append(weight * (s[1:1 + k] / n - targets))
+        history.append(weight @ (s[1:1 + k] / n - targets))
     return history, eta
 
 

@@ -22,35 +22,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U, per_row
+from .common import U, SpanHash, mix, per_row
 from .windows import groups, repeated_windows
 
 WIDTH, ANCHOR_BYTES = 50, 16
 END = 255
 SHARD, CHUNK = 512 << 10, 1 << 20
+SIDE = SpanHash(71)
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def octets(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on (cyclic), as a number."""
-    ring = np.concatenate([text, np.resize(text, 8)]).astype(U)
-    out = np.zeros(len(text), U)
-    for j in range(8):
-        out = out << U(8) | ring[j:j + len(text)]
-    return out
-
-
-def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order of a cyclic text by doubling, its transform, and its octets."""
+def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of a cyclic text by doubling from eight bytes on, and its transform."""
     n, length = len(text), 8
-    words = key = octets(text)
+    ring, key = np.concatenate([text, np.resize(text, 8)]).astype(U), np.zeros(n, U)
+    for j in range(8):
+        key = key << U(8) | ring[j:j + n]
     while True:
         order = np.argsort(key)
         rank = np.empty(n, np.int64)
         rank[order] = np.append(0, np.cumsum(key[order[1:]] != key[order[:-1]]))
         if rank[order[-1]] == n - 1 or length >= 2 * n:
-            return order, text[order - 1], words
+            return order.astype(np.int32), text[order - 1]
         key = rank * n + np.roll(rank, -length % n)
         length *= 2
 
@@ -77,34 +71,37 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> np.ndarray
         for i in range(0, len(shards) - 1, 2):
             (sa, a), (sb, b) = shards[i:i + 2]
             z, merged = interleave(a, b, depth)
-            order = np.empty(len(z), np.int64)
+            order = np.empty(len(z), np.int32)
             order[~z], order[z] = sa, sb
             pairs.append((order, merged))
         shards = pairs + shards[len(shards) - len(shards) % 2:]
     return shards[0][0]
 
 
-def _owners(first, n, sym, bounds, width):
-    """Owners of the windows of some contents: own[i] of the i-th window, contents in order."""
-    size = np.diff(bounds)
-    text = np.insert(sym, bounds[1:] - bounds[0], END)
-    ends = np.cumsum(size + 1)
-    begins = ends - size - 1
-    shards, words, a = [], [], 0
+def _owners(first, n, text, size, width):
+    """Owners of the windows of some contents, in order. text: the contents, each ended; size: with
+    their ends. An anchor that many documents share may have many contents: places are 32-bit numbers,
+    and windows are compared some at a time."""
+    ends = np.cumsum(size)
+    begins = ends - size
+    shards, a = [], 0
     for b in [*np.flatnonzero(np.diff((ends - 1) // SHARD)) + 1, len(size)]:
-        lo, hi = begins[a], ends[b - 1]
-        order, bwt, octet = transform(text[lo:hi])
-        shards.append((order + lo, bwt)), words.append(octet)
+        order, bwt = transform(text[begins[a]:ends[b - 1]])
+        order += np.int32(begins[a])
+        shards.append((order, bwt))
         a = b
-    order, octet = merge(shards, width), np.concatenate(words)
-    at, row = _windows(begins, n)
-    window = np.full(len(text), -1, np.int64)
-    window[at] = np.arange(len(at))
+    order = merge(shards, width)
+    shards.clear()
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    at = np.arange(len(row)) + np.repeat(begins - (np.cumsum(n) - n), n)
+    window = np.full(len(text), -1, np.int32)
+    window[at] = np.arange(len(at), dtype=np.int32)
     order = order[window[order] >= 0]
-    same = np.ones(len(order) - 1, bool)
-    for d in [*range(0, width - 7, 8), width - 8]:
-        same &= octet[order[1:] + d] == octet[order[:-1] + d]
-    begin = np.flatnonzero(np.append(True, ~same))
+    views, same = np.lib.stride_tricks.sliding_window_view(text, width), np.zeros(len(order), bool)
+    for a in range(1, len(order), 1 << 15):
+        part = views[order[a - 1:a + (1 << 15)]]
+        same[a:a + len(part) - 1] = (part[1:] == part[:-1]).all(1)
+    begin = np.flatnonzero(~same)
     which = window[order]
     least = np.minimum.reduceat(first[row[which]], begin)
     own = np.empty(len(at), np.int64)
@@ -112,31 +109,41 @@ def _owners(first, n, sym, bounds, width):
     return own
 
 
-def _windows(begins, n):
-    row = np.repeat(np.arange(len(n)), n)
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begins[row], row
+def sharing(h: np.ndarray, place: np.ndarray, sym: np.ndarray, bounds: np.ndarray, width: int, k: int) -> np.ndarray:
+    """Which contents can share a window with another of their anchor: of the width - k bytes of a
+    window beside the anchor, half lie on one side of it, so equal windows agree in that many bytes
+    there."""
+    half = (width - k + 1) // 2
+    prefix, size = SIDE.prefix(sym), np.diff(bounds)
+    anchor = bounds[:-1] + place
+    out = np.zeros(len(h), bool)
+    for start, there in ((anchor - half, place >= half), (anchor + k, place + k + half <= size)):
+        i = np.flatnonzero(there)
+        _, where, count = np.unique(mix(SIDE.of(prefix, start[i], start[i] + half) ^ mix(h[i])), return_inverse=True, return_counts=True)
+        out[i] |= count[where] > 1
+    return out
 
 
-def interval_owners(width: int):
-    def resolve(h, first, n, sym, bounds):
-        """Anchors are independent: whole anchors go into chunks of about a megabyte, a larger anchor
-        into a chunk of its own with as many shards as it needs."""
-        order = np.argsort(h, kind="stable")
-        begin = np.append(0, np.cumsum(n))
-        size = np.diff(bounds)[order]
-        own = np.empty(begin[-1], np.int64)
-        cut = groups(h[order])
-        filled = np.append(0, np.cumsum(size))
+def interval_owners(width: int, k: int):
+    def resolve(h, first, n, place, sym, bounds):
+        """Contents that cannot share a window own theirs. Of the others, anchors are independent:
+        whole anchors go into chunks of a megabyte, a larger anchor into a chunk of its own with
+        as many shards as it needs."""
+        begin, own = np.append(0, np.cumsum(n)), np.repeat(first, n)
+        order = np.flatnonzero(sharing(h, place, sym, bounds, width, k))
+        order = order[np.argsort(h[order], kind="stable")]
+        cut = np.append(groups(h[order]), len(order))
+        filled = np.append(0, np.cumsum(np.diff(bounds)[order]))
         a = 0
         while a < len(order):
-            b = cut[np.searchsorted(cut, a, side="right"):]
-            ends = np.append(b, len(order))
+            ends = cut[np.searchsorted(cut, a, side="right"):]
             b = int(ends[max(0, np.searchsorted(filled[ends], filled[a] + CHUNK, side="right") - 1)])
             ids = order[a:b]
-            take = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in ids])
-            got = _owners(first[ids], n[ids], sym[take], np.append(0, np.cumsum(np.diff(bounds)[ids])), width)
-            m = n[ids]
-            own[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[ids], m)] = got
+            m, size = n[ids], np.diff(bounds)[ids] + 1
+            text = np.full(size.sum(), END, np.uint8)
+            for i, at in zip(ids.tolist(), (np.cumsum(size) - size).tolist(), strict=True):
+                text[at:at + bounds[i + 1] - bounds[i]] = sym[bounds[i]:bounds[i + 1]]
+            own[np.arange(m.sum()) + np.repeat(begin[ids] - (np.cumsum(m) - m), m)] = _owners(first[ids], m, text, size, width)
             a = b
         return own
 
@@ -168,9 +175,9 @@ def _cleaned(ids, data, off, first, extra, gone):
 
 
 def digests(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR_BYTES) -> DataFrame:
-    return repeated_windows(docs, symbols, np.uint8, width, anchor, interval_owners(width), _digest, DIGEST)
+    return repeated_windows(docs, symbols, np.uint8, width, anchor, interval_owners(width, anchor), _digest, DIGEST)
 
 
 def cleaned(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR_BYTES) -> DataFrame:
     """The bytes that are left of every text."""
-    return repeated_windows(docs, symbols, np.uint8, width, anchor, interval_owners(width), _cleaned, CLEANED)
+    return repeated_windows(docs, symbols, np.uint8, width, anchor, interval_owners(width, anchor), _cleaned, CLEANED)

@@ -34,8 +34,9 @@ from .common import U, SpanHash, mix, text_blocks, texts, word_windows
 ANCHOR, CONTENT = SpanHash(51), SpanHash(52)
 FIX = U(0x9E3779B97F4A7C15)
 C_BITS = U(40)
-CODEC = pa.Codec("zstd", 1)
 BLOBS = "place int, blob binary"
+#: bytes of text whose windows are held at once, and runs that are combined before they are sent
+BLOCK, COMBINED = 512 << 10, 1 << 18
 
 
 # ---------------------------------------------------------------- packed arrays
@@ -44,12 +45,18 @@ def dump(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob; integers by byte planes, which compress better."""
     parts = [(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()) for a in arrays]
     raw = pickle.dumps(parts)
-    return len(raw).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def load(blob: bytes) -> list[np.ndarray]:
-    parts = pickle.loads(CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
-    return [np.frombuffer(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(d).itemsize, -1).T).tobytes(), d) for d, raw in parts]
+    parts = pickle.loads(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
+    out = []
+    for d, raw in parts:
+        width = np.dtype(d).itemsize
+        a = np.empty(len(raw) // width, d)
+        a.view(np.uint8).reshape(-1, width)[:] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+        out.append(a)
+    return out
 
 
 def load_all(table: pa.Table, empty: list[np.ndarray]) -> list[np.ndarray]:
@@ -86,10 +93,11 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(symbols: np.ndarray, first: np.ndarray, width: int, k: int):
-    """Of each run of windows with one anchor: row, first window (place in symbols), windows, h, c."""
+    """Of each run of windows with one anchor: row, first window (place in symbols), windows, h, c, and
+    the place of the anchor in the run."""
     at, row = word_windows(first, width)
     if not len(at):
-        return row, at, at, at.astype(U), at.astype(U)
+        return row, at, at, at.astype(U), at.astype(U), at
     prefix = ANCHOR.prefix(symbols)
     grams = np.arange(len(symbols) - k + 1)
     h = ANCHOR.of(prefix, grams, grams + k)
@@ -100,14 +108,14 @@ def runs(symbols: np.ndarray, first: np.ndarray, width: int, k: int):
     n = np.diff(np.append(begin, len(at)))
     start = at[begin]
     c = CONTENT.of(CONTENT.prefix(symbols), start, start + n - 1 + width)
-    return row[begin], start, n, h[anchor[begin]], c >> (U(64) - C_BITS)
+    return row[begin], start, n, h[anchor[begin]], c >> (U(64) - C_BITS), anchor[begin] - start
 
 
 Symbols = Callable[[np.ndarray, np.ndarray], tuple]
 #: (symbols, their row bounds, and what the caller wants to find again)
 
 
-def group_blocks(table: pa.Table, size: int = 2 << 20):
+def group_blocks(table: pa.Table, size: int = BLOCK):
     for batch in table.combine_chunks().to_batches():
         for a, b, data, off in text_blocks(batch, size=size):
             yield batch.column("doc_id").slice(a, b - a), data, off
@@ -125,43 +133,53 @@ def name(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix(h ^ mix(c * FIX + U(1)))
 
 
-Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-#: (h, document, windows, symbols, bounds of each content in symbols) -> the least document of every window
+Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: (h, document, windows, place of the anchor, symbols, bounds of each content in symbols) -> the least document of every window
 
 
 def repeated_windows(docs: DataFrame, symbols: Symbols, dtype, width: int, k: int, resolve: Resolver, finish: Callable, schema: str,
                      buckets: int | None = None, doc_groups: int | None = None) -> DataFrame:
     """finish(ids, data, off, extra, removed symbols) -> a batch of result rows, called with every text.
 
-    doc_groups and buckets default to twice and once the number of shuffle partitions: size these, as
-    for any shuffle, so that a partition's texts fit a task."""
+    doc_groups and buckets default to once and three times the number of shuffle partitions: size
+    these, as for any shuffle, so that a partition's texts fit a task. A task holds one group or bucket
+    at a time."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    B, G = buckets or parts, doc_groups or 2 * parts
+    B, G = buckets or 3 * parts, doc_groups or parts
     base = texts(docs).withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(G)).cast("int"))
     none = [np.zeros(0, t) for t in (U, U, np.int64, np.int32, np.uint8)]
 
     def bucket(h):
         return ((h >> U(32)) * U(B) >> U(32)).astype(np.int32)
 
+    def combined(got):
+        h, c, doc, g = (np.concatenate([x[i] for x in got]) for i in range(4))
+        got.clear()
+        order = np.lexsort((doc, g, c, h))
+        h, c, doc, g = h[order], c[order], doc[order], g[order]
+        at = groups(h, c, g)
+        most = doc[np.append(at, len(h))[1:] - 1]
+        many = (most > doc[at]).astype(np.uint8)
+        return sent(bucket(h[at]), [h[at], c[at], doc[at], g[at], many]).to_batches()
+
     def entries(batches):
+        got, held = [], 0
         for batch in batches:
-            got = []
             ids, place = batch.column("doc_id"), batch.column("place").to_numpy()
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            for a, b, data, off in text_blocks(batch):
+            for a, b, data, off in text_blocks(batch, size=BLOCK):
                 sym, first, _ = symbols(data, off)
-                row, _, _, h, c = runs(sym, first, width, k)
+                row, _, _, h, c, _ = runs(sym, first, width, k)
                 keep = known[a + row]
                 row, h, c = row[keep], h[keep], c[keep]
                 got.append((h, c, ids[a + row], place[a + row]))
-            h, c, doc, g = (np.concatenate([e, *(x[i] for x in got)]) for i, e in enumerate(none[:4]))
-            order = np.lexsort((doc, g, c, h))
-            h, c, doc, g = h[order], c[order], doc[order], g[order]
-            at = groups(h, c, g)
-            most = doc[np.append(at[1:], len(h)) - 1] if len(at) else doc
-            many = (most > doc[at]).astype(np.uint8)
-            yield from sent(bucket(h[at]), [h[at], c[at], doc[at], g[at], many]).to_batches()
+                held += len(h)
+                if held >= COMBINED:
+                    yield from combined(got)
+                    held = 0
+        if got:
+            yield from combined(got)
 
     def seen(table):
         """Entries of anchors in several documents, sorted by (h, c), with begins of anchors, the least
@@ -202,12 +220,12 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, dtype, width: int, k: in
         out = []
         for _, data, off in group_blocks(own) if len(wanted) else ():
             sym, first, _ = symbols(data, off)
-            _, start, n, rh, rc = runs(sym, first, width, k)
+            _, start, n, rh, rc, place = runs(sym, first, width, k)
             at, hit = find(wanted, name(rh, rc))
             hit = np.flatnonzero(hit)
             hit = hit[np.unique(at[hit], return_index=True)[1]]
             for i in hit:
-                out.append((rh[i], rc[i], n[i], sym[start[i]:start[i] + n[i] - 1 + width]))
+                out.append((rh[i], rc[i], n[i], place[i], sym[start[i]:start[i] + n[i] - 1 + width]))
             wanted = np.delete(wanted, at[hit])
             if not len(wanted):
                 break
@@ -218,11 +236,11 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, dtype, width: int, k: in
         for i, p in enumerate(place.tolist()):
             rows.setdefault(p, []).append(i)
         return pa.table({"place": pa.array(list(rows), pa.int32()), "blob": pa.array(
-            [dump(h[r], c[r], np.array([out[i][2] for i in r], np.uint8), np.concatenate([out[i][3] for i in r])) for r in rows.values()], pa.binary())})
+            [dump(h[r], c[r], *(np.array([out[i][j] for i in r], np.uint8) for j in (2, 3)), np.concatenate([out[i][4] for i in r])) for r in rows.values()], pa.binary())})
 
     def owners(key, stored, table):
         """Least documents of the windows of all contents of the bucket, for the groups that hold them."""
-        h, c, n, sym = load_all(stored, [*none[:2], np.zeros(0, np.uint8), np.zeros(0, dtype)])
+        h, c, n, place, sym = load_all(stored, [*none[:2], np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, dtype)])
         if not len(h):
             return sent(np.zeros(0, np.int32), [])
         eh, ec, edoc, eg, emany, _, branch = seen(table)
@@ -233,7 +251,7 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, dtype, width: int, k: in
         at, hit = find(name(h, c)[order], name(eh, ec))
         at, eh, ec, edoc, eg, emany = order[at[hit]], *(x[hit] for x in (eh, ec, edoc, eg, emany))
         np.minimum.at(first, at, edoc)
-        own = resolve(h, first, n.astype(np.int64), sym, bounds)
+        own = resolve(h, first, n.astype(np.int64), place.astype(np.int64), sym, bounds)
         begin = np.append(0, np.cumsum(n.astype(np.int64)))
         least = np.minimum.reduceat(own, begin[:-1])
         keep = (edoc > least[at]) | (emany > 0)
@@ -259,7 +277,7 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, dtype, width: int, k: in
         for ids, data, off in group_blocks(own):
             sym, first, extra = symbols(data, off)
             gone = np.zeros(len(sym), bool)
-            row, start, m, rh, rc = runs(sym, first, width, k)
+            row, start, m, rh, rc, _ = runs(sym, first, width, k)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             mine = ids.fill_null(0).to_numpy()[row]
             for key_of, alone in ((mix(rh), True), (name(rh, rc), False)):
