@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U, SpanHash, mix, per_row
+from .common import U, SpanHash, blocks, mix, per_row
 from .windows import groups, repeated_windows
 
 WIDTH, ANCHOR_BYTES = 50, 16
@@ -114,13 +114,19 @@ def sharing(h: np.ndarray, place: np.ndarray, sym: np.ndarray, bounds: np.ndarra
     window beside the anchor, half lie on one side of it, so equal windows agree in that many bytes
     there."""
     half = (width - k + 1) // 2
-    prefix, size = SIDE.prefix(sym), np.diff(bounds)
-    anchor = bounds[:-1] + place
+    sides = np.zeros((2, len(h)), U)
+    for a, b in blocks(bounds):
+        prefix, size = SIDE.prefix(sym[bounds[a]:bounds[b]]), np.diff(bounds[a:b + 1])
+        anchor = bounds[a:b] - bounds[a] + place[a:b]
+        for side, start, there in ((0, anchor - half, place[a:b] >= half), (1, anchor + k, place[a:b] + k + half <= size)):
+            i = np.flatnonzero(there)
+            sides[side, a + i] = mix(SIDE.of(prefix, start[i], start[i] + half) ^ mix(h[a + i])) | U(1)
     out = np.zeros(len(h), bool)
-    for start, there in ((anchor - half, place >= half), (anchor + k, place + k + half <= size)):
-        i = np.flatnonzero(there)
-        _, where, count = np.unique(mix(SIDE.of(prefix, start[i], start[i] + half) ^ mix(h[i])), return_inverse=True, return_counts=True)
-        out[i] |= count[where] > 1
+    for key in sides:
+        i = np.flatnonzero(key)
+        order = i[np.argsort(key[i])]
+        same = key[order[1:]] == key[order[:-1]]
+        out[order[1:][same]] = out[order[:-1][same]] = True
     return out
 
 
