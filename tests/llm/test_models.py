@@ -145,3 +145,53 @@ def test_projected_gradient_reaches_the_optimum():
     for _ in range(20000):
         rate = np.maximum(0, rate - eta * (p @ (weight @ ((share * rate) @ p - target)) + mu * (rate - 1)))
     assert np.abs(op08_mixing.descend(p, history, eta, mu)[0] - rate).max() < 1e-2
+
+
+def test_every_word_and_pair_keeps_its_counts(spark):
+    """Rare words and pairs count as themselves, whatever way the shares send them; an own background too."""
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(400)]
+    text = lambda: " ".join(names[min(int(rng.paretovariate(0.6)), 399)] for _ in range(rng.randrange(0, 60)))
+    docs, back, near = ([(i, text()) for i in range(n)] for n in (80, 120, 10))
+    docs += [(500, docs[3][1]), (None, docs[3][1]), (501, None), (502, "w399 once once w399")]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DDL).repartition(3)
+
+    def counts(rows):
+        pairs, token, context = Counter(), Counter(), Counter()
+        for _, t in rows:
+            for v, w in zip(["^", *(t or "").split()], (t or "").split()):
+                pairs[v, w] += 1
+                token[w] += 1
+                context[v] += 1
+        return pairs, token, context
+
+    def want(background):
+        b, t = counts(background), counts(near)
+        size, scale = len(set(b[1]) | set(t[1])), sum(t[1].values()) / sum(b[1].values())
+
+        def p(c, by, v, w):
+            one = (c[1][w] * by + 8 / size) / (sum(c[1].values()) * by + 8)
+            return math.log((c[0][v, w] * by + 8 * one) / (c[2][v] * by + 8))
+
+        out = []
+        for i, x in docs:
+            ws = (x or "").split()
+            gains = [p(t, 1, v, w) - p(b, scale, v, w) for v, w in zip(["^", *ws], ws)]
+            out.append((-1 if i is None else i, len(ws), sum(gains) / max(len(gains), 1)))
+        return sorted(out)
+
+    for background in (None, back):
+        expected = want(background or docs)
+        for shares in ((2e-6, 2e-6, 1e-4), (2.0, 2.0, 2.0), (0.02, 0.01, 0.05)):
+            got = op01_lm_scoring.cross_entropy_difference(frame(docs), frame(near), background and frame(background), *shares).collect()
+            got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in got)
+            assert [g[:2] for g in got] == [e[:2] for e in expected]
+            assert max(abs(g[2] - e[2]) for g, e in zip(got, expected)) < 1e-9
+
+
+def test_rare_words_of_the_target_stay_themselves(spark):
+    """By default, in a corpus where one occurrence is far below any share: q1x is a target word, q2x is not."""
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DDL)
+    docs = [(i, "a b " * 2500) for i in range(60)] + [(100, "a q1x b"), (101, "a q2x b")]
+    got = {r.doc_id: r.score for r in op01_lm_scoring.cross_entropy_difference(frame(docs), frame([(0, "a q1x b q1x")])).collect()}
+    assert got[100] > got[101] + 1e-6
