@@ -51,7 +51,7 @@ def op3(spark, sf_dir):
 
 @query("op5_simhash")
 def op5(spark, sf_dir):
-    return op05_simhash.compare_edited(table(spark, sf_dir, "documents"))
+    return op05_simhash.compare_and_search(table(spark, sf_dir, "documents"))
 
 
 @query("op6_secret_ledger")

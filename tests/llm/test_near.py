@@ -117,3 +117,31 @@ def test_fingerprints_within_the_radius(spark):
     got = {(tuple(r[:4]), tuple(r[4:8]), r[8]) for r in op05_simhash.near_fingerprints(df, queries, 3).collect()}
     want = {(tuple(parts(a)), tuple(parts(b)), bin(a ^ b).count("1")) for a in prints[::20] for b in prints if bin(a ^ b).count("1") <= 3}
     assert got == want and len(want) > 20
+
+
+def test_search_covers_every_document(docs, spark):
+    """The registered columns, against brute force over all fingerprints."""
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        text = [rng.choice(words) for _ in range(300)]
+        if i % 3:  # a near copy of the row before
+            text = rows[-1][1].split(" ")
+            text[rng.randrange(300)] = "edited"
+        rows.append((10 * i, " ".join(text), "en", "s", 1))
+    rows.append((7, rows[0][1], "en", "s", 1))
+    got = {r.doc_id: r for r in op05_simhash.compare_and_search(spark.createDataFrame(rows, docs.schema[:5])).collect()}
+    assert len(got) == len(rows)
+    found = 0
+    for i, r in got.items():
+        near = [d for j, o in got.items() if j != i and (d := bin(int(r.fingerprint, 16) ^ int(o.fingerprint, 16)).count("1")) <= 12]
+        assert (r.n_near, r.nearest) == ((len(near), min(near, default=None)) if i % 20 == 0 else (None, None))
+        found += len(near)
+    assert found > 30
+
+
+def test_terms_fade_with_the_number_of_words(spark):
+    text = " ".join(f"w{i}" for i in range(63))
+    a, b = op05_simhash.fingerprints(*op05_simhash.utf8(op05_simhash.pa.array([text, text + " more"])))
+    assert bin(int.from_bytes(a.tobytes()) ^ int.from_bytes(b.tobytes())).count("1") < 40
