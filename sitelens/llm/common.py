@@ -104,6 +104,14 @@ def words(data: np.ndarray, off: np.ndarray):
     return runs(data, off, SPACE)
 
 
+def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of bytes as values of one binary array."""
+    to = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=to[1:])
+    held = data[covered(len(data), starts, ends - starts)]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(held))])
+
+
 # ---------------------------------------------------------------- hashes
 
 def mix(x: np.ndarray) -> np.ndarray:

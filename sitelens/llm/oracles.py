@@ -67,4 +67,26 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (doc_id)"""
 
 
-SQL = {"op4_de_bruijn": DE_BRUIJN, "op6_secret_ledger": _secrets(), "op9_merged_bwt": BYTES, "op10_minhash": NEAR}
+#: crc32 of the decimal id, bit by bit
+CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)"""
+
+#: a run of 6 words and 4 periods has equal five words one period apart; stretches of them are the runs
+PERIODIC = rf"""
+WITH d AS (SELECT doc_id, {CRC} AS h, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS o FROM documents),
+e AS (SELECT doc_id, o, len(o) AS n, h % 10 = 0 AND len(o) > 0 AS made, h // 10 AS g, (h // 10) % greatest(len(o), 1) AS a FROM d),
+f AS (SELECT doc_id, n, CASE WHEN made THEN list_transform(range(n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE o END AS w FROM e),
+k AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT *, unnest(range(0, n - 4)) AS i FROM f)),
+c AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.s = b.s AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+j AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM c),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM j GROUP BY doc_id, q, g HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM m GROUP BY doc_id, start, length),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s,
+  arg_min(struct_pack(a := start, b := length, c := period), struct_pack(x := -length::DOUBLE / period, y := start, z := period)) AS top FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS x FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM f) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.a::BIGINT AS start, top.b::BIGINT AS length, top.c::BIGINT AS period,
+  (1000 * top.b // top.c)::BIGINT AS exponent_milli, sha256(coalesce(s, '')) AS runs_sha256, sha256(coalesce(x, '')) AS collapsed_sha256
+FROM f LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+SQL = {"op11_kruskal_runs": PERIODIC, "op4_de_bruijn": DE_BRUIJN, "op6_secret_ledger": _secrets(), "op9_merged_bwt": BYTES, "op10_minhash": NEAR}

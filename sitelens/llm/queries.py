@@ -17,6 +17,7 @@ from . import (
     op08_mixing,
     op09_bwt,
     op10_minhash,
+    op11_runs,
     oracles,
 )
 from .common import table
@@ -86,3 +87,8 @@ def op4(spark, sf_dir):
 @query("op9_merged_bwt")
 def op9(spark, sf_dir):
     return op09_bwt.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_kruskal_runs")
+def op11(spark, sf_dir):
+    return op11_runs.digests(table(spark, sf_dir, "documents"))
