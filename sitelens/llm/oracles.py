@@ -89,4 +89,15 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.a::BIGINT AS start, to
   (1000 * top.b // top.c)::BIGINT AS exponent_milli, sha256(coalesce(s, '')) AS runs_sha256, sha256(coalesce(x, '')) AS collapsed_sha256
 FROM f LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-SQL = {"op11_kruskal_runs": PERIODIC, "op4_de_bruijn": DE_BRUIJN, "op6_secret_ledger": _secrets(), "op9_merged_bwt": BYTES, "op10_minhash": NEAR}
+RANKED = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+v AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, n GROUP BY t),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * p.n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN v USING (t), n GROUP BY item_id, doc_id HAVING score > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
+
+SQL = {"op12_term_pipeline": RANKED, "op11_kruskal_runs": PERIODIC, "op4_de_bruijn": DE_BRUIJN, "op6_secret_ledger": _secrets(), "op9_merged_bwt": BYTES, "op10_minhash": NEAR}

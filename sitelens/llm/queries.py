@@ -18,6 +18,7 @@ from . import (
     op09_bwt,
     op10_minhash,
     op11_runs,
+    op12_search,
     oracles,
 )
 from .common import table
@@ -92,3 +93,8 @@ def op9(spark, sf_dir):
 @query("op11_kruskal_runs")
 def op11(spark, sf_dir):
     return op11_runs.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op12_term_pipeline")
+def op12(spark, sf_dir):
+    return op12_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
