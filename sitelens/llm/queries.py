@@ -19,6 +19,7 @@ from . import (
     op10_minhash,
     op11_runs,
     op12_search,
+    op13_bktree,
     oracles,
 )
 from .common import table
@@ -98,3 +99,8 @@ def op11(spark, sf_dir):
 @query("op12_term_pipeline")
 def op12(spark, sf_dir):
     return op12_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_bk_tree")
+def op13(spark, sf_dir):
+    return op13_bktree.near_duplicates(table(spark, sf_dir, "documents"))
