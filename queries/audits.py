@@ -372,7 +372,7 @@ def bodies(spark, sf):
     a = audited(spark, sf)
     stored = a.homes.select(F.concat("base_url", F.lit("/oferta")).alias("url"), F.lit("application/msword").alias("content_type"),
                             F.lit(b"x").alias("content"), F.lit("Публичная оферта").alias("text"))
-    docs = W.dedupe_documents(W.resolve_documents(a.candidates, a.audit, a.facts, body_texts(stored)))
+    docs = W.dedupe_documents(W.resolve_documents(a.candidates, a.audit, a.facts, a.homes, body_texts(stored)))
     return docs.where("doc_type = 'offer' and present").select(
         c("site_id").alias("host"), F.lit("https://").alias("x"), c("is_accessible").alias("readable"), "format")
 

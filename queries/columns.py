@@ -9,6 +9,7 @@ from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
 from sitelens.operators.documents import relevant_documents
+from sitelens.operators.domains import external_domains, on_site, with_domain, with_site_domain
 from sitelens.operators.html_parse import parse_udfs
 from sitelens.sources.crawl import read_pages
 
@@ -39,17 +40,30 @@ def u02(spark, sf):
         "page_id", U.to_http(c("url")).alias("as_http"), U.get_host(c("url")).alias("host"), U.base_from_url(c("url")).alias("base"))
 
 
+#: hosts and their registered domains by the public suffix list: plain, wild and exception rules
+DOMAINS = [("www.nic.ru", "nic.ru"), ("mail.me.ru", "me.ru"), ("www.co.ru", "co.ru"), ("shop.ltd.ru", "ltd.ru"), ("a.b.co.uk", "b.co.uk"),
+           ("www.b.co.uk", "b.co.uk"), ("x.city.kawasaki.jp", "city.kawasaki.jp"), ("city.kawasaki.jp", "city.kawasaki.jp"),
+           ("a.b.c.kawasaki.jp", "b.c.kawasaki.jp"), ("x.y.z.ck", "y.z.ck"), ("a.www.ck", "www.ck"), ("www.ck", "www.ck"),
+           ("shop.com.pl", "shop.com.pl"), ("127.0.0.1", "127.0.0.1"), ("co.uk", "co.uk"), ("localhost", "localhost"),
+           ("b.a.公司.cn", "a.公司.cn"), ("b.a.xn--55qx5d.cn", "a.xn--55qx5d.cn"), ("x.y.unlisted", "y.unlisted"), ("b.nic.ru", "nic.ru")]
+
+
 @query("u04_u05_registered_domain", f"""
-SELECT page_id, regexp_extract({HOST}, '([^.]+\\.[^.]+)$', 1) AS domain,
-       regexp_extract({HOST}, '([^.]+\\.[^.]+)$', 1) = 'example.com' AS same,
-       regexp_extract({HOST}, '([^.]+\\.[^.]+)$', 1) <> 'example.com' AS external,
-       'shop' || (page_id % 7) || '.co.uk' AS second_level FROM pages""")
+WITH h AS (SELECT row_number() OVER () - 1 AS k, * FROM (VALUES {", ".join(map(str, DOMAINS))}) t(host, domain)),
+p AS (SELECT page_id, regexp_extract({HOST}, '([^.]+\\.[^.]+)$', 1) AS own, page_id % {len(DOMAINS)} AS i, page_id // 7 % {len(DOMAINS)} AS j FROM pages)
+SELECT page_id, own, a.domain, a.domain = b.domain AS same, a.domain <> b.domain AS external FROM p JOIN h a ON a.k = i JOIN h b ON b.k = j""")
 def u04(spark, sf):
-    uk = F.concat(F.lit("http://www.shop"), (c("page_id") % 7).cast("string"), F.lit(".co.uk/x"))
-    base = F.lit("https://www.example.com/")
-    return table(spark, sf, "pages").select(
-        "page_id", U.registered_domain(c("url")).alias("domain"), U.same_registered_domain(c("url"), base).alias("same"),
-        U.is_external(c("url"), base).alias("external"), U.registered_domain(uk).alias("second_level"))
+    n, hosts = len(DOMAINS), F.array(*[F.lit(h) for h, _ in DOMAINS])
+
+    def host(k):
+        return F.get(hosts, k.cast("int"))
+
+    df = table(spark, sf, "pages").select("page_id", "url", F.concat(F.lit("https://"), host(c("page_id") % n), F.lit("/p?x=1")).alias("a"),
+                                          F.concat(F.lit("http://"), host(F.floor(c("page_id") / 7) % n), F.lit("/")).alias("b"))
+    sites = with_site_domain(df.select(c("b").alias("base_url")).distinct()).withColumnRenamed("domain", "base_domain")
+    named = with_domain(with_domain(df, c("url"), "own"), c("a"), "domain").join(sites, c("b") == c("base_url"))
+    same = on_site(c("a"), c("base_domain"), c("below"))
+    return named.select("page_id", "own", "domain", same.alias("same"), (~same).alias("external"))
 
 
 @query("u06_absolute_url", """
@@ -104,7 +118,7 @@ def u13(spark, sf):
         F.array(F.concat(F.lit("https://cdn."), "host", F.lit("/x.js")),
                 F.concat(F.lit("https://a.partner"), (c("page_id") % 5).cast("string"), F.lit(".ru/"))).alias("links"),
         F.array(F.lit("https://b.partner0.ru/y"), F.lit("/local")).alias("external_resources"))
-    return U.external_domains(pages, c("url")).select(c("site_id").alias("page_id"), joined("domains").alias("domains"))
+    return external_domains(pages, c("url")).select(c("site_id").alias("page_id"), joined("domains").alias("domains"))
 
 
 @query("u14_private_ip", """
@@ -137,7 +151,7 @@ def u15(spark, sf):
 @query("s03_read_pages", f"""
 SELECT page_id, url, length(html) AS n, regexp_extract({HOST}, '([^.]+\\.[^.]+)$', 1) AS site_domain FROM pages""")
 def s03(spark, sf):
-    return read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.length("html").alias("n"), "site_domain")
+    return with_domain(read_pages(spark, f"{sf}/pages.parquet"), c("url"), "site_domain").select("page_id", "url", F.length("html").alias("n"), "site_domain")
 
 
 # ---- text ------------------------------------------------------------------------------
@@ -418,7 +432,10 @@ def p13(spark, sf):
     final = (F.when(m == 1, F.lit("https://elsewhere.org/privacy")).when(m == 2, F.concat(base, F.lit("/"))).when(m == 5, F.lit("")).otherwise(doc))
     final = F.when(m == 5, F.concat(base, F.lit("/privacy-2"))).otherwise(final)
     status, ok = F.when(m == 3, 404).otherwise(200), m != 4
-    return table(spark, sf, "pages").select("page_id", P.link_confirmed(doc, final, status, ok).alias("confirmed"))
+    sites = with_site_domain(table(spark, sf, "pages").select(base.alias("base_url")).distinct())
+    pages = table(spark, sf, "pages").join(sites, base == c("base_url"))
+    same = on_site(final, c("domain"), c("below"))
+    return pages.select("page_id", P.link_confirmed(doc, final, status, ok, same).alias("confirmed"))
 
 
 @query("p16_p17_https_country", """

@@ -132,10 +132,11 @@ def document_is_present(discovered_by, doc_type, accessible, confirmed, text, ti
     )
 
 
-def link_confirmed(url: Column, final_url: Column, status: Column, ok: Column) -> Column:
-    """Opened with 2xx on the same registered domain, and not collapsed to the site root."""
+def link_confirmed(url: Column, final_url: Column, status: Column, ok: Column, same_site: Column) -> Column:
+    """Opened with 2xx, and not collapsed to the site root. same_site: the final URL is on the registered
+    domain of the first (an empty one is)."""
     final = F.coalesce(final_url, F.lit(""))
-    same = (final == "") | U.same_registered_domain(final, url)
+    same = (final == "") | same_site
     doc_path = F.trim(U.url_path(url), F.lit("/"))
     final_path = F.trim(U.url_path(final), F.lit("/"))
     return F.coalesce(

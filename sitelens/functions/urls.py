@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-from contextlib import contextmanager
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -22,7 +21,7 @@ SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"
 _PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#@]*)"
 _BASE = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)"
-_IPV4 = r"^(\d{1,3}\.){3}\d{1,3}$"
+IPV4 = r"^(\d{1,3}\.){3}\d{1,3}$"
 
 # Href prefixes that never lead to a page, and asset suffixes.
 NON_PAGE_PREFIXES = ("mailto:", "tel:", "javascript:", "#", "data:")
@@ -31,29 +30,6 @@ ASSET_SUFFIXES = (
     "ttf", "mp4", "mp3", "zip", "rar", "xml", "json",
 )
 
-# Public suffixes of two labels. Where the whole public suffix list matters, pass it as ``suffixes``:
-# here, to ``audit``, or for a block of plans with ``public_suffixes``.
-# Second labels under which country domains register, and country domains without such.
-SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "govt", "ltd", "me", "mil", "ne", "net", "nic", "nom", "or", "org",
-                 "plc", "sch")
-DIRECT_COUNTRIES = ("ch", "cz", "de", "eu", "fi", "nl", "no", "se", "sk", "us")
-# Further suffixes of two labels.
-MORE_SUFFIXES = ("in.ua", "kiev.ua", "msk.ru", "pp.ru", "spb.ru", "ac.jp", "go.jp", "go.kr", "re.kr", "pe.kr", "firm.in", "gen.in",
-                 "ind.in", "id.au", "asn.au", "geek.nz", "school.nz", "web.id", "sch.id", "waw.pl", "info.pl", "biz.pl", "gen.tr",
-                 "k12.tr", "web.tr", "blog.br", "art.br", "eco.br", "muni.il", "web.za", "gob.mx", "gob.ar", "gouv.fr", "asso.fr")
-_suffixes: list[tuple[str, ...] | None] = [None]
-
-
-@contextmanager
-def public_suffixes(suffixes):
-    """Plans made inside the block know exactly these suffixes (any number of labels)."""
-    _suffixes.append(None if suffixes is None else tuple(suffixes))
-    try:
-        yield
-    finally:
-        _suffixes.pop()
-
-
 def _fold_scheme(u: Column) -> Column:
     head = F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1)
     return F.concat(F.lower(head), F.substr(u, F.length(head) + 1))
@@ -82,34 +58,14 @@ def url_path(u: Column) -> Column:
     return F.regexp_extract(F.coalesce(u, F.lit("")), _PATH, 1)
 
 
-def registered_domain(u: Column, suffixes=None) -> Column:
-    """Registered domain of a URL or bare host: one label more than its longest known suffix, else
-    the last two labels."""
-    listed = suffixes if suffixes is not None else _suffixes[-1]
-
-    def of_host(h):
-        two = F.substring_index(h, ".", -2)
-        if listed is None:
-            second, country = F.substring_index(two, ".", 1), F.substring_index(two, ".", -1)
-            general = second.isin(*SECOND_LABELS) & (F.length(country) == 2) & ~country.isin(*DIRECT_COUNTRIES)
-            known = F.when(general | two.isin(*MORE_SUFFIXES), F.substring_index(h, ".", -3))
-        else:
-            known, sizes = F.lit(None).cast("string"), sorted({x.count(".") + 1 for x in listed if "." in x}, reverse=True)
-            for n in sizes:  # the longest suffix wins
-                of = [x for x in listed if x.count(".") + 1 == n]
-                known = F.coalesce(known, F.when(F.substring_index(h, ".", -n).isin(*of), F.substring_index(h, ".", -n - 1)))
-        return F.when(h.rlike(_IPV4), h).otherwise(F.coalesce(known, two))
-
-    named = let(get_host(u), lambda h: F.when(h != "", h).otherwise(F.substring_index(F.lower(u), "/", 1)))
-    return let(named, of_host)
-
+def host_or_name(u: Column) -> Column:
+    """Host of a URL, or of a bare name what stands before its first slash."""
+    return let(get_host(u), lambda h: F.when(h != "", h).otherwise(F.substring_index(F.lower(F.coalesce(u, F.lit(""))), "/", 1)))
 
-def same_registered_domain(a: Column, b: Column) -> Column:
-    return F.coalesce(F.nullif(registered_domain(a), F.lit("")) == registered_domain(b), F.lit(False))
 
-
-def is_external(u: Column, base: Column) -> Column:
-    return (get_host(u) != "") & ~same_registered_domain(u, base)
+def last_two_labels(u: Column) -> Column:
+    """The registered domain where no suffix list is at hand; ``operators.domains`` joins the list."""
+    return let(host_or_name(u), lambda h: F.when(h.rlike(IPV4) | h.startswith("["), h).otherwise(F.substring_index(h, ".", -2)))
 
 
 @F.arrow_udf(StringType())
@@ -178,7 +134,7 @@ def ipv4_number(ip: Column) -> Column:
     n = F.lit(0).cast("long")
     for i in range(4):
         n = n * 256 + F.try_element_at(part, F.lit(i + 1)).try_cast("long")
-    return F.when(ip.rlike(_IPV4), n)
+    return F.when(ip.rlike(IPV4), n)
 
 
 # Address blocks that are not globally reachable.
@@ -203,23 +159,6 @@ def is_private_ip(ip: Column) -> Column:
     return F.coalesce(hit, F.lower(ip).rlike(_PRIVATE_V6), F.lit(False))
 
 
-def external_domains(pages, base: Column):
-    """Foreign registered domains of every page, distinct, in order of first use."""
-    urls = pages.select(
-        "site_id", "page_pos", base.alias("_base"),
-        F.posexplode(F.concat("links", "external_resources")).alias("pos", "u"),
-    ).where(is_external(F.col("u"), F.col("_base")))
-    first = (
-        urls.withColumn("domain", registered_domain(F.col("u")))
-        .where("domain <> ''")
-        .groupBy("site_id", "page_pos", "domain")
-        .agg(F.min("pos").alias("pos"))
-    )
-    return first.groupBy("site_id", "page_pos").agg(
-        F.expr("transform(array_sort(collect_list(struct(pos, domain))), x -> x.domain)").alias("domains")
-    )
-
-
 # Brand endings that are split off a glued domain label.
 BRAND_ENDINGS = ("life", "shop", "store", "group", "clinic", "school", "online", "studio", "legal")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sitelens import catalogue
 from sitelens.functions import text as X
-from sitelens.functions import urls as U
+from sitelens.operators.domains import on_site, with_domain
 
 # ---- fixed values -----------------------------------------------------------------
 APPLIES = ("has_pd_forms", "has_forms", "trackers_present", "foreign_trackers_present", "cookies_present",
@@ -40,7 +40,7 @@ VERDICT_RANK = {"found": 3, "not_found": 2, "unclear": 1, "not_applicable": 0}
 
 RESULT = ("struct<item_pos: int, item_id: string, label: string, status: string, evidence_quote: string, "
           "comment: string, risk_if_missing: string, confidence: int, source: string>")
-CONTEXT = APPLIES + ("pd_categories", "providers", "registered_domain", "n_pd_forms", "n_pd_linked", "pd_link",
+CONTEXT = APPLIES + ("pd_categories", "providers", "registered_domain", "below", "n_pd_forms", "n_pd_linked", "pd_link",
                      "form_merged", "form_prechecked", "form_button_only", "cookie_banner_found",
                      "marketing_before_consent")
 
@@ -57,11 +57,11 @@ def _res(status, comment, confidence=0, quote="") -> Column:
                     lit(confidence).cast("int").alias("confidence"))
 
 
-def foreign_emails(text: Column, domain: Column) -> Column:
+def foreign_emails(text: Column, domain: Column, below: Column) -> Column:
     """Addresses on a domain that is neither the site's nor a public mail service, in order."""
     def foreign(e):
-        d = U.registered_domain(F.substring_index(e, "@", -1))
-        return (d != "") & ~d.isin(*PUBLIC_MAIL) & (d != domain)
+        host = F.lower(F.substring_index(e, "@", -1))
+        return (host != "") & ~F.substring_index(host, ".", -2).isin(*PUBLIC_MAIL) & ~on_site(host, domain, below)
 
     return F.when(domain != "", F.filter(X.find_emails(text), foreign)).otherwise(F.array().cast("array<string>"))
 
@@ -81,7 +81,7 @@ def with_facts(docs: DataFrame, ctx: DataFrame) -> DataFrame:
     df = df.withColumns({
         "inns": X.find_inn(F.col("text")), "ogrns": X.find_ogrn(F.col("text")),
         "blanks": X.find_placeholders(F.col("text")),
-        "foreign_mail": foreign_emails(F.col("text"), F.col("registered_domain")),
+        "foreign_mail": foreign_emails(F.col("text"), F.col("registered_domain"), F.col("below")),
         "covered": F.filter("pd_categories", is_covered),
         "named": F.filter("providers", lambda p: n.contains(X.normalize_for_search(p))),
     })
@@ -207,10 +207,10 @@ def run_checklist(facts: DataFrame, path=None) -> DataFrame:
     ).select("site_id", "doc_pos", "doc_type", "url", "r.*")
 
 
-def detect_conflicts(facts: DataFrame) -> DataFrame:
+def detect_conflicts(facts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Contradictions between a document and the facts of its site."""
     c, n = F.col, F.col("norm")
-    domain = U.registered_domain(F.substring_index(F.get("foreign_mail", F.lit(0)), "@", -1))
+    mail_host = F.lower(F.substring_index(F.get("foreign_mail", F.lit(0)), "@", -1))
 
     def conflict(cond, kind, risk, fact, statement, comment):
         def lit(x):
@@ -233,12 +233,15 @@ def detect_conflicts(facts: DataFrame) -> DataFrame:
         conflict(c("cookies_present") & ~X.has_any(n, ("cookie", "куки")), "cookies_not_disclosed", "medium",
                  "Есть cookies.", "О cookies не сказано.", "Cookies не раскрыты."),
         conflict(F.size("foreign_mail") > 0, "company_conflict", "medium",
-                 F.concat(F.lit("Домен сайта: "), c("registered_domain")), F.concat(F.lit("Домен адреса: "), domain),
+                 F.concat(F.lit("Домен сайта: "), c("registered_domain")), F.concat(F.lit("Домен адреса: "), mail_host),
                  "Адрес на другом домене, уточнить юрлицо."),
     )
-    return facts.where("text <> ''").select(
-        "site_id", "doc_pos", "doc_type", "url", F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("pos", "k")
-    ).select("site_id", "doc_pos", "doc_type", "url", "pos", "k.*")
+    rows = facts.where("text <> ''").select(
+        "site_id", "doc_pos", "doc_type", "url", mail_host.alias("_mail"), F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("pos", "k")
+    ).select("site_id", "doc_pos", "doc_type", "url", "pos", "k.*", F.when(F.col("k.type") == "company_conflict", F.col("_mail")).alias("_mail"))
+    named = with_domain(rows, F.col("_mail"), "_domain", suffixes)
+    shown = F.when(F.col("_mail").isNotNull(), F.concat(F.lit("Домен адреса: "), "_domain")).otherwise(F.col("document_statement"))
+    return named.withColumn("document_statement", shown).drop("_mail", "_domain")
 
 
 # ---- verdicts of an outside reviewer --------------------------------------------------

@@ -9,6 +9,7 @@ from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
 from sitelens.operators import trackers as T
+from sitelens.operators.domains import with_site_domain
 
 # ---- fixed values -----------------------------------------------------------------
 MEDICAL_TITLES = ("диагноз", "симптом", "запись к врачу", "клиник", "прием врача")
@@ -166,7 +167,7 @@ def server_country(ips: DataFrame, ranges: DataFrame) -> DataFrame:
 def site_context(homes, forms, hits, cookies, consent, docs, audit, tech) -> DataFrame:
     """Everything a rule may look at, one row per lead; sites without pages keep their row."""
     n_cookies = cookies.groupBy("site_id").agg(F.count("*").alias("n_cookies"))
-    df = homes
+    df = with_site_domain(homes)
     for part in (form_rollup(forms), tracker_rollup(hits), n_cookies, consent, document_rollup(docs), page_rollup(audit), tech):
         df = df.join(part, "site_id", "left")
     df = df.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c, t in df.dtypes if t == "boolean"})
@@ -176,7 +177,7 @@ def site_context(homes, forms, hits, cookies, consent, docs, audit, tech) -> Dat
     titles = F.coalesce("titles", F.lit(""))
     first = F.coalesce("p_first.page_url", F.when(F.col("site_final_url") != "", F.col("site_final_url")), "site_url")
     return df.withColumns({
-        "registered_domain": U.registered_domain(F.col("base_url")),
+        "registered_domain": F.col("domain"),
         "first_page_url": first,
         "has_forms": F.col("n_forms") > 0, "has_pd_forms": F.col("n_pd_forms") > 0,
         "medical": industry.startswith("медиц") | F.col("form_medical") | X.contains_any(titles, MEDICAL_TITLES),

@@ -9,6 +9,8 @@ from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
 from sitelens.limits import NONE, Limits
+from sitelens.operators.domains import on_site, with_site_domain
+from sitelens.operators.reduce import maybe_in
 
 # ---- fixed values -----------------------------------------------------------------
 LINK_WORDS = ("политика", "конфиденциальность", "персональные данные", "privacy", "policy", "согласие", "consent",
@@ -41,7 +43,7 @@ def homepages(leads: DataFrame, facts: DataFrame) -> DataFrame:
         U.url_key(F.col("url")).alias("key"), "uid", "url", "final_url", "ok", "has_html", "fetch_method", "errors",
         F.size("links").alias("homepage_links"))
     good = F.col("ok") | F.col("has_html")
-    best = tries.join(pages, "key").groupBy("site_id").agg(
+    best = tries.join(maybe_in(pages, "key", tries.select("key")), "key").groupBy("site_id").agg(
         F.min_by(F.struct("uid", "url", "final_url", "ok", "has_html", "fetch_method", "errors", "homepage_links"),
                  F.struct(~good, "try", "uid")).alias("h"))
     final = F.coalesce(F.when(F.col("h.final_url") != "", F.col("h.final_url")), "h.url", "normalized")
@@ -66,8 +68,8 @@ def first_links(links: DataFrame) -> DataFrame:
 
 
 def homepage_links(homes: DataFrame, facts: DataFrame) -> DataFrame:
-    page = homes.where("reachable").select("site_id", F.col("home_uid").alias("uid")).join(
-        facts.select("uid", "anchors", "links"), "uid")
+    home = homes.where("reachable").select("site_id", F.col("home_uid").alias("uid"))
+    page = home.join(maybe_in(facts.select("uid", "anchors", "links"), "uid", home.select("uid")), "uid")
     real = F.filter("anchors", lambda a: a["has_href"] & (a["url"] != ""))
     pairs = F.concat(
         F.transform(real, lambda a: F.struct(a["url"].alias("url"), a["text"].alias("text"))),
@@ -87,12 +89,12 @@ def link_tier(url, text):
 def plan_pages(links: DataFrame, sitemap: DataFrame, homes: DataFrame, max_pages: int | None = None, limits: Limits = NONE) -> DataFrame:
     """(site_id, plan_pos, url): document links, sitemap pages, form pages, guessed paths; of a site at
     most max_pages, else its own budget (no budget: all). No other limit holds unless ``limits`` sets it."""
-    sites = homes.where("reachable").select(
-        "site_id", "base_url", U.registered_domain(F.col("base_url")).alias("domain"),
+    sites = with_site_domain(homes).where("reachable").select(
+        "site_id", "base_url", "domain", "below",
         (F.lit(max_pages) if max_pages else F.when(F.col("max_pages").isNotNull(), F.greatest("max_pages", F.lit(1)))).cast("int").alias("budget"))
     # exploding the 0 or 1 tiers of a link evaluates the keyword tests once, a filter would repeat them
     followed = links.join(sites, "site_id").where(
-        (F.col("domain") != "") & (U.registered_domain(F.col("url")) == F.col("domain"))
+        on_site(F.col("url"), F.col("domain"), F.col("below"))
     ).select("*", F.explode(F.array_compact(F.array(link_tier(F.col("url"), F.col("text"))))).alias("tier"))
     mapped = sitemap.join(sites, "site_id").where(X.contains_any(F.col("url"), LINK_WORDS)).withColumn("tier", F.lit(2))
     guesses = sites.select("*", F.posexplode(F.array(*map(F.lit, PLAN_GUESSES))).alias("pos", "path")).select(
@@ -127,7 +129,7 @@ def audit_set(homes: DataFrame, plan: DataFrame, facts: DataFrame, winners: Data
     rest = plan.join(url_winners(facts) if winners is None else winners, F.col("url") == F.col("key"), "left").select(
         "site_id", F.col("plan_pos").alias("page_pos"), F.col("url").alias("want"), "uid")
     chosen = home.unionByName(rest).join(budget, "site_id").where("budget is null or page_pos < budget").drop("budget")
-    joined = chosen.join(facts, "uid", "left")
+    joined = chosen.join(maybe_in(facts, "uid", chosen.select("uid")), "uid", "left")
     blank = {c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in facts.dtypes if t.startswith("array")}
     missing = F.array(F.concat(F.lit("not stored: "), "want"))
     return joined.withColumns({
@@ -145,7 +147,7 @@ def audit_set(homes: DataFrame, plan: DataFrame, facts: DataFrame, winners: Data
 # ---- document candidates --------------------------------------------------------------
 def doc_candidates(audit: DataFrame, sitemap: DataFrame, homes: DataFrame) -> DataFrame:
     """All candidates of a site from anchors, page links, usual paths and sitemaps, with their order."""
-    sites = homes.where("reachable").select("site_id", "base_url", U.registered_domain(F.col("base_url")).alias("domain"))
+    sites = with_site_domain(homes).where("reachable").select("site_id", "base_url", "domain", "below")
     empty = F.lit("")
     anchors = audit.select("site_id", "page_pos", "page_url", F.posexplode("anchors").alias("pos", "a")).where(
         "a.href <> '' and a.url <> ''").select(
@@ -161,10 +163,10 @@ def doc_candidates(audit: DataFrame, sitemap: DataFrame, homes: DataFrame) -> Da
     kind = X.let(P.link_blob(F.col("anchor_text"), F.col("url"), F.col("title")),
                  lambda b: F.nullif(P.doc_type_of_blob(b), F.lit("other")))
     seen = anchors.unionByName(links).unionByName(mapped).join(sites, "site_id").where(
-        (F.col("domain") != "") & (U.registered_domain(F.col("url")) == F.col("domain"))
-    ).select("*", F.explode(F.array_compact(F.array(kind))).alias("doc_type")).drop("base_url", "domain")
+        on_site(F.col("url"), F.col("domain"), F.col("below"))
+    ).select("*", F.explode(F.array_compact(F.array(kind))).alias("doc_type")).drop("base_url", "domain", "below")
     paths = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("doc_type")) for p, t in P.GUESS_PATHS.items()])
-    guesses = sites.select("*", F.posexplode(paths).alias("pos", "g")).select(
+    guesses = sites.select("site_id", "base_url", F.posexplode(paths).alias("pos", "g")).select(
         "site_id", F.lit("priority_path").alias("source"), F.lit(3).alias("src_pos"), F.lit(0).alias("page_pos"), "pos",
         F.col("base_url").alias("page_url"), F.concat("base_url", "g.path").alias("url"), empty.alias("anchor_text"),
         empty.alias("title"), "g.doc_type")

@@ -9,16 +9,19 @@ from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
 from sitelens.operators.discovery import url_winners
+from sitelens.operators.domains import on_site, with_site_domain
+from sitelens.operators.reduce import maybe_in
+from sitelens.sources.staging import staged, work_dir
 
 SUGGESTED_TYPES = tuple(X.LABELS["doc_type"])
 BODIES_DDL = ("url string, final_url string, status_code int, ok boolean, content_type string, format string, "
               "text string, error string")
 
 
-def resolve_documents(cands: DataFrame, audit: DataFrame, facts: DataFrame, bodies: DataFrame | None = None,
+def resolve_documents(cands: DataFrame, audit: DataFrame, facts: DataFrame, sites: DataFrame, bodies: DataFrame | None = None,
                       winners: DataFrame | None = None) -> DataFrame:
     """Documents from candidates: an audited page under the same URL (its own or its final one),
-    else a stored page, else a stored body."""
+    else a stored page, else a stored body. The texts of wanted pages alone are shuffled."""
     own = audit.where("stored").select("site_id", "page_pos", "uid", F.explode(F.array(
         F.struct(F.lit(0).alias("prio"), U.strip_fragment(F.col("url")).alias("key")),
         F.struct(F.lit(1).alias("prio"), U.strip_fragment(F.col("page_url")).alias("key")))).alias("k"))
@@ -27,8 +30,11 @@ def resolve_documents(cands: DataFrame, audit: DataFrame, facts: DataFrame, bodi
     page = facts.select(
         "uid", F.col("status_code").alias("p_status"), F.col("ok").alias("p_ok"), "has_html",
         F.coalesce("final_url", "url").alias("p_final"), F.col("title").alias("p_title"), "doc_text", "html_head")
-    df = (cands.join(own, ["site_id", "key"], "left").join(stored, "key", "left")
-          .withColumn("uid", F.coalesce("own_uid", "any_uid")).drop("own_uid", "any_uid").join(page, "uid", "left"))
+    wanted = (cands.join(own, ["site_id", "key"], "left").join(stored, "key", "left")
+              .withColumn("uid", F.coalesce("own_uid", "any_uid")).drop("own_uid", "any_uid")
+              .join(with_site_domain(sites).select("site_id", "domain", "below"), "site_id", "left"))
+    wanted = staged(wanted, work_dir(cands.sparkSession), "wanted")
+    df = wanted.join(maybe_in(page, "uid", wanted.select("uid")), "uid", "left")
     if bodies is None:
         bodies = cands.sparkSession.createDataFrame([], BODIES_DDL)
     b = bodies.select(U.strip_fragment(F.col("url")).alias("key"), F.struct(
@@ -47,7 +53,8 @@ def resolve_documents(cands: DataFrame, audit: DataFrame, facts: DataFrame, bodi
         F.when(is_page, "html").otherwise(F.coalesce("b.format", X.detect_format(F.col("url"), F.lit("")))).alias("format"),
         F.col("status").alias("status_code"),
         (F.col("opened_ok") & (F.length("text") > 0)).alias("is_accessible"),
-        P.link_confirmed(F.col("url"), F.col("final"), F.col("status"), F.col("opened_ok")).alias("link_confirmed"),
+        P.link_confirmed(F.col("url"), F.col("final"), F.col("status"), F.col("opened_ok"),
+                         F.coalesce(on_site(F.col("final"), F.col("domain"), F.col("below")), F.lit(False))).alias("link_confirmed"),
         F.when(F.col("source") == "priority_path", "guess").otherwise(F.col("source")).alias("discovered_by"),
         "text", F.length("text").alias("text_length"), X.detect_date(F.col("text")).alias("date_detected"),
         X.detect_version(F.col("text")).alias("version_detected"),
@@ -88,8 +95,8 @@ def dedupe_documents(docs: DataFrame) -> DataFrame:
 
 def relevant_documents(docs: DataFrame, sites: DataFrame) -> DataFrame:
     """Documents on the registered domain of their site only."""
-    return docs.join(sites.select("site_id", "base_url"), "site_id").where(
-        U.same_registered_domain(F.col("url"), F.col("base_url"))).drop("base_url")
+    return docs.join(with_site_domain(sites).select("site_id", "domain", "below"), "site_id").where(
+        on_site(F.col("url"), F.col("domain"), F.col("below"))).drop("domain", "below")
 
 
 def read_suggestions(answers: DataFrame, limit: int | None = None) -> DataFrame:
@@ -109,8 +116,8 @@ def ground_suggestions(sugg: DataFrame, docs: DataFrame, sites: DataFrame, audit
                        bodies: DataFrame | None = None, winners: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Suggested documents that are on the site, not known yet, and read like their type."""
     known = docs.select("site_id", U.url_key(F.col("url")).alias("ukey")).distinct()
-    new = (sugg.join(sites.select("site_id", "base_url"), "site_id")
-           .where(F.col("url").rlike("(?i)^https?://") & U.same_registered_domain(F.col("url"), F.col("base_url")))
+    new = (sugg.join(with_site_domain(sites).select("site_id", "domain", "below"), "site_id")
+           .where(F.col("url").rlike("(?i)^https?://") & on_site(F.col("url"), F.col("domain"), F.col("below")))
            .withColumn("ukey", U.url_key(F.col("url"))).where("ukey <> ''")
            .join(known, ["site_id", "ukey"], "left_anti"))
     once = new.groupBy("site_id", "ukey").agg(F.min(F.struct("pos", "url", "doc_type", "reason")).alias("s"))
@@ -121,4 +128,4 @@ def ground_suggestions(sugg: DataFrame, docs: DataFrame, sites: DataFrame, audit
         "site_id", (F.col("k") + (1 << 30)).cast("int").alias("cand_pos"), U.strip_fragment(F.col("s.url")).alias("key"), "s.url",
         "s.doc_type", F.col("s.reason").alias("anchor_text"), F.lit("").alias("title"), F.lit("agent").alias("source"),
         F.lit("").alias("page_url"))
-    return resolve_documents(cands, audit, facts, bodies, winners).where("present")
+    return resolve_documents(cands, audit, facts, sites, bodies, winners).where("present")

@@ -7,13 +7,11 @@ reads these two tables with only the columns it needs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.functions import urls as U
 from sitelens.limits import NONE, Limits
 from sitelens.operators import checklist as C
 from sitelens.operators import context as A
@@ -23,6 +21,7 @@ from sitelens.operators import documents as W
 from sitelens.operators import findings as P
 from sitelens.operators import rules as R
 from sitelens.operators import trackers as T
+from sitelens.operators.domains import bundled_suffixes, with_site_domain
 from sitelens.operators.page_facts import page_facts
 from sitelens.sources.crawl import parse_robots, parse_sitemaps, sitemap_urls
 from sitelens.sources.staging import sql_conf, staged, work_dir
@@ -82,22 +81,19 @@ def audit(
     folder: str | None = None,
     facts: DataFrame | None = None,
     limits: Limits = NONE,
-    suffixes: Sequence[str] | None = None,
+    suffixes: DataFrame | None = None,
 ) -> AuditTables:
     """Audit all leads. ``leads`` come from ``normalize_leads``; ``pages`` are raw crawl rows, or pass
     already staged ``facts``. Optional inputs: robots.txt and sitemap bodies (base_url, status_code,
     body / url, body), document bodies (from ``body_texts``), addresses with a country range table,
     suggested documents and outside verdicts (site_id, doc_url, answer). Nothing is capped but by a
-    lead's own page budget, unless ``limits`` says so. ``suffixes``: a public suffix list."""
-    with U.public_suffixes(suffixes):
-        return _audit(leads, pages, robots, sitemaps, bodies, site_ips, ip_ranges, suggestions, verdict_answers, catalogues, folder, facts, limits)
-
-
-def _audit(leads, pages, robots, sitemaps, bodies, site_ips, ip_ranges, suggestions, verdict_answers, catalogues, folder, facts, limits):
+    lead's own page budget, unless ``limits`` says so. ``suffixes``: a rule table
+    (``operators.domains.read_suffixes``), by default the list that Spark brings along."""
     spark = leads.sparkSession
     folder = folder or work_dir(spark)
     facts = facts if facts is not None else stage_facts(pages, folder, catalogues.trackers)
-    homes = staged(D.homepages(leads, facts), folder, "homes")
+    suffixes = staged(bundled_suffixes(spark) if suffixes is None else suffixes, folder, "suffixes")
+    homes = staged(with_site_domain(D.homepages(leads, facts), suffixes), folder, "homes")
     winners = staged(D.url_winners(facts), folder, "urls")
 
     robots = _empty(spark, "base_url string, status_code int, body string") if robots is None else robots
@@ -109,7 +105,7 @@ def _audit(leads, pages, robots, sitemaps, bodies, site_ips, ip_ranges, suggesti
     pages_of_sites = staged(D.audit_set(homes, plan, facts, winners), folder, "audit")
 
     cands = staged(D.dedupe_candidates(D.doc_candidates(pages_of_sites, sitemap, homes), limits.candidates), folder, "candidates")
-    docs = W.relevant_documents(W.dedupe_documents(W.resolve_documents(cands, pages_of_sites, facts, bodies, winners)), homes)
+    docs = W.relevant_documents(W.dedupe_documents(W.resolve_documents(cands, pages_of_sites, facts, homes, bodies, winners)), homes)
     docs = staged(docs, folder, "documents")
     if suggestions is not None:
         extra = W.ground_suggestions(W.read_suggestions(suggestions, limits.read_suggestions), docs, homes, pages_of_sites, facts, bodies, winners, limits.suggestions)
@@ -127,7 +123,7 @@ def _audit(leads, pages, robots, sitemaps, bodies, site_ips, ip_ranges, suggesti
 
     doc_facts = C.with_facts(docs, ctx)
     results = C.run_checklist(doc_facts, catalogues.checklists)
-    conflicts = C.detect_conflicts(doc_facts)
+    conflicts = C.detect_conflicts(doc_facts, suffixes)
     verdict_docs = None
     if verdict_answers is not None:
         answers = verdict_answers.join(

@@ -31,11 +31,11 @@ PAGES_DDL = (
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """Stored pages, one row per URL; the site of a page is its registered domain."""
+    """Stored pages, one row per URL. ``operators.domains.with_domain`` adds the registered domain."""
     reader = spark.read.format(fmt)
     if fmt != "parquet" or schema:
         reader = reader.schema(schema or PAGES_DDL)
-    return reader.load(path).withColumn("site_domain", U.registered_domain(F.col("url")))
+    return reader.load(path)
 
 
 # ---- robots ---------------------------------------------------------------------------

@@ -122,10 +122,10 @@ def test_catalogues(spark, tmp_path):
 def test_url_edges(spark):
     rows = ["Example.RU/Путь?x#y", "HTTPS://U:p@Пример.РФ:8080/a", "//cdn.ru/x", "1.2.3.4", "localhost", "a.b.co.uk", "mailto:x@y.z", ""]
     df = spark.createDataFrame([(u,) for u in rows], "u string")
-    got = df.select(U.normalize_url(F.col("u")).alias("n"), U.get_host(F.col("u")).alias("h"), U.registered_domain(F.col("u")).alias("d"),
+    got = df.select(U.normalize_url(F.col("u")).alias("n"), U.get_host(F.col("u")).alias("h"), U.last_two_labels(F.col("u")).alias("d"),
                     U.absolute_url(F.lit("https://s.ru/a/b?q"), F.col("u")).alias("a")).collect()
     assert [r.n for r in got[:2]] == ["https://Example.RU/Путь?x", "https://U:p@Пример.РФ:8080/a"]
-    assert [r.h for r in got[:3]] == ["", "пример.рф", "cdn.ru"] and [r.d for r in got[1:6]] == ["пример.рф", "cdn.ru", "1.2.3.4", "localhost", "b.co.uk"]
+    assert [r.h for r in got[:3]] == ["", "пример.рф", "cdn.ru"] and [r.d for r in got[1:6]] == ["пример.рф", "cdn.ru", "1.2.3.4", "localhost", "co.uk"]
     assert [got[i].a for i in (2, 6, 7)] == ["https://cdn.ru/x", "", ""]
 
 

@@ -10,6 +10,8 @@ from sitelens.functions import urls as U
 from sitelens.limits import INTERACTIVE
 from sitelens.operators import discovery as D
 from sitelens.operators import trackers as T
+from sitelens.operators.domains import host_domains, on_site, suffix_rules, with_domain, with_site_domain
+from sitelens.operators.reduce import maybe_in
 from sitelens.sources import store
 from sitelens.sources.crawl import parse_sitemaps, sitemap_urls
 from sitelens.sources.leads import normalize_leads
@@ -81,14 +83,64 @@ def test_one_row_per_lead(spark):
 
 
 def test_public_suffixes(spark):
-    hosts = ["shop.com.pl", "a.co.id", "b.a.com.sg", "www.shop.co.uk", "a.b.ru", "x.pp.ru", "co.de", "www.a.de", "127.0.0.1"]
-    df = spark.createDataFrame([(h,) for h in hosts], "h string")
-    assert [r[0] for r in df.select(U.registered_domain(F.col("h"))).collect()] == [
-        "shop.com.pl", "a.co.id", "a.com.sg", "shop.co.uk", "b.ru", "x.pp.ru", "co.de", "a.de", "127.0.0.1"]
-    with U.public_suffixes(["pl", "city.kawasaki.jp", "kawasaki.jp"]):
-        inside = U.registered_domain(F.col("h"))
-    own = spark.createDataFrame([("shop.com.pl",), ("a.x.city.kawasaki.jp",), ("a.b.kawasaki.jp",)], "h string")
-    assert [r[0] for r in own.select(inside).collect()] == ["com.pl", "x.city.kawasaki.jp", "b.kawasaki.jp"]
+    hosts = {"shop.com.pl": "shop.com.pl", "a.co.id": "a.co.id", "b.a.com.sg": "a.com.sg", "www.shop.co.uk": "shop.co.uk", "a.b.ru": "b.ru",
+             "co.de": "co.de", "www.a.de": "a.de", "127.0.0.1": "127.0.0.1", "[::1]": "[::1]", "a.kawasaki.jp": "kawasaki.jp"}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: r.domain for r in host_domains(df).collect()} == hosts
+    own = suffix_rules(spark.createDataFrame([("// list\npl\n\n*.kawasaki.jp // note\n!city.kawasaki.jp\n// ===BEGIN PRIVATE DOMAINS===\nhosting.pl",)], "value string"))
+    hosts = {"shop.com.pl": "com.pl", "a.x.city.kawasaki.jp": "city.kawasaki.jp", "a.b.c.kawasaki.jp": "b.c.kawasaki.jp", "a.hosting.pl": "hosting.pl"}
+    assert {r.host: r.domain for r in host_domains(spark.createDataFrame([(h,) for h in hosts], "host string"), own).collect()} == hosts
+
+
+def test_on_site_agrees_with_the_join(spark):
+    """The row-wise test with the rules below a site's domain against both domains from the join."""
+    from queries.columns import DOMAINS
+
+    hosts = [h for h, _ in DOMAINS] + ["kawasaki.jp", "b.kawasaki.jp", "uk", "ck", "z.ck", "d.uk", "公司.cn", "cn"]
+    df = spark.createDataFrame([(h,) for h in hosts], "base_url string")
+    sites = with_site_domain(df)
+    pairs = sites.crossJoin(df.withColumnRenamed("base_url", "u"))
+    named = with_domain(pairs, F.col("u"), "other").select("base_url", "u", (F.col("other") == F.col("domain")).alias("want"), on_site(F.col("u"), F.col("domain"), F.col("below")).alias("got"))
+    assert [tuple(r) for r in named.where("want <> got").collect()] == []
+
+
+def test_rows_that_may_be_wanted(spark):
+    wanted = spark.range(0, 4000, 40).select(F.col("id").alias("k"))
+    rows = spark.range(20_000).select("id", F.concat(F.lit("x"), "id").alias("text"))
+    got = {r.id for r in maybe_in(rows, "id", wanted).collect()}
+    assert set(range(0, 4000, 40)) <= got and len(got) < 1500
+    assert {r.id for r in maybe_in(rows, "id", wanted, max_blocks=1).collect()} >= set(range(0, 4000, 40))
+    assert maybe_in(rows, "id", wanted.limit(0)).count() == 0
+
+
+def test_texts_of_wanted_pages_alone_are_shuffled(spark):
+    """Without automatic broadcasts no exchange carries texts or anchors that the Bloom filter has not seen."""
+    from sitelens.operators import documents as W
+
+    rows = [(i, f"https://s.ru/{i}", "t", 200, True, True, "text " * 50, "", [("h", f"https://s.ru/{i}", "x", "", True)], []) for i in range(50)]
+    facts = spark.createDataFrame(rows, "uid long, url string, title string, status_code int, ok boolean, has_html boolean, doc_text string, html_head string, "
+                                  "anchors array<struct<href: string, url: string, text: string, title: string, has_href: boolean>>, links array<string>").withColumns(
+        {"final_url": F.col("url"), "html_length": F.lit(1), "text_length": F.lit(1), "site_id": F.lit("s"), "page_pos": F.lit(0), "stored": F.lit(True), "page_url": F.col("url")})
+    homes = spark.createDataFrame([("s", "https://s.ru", True, 3)], "site_id string, base_url string, reachable boolean, home_uid long")
+    cands = spark.createDataFrame([("s", 1, "https://s.ru/7", "https://s.ru/7", "offer", "", "", "anchor", "")],
+                                  "site_id string, cand_pos int, key string, url string, doc_type string, anchor_text string, title string, source string, page_url string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = W.resolve_documents(cands, facts.limit(1), facts, homes)
+        assert docs.count() == 1
+        for df, wide in ((docs, "doc_text"), (D.homepage_links(homes, facts), "anchors")):
+            lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+            carrying = 0
+            for i, line in enumerate(lines):
+                below = [x for j, x in enumerate(lines[i + 1:], i + 1) if all(d > depth[i] for d in depth[i + 1:j + 1])]
+                if "Exchange hashpartitioning" in line and any("Scan" in x and wide in x for x in below):
+                    carrying += 1
+                    assert any("LeftSemi" in x and "_bits" in x for x in below), line
+            assert carrying
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_no_local_folder_on_a_cluster():
