@@ -21,7 +21,7 @@ from sitelens.plans.audit import stage_facts
 from sitelens.sources import store
 from sitelens.sources.crawl import parse_robots, parse_sitemaps, sitemap_urls
 from sitelens.sources.leads import INDUSTRIES, normalize_leads
-from sitelens.sources.staging import work_dir
+from sitelens.sources.staging import staged, work_dir
 
 c = F.col
 _facts: dict = {}
@@ -381,6 +381,20 @@ def m09(spark, sf):
     return store.from_scan_json(one, "scan_id string, created_at string, site_url string, risk_level string, risk_score int, status string")
 
 
+@query("s14_m09_nested_scan", """
+SELECT l_orderkey::VARCHAR AS scan_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey) - 1)::INT AS pos, l_linenumber::INT AS line,
+  l_quantity::DOUBLE AS quantity, l_partkey::BIGINT AS part, (count(*) OVER (PARTITION BY l_orderkey))::INT AS n_items, 'p' || min(l_partkey) OVER (PARTITION BY l_orderkey) AS first_tag, NULL::VARCHAR AS absent FROM lineitem""")
+def s14(spark, sf):
+    """Scans with nested items, written as one document each and read back by paths."""
+    item = F.struct(c("l_linenumber").alias("line"), c("l_quantity").cast("double").alias("quantity"), F.struct(c("l_partkey").alias("key")).alias("part"))
+    scans = table(spark, sf, "lineitem").groupBy(c("l_orderkey").cast("string").alias("scan_id")).agg(
+        F.array_sort(F.collect_list(item)).alias("items"), F.count("*").alias("n"), F.array(F.concat(F.lit("p"), F.min("l_partkey"))).alias("tags"))
+    docs = staged(store.to_scan_json(scans).select("scan_id", "raw_json"), work_dir(spark), "docs")
+    whole = store.scan_values(docs, {"n_items": ("$.n", "int"), "first_tag": ("$.tags[0]", "string"), "absent": ("$.not.there", "string")})
+    items = store.scan_items(docs, "$.items", {"line": "int", "quantity": "double", "part.key": "bigint"}).withColumnRenamed("part.key", "part")
+    return items.join(whole, "scan_id")
+
+
 @query("m10_report_register", "SELECT o_custkey::VARCHAR AS scan_id, arg_max('r' || o_orderkey || '.pdf', (strftime(o_orderdate, '%Y-%m-%d'), 'r' || o_orderkey || '.pdf')) AS pdf_path FROM orders GROUP BY o_custkey")
 def m10(spark, sf):
     exports = table(spark, sf, "orders").select(

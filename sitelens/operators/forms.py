@@ -1,7 +1,9 @@
 """Forms, fields and consent mechanics from element records.
 
-Everything here is one expression per page row: no explode, no shuffle. ``let`` binds an
-intermediate value once, so that a lambda over scopes does not evaluate it again per scope.
+Everything here is one expression per page row: no explode, no shuffle. What lies inside an element
+is a slice of the row's sorted arrays, by the ranges that the parser's sweep left on the element, so
+no lambda compares all pairs. ``let`` binds an intermediate value once, so that a lambda over scopes
+does not evaluate it again per scope.
 """
 
 from __future__ import annotations
@@ -13,9 +15,7 @@ from sitelens import catalogue
 from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions.text import let
-from sitelens.operators.html_parse import MAX_CONTAINERS
-
-NOT_A_FIELD = ("hidden", "submit", "button", "image", "reset")
+from sitelens.operators.html_parse import NOT_A_FIELD
 
 # ---- fixed values: words of form purposes and of consent ---------------------------
 NEWSLETTER = ("подписаться", "подписк", "рассылк", "новости", "subscribe", "newsletter", "дайджест")
@@ -73,8 +73,9 @@ def _first(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))
 
 
-def _within(inner: Column, outer: Column) -> Column:
-    return (inner["pos"] > outer["pos"]) & (inner["pos"] <= outer["last"])
+def _between(arr: Column, start: Column, end: Column) -> Column:
+    """Elements start .. end - 1, counted from 0."""
+    return F.slice(arr, start + 1, end - start)
 
 
 def _text(node: Column, text: Column) -> Column:
@@ -92,29 +93,21 @@ def _submit_class(node: Column) -> Column:
 
 def controls(nodes: Column, text: Column) -> Column:
     """Fillable fields with label and category; ``loose_category`` ignores ``<label for>``."""
-    def labelled(labels):
-        def one(c):
-            aria, title = X.clean_text(c["aria_label"]), X.clean_text(c["title"])
-            own = _first(F.filter(labels, lambda n: (n["label_for"] == X.strip(c["id"])) & (c["id"] != "")))
-            around = F.element_at(F.filter(labels, lambda n: _within(c, n)), -1)
-            near = F.when(F.size(F.filter(labels, lambda n: _within(c, n))) > 0, _text(around, text))
-            linked = F.when(own.isNotNull(), _text(own, text))
-
-            def pick(*options):
-                return F.coalesce(*[F.when(o != "", o) for o in options], F.lit(""))
-
-            return F.struct(
-                c["pos"].alias("pos"), X.strip(c["name"]).alias("name"),
-                F.when(c["tag"] != "input", c["tag"]).when(_kind(c) == "", "text").otherwise(_kind(c)).alias("field_type"),
-                pick(aria, linked, near, title).alias("label"), pick(aria, near, title).alias("loose_label"),
-                X.strip(c["placeholder"]).alias("placeholder"),
-                (c["required"] | (F.lower(X.strip(c["aria_required"])) == "true")).alias("required"),
-                c["html"].alias("html"),
-            )
-
-        fillable = F.filter(nodes, lambda n: n["tag"].isin("textarea", "select")
-                            | ((n["tag"] == "input") & ~_kind(n).isin(*NOT_A_FIELD)))
-        return F.transform(fillable, one)
+    def labelled(c):
+        aria, title = X.clean_text(c["aria_label"]), X.clean_text(c["title"])
+        linked, near = (F.when(c[k].isNotNull(), _text(c[k], text)) for k in ("linked", "around"))
+
+        def pick(*options):
+            return F.coalesce(*[F.when(o != "", o) for o in options], F.lit(""))
+
+        return F.struct(
+            c["pos"].alias("pos"), X.strip(c["name"]).alias("name"),
+            F.when(c["tag"] != "input", c["tag"]).when(_kind(c) == "", "text").otherwise(_kind(c)).alias("field_type"),
+            pick(aria, linked, near, title).alias("label"), pick(aria, near, title).alias("loose_label"),
+            X.strip(c["placeholder"]).alias("placeholder"),
+            (c["required"] | (F.lower(X.strip(c["aria_required"])) == "true")).alias("required"),
+            c["html"].alias("html"),
+        )
 
     def classified(c):
         def category(name):
@@ -126,45 +119,44 @@ def controls(nodes: Column, text: Column) -> Column:
             F.when(c["label"] == c["loose_label"], F.lit(None)).otherwise(category("loose_label")).alias("loose_category"),
         )
 
-    labels = F.filter(nodes, lambda n: n["tag"] == "label")
-    return F.transform(let(labels, labelled), classified)
+    fillable = F.filter(nodes, lambda n: n["tag"].isin("textarea", "select")
+                        | ((n["tag"] == "input") & ~_kind(n).isin(*NOT_A_FIELD)))
+    return F.transform(F.transform(fillable, labelled), classified)
 
 
-def scopes(nodes: Column, fields: Column, min_controls: int) -> Column:
-    """Every form, then the outermost form-less containers that look like one."""
+def scopes(nodes: Column, fields: Column, min_controls: int, containers: int | None = None) -> Column:
+    """Every form, then the outermost form-less containers that look like one, of the page's first
+    ``containers`` or of all."""
     forms = F.filter(nodes, lambda n: n["tag"] == "form")
     boxes = F.filter(nodes, lambda n: n["tag"].isin("div", "section", "aside", "article")
-                     & n["rank"].between(0, MAX_CONTAINERS - 1))
-    submits = F.filter(
-        nodes,
-        lambda n: ((n["tag"] == "button") & (_kind(n) != "reset"))
-        | ((n["tag"] == "input") & _kind(n).isin("submit", "button", "image"))
-        | ((n["tag"] == "a") & _submit_class(n)),
-    )
+                     & ~n["mixed"] & (n["f1"] > n["f0"]) & (n["s1"] > n["s0"])
+                     & (F.lit(True) if containers is None else n["rank"] < containers))
 
-    def chosen(b):
-        def ok(box):
-            own = F.filter(b["fields"], lambda c: _within(c, box))
-            personal = F.exists(own, lambda c: F.coalesce(c["loose_category"], c["category"]).isin(*P.PERSONAL_CATEGORIES))
-            return (
-                ~F.exists(b["forms"], lambda f: _within(box, f) | _within(f, box))
-                & (F.size(own) >= 1) & ((F.size(own) >= min_controls) | personal)
-                & F.exists(b["submits"], lambda s: _within(s, box))
-            )
+    def personal(c):
+        return F.coalesce(c["loose_category"], c["category"]).isin(*P.PERSONAL_CATEGORIES)
+
+    def outermost(gs):
+        """In document order a container lies inside an earlier one when that reaches over it."""
+        start = F.struct(F.lit(-1).alias("reach"), F.slice(gs, 1, 0).alias("out"))
+
+        def step(acc, g):
+            return F.struct(F.greatest(acc["reach"], g["last"]).alias("reach"),
+                            F.when(g["pos"] > acc["reach"], F.array_append(acc["out"], g)).otherwise(acc["out"]).alias("out"))
 
-        groups = F.filter(b["boxes"], ok)
-        outer = let(groups, lambda gs: F.filter(gs, lambda g: ~F.exists(gs, lambda o: _within(g, o))))
-        return F.concat(b["forms"], outer)
+        return F.aggregate(gs, start, step)["out"]
+
+    def chosen(b):
+        groups = F.filter(b["boxes"], lambda n: (n["f1"] - n["f0"] >= min_controls)
+                          | F.exists(_between(b["fields"], n["f0"], n["f1"]), personal))
+        return F.concat(b["forms"], let(groups, outermost))
 
-    return let(F.struct(forms.alias("forms"), boxes.alias("boxes"), submits.alias("submits"),
-                        fields.alias("fields")), chosen)
+    return let(F.struct(forms.alias("forms"), boxes.alias("boxes"), fields.alias("fields")), chosen)
 
 
 def _scope_facts(s: Column, i: Column, nodes: Column, fields: Column, text: Column) -> Column:
-    own = F.filter(fields, lambda c: _within(c, s))
-    inner = F.filter(nodes, lambda n: _within(n, s))
-    near = F.filter(nodes, lambda n: n["pos"].between(s["pos"], s["area_last"])
-                    & ~F.exists(s["area"], lambda a: a["pos"] == n["pos"]))
+    own = _between(fields, s["f0"], s["f1"])
+    inner = _between(nodes, s["n0"], s["n1"])
+    near = F.filter(_between(nodes, s["n0"] - 1, s["area_n1"]), lambda n: ~F.exists(s["area"], lambda a: a["pos"] == n["pos"]))
 
     def submit(ns):
         buttons = F.transform(F.filter(ns, lambda n: (n["tag"] == "button") & (_kind(n) != "reset")),
@@ -281,10 +273,10 @@ def _form(s: Column, source: str) -> Column:
     return let(let(bound, build), finish)
 
 
-def page_forms(nodes: Column, text: Column, source: str) -> Column:
+def page_forms(nodes: Column, text: Column, source: str, containers: int | None = None) -> Column:
     """array<form> of one page or one modal."""
     def build(b):
-        facts = F.transform(scopes(b["nodes"], b["fields"], 1 if source == "modal" else 2),
+        facts = F.transform(scopes(b["nodes"], b["fields"], 1 if source == "modal" else 2, containers),
                             lambda s, i: _scope_facts(s, i, b["nodes"], b["fields"], b["text"]))
         return F.transform(F.filter(facts, lambda s: F.size(s["fields"]) > 0), lambda s: _form(s, source))
 

@@ -1,8 +1,11 @@
 """The one Python stage: HTML text to flat element records (H01, H02, H04, inputs of H06-H09).
 
-It only tokenises. Every decision (what is a form, which label belongs to a field, where the
-consent text is) is taken later in Catalyst, on the ``pos``/``last`` pre-order intervals and on
-``t0``/``t1`` offsets into the page text.
+It tokenises and matches what nests. Every decision (what is a form, which words make a field
+personal, where the consent text is) is taken later in Catalyst, on ``t0``/``t1`` offsets into the
+page text and on ranges: one ordered sweep over the records gives each element the range of records
+(``n0``..``n1``), fields (``f0``..``f1``) and submit controls (``s0``..``s1``) inside it, and each
+field the text offsets of its labels. So a page with n elements costs n, not n squared, and has no
+limit on their number.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(("script", "style", "template", "rt", "rp"))
 CONTAINERS = frozenset(("div", "section", "aside", "article"))
-MAX_CONTAINERS = 600  # only the first containers of a page may count as forms
 CONTROLS = frozenset(("input", "textarea", "select"))
+NOT_A_FIELD = frozenset(("hidden", "submit", "button", "image", "reset"))
 KEPT = CONTAINERS | CONTROLS | {"form", "button", "a", "label"}
 ATTRS = ("type", "id", "for", "name", "placeholder", "aria-label", "title", "value", "alt", "href", "class",
          "role", "aria-checked", "aria-required")
@@ -34,7 +37,8 @@ NODES = (
     "name: string, placeholder: string, aria_label: string, title: string, value: string, alt: string, "
     "href: string, class: string, role: string, aria_checked: string, aria_required: string, checked: boolean, "
     "required: boolean, t0: int, t1: int, html: string, area: array<struct<pos: int, t0: int, t1: int>>, "
-    "area_last: int>>"
+    "n0: int, n1: int, f0: int, f1: int, s0: int, s1: int, area_n1: int, mixed: boolean, "
+    "linked: struct<t0: int, t1: int>, around: struct<t0: int, t1: int>>>"
 )
 ANCHORS = "array<struct<href: string, url: string, text: string, title: string, has_href: boolean>>"
 PARSED = (
@@ -184,23 +188,41 @@ class _Page(HTMLParser):
     def nodes(self, span):
         if not self.controls:
             return []
-        out = []
-        for el in self.kept:
-            if el.tag in CONTAINERS and (not el.holds or el.rank >= MAX_CONTAINERS) and el.attrs.get("role") != "checkbox":
-                continue
+        kept = [el for el in self.kept if el.tag not in CONTAINERS or el.holds or el.attrs.get("role") == "checkbox"]
+        at = {"node": [el.pos for el in kept], "field": [el.pos for el in kept if _is_field(el)],
+              "submit": [el.pos for el in kept if _is_submit(el)], "form": [el.pos for el in kept if el.tag == "form"]}
+        named = {}
+        for el in kept:
+            if el.tag == "label":
+                named.setdefault(el.attrs.get("for", ""), span(el))
+        out, labels, form_last = [], [], -1
+
+        def inside(kind, el):
+            return bisect_right(at[kind], el.pos), bisect_right(at[kind], el.last)
+
+        for el in kept:
+            while labels and labels[-1].last < el.pos:
+                labels.pop()
             rec = {a.replace("-", "_"): el.attrs.get(a, "") for a in ATTRS if a != "for"}
             t0, t1 = span(el)
             scope = el.tag == "form" or el.tag in CONTAINERS
             roots = [el] + self._following(el) if scope else []
-            area = [(r.pos, *span(r)) for r in roots]
+            (n0, n1), (f0, f1), (s0, s1), (g0, g1) = (inside(kind, el) for kind in at)
+            id_ = el.attrs.get("id", "").strip()
             rec.update(
                 pos=el.pos, last=el.last, tag=el.tag, rank=el.rank, label_for=el.attrs.get("for", ""), t0=t0, t1=t1,
                 checked="checked" in el.attrs, required=_truthy(el.attrs, "required"),
                 html=self.source[el.h0:min(el.h1, el.h0 + 900)] if scope or el.tag in CONTROLS else "",
-                area=[{"pos": p, "t0": a, "t1": b} for p, a, b in area],
-                area_last=max((r.last for r in roots), default=el.last),
+                area=[{"pos": r.pos, "t0": a, "t1": b} for r in roots for a, b in [span(r)]],
+                n0=n0, n1=n1, f0=f0, f1=f1, s0=s0, s1=s1, mixed=g1 > g0 or el.pos <= form_last,
+                area_n1=bisect_right(at["node"], max((r.last for r in roots), default=el.last)),
+                linked=_offsets(named.get(id_) if id_ else None), around=_offsets(span(labels[-1]) if labels else None),
             )
             out.append(rec)
+            if el.tag == "label":
+                labels.append(el)
+            if el.tag == "form":
+                form_last = max(form_last, el.last)
         return out
 
     @staticmethod
@@ -210,6 +232,24 @@ class _Page(HTMLParser):
         return kids[at:at + 3]
 
 
+def _kind(el):
+    return el.attrs.get("type", "").strip().lower()
+
+
+def _is_field(el):
+    return el.tag in ("textarea", "select") or (el.tag == "input" and _kind(el) not in NOT_A_FIELD)
+
+
+def _is_submit(el):
+    if el.tag == "a":
+        return any(word in el.attrs.get("class", "").lower() for word in ("btn", "button", "submit"))
+    return (el.tag == "button" and _kind(el) != "reset") or (el.tag == "input" and _kind(el) in ("submit", "button", "image"))
+
+
+def _offsets(span):
+    return None if span is None else {"t0": span[0], "t1": span[1]}
+
+
 def _truthy(attrs, name):
     return name in attrs and attrs[name].strip().lower() in ("", name, "true", "required", "checked")
 

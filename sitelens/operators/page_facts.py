@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import elements as P
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
+from sitelens.limits import NONE, Limits
 from sitelens.operators import forms, trackers
 from sitelens.operators.html_parse import parse_udfs
 
@@ -36,7 +37,7 @@ def complete(pages: DataFrame) -> DataFrame:
     return pages.withColumns({k: v for k, v in add.items() if k not in have})
 
 
-def page_facts(pages: DataFrame, trackers_path=None) -> DataFrame:
+def page_facts(pages: DataFrame, trackers_path=None, limits: Limits = NONE) -> DataFrame:
     parse, parse_modals = parse_udfs()
     with_modals = "modal_htmls" in pages.columns
     raw = complete(pages)
@@ -60,14 +61,14 @@ def page_facts(pages: DataFrame, trackers_path=None) -> DataFrame:
         "errors": F.coalesce("errors", blank),
     })
     requests = F.coalesce("network_requests", F.array_distinct(F.concat("script_srcs", "iframe_srcs", "external_resources")))
-    found = F.concat(forms.page_forms(F.col("p.nodes"), F.col("p.text"), "html"),
+    found = F.concat(forms.page_forms(F.col("p.nodes"), F.col("p.text"), "html", limits.containers),
                      forms.widget_forms(F.col("html"), F.col("low")))
     if with_modals:
         df = df.withColumn("m", parse_modals(F.coalesce("modal_htmls", blank)))
         bodies = F.filter(F.coalesce("modal_htmls", blank), lambda h: h != "")
         found = F.concat(
             found,
-            F.flatten(F.transform(F.col("m"), lambda m: forms.page_forms(m["nodes"], m["text"], "modal"))),
+            F.flatten(F.transform(F.col("m"), lambda m: forms.page_forms(m["nodes"], m["text"], "modal", limits.containers))),
             F.flatten(F.transform(bodies, lambda h: forms.widget_forms(h, F.lower(h)))),
         )
     cookies = F.coalesce("cookies", trackers.parse_set_cookie(F.col("set_cookie"), F.col("page_url")))

@@ -60,11 +60,11 @@ def _empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], ddl)
 
 
-def stage_facts(pages: DataFrame, folder: str, trackers=None) -> DataFrame:
+def stage_facts(pages: DataFrame, folder: str, trackers=None, limits: Limits = NONE) -> DataFrame:
     """Page facts as a written table with a stable row id. Pages may be megabytes long, so Arrow
     batches hold few of them."""
     with sql_conf(pages.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "256"):
-        return staged(page_facts(pages, trackers).withColumn("uid", F.monotonically_increasing_id()), folder, "facts")
+        return staged(page_facts(pages, trackers, limits).withColumn("uid", F.monotonically_increasing_id()), folder, "facts")
 
 
 def audit(
@@ -91,7 +91,7 @@ def audit(
     (``operators.domains.read_suffixes``), by default the list that Spark brings along."""
     spark = leads.sparkSession
     folder = folder or work_dir(spark)
-    facts = facts if facts is not None else stage_facts(pages, folder, catalogues.trackers)
+    facts = facts if facts is not None else stage_facts(pages, folder, catalogues.trackers, limits)
     suffixes = staged(bundled_suffixes(spark) if suffixes is None else suffixes, folder, "suffixes")
     homes = staged(with_site_domain(D.homepages(leads, facts), suffixes), folder, "homes")
     winners = staged(D.url_winners(facts), folder, "urls")

@@ -1,14 +1,15 @@
 from pyspark.sql import functions as F
 
+from sitelens.limits import INTERACTIVE, NONE
 from sitelens.operators.html_parse import parse_page
 from sitelens.operators.page_facts import page_facts
 
 
-def forms_of(spark, *htmls, modals=None):
+def forms_of(spark, *htmls, modals=None, limits=NONE):
     cols = "i int, url string, html string" + (", modal_htmls array<string>" if modals else "")
     rows = [(i, "https://a.ru/x", h) + ((modals[i],) if modals else ()) for i, h in enumerate(htmls)]
     df = spark.createDataFrame(rows, cols).withColumnRenamed("i", "page_pos")
-    out = page_facts(df).select("page_pos", F.posexplode("forms").alias("pos", "f")).orderBy("page_pos", "pos").collect()
+    out = page_facts(df, limits=limits).select("page_pos", F.posexplode("forms").alias("pos", "f")).orderBy("page_pos", "pos").collect()
     return [[r.f for r in out if r.page_pos == i] for i in range(len(htmls))]
 
 
@@ -29,9 +30,9 @@ def test_scopes(spark):
     assert got[3][0].source == "html" and got[3][0].personal_data_fields == ["email"]
 
 
-def test_box_beyond_the_cap_is_ignored(spark):
+def test_box_beyond_a_set_cap_is_ignored(spark):
     html = "<div></div>" * 600 + "<div><input type=tel name=p><button>Ок</button></div>"
-    assert forms_of(spark, html) == [[]]
+    assert forms_of(spark, html, limits=INTERACTIVE) == [[]] and len(forms_of(spark, html)[0]) == 1
 
 
 def test_labels_and_categories(spark):
@@ -85,4 +86,28 @@ def test_parser_survives_anything():
         assert isinstance(parse_page(bad, "https://s.ru/")["text"], str)
     assert parse_page("<![x y[z]]>ok", "")["text"].endswith("ok")
     deep = parse_page("<div>" * 5000 + "<input name=a><button>b</button>", "")
-    assert sum(n["tag"] == "div" for n in deep["nodes"]) == 600
+    assert sum(n["tag"] == "div" for n in deep["nodes"]) == 5000
+
+
+def _many(n, wrap=0):
+    one = '<section><input name="n{0}"><label for="i{0}">Телефон {0}</label><input id="i{0}" type="tel"><button>Отправить</button></section>'
+    return "<body>" + "<div><p>x</p>" * wrap + "".join(one.format(i) for i in range(n)) + "</div>" * wrap + "</body>"
+
+
+def test_pages_of_many_containers(spark):
+    """10,000 fields in 5,000 containers, and containers below 700 others: all found, in seconds."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.page_facts import page_facts
+
+    deep = "<div>" * 700 + '</div>' * 700 + '<section><input name="user_name"><input type="tel"><button>Go</button></section>'
+    df = spark.createDataFrame([("https://a.ru/", _many(5000)), ("https://b.ru/", deep), ("https://c.ru/", _many(3, 5))], "url string, html string")
+    page_facts(df.limit(0)).select("url", "forms").collect()
+    start = time.perf_counter()
+    got = {r.url: r.forms for r in page_facts(df).select("url", "forms").collect()}
+    assert time.perf_counter() - start < 60
+    forms = got["https://a.ru/"]
+    assert len(forms) == 5000 and [f.label for f in forms[4999].fields] == ["", "Телефон 4999"] and forms[4999].submit_text == "Отправить"
+    assert len(got["https://b.ru/"]) == 1 and len(got["https://c.ru/"]) == 1 and len(got["https://c.ru/"][0].fields) == 6

@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sitelens import catalogue
@@ -80,6 +82,51 @@ def test_targeted_plan(spark):
     assert sum("/contact/" in r.url for r in D.plan_pages(many, sitemap.limit(0), homes, limits=INTERACTIVE).collect()) == 4
 
 
+def test_broken_write_changes_nothing(spark, tmp_path, monkeypatch):
+    """A job that dies between two tables, and one that another writer overtakes, leave the old scan whole."""
+    path = str(tmp_path / "mart")
+    scans = spark.range(8).select(F.col("id").cast("string").alias("scan_id"), F.lit("low").alias("risk_level"))
+    risks = scans.select("scan_id", F.lit("R001").alias("risk_id"))
+    store.write_scan_mart({"scans": scans, "risks": risks}, path)
+    new = {"scans": scans.where("scan_id = '3'").withColumn("risk_level", F.lit("high")), "risks": risks.where("scan_id = '3'").withColumn("risk_id", F.lit("R002"))}
+    write = store.Manifest.write
+
+    def dies(self, name, *more):
+        if name == "risks":
+            raise OSError("executor lost")
+        write(self, name, *more)
+
+    def state():
+        return (sorted(tuple(r) for r in store.read_table(spark, path).drop("bucket").collect()),
+                sorted(tuple(r) for r in store.read_table(spark, path, "risks").drop("bucket").collect()))
+
+    before = state()
+    monkeypatch.setattr(store.Manifest, "write", dies)
+    with pytest.raises(OSError):
+        store.upsert_scans(new, path)
+    assert state() == before
+    monkeypatch.setattr(store.Manifest, "write", write)
+    slow = store.Manifest(spark, path)
+    slow.write("scans", new["scans"], store.BUCKETS)
+    store.upsert_scans(new, path)
+    after = state()
+    assert ("3", "high") in after[0] and ("3", "R002") in after[1] and len(after[0]) == 8
+    with pytest.raises(AnalysisException):
+        slow.commit()
+    assert state() == after
+    store.delete_scans_in(spark, path, scans)
+    assert state() == ([], []) and store.read_table(spark, path).columns == ["scan_id", "risk_level", "bucket"]
+
+
+def test_nested_documents(spark):
+    """Nested items come back typed; scans of another shape give NULL, not an error."""
+    rows = [("1", '{"scan_id": "1", "score": 7, "pages": [{"url": "a", "forms": [{"n": 2}]}, {"url": "b"}]}'), ("2", '{"score": "x", "new": true}'), ("3", "{broken"), ("4", None)]
+    df = spark.createDataFrame(rows, "scan_id string, raw_json string")
+    got = {r.scan_id: tuple(r)[1:] for r in store.scan_values(df, {"score": ("$.score", "int"), "n": ("$.pages[0].forms[0].n", "int"), "new": ("$.new", "boolean")}).collect()}
+    assert got == {"1": (7, 2, None), "2": (None, None, True), "3": (None, None, None), "4": (None, None, None)}
+    assert [tuple(r) for r in store.scan_items(df, "$.pages", {"url": "string"}).orderBy("pos").collect()] == [("1", 0, "a"), ("1", 1, "b")]
+
+
 def test_store(spark, tmp_path):
     path = str(tmp_path / "mart")
     scans = spark.range(40).select(F.col("id").cast("string").alias("scan_id"), F.lit("a").alias("created_at"), F.lit("low").alias("risk_level"))
@@ -95,6 +142,9 @@ def test_store(spark, tmp_path):
     store.delete_scans_in(spark, path, scans.where("scan_id < '2'"), ("scans", "risks"))
     left = {r.scan_id for r in store.read_table(spark, path).collect()}
     assert left == {str(i) for i in range(40) if not str(i) < "2"}
+    assert store.read_table(spark, path, version=1).count() == 40 and store.Manifest(spark, path).version == 5
+    stale = {r.path for r in store.unreferenced(spark, path).collect()}
+    assert stale and store.read_table(spark, path).select(F.input_file_name().alias("f")).where(F.col("f").isin(*stale)).count() == 0
     store.export_results(scans, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 40
 
