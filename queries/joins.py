@@ -178,15 +178,34 @@ def j04(spark, sf):
 
 
 @query("j09_server_country", """
-SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE n_name END AS country, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 80 END AS confidence
-FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE n_name END AS country,
+  CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 80 END AS confidence
+FROM (SELECT c.*, CASE WHEN c_custkey % 5 = 3 THEN 'V6 ' || n_name WHEN c_custkey % 5 = 4 AND c_custkey % 256 >= 192 THEN 'WIDE' ELSE n_name END AS n_name FROM customer c JOIN nation ON c_nationkey = n_nationkey)""")
 def j09(spark, sf):
-    n = table(spark, sf, "nation").select(
-        ((c("n_nationkey") + 60) * 16777216).cast("long").alias("range_start"), ((c("n_nationkey") + 60) * 16777216 + 16777215).cast("long").alias("range_end"),
-        c("n_name").alias("country"))
-    ips = F.array(F.lit("10.0.0.1"), F.when(c("c_custkey") % 5 != 0, F.concat((c("c_nationkey") + 60).cast("string"), F.lit("."), (c("c_custkey") % 256).cast("string"), F.lit(".1.1"))).otherwise("192.168.1.1"))
+    """/8 ranges of nations, a small range inside each (the wide one begins first and counts), one that
+    overlaps the end of each and ends in the next /8, and IPv6 ranges over several groups."""
+    block = 16777216
+    n, top = table(spark, sf, "nation"), (c("n_nationkey") + 60) * block
+
+    def dotted(x):
+        return F.concat_ws(".", *(F.shiftright(x.cast("long"), s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)))
+
+    def rows(lo, hi, name):
+        return n.select(lo.alias("first_ip"), hi.alias("last_ip"), name.alias("country"))
+
+    group = F.lower(F.hex(c("n_nationkey") + 4096))
+    ranges = (rows(dotted(top), dotted(top + block * 3 / 4 - 1), c("n_name"))
+              .union(rows(dotted(top + 256), dotted(top + 511), F.lit("inside")))
+              .union(rows(dotted(top + block / 2), dotted(top + block - 1), F.lit("WIDE")))
+              .union(rows(F.concat(F.lit("2a00:"), group, F.lit("::")), F.concat(F.lit("2a00:"), group, F.lit(":ffff:ffff:ffff:ffff:ffff:ffff")), F.concat(F.lit("V6 "), "n_name"))))
+    second = (c("c_custkey") % 256).cast("string")
+    v4 = F.concat((c("c_nationkey") + 60).cast("string"), F.lit("."), second, F.lit(".1.1"))
+    v6 = F.concat(F.lit("2A00:"), F.hex(c("c_nationkey") + 4096), F.lit(":0:1::"), second)
+    low = F.concat((c("c_nationkey") + 60).cast("string"), F.lit("."), (c("c_custkey") % 192).cast("string"), F.lit(".1.1"))
+    m = c("c_custkey") % 5
+    ips = F.array(F.lit("10.0.0.1"), F.when(m == 0, "192.168.1.1").when(m == 3, v6).when(m == 4, F.concat(F.lit("::ffff:"), v4)).otherwise(low))
     sites = table(spark, sf, "customer").select(c("c_custkey").alias("site_id"), F.posexplode(ips).alias("ip_pos", "ip"))
-    return A.server_country(sites, n).select(c("site_id").alias("c_custkey"), c("server_country").alias("country"), c("geoip_confidence").alias("confidence"))
+    return A.server_country(sites, ranges).select(c("site_id").alias("c_custkey"), c("server_country").alias("country"), c("geoip_confidence").alias("confidence"))
 
 
 @query("j14_a11_liability", """

@@ -137,6 +137,35 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4), n)
 
 
+def ip_key(ip: Column) -> Column:
+    """An address as text whose order is that of the numbers: ``4`` and 8 hexadecimal digits, or ``6`` and
+    32. An IPv4 address inside an IPv6 one (``::ffff:1.2.3.4``) counts as IPv4; NULL for anything else."""
+    def v4(n):
+        return F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0"))
+
+    def padded(groups):
+        return F.transform(F.filter(groups, lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+
+    def v6(t):
+        tail = ipv4_number(F.regexp_extract(t, r"([^:]*)$", 1))
+        dotted = t.contains(".")
+        low = F.lpad(F.lower(F.hex(tail)), 8, "0")
+        whole = F.when(dotted, F.concat(F.regexp_replace(t, r"[^:]*$", ""), F.substring(low, 1, 4), F.lit(":"), F.substring(low, 5, 4))).otherwise(t)
+
+        def of(w):
+            short = w.contains("::")
+            left, right = padded(F.split(F.split_part(w, F.lit("::"), F.lit(1)), ":")), padded(F.split(F.when(short, F.substring_index(w, "::", -1)).otherwise(""), ":"))
+            n = F.size(left) + F.size(right)
+            good = w.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$") & F.when(short, n <= 7).otherwise(n == 8)
+            digits = F.concat(F.array_join(left, ""), F.when(short, F.repeat(F.lit("0000"), F.lit(8) - n)).otherwise(""), F.array_join(right, ""))
+            return F.when(good, let(digits, lambda d: F.when(d.startswith("0" * 20 + "ffff"), F.concat(F.lit("4"), F.substring(d, 25, 8))).otherwise(F.concat(F.lit("6"), d))))
+
+        return F.when(t.contains(":") & (~dotted | tail.isNotNull()), let(whole, of))
+
+    number = ipv4_number(ip)
+    return F.when(number.isNotNull() & number.between(0, 2 ** 32 - 1), v4(number)).otherwise(let(F.lower(F.btrim(ip)), v6))
+
+
 # Address blocks that are not globally reachable.
 PRIVATE_BLOCKS = (
     "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",

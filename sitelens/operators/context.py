@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import elements as P
@@ -10,6 +10,7 @@ from sitelens.functions import text as X
 from sitelens.functions import urls as U
 from sitelens.operators import trackers as T
 from sitelens.operators.domains import with_site_domain
+from sitelens.sources.staging import staged, work_dir
 
 # ---- fixed values -----------------------------------------------------------------
 MEDICAL_TITLES = ("диагноз", "симптом", "запись к врачу", "клиник", "прием врача")
@@ -143,19 +144,59 @@ def technical(homes: DataFrame, audit: DataFrame, robots: DataFrame, sitemap: Da
         F.coalesce("sitemap_found", F.lit(False)).alias("sitemap_found"))
 
 
+def address_ranges(ranges: DataFrame) -> DataFrame:
+    """lo, hi (as ``ip_key``) and country of ranges given as IPv4 numbers (range_start, range_end) or as
+    addresses of either family (first_ip, last_ip). Ranges without a country and broken ones are left out."""
+    if "first_ip" in ranges.columns:
+        ends = U.ip_key(F.col("first_ip")), U.ip_key(F.col("last_ip"))
+    else:
+        ends = tuple(F.concat(F.lit("4"), F.lpad(F.lower(F.hex(c)), 8, "0")) for c in ("range_start", "range_end"))
+    keyed = ranges.where(F.col("country") != "").select(ends[0].alias("lo"), ends[1].alias("hi"), "country")
+    return keyed.where((F.col("lo") <= F.col("hi")) & (F.substring("lo", 1, 1) == F.substring("hi", 1, 1)))
+
+
+def _carried(parts: DataFrame, *names: str) -> DataFrame:
+    """Per bucket the last values of all earlier buckets (or the largest, where there is one column):
+    a window over one row a bucket."""
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    if len(names) == 1:
+        return parts.select("bucket", F.max(names[0]).over(before).alias(f"carried_{names[0]}"))
+    return parts.select("bucket", *(F.last(n, True).over(before).alias(f"carried_{n}") for n in names))
+
+
+def address_country(ips: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ip, country of every distinct address (column ip) inside a range; of overlapping ranges the one that
+    begins first counts. An as-of join: ranges and addresses are sorted together, and each address takes
+    the last range before it. The sort is dealt by the leading digits of the address (a /8 of IPv4, a /16
+    of IPv6); what reaches over a bucket's end is carried by a window over one row a bucket, so wide ranges
+    are not split and neither side is broadcast."""
+    bucket = F.substring("key", 1, F.when(F.col("key").startswith("4"), 3).otherwise(5))
+    # both sides are written with their keys: the plans below read a key often, and it costs much to make
+    folder = work_dir(ranges.sparkSession)
+    known = staged(address_ranges(ranges), folder, "ranges").withColumn("key", F.col("lo")).withColumn("bucket", bucket)
+    # what an earlier range covers is its own: each range keeps what lies behind all ends before it
+    reach = _carried(known.groupBy("bucket").agg(F.max("hi").alias("hi")), "hi")
+    earlier = Window.partitionBy("bucket").orderBy("lo", F.desc("hi"), "country").rowsBetween(Window.unboundedPreceding, -1)
+    inside = known.withColumn("before", F.max("hi").over(earlier)).join(reach, "bucket", "left").withColumn(
+        "before", F.greatest("before", "carried_hi")).where("before is null or hi > before")
+    # "~" sorts behind a key and before the next one
+    segments = staged(inside.select(F.when(F.col("before") >= F.col("lo"), F.concat("before", F.lit("~"))).otherwise(F.col("lo")).alias("key"), "hi", "country"), folder, "segments")
+    asked = staged(ips.select("ip").distinct().select(U.ip_key(F.col("ip")).alias("key"), "ip"), folder, "addresses").where("key is not null")
+    both = segments.withColumn("ip", F.lit(None).cast("string")).unionByName(
+        asked.withColumns({"hi": F.lit(None).cast("string"), "country": F.lit(None).cast("string")})).withColumn("bucket", bucket)
+    last = _carried(both.groupBy("bucket").agg(
+        F.max_by("hi", F.when(F.col("hi").isNotNull(), F.col("key"))).alias("hi"), F.max_by("country", F.when(F.col("hi").isNotNull(), F.col("key"))).alias("country")), "hi", "country")
+    upto = Window.partitionBy("bucket").orderBy("key", F.col("ip").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select("bucket", "key", "ip", F.last("hi", True).over(upto).alias("at_hi"), F.last("country", True).over(upto).alias("at_country")).where("ip is not null")
+    return found.join(last, "bucket", "left").withColumns({
+        "country": F.when(F.col("at_hi").isNotNull(), F.col("at_country")).otherwise(F.col("carried_country")),
+        "at_hi": F.coalesce("at_hi", "carried_hi")}).where("at_hi >= key").select("ip", "country")
+
+
 def server_country(ips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(site_id, ip_pos, ip) and (range_start, range_end, country): country of the first public
-    address inside a range, confidence 80. The range table is split by /16 block, so the range
-    condition becomes an equi-join and no side has to be broadcast."""
-    block = 65536
-    blocks = ranges.where(F.col("country") != "").select(
-        "range_start", "range_end", "country",
-        F.explode(F.sequence((F.col("range_start") / block).cast("long"), (F.col("range_end") / block).cast("long"))).alias("b"))
-    # addresses are resolved once each: a delivery network's block is hot by site, not by address
-    known = ips.select("ip").distinct().withColumn("n", U.ipv4_number(F.col("ip")))
-    public = known.where(~U.is_private_ip(F.col("ip")) & F.col("n").isNotNull()).withColumn("b", (F.col("n") / block).cast("long"))
-    resolved = public.join(blocks, "b").where("n between range_start and range_end").groupBy("ip").agg(
-        F.min_by("country", "range_start").alias("country"))
+    """(site_id, ip_pos, ip) and ranges (see address_ranges): country of the first public address inside
+    a range, confidence 80. An address is resolved once, however many sites share it."""
+    resolved = address_country(ips.where(~U.is_private_ip(F.col("ip"))), ranges)
     hit = ips.join(resolved, "ip").groupBy("site_id").agg(F.min_by("country", F.struct("ip_pos", "ip")).alias("server_country"))
     all_ips = ips.groupBy("site_id").agg(
         F.expr("transform(array_sort(collect_list(struct(ip_pos, ip))), x -> x.ip)").alias("ip_addresses"))

