@@ -3,10 +3,9 @@ hand from the fragments in ``queries.crawl``; the SQL rolls them up per host."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from queries.crawl import CTE, audited, facts
+from queries.crawl import CTE, PATHS, audited, facts
 from queries.joins import vals
 from queries.registry import query
 from sitelens.functions import urls as U
@@ -14,6 +13,7 @@ from sitelens.operators import checklist as C
 from sitelens.operators import documents as W
 from sitelens.operators import findings as Fi
 from sitelens.operators import rules as R
+from sitelens.operators.discovery import PLAN_GUESSES
 from sitelens.plans import report
 from sitelens.sources.crawl import body_texts
 
@@ -76,7 +76,8 @@ def page_trackers(spark, sf):
 @query("h04_p08_p15_page_resources", CTE + """
 SELECT page_id, k IN (6, 7) OR (page_id = home_id AND k IN (1, 2)) AS banner, CASE k WHEN 6 THEN 2 WHEN 10 THEN 3 ELSE 0 END AS n_requests,
   CASE WHEN k = 10 THEN 'Fastly' ELSE '' END AS cdn, CASE WHEN k = 10 AND h.scheme = 'https' THEN 'http://static.example.org/pic.png' ELSE '' END AS insecure,
-  CASE k WHEN 6 THEN 'Google Tag Manager,Яндекс.Метрика' WHEN 10 THEN 'Hotjar' ELSE '' END AS risky FROM base b JOIN hosts h USING (host)""")
+  CASE k WHEN 6 THEN 'Google Tag Manager,Яндекс.Метрика' WHEN 10 THEN 'Hotjar' ELSE '' END AS risky FROM base b JOIN hosts h USING (host)
+UNION ALL SELECT NULL, FALSE, 0, '', '', '' FROM audited WHERE page_id IS NULL""")
 def resources(spark, sf):
     return facts(spark, sf).select(
         "page_id", c("banner_found").alias("banner"), F.size("network_requests").alias("n_requests"), F.coalesce("cdn", F.lit("")).alias("cdn"),
@@ -89,16 +90,20 @@ def homes(spark, sf):
     return audited(spark, sf).homes.select(c("site_id").alias("host"), "base_url", "home_url", "reachable")
 
 
-@query("d07_audit_set", CTE + """
-SELECT host, page_id, is_home FROM audited""")
+@query("d07_audit_set", CTE + f"""
+, p AS (SELECT host, unnest({sorted(set(PATHS) | set(PLAN_GUESSES))}) AS path FROM hosts)
+SELECT host, path, page_id, is_home, TRUE AS stored, 0 AS n_errors FROM audited
+UNION ALL SELECT host, path, NULL, FALSE, FALSE, 1 FROM p ANTI JOIN audited USING (host, path)""")
 def audit_pages(spark, sf):
-    return audited(spark, sf).audit.where("stored").select(c("site_id").alias("host"), "page_id", (c("page_pos") == 0).alias("is_home"))
+    """All audited pages of all hosts, with the planned ones that are not stored."""
+    return audited(spark, sf).audit.select(c("site_id").alias("host"), U.url_path(c("url")).alias("path"), "page_id", (c("page_pos") == 0).alias("is_home"),
+                                           "stored", F.size("errors").alias("n_errors"))
 
 
 @query("a01_site_context", CTE + """
 SELECT host, n_pd AS n_forms, n_pd AS n_pd_forms, n_linked AS n_pd_linked, k4 AS newsletter_form, k5 AS file_upload, k5 AS medical, children, hr, k2 AS ecommerce,
   trackers AS trackers_present, trackers AS foreign_trackers_present, cookies AS cookies_present, banner AS cookie_banner_found, cookies AS marketing_before_consent,
-  d7 AS has_privacy_policy, d6 AND home_k <> 11 AS has_cookie_policy, d11 AND home_k <> 11 AS has_ad_consent, d8 AND home_k <> 11 AS has_user_agreement,
+  d7 AS has_privacy_policy, d6 AND linked AS has_cookie_policy, d11 AND linked AS has_ad_consent, d8 AND linked AS has_user_agreement,
   scheme = 'https' AS https_enabled, k10 AND scheme = 'https' AS mixed_content_found FROM flags""")
 def context(spark, sf):
     return audited(spark, sf).context.select(
@@ -127,7 +132,7 @@ def before(spark, sf):
 
 
 @query("w01_documents", CTE + """
-, d AS (SELECT *, home_k <> 11 AS linked FROM flags)
+, d AS (SELECT * FROM flags)
 SELECT host, 'privacy_policy' AS doc_type, d7 AS readable, d7 AS present, d7 AS confirmed FROM d
 UNION ALL SELECT host, 'cookie_policy', coalesce(d6 AND linked, FALSE), coalesce(d6 AND linked, FALSE), coalesce(d6 AND linked, FALSE) FROM d
 UNION ALL SELECT host, 'user_agreement', coalesce(d8 AND linked, FALSE), coalesce(d8 AND linked, FALSE), coalesce(d8 AND linked, FALSE) FROM d
@@ -161,16 +166,17 @@ def policy_items(spark, sf):
 
 
 @query("k01_k04_conflicts", CTE + """
-, d AS (SELECT *, home_k <> 11 AS linked FROM flags)
-SELECT host, 'user_agreement' AS doc_type, 'tracker_not_disclosed' AS type FROM d WHERE d8 AND linked AND trackers
-UNION ALL SELECT host, 'user_agreement', 'cookies_not_disclosed' FROM d WHERE d8 AND linked AND cookies
-UNION ALL SELECT host, 'user_agreement', 'company_conflict' FROM d WHERE d8 AND linked""")
+SELECT host, 'user_agreement' AS doc_type, 'tracker_not_disclosed' AS type FROM flags WHERE d8 AND trackers
+UNION ALL SELECT host, 'user_agreement', 'cookies_not_disclosed' FROM flags WHERE d8 AND cookies
+UNION ALL SELECT host, 'user_agreement', 'company_conflict' FROM flags WHERE d8
+UNION ALL SELECT host, 'cookie_policy', 'company_conflict' FROM flags WHERE mail6
+UNION ALL SELECT host, 'privacy_policy', 'company_conflict' FROM flags WHERE mail7""")
 def conflicts(spark, sf):
-    return audited(spark, sf).conflicts.where("doc_type = 'user_agreement'").select(c("site_id").alias("host"), "doc_type", "type")
+    return audited(spark, sf).conflicts.select(c("site_id").alias("host"), "doc_type", "type")
 
 
 RULES_CTE = CTE + """
-, f AS (SELECT *, home_k <> 11 AS linked, NOT d7 AND pd AS r1,
+, f AS (SELECT *, NOT d7 AND pd AS r1,
   (k2 OR k4 OR k5 OR k9) AS r2, (k3 OR k4 OR k5 OR k9) AS r3 FROM flags),
 fired AS (
   SELECT host, unnest([
@@ -301,7 +307,8 @@ def cards(spark, sf):
     return report.risk_cards(audited(spark, sf).risks).select(c("site_id").alias("host"), "rank", "level", "level_label")
 
 
-PAGES = "CASE WHEN home_k = 11 THEN 9 ELSE 20 END"
+#: the homepage, the archive, and all linked or guessed paths, stored or not
+PAGES = f"(1 + n_archived + {len(set(PATHS) | set(PLAN_GUESSES))})"
 
 
 @query("a09_a18_confidence", SCORE_CTE + f"""
@@ -314,7 +321,7 @@ def confidence(spark, sf):
 
 
 @query("w08_unique_documents", CTE + """
-, d AS (SELECT *, home_k <> 11 AS linked, scheme || '://' || host AS b FROM flags)
+, d AS (SELECT *, scheme || '://' || host AS b FROM flags)
 SELECT host, 'privacy_policy' AS doc_type, b || '/privacy-policy' AS url, FALSE AS manual_only FROM d WHERE d7
 UNION ALL SELECT host, 'cookie_policy', b || '/about', FALSE FROM d WHERE d6 AND linked
 UNION ALL SELECT host, 'user_agreement', b || '/legal/doc-8', FALSE FROM d WHERE d8 AND linked
@@ -378,16 +385,13 @@ def bodies(spark, sf):
 
 
 @query("j12_suggestions", CTE + """
-, s AS (SELECT b.host, b.page_id, b.k, h.home_k, row_number() OVER (PARTITION BY b.host ORDER BY b.page_id) AS n FROM base b JOIN hosts h USING (host)
-  WHERE b.page_id <> h.home_id AND b.page_id NOT IN (SELECT page_id FROM firsts) AND b.k IN (0, 7))
-SELECT host, page_id FROM s WHERE n <= 10 AND k = 7""")
+SELECT host, page_id FROM audited WHERE path LIKE '/archive/%' AND k IN (1, 3, 7)""")
 def suggestions(spark, sf):
-    """A reviewer names the archived pages of a site as policies; those that read like one are kept."""
+    """A reviewer names all archived pages of a site as policies; those that read like one are kept."""
     a = audited(spark, sf)
-    pages = a.facts.where(c("url").contains("/archive/") & (c("page_id") % 12).isin(0, 7)).withColumn("host", U.get_host(c("url")))
-    first = pages.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).where("n <= 25")
-    item = F.struct("n", F.struct("url", F.lit("privacy_policy").alias("doc_type")).alias("s"))
-    answers = first.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("l")).select(
+    pages = a.facts.where(c("url").contains("/archive/")).withColumn("host", U.get_host(c("url")))
+    item = F.struct("page_id", F.struct("url", F.lit("privacy_policy").alias("doc_type")).alias("s"))
+    answers = pages.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("l")).select(
         c("host").alias("site_id"), F.concat(F.lit("```json\n"), F.to_json(F.struct(c("l").alias("missed_documents"))), F.lit("\n```")).alias("answer"))
     new = W.ground_suggestions(W.read_suggestions(answers), a.documents, a.homes, a.audit, a.facts)
     return new.select(c("site_id").alias("host"), F.regexp_extract("url", r"/archive/(\d+)", 1).cast("long").alias("page_id"))
@@ -412,12 +416,13 @@ def verdicts(spark, sf):
 
 
 @query("j11_merge_conflicts", CTE + """
-SELECT host, 'user_agreement' AS doc_type, type, risk FROM flags, (VALUES ('tone', 'medium'), ('company_name', 'high')) v(type, risk)
-WHERE type = 'tone' OR (d8 AND home_k <> 11)""")
+, d AS (SELECT *, unnest(['privacy_policy', 'cookie_policy', 'user_agreement', 'consent', 'ad_consent', 'offer']) AS doc_type FROM flags)
+SELECT host, doc_type, type, risk FROM d, (VALUES ('tone', 'medium'), ('company_name', 'high')) v(type, risk)
+WHERE type = 'tone' OR CASE doc_type WHEN 'user_agreement' THEN d8 WHEN 'cookie_policy' THEN mail6 WHEN 'privacy_policy' THEN mail7 END""")
 def outside_conflicts(spark, sf):
     a = audited(spark, sf)
     _, claimed = C.read_verdicts(_answers(a))
-    return C.merge_conflicts(a.conflicts, claimed).where("source = 'llm' and doc_type = 'user_agreement'").select(
+    return C.merge_conflicts(a.conflicts, claimed).where("source = 'llm'").select(
         c("site_id").alias("host"), "doc_type", "type", "risk")
 
 
