@@ -144,25 +144,55 @@ def documents(spark, sf):
                     c("link_confirmed").alias("confirmed"))
 
 
-# items of the policy fragment that no site flag changes, and the ones that do
-@query("c01_c23_policy_items", CTE + """
-, d AS (SELECT * FROM flags WHERE d7),
-i AS (SELECT unnest(['PP_001','PP_003','PP_004','PP_005','PP_006','PP_008','PP_009','PP_010','PP_011','PP_015','PP_018','PP_019','PP_026','PP_031']) AS item_id)
-SELECT host, item_id, 'found' AS status FROM d, i
-UNION ALL SELECT host, 'PP_007', 'not_found' FROM d UNION ALL SELECT host, 'PP_014', 'not_found' FROM d
-UNION ALL SELECT host, 'PP_002', CASE WHEN NOT pd THEN 'not_applicable' WHEN n_linked > 0 THEN 'found' ELSE 'not_found' END FROM d
-UNION ALL SELECT host, 'PP_012', CASE WHEN NOT pd THEN 'not_applicable' WHEN k5 THEN 'unclear' ELSE 'found' END FROM d
-UNION ALL SELECT host, 'PP_020', CASE WHEN trackers THEN 'not_found' ELSE 'unclear' END FROM d
-UNION ALL SELECT host, 'PP_022', CASE WHEN trackers THEN 'found' ELSE 'not_applicable' END FROM d
-UNION ALL SELECT host, 'PP_024', CASE WHEN NOT trackers THEN 'not_applicable' WHEN k6 THEN 'unclear' ELSE 'not_found' END FROM d
-UNION ALL SELECT host, 'PP_027', CASE WHEN k5 THEN 'not_found' ELSE 'not_applicable' END FROM d
-UNION ALL SELECT host, 'PP_029', CASE WHEN children THEN 'not_found' ELSE 'not_applicable' END FROM d
-UNION ALL SELECT host, 'PP_030', 'not_applicable' FROM d""")
+#: every item of the readable documents: the fragments' words and the flags of the site decide
+ITEMS_CTE = CTE + """
+, never(item_id) AS (VALUES ('PP_007'), ('PP_014')),
+always(item_id) AS (VALUES ('PP_001'), ('PP_003'), ('PP_004'), ('PP_005'), ('PP_006'), ('PP_008'), ('PP_009'), ('PP_010'), ('PP_011'), ('PP_013'), ('PP_015'),
+  ('PP_016'), ('PP_017'), ('PP_018'), ('PP_019'), ('PP_025'), ('PP_026'), ('PP_031')),
+p AS (SELECT * FROM flags WHERE d7), k AS (SELECT * FROM flags WHERE d6), u AS (SELECT * FROM flags WHERE d8),
+items AS (
+  SELECT host, 'privacy_policy' AS doc_type, item_id, 'found' AS status FROM p, always UNION ALL SELECT host, 'privacy_policy', item_id, 'not_found' FROM p, never
+  UNION ALL SELECT host, 'privacy_policy', unnest(['PP_002', 'PP_012', 'PP_020', 'PP_021', 'PP_022', 'PP_023', 'PP_024', 'PP_027', 'PP_028', 'PP_029', 'PP_030', 'PP_032']), unnest([
+    CASE WHEN NOT pd THEN 'not_applicable' WHEN n_linked > 0 THEN 'found' ELSE 'not_found' END,
+    CASE WHEN NOT pd THEN 'not_applicable' WHEN k5 THEN 'unclear' ELSE 'found' END,
+    CASE WHEN trackers THEN 'not_found' ELSE 'unclear' END,
+    CASE WHEN pd THEN 'not_found' ELSE 'not_applicable' END,
+    CASE WHEN trackers THEN 'found' ELSE 'not_applicable' END,
+    CASE WHEN cookies THEN 'not_found' ELSE 'not_applicable' END,
+    CASE WHEN NOT trackers THEN 'not_applicable' WHEN k6 THEN 'unclear' ELSE 'not_found' END,
+    CASE WHEN k5 THEN 'not_found' ELSE 'not_applicable' END,
+    CASE WHEN k5 THEN 'not_found' ELSE 'not_applicable' END,
+    CASE WHEN children THEN 'not_found' ELSE 'not_applicable' END,
+    'not_applicable',
+    CASE WHEN mail7 THEN 'not_found' ELSE 'found' END]) FROM p
+  UNION ALL SELECT host, 'cookie_policy', item_id, status FROM k, (VALUES ('Cookie_001', 'found'), ('Cookie_002', 'found'), ('Cookie_003', 'unclear'), ('Cookie_004', 'unclear'),
+    ('Cookie_005', 'unclear'), ('Cookie_006', 'not_found'), ('Cookie_007', 'found'), ('Cookie_008', 'not_found'), ('Cookie_009', 'not_found'), ('Cookie_010', 'not_found'),
+    ('Cookie_011', 'not_found'), ('Cookie_012', 'not_found'), ('Cookie_013', 'unclear')) v(item_id, status)
+  UNION ALL SELECT host, 'user_agreement', item_id, CASE WHEN item_id IN ('Offer_001', 'Offer_006') AND NOT k2 THEN 'not_applicable' ELSE status END FROM u, (VALUES ('Offer_001', 'found'),
+    ('Offer_002', 'not_found'), ('Offer_003', 'not_found'), ('Offer_004', 'not_found'), ('Offer_005', 'not_found'), ('Offer_006', 'not_found'), ('Offer_007', 'not_found'),
+    ('Offer_008', 'unclear')) v(item_id, status))
+"""
+
+
+def _readable(a):
+    return a.documents.where("present and is_accessible").select("site_id", "doc_pos")
+
+
+@query("c01_c23_policy_items", ITEMS_CTE + "SELECT * FROM items")
 def policy_items(spark, sf):
-    ids = ["PP_%03d" % i for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 18, 19, 20, 22, 24, 26, 27, 29, 30, 31)]
-    r = audited(spark, sf).checklist.where((c("doc_type") == "privacy_policy") & c("item_id").isin(ids))
-    present = audited(spark, sf).documents.where("doc_type = 'privacy_policy' and present").select("site_id", "doc_pos")
-    return r.join(present, ["site_id", "doc_pos"]).select(c("site_id").alias("host"), "item_id", "status")
+    a = audited(spark, sf)
+    return a.checklist.join(_readable(a), ["site_id", "doc_pos"]).select(c("site_id").alias("host"), "doc_type", "item_id", "status")
+
+
+@query("a04_a05_readable_documents", ITEMS_CTE + """
+, told AS (SELECT host, 'user_agreement' AS doc_type, 1 + trackers::INT + cookies::INT AS n FROM flags
+  UNION ALL SELECT host, 'cookie_policy', mail6::INT FROM flags UNION ALL SELECT host, 'privacy_policy', mail7::INT FROM flags),
+done AS (SELECT host, doc_type, count(*) FILTER (status = 'found') AS f, count(*) FILTER (status <> 'not_applicable') AS n_items FROM items GROUP BY ALL)
+SELECT host, doc_type, round_even(100 * f / greatest(1, n_items), 0)::INT AS completeness, n::BIGINT AS n_conflicts, TRUE AS manual FROM done JOIN told USING (host, doc_type)""")
+def readable_documents(spark, sf):
+    a = audited(spark, sf)
+    return a.analysis.join(_readable(a), ["site_id", "doc_pos"]).select(
+        c("site_id").alias("host"), "doc_type", c("overall_completeness").alias("completeness"), "n_conflicts", c("requires_manual_review").alias("manual"))
 
 
 @query("k01_k04_conflicts", CTE + """
@@ -404,15 +434,13 @@ def _answers(a):
     return a.documents.select("site_id", "doc_pos", "doc_type", "url", verdict.alias("answer"))
 
 
-@query("j10_merge_verdicts", CTE + """
-SELECT host, item_id, status, source FROM flags, (VALUES ('PP_014', 'found', 'merged'), ('PP_007', 'not_found', 'heuristic'), ('PP_003', 'found', 'heuristic')) v(item_id, status, source)
-WHERE d7""")
+@query("j10_merge_verdicts", ITEMS_CTE + """
+SELECT host, doc_type, item_id, CASE WHEN item_id = 'PP_014' THEN 'found' ELSE status END AS status, CASE WHEN item_id = 'PP_014' THEN 'merged' ELSE 'heuristic' END AS source FROM items""")
 def verdicts(spark, sf):
     a = audited(spark, sf)
     items, _ = C.read_verdicts(_answers(a))
-    merged = C.merge_verdicts(a.checklist, items, a.documents).where(c("item_id").isin("PP_014", "PP_007", "PP_003"))
-    present = a.documents.where("present").select("site_id", "doc_pos")
-    return merged.join(present, ["site_id", "doc_pos"]).select(c("site_id").alias("host"), "item_id", "status", "source")
+    merged = C.merge_verdicts(a.checklist, items, a.documents).join(_readable(a), ["site_id", "doc_pos"])
+    return merged.select(c("site_id").alias("host"), "doc_type", "item_id", "status", "source")
 
 
 @query("j11_merge_conflicts", CTE + """

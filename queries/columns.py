@@ -11,7 +11,7 @@ from sitelens.functions import urls as U
 from sitelens.operators.documents import relevant_documents
 from sitelens.operators.domains import external_domains, on_site, with_domain, with_site_domain
 from sitelens.operators.html_parse import parse_udfs
-from sitelens.sources.crawl import read_pages
+from sitelens.sources.crawl import decode_bodies, read_pages
 
 c = F.col
 HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://(?:[^/?#]*@)?([^:/?#]*)', 1))"
@@ -66,18 +66,19 @@ def u04(spark, sf):
     return named.select("page_id", "own", "domain", same.alias("same"), (~same).alias("external"))
 
 
-@query("u06_absolute_url", """
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/a/b?x=' || page_id
-  WHEN 1 THEN 'https://other.org/' || page_id WHEN 2 THEN '' ELSE regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/up' END AS resolved,
-  CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/a/b?x=' || page_id
-  WHEN 1 THEN 'https://other.org/' || page_id WHEN 2 THEN '' END AS jvm_only
-FROM pages""")
+#: references against https://<host>/a/b/c?q=1#f, and what follows the host (None: the whole result is the second member)
+REFERENCES = [("../../../up", "/up"), ("./x/./y/../z", "/a/b/x/z"), ("?n=2", "/a/b/c?n=2"), ("", ""), ("//other.org/p/../q", None), ("/r//s/../t/", "/r//t/"),
+              ("d/", "/a/b/d/"), ("..", "/a/"), (".", "/a/b/"), ("/", "/"), ("x?y#z", "/a/b/x?y#z"), ("mailto:a@b.ru", ""), ("HTTPS://Other.org/A?b=1", None), ("tel:1", "")]
+RESOLVED = {"//other.org/p/../q": "https://other.org/p/../q", "HTTPS://Other.org/A?b=1": "https://Other.org/A?b=1"}
+
+
+@query("u06_absolute_url", f"""
+SELECT page_id, CASE WHEN plain THEN rest WHEN rest = '' THEN '' ELSE 'https://' || {HOST} || rest END AS resolved
+FROM pages JOIN (SELECT row_number() OVER () - 1 AS k, * FROM (VALUES {", ".join(f"('{RESOLVED.get(r, x)}', {x is None})" for r, x in REFERENCES)}) t(rest, plain)) v ON k = page_id % {len(REFERENCES)}""")
 def u06(spark, sf):
-    n = c("page_id").cast("string")
-    href = F.when(c("page_id") % 4 == 0, F.concat(F.lit(" /a/b?x="), n)).when(
-        c("page_id") % 4 == 1, F.concat(F.lit("https://other.org/"), n)).when(c("page_id") % 4 == 2, "mailto:a@b.ru").otherwise("../../../up")
-    return table(spark, sf, "pages").select(
-        "page_id", U.absolute_url(c("url"), href).alias("resolved"), U.root_relative_url(c("url"), href).alias("jvm_only"))
+    href = F.get(F.array(*[F.lit(r) for r, _ in REFERENCES]), (c("page_id") % len(REFERENCES)).cast("int"))
+    base = F.concat(F.lit("https://"), U.get_host(c("url")), F.lit("/a/b/c?q=1#f"))
+    return table(spark, sf, "pages").select("page_id", U.absolute_url(base, href).alias("resolved"))
 
 
 @query("u07_u08_u09_u12_url_parts", f"""
@@ -454,3 +455,25 @@ def j17(spark, sf):
     sites = table(spark, sf, "pages").select((c("page_id") % 3).alias("site_id")).distinct().withColumn(
         "base_url", F.get(F.array(*map(F.lit, ("https://www.example.com", "http://example.net", "https://a.b.example.org"))), c("site_id").cast("int")))
     return relevant_documents(docs, sites).select("page_id", "url")
+
+
+#: Cyrillic letters of the stored bodies, and the byte of each in two charsets as a Latin-1 character
+CYRILLIC, ASCII = "абвгдежзийклмнопрстуфхцчшщъ", "abcdefghijklmnopqrstuvwxyz."
+BODY = f"""translate(regexp_replace(lower(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g'), '{ASCII}', '{CYRILLIC}')"""
+
+
+@query("x19_decode_bodies", f"""
+SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 3 THEN repeat(' ', 5000) || '<meta charset=koi8-r>' || {BODY} ELSE {BODY} END) AS text_md5 FROM documents""")
+def x19(spark, sf):
+    """Bodies in UTF-8, windows-1251 (declared or not) and KOI8-R that only byte 5,000 and on declares."""
+    k = c("doc_id") % 4
+    plain = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\x00-\x7F]", ""), ASCII, CYRILLIC)
+
+    def encoded(text, charset):
+        return F.encode(F.translate(text, CYRILLIC, CYRILLIC.encode(charset).decode("latin-1")), "ISO-8859-1")
+
+    declared = F.concat(F.repeat(F.lit(" "), 5000), F.lit("<meta charset=koi8-r>"), plain)
+    body = F.when(k == 0, F.encode(F.coalesce("text", F.lit("")), "UTF-8")).when(k == 3, encoded(declared, "koi8-r")).otherwise(encoded(plain, "cp1251"))
+    kind = F.when(k == 0, "text/html; charset=UTF-8").when(k == 1, "text/html; charset=windows-1251").otherwise("text/html")
+    stored = spread(spark, sf, "documents").select(c("doc_id").cast("string").alias("url"), body.alias("content"), kind.alias("content_type"))
+    return decode_bodies(stored).select(c("url").cast("long").alias("doc_id"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-from urllib.parse import urljoin
 
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from sitelens.functions.text import clean_text, let, strip
 
-# Python functions travel to the executors by value: nothing has to be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"
 # scheme, authority and path of a URL; none of them is required
 _PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -68,17 +60,42 @@ def last_two_labels(u: Column) -> Column:
     return let(host_or_name(u), lambda h: F.when(h.rlike(IPV4) | h.startswith("["), h).otherwise(F.substring_index(h, ".", -2)))
 
 
-@F.arrow_udf(StringType())
-def _urljoin(base: pa.Array, href: pa.Array) -> pa.Array:
-    def one(b, h):
-        if b is None or h is None:
-            return None
-        try:
-            return urljoin(b, h)
-        except ValueError:
-            return ""
+def _merged(base_path: Column, path: Column) -> Column:
+    """A relative path resolved against the base's path: ``.`` and ``..`` are folded over the
+    segments; empty ones in between fall out unless the path begins at the root."""
+    parts = F.split(path, "/", -1)
+    own = F.split(base_path, "/", -1)
+    folder = F.when(F.element_at(own, -1) != "", F.slice(own, 1, F.size(own) - 1)).otherwise(own)
+
+    def fold(segments):
+        inner = F.filter(segments, lambda s, i: path.startswith("/") | (i == 0) | (i == F.size(segments) - 1) | (s != ""))
+        out = F.aggregate(inner, F.array().cast("array<string>"), lambda acc, s: F.when(
+            s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.array_append(acc, s)))
+        last = F.element_at(segments, -1)
+        return F.array_join(F.when(last.isin(".", ".."), F.array_append(out, F.lit(""))).otherwise(out), "/")
+
+    return F.when(path.startswith("/") & ~path.rlike(r"/\.\.?(/|$)"), path).otherwise(let(
+        F.when(path.startswith("/"), parts).otherwise(F.concat(folder, parts)), fold))
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """A reference resolved against a base URL (RFC 3986, segments as browsers and crawlers read them)."""
+    def against(r):
+        tail = F.regexp_replace(F.regexp_extract(r, r"([?#].*)$", 1), r"^\?(?=#|$)|#$", "")
+        path = F.regexp_extract(r, r"^([^?#]*)", 1)
+        query = F.regexp_replace(F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1), r"^\?$", "")
+        merged = let(_merged(url_path(base), path), lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+        return (F.when(base == "", r).when(r == "", base).when(r.rlike("^[a-zA-Z][a-zA-Z0-9+.\\-]*:"), F.when(r.rlike(SCHEME), _fold_scheme(F.concat(path, tail))).otherwise(r))
+                .when(r.startswith("//"), F.concat(F.split_part(base_from_url(base), F.lit("//"), F.lit(1)), path, tail))
+                .when((path == "") & tail.startswith("?"), F.concat(base_from_url(base), url_path(base), tail))
+                .when(path == "", F.concat(base_from_url(base), url_path(base), query, tail))
+                .otherwise(F.concat(base_from_url(base), merged, tail)))
+
+    def checked(r):
+        brackets = F.regexp_extract(r, "^[^/?#]*//([^/?#]*)", 1)
+        return F.when(brackets.contains("[") != brackets.contains("]"), F.lit("")).otherwise(against(r))
 
-    return pa.array(map(one, base.to_pylist(), href.to_pylist()), pa.string())
+    return let(F.translate(ref, "\t\r\n", ""), checked)
 
 
 def _no_page(h: Column) -> Column:
@@ -91,7 +108,7 @@ def _no_page(h: Column) -> Column:
 def absolute_url(base: Column, href: Column) -> Column:
     """``href`` resolved against ``base``; '' for mail, phone, script, data and bare anchors."""
     h = strip(F.coalesce(href, F.lit("")))
-    return F.when(_no_page(h), F.lit("")).otherwise(_urljoin(base, h))
+    return F.when(_no_page(h), F.lit("")).otherwise(resolve(base, h))
 
 
 def root_relative_url(base: Column, href: Column) -> Column:

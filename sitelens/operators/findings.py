@@ -98,8 +98,11 @@ def commercial_score(f: DataFrame) -> DataFrame:
 
 def attach_liability(f: DataFrame, liability: DataFrame) -> DataFrame:
     """Liability text, amount and the flag for "counted separately" per finding."""
-    item = liability.select(F.lower("label").alias("lkey"), F.col("label").alias("l_label"), "basis", "amount")
-    df = f.withColumn("lkey", F.lower(X.squeeze(F.col("liability_hint"), 220))).join(item, "lkey", "left")
+    def key(label):
+        return F.lower(X.clean_text(F.coalesce(label, F.lit(""))))
+
+    item = liability.select(key(F.col("label")).alias("lkey"), F.col("label").alias("l_label"), "basis", "amount")
+    df = f.withColumn("lkey", key(F.col("liability_hint"))).join(item, "lkey", "left")
     meta = F.concat_ws(" · ", F.when(F.col("basis") != "", F.col("basis")), F.when(F.col("amount") != "", F.col("amount")))
     known = F.col("l_label").isNotNull()
     text = F.when(F.col("lkey") == "", "уточняется юристом").when(

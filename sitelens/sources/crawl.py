@@ -134,10 +134,13 @@ _BINARY = ("pdf", "octet-stream", "msword", "officedocument", "zip")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+_CHARSET = r"charset=[\"']?([\w\-]+)"
+
+
 def _decode(content: bytes, content_type: str) -> str:
-    named = re.search(r"charset=[\"']?([\w\-]+)", content_type or "", re.I) or re.search(
-        r"charset=[\"']?([\w\-]+)", content[:4096].decode("latin-1"), re.I)
-    for enc in ([named.group(1)] if named else []) + ["utf-8", "windows-1251", "latin-1"]:
+    named = re.search(_CHARSET, content_type or "", re.I) or re.search(_CHARSET.encode(), content, re.I)
+    name = named.group(1) if named else None
+    for enc in ([name.decode() if isinstance(name, bytes) else name] if name else []) + ["utf-8", "windows-1251", "latin-1"]:
         try:
             return content.decode(enc)
         except (LookupError, UnicodeDecodeError):
@@ -206,13 +209,55 @@ def docx_text(df: DataFrame) -> DataFrame:
     return body_texts(df.withColumn("content_type", F.lit("msword"))).select("url", "text", "error")
 
 
+#: one-byte charsets, with the names that bodies give them
+ONE_BYTE = {"cp1251": ("windows-1251", "cp1251", "cp-1251", "win-1251"), "koi8-r": ("koi8-r", "koi8_r", "koi8r"), "cp866": ("cp866", "ibm866", "866"),
+            "iso8859-5": ("iso-8859-5", "iso8859-5", "cyrillic"), "cp1252": ("windows-1252", "cp1252"), "latin-1": ("iso-8859-1", "latin-1", "latin1", "iso8859-1")}
+
+
+def _high(charset: str) -> list[str | None]:
+    """The characters of bytes 128 to 255; None where the charset has none."""
+    def one(byte):
+        try:
+            return bytes([byte]).decode(charset)
+        except UnicodeDecodeError:
+            return None
+
+    return [one(b) for b in range(128, 256)]
+
+
+def _one_byte(latin: Column, charset: str) -> Column:
+    """Text whose bytes were read as Latin-1, in its own charset; NULL if a byte has no character there."""
+    high = _high(charset)
+    pairs = [(chr(128 + i), ch) for i, ch in enumerate(high) if ch is not None and ch != chr(128 + i)]
+    text = F.translate(latin, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)) if pairs else latin
+    holes = "".join(f"\\x{128 + i:02x}" for i, ch in enumerate(high) if ch is None)
+    return F.when(~latin.rlike(f"[{holes}]"), text) if holes else text
+
+
 @F.arrow_udf(StringType())
 def _decode_udf(content: pa.Array, ctype: pa.Array) -> pa.Array:
     return pa.array([_decode(c, t) if c else "" for c, t in zip(content.to_pylist(), ctype.to_pylist())], pa.string())
 
 
-def decode_bodies(df: DataFrame) -> DataFrame:
-    """Declared charset, then UTF-8, windows-1251, latin-1; binary content types stay empty."""
+def decode_bodies(df: DataFrame, limits: Limits = NONE) -> DataFrame:
+    """(url, content, content_type) to text by the declared charset, else UTF-8, windows-1251, Latin-1;
+    binary content types stay empty. The charset is searched in the whole content, or in its first
+    limits.charset_bytes. Decoding is a column expression: one-byte charsets are Latin-1, translated.
+    Bodies in a charset that is not listed alone go to Python."""
     ct = F.lower(F.coalesce("content_type", F.lit("")))
     binary = ct.rlike("|".join(map(re.escape, _BINARY)))
-    return df.select("url", F.when(binary, "").otherwise(_decode_udf("content", ct)).alias("text"))
+    rows = df.select("url", ct.alias("ct"), F.when(~binary, F.col("content")).alias("content")).withColumn(
+        "latin", F.decode(F.coalesce("content", F.lit(b"")), "ISO-8859-1"))
+    head = F.col("latin") if limits.charset_bytes is None else F.substring("latin", 1, limits.charset_bytes)
+    named = F.coalesce(F.nullif(F.regexp_extract("ct", f"(?i){_CHARSET}", 1), F.lit("")), F.regexp_extract(head, f"(?i){_CHARSET}", 1))
+    rows = rows.withColumn("charset", F.lower(named))
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    utf8 = F.when(valid, F.decode("content", "UTF-8"))
+    cyrillic = _one_byte(F.col("latin"), "cp1251")
+    own = F.when(F.col("charset").isin("utf-8", "utf8"), utf8)
+    for charset, names in ONE_BYTE.items():
+        own = own.when(F.col("charset").isin(*names), _one_byte(F.col("latin"), charset))
+    listed = F.col("charset").isin("", "utf-8", "utf8", *(n for names in ONE_BYTE.values() for n in names))
+    other = _decode_udf(F.when(~listed, F.col("content")), F.concat(F.lit("charset="), F.col("charset")))
+    text = F.when(listed, F.coalesce(own, utf8, cyrillic, F.col("latin"))).otherwise(other)
+    return rows.select("url", F.when(F.col("content").isNull(), "").otherwise(text).alias("text"))

@@ -165,3 +165,53 @@ def test_network_from_headers(spark):
             ("https://c.ru", "<p>x</p>", None, None), ("https://d.ru", "<p>x</p>", {"Via": "1.1 fastly", "VIA": "1.1 fastly"}, False)]
     got = {r.url: (r.cdn, r.has_screenshot) for r in page_facts(spark.createDataFrame(rows, "url string, html string, headers map<string,string>, has_screenshot boolean")).collect()}
     assert got == {"https://a.ru": ("Cloudflare", True), "https://b.ru": (None, False), "https://c.ru": (None, False), "https://d.ru": ("Fastly", False)}
+
+
+def test_references_like_a_browser(spark):
+    """Random references against the standard library, row by row."""
+    import random
+    from urllib.parse import urljoin
+
+    rng = random.Random(3)
+    bits = ["a", "b;p=1", ".", "..", "", "c.html", "é", "x y", "...", "..a"]
+    bases = ["https://s.ru", "https://s.ru/", "http://u:p@s.ru:80/a/b/c?q=1#f", "https://s.ru/a//b/", "https://s.ru/a/b?x#", "HTTP://S.ru/q/w"]
+    rows = []
+    for _ in range(1500):
+        path = rng.choice(["", "/"]) + "/".join(rng.choice(bits) for _ in range(rng.randrange(6)))
+        ref = path + rng.choice(["", "", "?k=v", "?", "#z", "?a=/../b#c", "#"])
+        if not ref.startswith("//"):
+            rows.append((rng.choice(bases), ref))
+    rows += [(b, r) for b in bases for r in ("//cdn.ru/x/../y?z", "https://o.ru/a/../b", "ftp://o.ru/x", "g:h", "https://[bad/x", "?", "", "//o.ru", "a\tb", "https://o.ru?x")]
+    got = spark.createDataFrame(rows, "b string, r string").select("b", "r", U.resolve(F.col("b"), F.col("r")).alias("u")).collect()
+
+    def want(b, r):
+        try:
+            return urljoin(b, r)
+        except ValueError:
+            return ""
+
+    bad = [(x.b, x.r, x.u, want(x.b, x.r)) for x in got if x.u != want(x.b, x.r)]
+    assert bad[:8] == []
+
+
+def test_labels_join_whole(spark):
+    from sitelens.operators import findings as Fi
+
+    long = "Штраф " + "очень длинный текст " * 12
+    f = spark.createDataFrame([("s", 1, long), ("s", 2, " Короткий  ярлык "), ("s", 3, ""), ("s", 4, None)], "site_id string, rank int, liability_hint string")
+    items = spark.createDataFrame([(long.upper(), "ст. 1", "1 000 ₽"), ("короткий ярлык", "", "5 руб")], "label string, basis string, amount string")
+    assert [r.liability_amount for r in Fi.attach_liability(f, items).orderBy("rank").collect()] == [1000, 5, 0, 0]
+
+
+def test_charsets(spark):
+    from sitelens.sources.crawl import decode_bodies
+
+    text = "Привет, мир"
+    rows = [("a", text.encode("cp1251"), "text/html"), ("b", text.encode("koi8-r"), "text/html; charset=KOI8-R"), ("c", b" " * 9000 + b"<meta charset='cp866'>" + text.encode("cp866"), ""),
+            ("d", text.encode("utf-16"), "text/html; charset=utf-16"), ("e", "日本".encode("shift_jis"), "text/plain; charset=shift_jis"), ("f", b"\x98\xff", "text/plain"), ("g", None, None),
+            ("h", b"", "x"), ("i", b"%PDF", "application/pdf"), ("j", text.encode(), "text/html; charset=windows-1252x"), ("k", b"\x98" + text.encode("cp1251"), "charset=windows-1251")]
+    df = spark.createDataFrame(rows, "url string, content binary, content_type string")
+    got = {r.url: r.text for r in decode_bodies(df).collect()}
+    assert got["a"] == got["b"] == got["d"] == got["j"] == text and got["c"].endswith("'cp866'>" + text) and got["e"] == "日本"
+    assert got["f"] == "\x98ÿ" and (got["g"], got["h"], got["i"]) == ("", "", "") and got["k"][0] == "\x98"
+    assert not {r.url: r.text for r in decode_bodies(df, INTERACTIVE).collect()}["c"].endswith(text)
