@@ -137,19 +137,21 @@ def memberships(docs: DataFrame, model: Classifier, *more: str) -> DataFrame:
     return texts(docs, *more).mapInArrow(run, schema)
 
 
-def descend(p: np.ndarray, history: list[np.ndarray], eta: float, mu: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps of history (weighted residuals at each step's point), and the point at
-    which the next residual is to be taken."""
+def descend(p: np.ndarray, history: list[np.ndarray], eta: float, mu: float, least: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of `least` or more after the steps of history (weighted residuals at each step's point), and
+    the point at which the next residual is to be taken."""
     rate = point = np.ones(len(p))
     for t, residual in enumerate(history, 1):
-        new = np.maximum(0, point - eta * (p @ residual + mu * (point - 1)))
+        new = np.maximum(least, point - eta * (p @ residual + mu * (point - 1)))
         point = new + t / (t + 3) * (new - rate)
         rate = new
     return rate, point
 
 
-def solve(members: DataFrame, targets: np.ndarray, mu: float = MU, steps: int = STEPS, close: float = CLOSE) -> tuple[list[np.ndarray], float]:
-    """The history of weighted residuals. members: n_tokens and p, stored."""
+def solve(members: DataFrame, targets: np.ndarray, mu: float = MU, steps: int = STEPS, close: float = CLOSE, least: float = 0) -> tuple[list[np.ndarray], float]:
+    """The history of weighted residuals. members: n_tokens and p, stored. targets are shares of tokens;
+    rates of `least` or more cannot go below least times the tokens there are, so the targets are scaled
+    up until each domain's is in reach."""
     k = len(targets)
 
     def totals(history, eta):
@@ -157,7 +159,7 @@ def solve(members: DataFrame, targets: np.ndarray, mu: float = MU, steps: int =
             for batch in batches:
                 n = batch.column("n_tokens").to_numpy().astype(float)
                 p = batch.column("p").flatten().to_numpy().reshape(-1, k)
-                rate, point = descend(p, history, eta, mu)
+                rate, point = descend(p, history, eta, mu, least)
                 if not history:  # the first pass also gathers the products of memberships
                     extra = ((p * n[:, None]).T @ p).ravel()
                 else:
@@ -174,6 +176,8 @@ def solve(members: DataFrame, targets: np.ndarray, mu: float = MU, steps: int =
     if not n:
         return [], 0.0
     gram = s[1 + 2 * k:].reshape(k, k) / n
+    sought = targets > 0
+    targets = targets * max(1.0, float(np.max((least * s[1:1 + k] / n)[sought] / targets[sought], initial=0.0)))
     weight = np.linalg.inv(gram + np.eye(k) * 1e-4 * np.trace(gram) / k)
     eta = 1 / (np.linalg.eigvals(weight @ gram).real.max() + mu)
     history = [weight @ (s[1:1 + k] / n - targets)]
@@ -185,19 +189,19 @@ def solve(members: DataFrame, targets: np.ndarray, mu: float = MU, steps: int =
     return history, eta
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *more: str, mu: float = MU, steps: int = STEPS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *more: str, mu: float = MU, steps: int = STEPS, least: int = 0) -> DataFrame:
     """doc_id, n_tokens, p, rate, copies (and the named columns of docs): copies is the rate rounded
-    up or down by a hash of the id, so that expected tokens follow the rates."""
+    up or down by a hash of the id, so that expected tokens follow the rates, `least` or more."""
     model = train(docs, labels)
     wanted = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
     wanted = wanted / wanted.sum() if wanted.sum() else np.full(len(wanted), 1 / len(wanted))
     members = staged(memberships(docs, model, *more))
-    history, eta = solve(members, wanted, mu, steps)
+    history, eta = solve(members, wanted, mu, steps, least=least)
     k, schema = len(wanted), members.schema
 
     def run(batches):
         for batch in batches:
-            rate, _ = descend(batch.column("p").flatten().to_numpy().reshape(-1, k), history, eta, mu)
+            rate, _ = descend(batch.column("p").flatten().to_numpy().reshape(-1, k), history, eta, mu, least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -213,8 +217,8 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: int = 0) -> DataFrame:
-    """The rows of docs, each as often as its copies say and `least` times at least."""
+    """The rows of docs, each as often as its copies say and `least` times at least: the rates are fitted
+    under that bound, so the shares of what is returned follow the targets."""
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"], docs["text"])
-    rated = mix(whole, labels, targets, "row")
-    times = F.greatest("copies", F.lit(least))
-    return rated.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
+    rated = mix(whole, labels, targets, "row", least=least)
+    return rated.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -1,5 +1,7 @@
+import numpy as np
+
 import corpus_pipeline
-from sitelens.llm import op07_ranking, op10_minhash
+from sitelens.llm import op07_ranking, op08_mixing, op10_minhash
 from sitelens.llm.common import staged, table
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +51,21 @@ def test_odd_rows_pass_through(spark, odd, docs):
     each = {name: stage(spark, odd, SF).count() for name, stage in corpus_pipeline.STAGES if name != "quality"}
     # of seven rows one repeats another, one is a near copy of a smaller id
     assert each == {"near duplicates": 5, "secrets": 7, "mixing": each["mixing"], "packing": 7} and each["mixing"] >= 7
+
+
+def test_mixing_reaches_its_shares(spark):
+    """Every document stays, and what comes out has the target shares of tokens, as the classifier sees them."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), op08_mixing.domain_labels(table(spark, sf, "labels"))
+    labels = labels.where("domain <> 'poor'")
+    model = op08_mixing.train(docs, labels)
+    out = corpus_pipeline.op08_mixing.mixed(docs, labels, corpus_pipeline.TARGETS, least=1)
+
+    def shares(frame):
+        got = op08_mixing.memberships(frame, model).toPandas()
+        total = sum(n * np.array(p) for n, p in zip(got["n_tokens"], got["p"], strict=True))
+        return dict(zip(model.domains, total / total.sum(), strict=True))
+
+    before, after = shares(docs), shares(out)
+    assert all(abs(after[d] - t) < 0.01 for d, t in corpus_pipeline.TARGETS.items()) and any(abs(before[d] - t) > 0.03 for d, t in corpus_pipeline.TARGETS.items())
+    assert docs.select("doc_id").distinct().count() == out.select("doc_id").distinct().count()
