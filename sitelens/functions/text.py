@@ -71,15 +71,41 @@ def _either(tests) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def one_pass(words: list[list[str]]) -> str:
+    """A pattern that matches any of the words (lists of pattern units, such as escaped characters), the
+    longest at a position. Common beginnings are shared, and a look at the first character lets most
+    positions fail at once: the time for a text hardly grows with the number of words."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for unit in word:
+            node = node.setdefault(unit, {})
+        node[""] = {}
+
+    def emit(node):
+        branches = [unit + emit(below) for unit, below in node.items() if unit]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return body + ("?" if "" in node else "")
+
+    first = [u[1:-1] if u.startswith("[") else u for u in root]
+    return ("" if any(u.startswith(WS) for u in root) else f"(?=[{''.join(first)}])") + emit(root)
+
+
+def _units(word: str) -> list[str]:
+    return [re.escape(ch) for ch in word]
+
+
 def has_any(norm: Column, keywords) -> Column:
     """Substring test on an already normalised column: plain searches for a few words, one
-    alternation of literals for many."""
+    pattern for many."""
     words = minimal(keywords)
     if not words:
         return F.lit(False)
     if len(words) <= FEW:
         return _either(norm.contains(w) for w in words)
-    return norm.rlike("|".join(map(re.escape, words)))
+    return norm.rlike(one_pass(list(map(_units, words))))
 
 
 def mentions(low: Column, keywords) -> Column:
@@ -90,8 +116,7 @@ def mentions(low: Column, keywords) -> Column:
         return F.lit("" in words)
     if len(words) <= FEW and not any(ch in w for w in words for ch in " е"):
         return _either(low.contains(w) for w in words)
-    pats = ("".join(WS + "+" if ch == " " else "[её]" if ch == "е" else re.escape(ch) for ch in w) for w in words)
-    return low.rlike("|".join(pats))
+    return low.rlike(one_pass([[WS + "+" if ch == " " else "[её]" if ch == "е" else re.escape(ch) for ch in w] for w in words]))
 
 
 def contains_any(c: Column, keywords) -> Column:
@@ -99,10 +124,15 @@ def contains_any(c: Column, keywords) -> Column:
 
 
 def find_all_matches(c: Column, keywords) -> Column:
-    """Literal keywords contained in the text, in their order."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(norm_keyword(k)).alias("n")) for k in keywords if norm_keyword(k)])
-    return let(normalize_for_search(c), lambda norm: F.transform(
-        F.filter(pairs, lambda p: norm.contains(p["n"])), lambda p: p["k"]))
+    """Literal keywords contained in the text, in their order. One pass collects the longest keyword at
+    each position; every keyword that occurs begins one of these."""
+    known = [(k, norm_keyword(k)) for k in keywords if norm_keyword(k)]
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in known])
+    if len(known) <= FEW:
+        return let(normalize_for_search(c), lambda norm: F.transform(F.filter(pairs, lambda p: norm.contains(p["n"])), lambda p: p["k"]))
+    pattern = F.lit(f"(?=({one_pass([_units(n) for _, n in known])}))")
+    return let(F.array_distinct(F.regexp_extract_all(normalize_for_search(c), pattern, F.lit(1))), lambda found: F.transform(
+        F.filter(pairs, lambda p: F.exists(found, lambda f: f.startswith(p["n"]))), lambda p: p["k"]))
 
 
 def find_first(c: Column, keywords) -> Column:

@@ -184,3 +184,20 @@ def test_text_edges(spark):
     r = df.select(X.clean_text(F.col("t")).alias("c"), X.find_placeholders(F.col("t")).alias("p"), X.find_inn(F.col("t")).alias("i"),
                   X.contains_any(F.col("t"), ["ромашка » инн"]).alias("k"), X.truncate(F.lit("абв гд"), 5).alias("x")).first()
     assert r.c == "ООО «Ромашка » ИНН: 7701234567" and r.p == ["«Ромашка"] and r.i == ["7701234567"] and r.k and r.x == "абв…"
+
+
+def test_many_keywords_in_one_pass(spark):
+    """Random keywords, prefixes and overlaps of each other among them, against a search for each."""
+    import random
+
+    rng = random.Random(12)
+    words = list(dict.fromkeys("".join(rng.choice("abё c-.") for _ in range(rng.randrange(1, 6))).strip() for _ in range(60))) + ["aba", "abac", "bac", "(a", "[b", "a+"]
+    words = [w for w in words if w.strip()]
+    texts = ["".join(rng.choice("abеё  c-.([+") for _ in range(rng.randrange(40))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    few = ["abё c", "cab", "b.b", "e", "zzz", "ё-"]
+    norm = X.normalize_for_search(F.col("t"))
+    for r in df.select("t", norm.alias("n"), X.find_all_matches(F.col("t"), words).alias("all"), X.has_any(norm, words[:9]).alias("has"), X.contains_any(F.col("t"), few).alias("few")).collect():
+        assert r["all"] == [w for w in words if X.norm_keyword(w) in r.n]
+        assert r.has == any(X.norm_keyword(w) in r.n for w in words[:9])
+        assert r.few == any(X.norm_keyword(w) in r.n for w in few)
