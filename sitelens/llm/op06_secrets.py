@@ -125,8 +125,14 @@ def report(found: DataFrame) -> DataFrame:
         F.sha2(joined(of(base)).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def secret_report(docs: DataFrame) -> DataFrame:
-    return report(scan(docs, RULES)[0])
+def secret_report(docs: DataFrame, deliveries: int = 2) -> DataFrame:
+    """report of all rows of docs, which arrive in that many deliveries: each scan knows the ledger of
+    those before it and reads the texts of unseen blobs alone; the last one joins all findings back."""
+    part, ledger = F.pmod(F.xxhash64("doc_id", "text"), F.lit(deliveries)), None
+    for i in range(deliveries - 1):
+        _, fresh = scan(docs.where(part == i), RULES, ledger)
+        ledger = fresh if ledger is None else ledger.unionByName(fresh)
+    return report(scan(docs, RULES, ledger)[0])
 
 
 def redacted(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[secret]") -> DataFrame:
