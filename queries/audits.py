@@ -144,6 +144,20 @@ def documents(spark, sf):
                     c("link_confirmed").alias("confirmed"))
 
 
+@query("p14_document_attributes", CTE + """
+, d AS (SELECT host, d11, unnest(['privacy_policy', 'cookie_policy', 'user_agreement', 'ad_consent', 'consent', 'offer']) AS doc_type, unnest([d7, d6, d8, FALSE, FALSE, FALSE]) AS readable FROM flags),
+e AS (SELECT *, doc_type = 'ad_consent' AND d11 AS failed, CASE WHEN doc_type = 'privacy_policy' AND readable THEN TRUE END AS policy FROM d)
+SELECT host, doc_type, CASE WHEN readable OR failed THEN 200 ELSE 0 END::INT AS status, failed, CASE WHEN readable THEN '' WHEN failed THEN 'text_extraction_failed' ELSE 'unreachable' END AS error,
+  NOT readable AS manual, readable AND doc_type = 'user_agreement' AS placeholder, CASE WHEN policy THEN '01.02.2024' END AS dated, CASE WHEN policy THEN '2.1' END AS version FROM e""")
+def document_attributes(spark, sf):
+    """Date and version are compared for the policies, whose text is known."""
+    policy = (c("doc_type") == "privacy_policy") & c("is_accessible")
+    return audited(spark, sf).documents.select(
+        c("site_id").alias("host"), "doc_type", c("status_code").cast("int").alias("status"), c("text_extraction_failed").alias("failed"),
+        c("extraction_error").alias("error"), c("requires_manual_review").alias("manual"), "placeholder",
+        F.when(policy, c("date_detected")).alias("dated"), F.when(policy, c("version_detected")).alias("version"))
+
+
 #: every item of the readable documents: the fragments' words and the flags of the site decide
 ITEMS_CTE = CTE + """
 , never(item_id) AS (VALUES ('PP_007'), ('PP_014')),

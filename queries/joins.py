@@ -21,6 +21,7 @@ from sitelens.plans.audit import stage_facts
 from sitelens.sources import store
 from sitelens.sources.crawl import parse_robots, parse_sitemaps, sitemap_urls
 from sitelens.sources.leads import INDUSTRIES, normalize_leads
+from sitelens.sources.leads import normalize_leads, read_leads
 from sitelens.sources.staging import staged, work_dir
 
 c = F.col
@@ -442,3 +443,27 @@ def w06(spark, sf):
         c("o_custkey").alias("site_id"), F.concat(F.lit("PD-"), F.lpad((c("o_orderkey") % 5).cast("string"), 2, "0")).alias("finding_id"),
         level.alias("risk_level"), (c("o_orderkey") % 40).cast("int").alias("score"))
     return Fi.rank_findings(f).select(c("site_id").alias("o_custkey"), c("finding_id").alias("id"), X.level_rank(c("risk_level")).alias("lvl"), "score", "rank")
+
+
+# ---- files in and out -------------------------------------------------------------------
+@query("s01_read_leads", """
+SELECT c_name AS company_name, 'https://site' || c_custkey || '.ru/a,"b"' AS site_url, CASE WHEN c_custkey % 3 = 0 THEN 'медицина' ELSE 'auto' END AS industry,
+  c_mktsegment || chr(10) || 'line 2' AS comment, 7 AS max_pages, TRUE AS has_id FROM customer WHERE c_custkey % 11 <> 0""")
+def s01(spark, sf):
+    """Leads written as CSV with quotes, commas and line breaks, read back; some have only the url column, some no URL."""
+    url = F.concat(F.lit("https://site"), "c_custkey", F.lit('.ru/a,"b"'))
+    rows = table(spark, sf, "customer").select(
+        F.concat(F.lit("  "), "c_name").alias("company_name"), F.when(c("c_custkey") % 7 != 0, F.when(c("c_custkey") % 11 != 0, url)).alias("site_url"),
+        F.when(c("c_custkey") % 7 == 0, F.when(c("c_custkey") % 11 != 0, url).otherwise(" ")).alias("url"),
+        F.when(c("c_custkey") % 3 == 0, "медицина").otherwise("космос").alias("industry"), F.concat("c_mktsegment", F.lit("\nline 2")).alias("comment"))
+    path = f"{work_dir(spark)}/leads"
+    rows.write.option("header", True).option("escape", "\"").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).csv(path)
+    got = normalize_leads(read_leads(spark, path), 7)
+    return got.select("company_name", "site_url", "industry", "comment", "max_pages", (F.length("site_id") == 12).alias("has_id"))
+
+
+@query("s15_export", f"WITH {SCANS} SELECT scan_id, created_at, site_url, risk_level, risk_score::VARCHAR AS risk_score, status FROM scans")
+def s15(spark, sf):
+    path = f"{work_dir(spark)}/export"
+    store.export_results(_scans(spark, sf), path)
+    return spark.read.option("header", True).csv(path)
