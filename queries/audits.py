@@ -5,15 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.crawl import CTE, PATHS, audited, facts
+from queries.crawl import CTE, FRAGMENTS, PATHS, audited, facts
 from queries.joins import vals
-from queries.registry import query
+from queries.registry import query, spread
 from sitelens.functions import urls as U
 from sitelens.operators import checklist as C
+from sitelens.operators import core_checks as E
 from sitelens.operators import documents as W
 from sitelens.operators import findings as Fi
 from sitelens.operators import rules as R
 from sitelens.operators.discovery import PLAN_GUESSES
+from sitelens.operators.page_facts import page_facts
 from sitelens.plans import report
 from sitelens.sources.crawl import body_texts
 
@@ -66,6 +68,19 @@ def fields(spark, sf):
 PAGE_HITS = [(6, "Яндекс.Метрика", "mc.yandex.ru", "script"), (6, "Google Tag Manager", "googletagmanager.com", "script"), (10, "Hotjar", "hotjar.com", "script")]
 
 
+@query("h10_modal_forms", f"""
+SELECT page_id, form_id, CASE WHEN form_id LIKE 'widget%' THEN 'widget' ELSE 'modal' END AS source, form_type, personal, submit, boxes, prechecked
+FROM (SELECT page_id, CASE WHEN k = 9 THEN 'widget-marquiz' ELSE 'modal-0' END AS form_id, * FROM pages JOIN {vals(FORMS)} f({FORM_COLS}) ON page_id % 12 = k)""")
+def modal_forms(spark, sf):
+    """The same fragments, met in a dialog that opened on the page: no form in the page's own markup."""
+    pages = spread(spark, sf, "pages").select("page_id", "url", F.regexp_replace("html", "(?is)<form.*?</form>", "").alias("html"), F.array(
+        F.get(F.array(*map(F.lit, FRAGMENTS)), (c("page_id") % 12).cast("int"))).alias("modal_htmls"))
+    f = page_facts(pages).select("page_id", F.explode("forms").alias("f")).where("f.source <> 'html'")
+    return f.select(
+        "page_id", "f.form_id", "f.source", "f.form_type", F.array_join("f.personal_data_fields", ",").alias("personal"), c("f.submit_text").alias("submit"),
+        c("f.consent.checkbox_found").cast("int").alias("boxes"), F.coalesce(c("f.consent.checkbox_prechecked").cast("int"), F.lit(0)).alias("prechecked"))
+
+
 @query("t_page_trackers", f"""
 SELECT page_id, provider, domain, matched_on FROM pages JOIN {vals(PAGE_HITS)} h(k, provider, domain, matched_on) ON page_id % 12 = k""")
 def page_trackers(spark, sf):
@@ -289,10 +304,12 @@ def core(spark, sf):
     return audited(spark, sf).core.select(c("site_id").alias("host"), "pos", "id", "status")
 
 
-FINDINGS_CTE = CORE_CTE + """
-, map(fid, rule, core_id) AS (VALUES ('PD-01', 'R001', 'PP_001'), ('PD-03', 'R026', 'PP_032'), ('PD-06', 'R009', NULL), ('PD-10', 'R014', 'PP_024'), ('PD-11', 'R015', 'PP_020'),
+#: finding, rule and core check that lead to it
+MAP_ROWS = """('PD-01', 'R001', 'PP_001'), ('PD-03', 'R026', 'PP_032'), ('PD-06', 'R009', NULL), ('PD-10', 'R014', 'PP_024'), ('PD-11', 'R015', 'PP_020'),
   ('PD-13', 'R011', 'Cookie_001'), ('PD-14', 'R012', 'Cookie_006'), ('PD-16', 'R003', 'R003'), ('PD-17', 'R005', 'Consent_011'), ('PD-19', 'R019', 'R019'),
-  ('PD-27', 'R020', 'PP_027'), ('PD-26', 'R021', NULL), ('PD-24', 'R022', NULL), ('PD-23', 'R023', NULL), ('PD-31', 'R025', NULL), ('PD-22', 'R027', NULL), ('PD-40', 'R017', 'R017'), ('PD-40', 'R018', NULL)),
+  ('PD-27', 'R020', 'PP_027'), ('PD-26', 'R021', NULL), ('PD-24', 'R022', NULL), ('PD-23', 'R023', NULL), ('PD-31', 'R025', NULL), ('PD-22', 'R027', NULL), ('PD-40', 'R017', 'R017'), ('PD-40', 'R018', NULL)"""
+FINDINGS_CTE = CORE_CTE + f"""
+, map(fid, rule, core_id) AS (VALUES {MAP_ROWS}),
 found AS (SELECT host, fid, max(CASE WHEN r.rule IS NOT NULL THEN m.score END) AS rule_score FROM
     (SELECT h.host, map.* FROM hosts h, map) x LEFT JOIN fired r USING (host, rule) LEFT JOIN meta m USING (rule)
     LEFT JOIN (SELECT host, id AS core_id FROM checks WHERE status = 'risk') k USING (host, core_id)
@@ -490,3 +507,67 @@ def documents_table(spark, sf):
     return t.select(c("site_id").alias("host"), "doc_pos", "doc_type", "url", "is_accessible", "overall_completeness",
                     F.array_join("critical_missing", "; ").alias("critical_missing"), F.array_join("conflicts", "; ").alias("conflicts"),
                     F.array_join("open_items", "; ").alias("open_items"))
+
+
+# ---- what the fragments cannot show: an outside review of policies, and servers abroad -------------
+#: number of a host
+HOST_NUMBER = "(3 * length(host) + ascii(substring(host, 5, 1)))"
+REVIEWED_CTE = CORE_CTE + f"""
+, n AS (SELECT *, {HOST_NUMBER} AS n FROM f),
+reviewed AS (SELECT host, pd, d7 AND n % 2 = 0 AS no_operator, d7 AND n % 3 < 2 AS no_purpose, d7 AND n % 5 < 3 AS no_terms, pd AND n % 7 < 4 AS abroad FROM n),
+refired AS (SELECT host, rule FROM fired WHERE rule IS NOT NULL UNION SELECT host, unnest([CASE WHEN no_operator THEN 'R007' END, CASE WHEN no_purpose THEN 'R008' END,
+  CASE WHEN no_terms AND pd THEN 'R010' END, CASE WHEN abroad THEN 'R016' END]) FROM reviewed),
+remeta AS (SELECT * FROM meta UNION ALL VALUES ('R007', 'high', 2, 20), ('R008', 'high', 2, 25), ('R016', 'high', 2, 20)),
+rechecks AS (SELECT host, id AS core_id FROM checks WHERE status = 'risk' UNION SELECT host, unnest([CASE WHEN no_operator THEN 'PP_003' END, CASE WHEN no_purpose THEN 'PP_009' END,
+  CASE WHEN no_purpose THEN 'PP_011' END, CASE WHEN no_terms THEN 'PP_015' END, CASE WHEN no_terms THEN 'PP_018' END]) FROM reviewed),
+remap(fid, rule, core_id) AS (VALUES {MAP_ROWS}, ('PD-04', 'R007', 'PP_003'), ('PD-05', NULL, 'PP_009'), ('PD-07', NULL, 'PP_011'), ('PD-08', NULL, 'PP_015'),
+  ('PD-09', NULL, 'PP_018'), ('PD-40', 'R016', NULL))
+"""
+
+
+def _reviewed(spark, sf):
+    """The context of the audit after a review of the policies found gaps, some servers abroad; with the rules that fire on it."""
+    ctx = audited(spark, sf).context
+    number = F.expr(HOST_NUMBER.replace("host", "site_id"))
+    gaps = ((number % 2 == 0, ("PP_003", "PP_005")), (number % 3 < 2, ("PP_009", "PP_011")), (number % 5 < 3, ("PP_015", "PP_018")))
+
+    def missing(item, old):
+        gap = F.lit(False)
+        for cond, ids in gaps:
+            gap = gap | (cond & item.isin(*ids))
+        return F.when(gap, old.withField("status", F.lit("not_found"))).otherwise(old)
+
+    abroad = number % 7 < 4
+    ctx = ctx.withColumns({
+        "items": F.when(c("policy_readable"), F.transform_values("items", missing)).otherwise(c("items")),
+        "server_country": F.when(abroad, "NL").otherwise("RU"), "geoip_confidence": F.lit(80)})
+    return ctx, R.apply_rules(ctx)
+
+
+@query("r007_r008_r016_reviewed_risks", REVIEWED_CTE + """
+SELECT host, rule, risk_level, score, row_number() OVER (PARTITION BY host ORDER BY lr DESC, score DESC, rule) AS rank FROM refired JOIN remeta USING (rule)""")
+def reviewed_risks(spark, sf):
+    return _reviewed(spark, sf)[1].select(
+        c("site_id").alias("host"), F.split_part("rule_id", F.lit("_"), F.lit(1)).alias("rule"), "risk_level", "score", "rank")
+
+
+@query("f03_f04_reviewed_findings", REVIEWED_CTE + """
+SELECT host, fid AS finding_id, coalesce(max(CASE WHEN r.rule IS NOT NULL THEN m.score END), 20) AS score FROM (SELECT h.host, remap.* FROM hosts h, remap) x
+LEFT JOIN refired r USING (host, rule) LEFT JOIN remeta m USING (rule) LEFT JOIN rechecks k USING (host, core_id) WHERE r.rule IS NOT NULL OR k.core_id IS NOT NULL GROUP BY host, fid""")
+def reviewed_findings(spark, sf):
+    ctx, risks = _reviewed(spark, sf)
+    return Fi.findings(ctx, risks, E.core_checks(ctx, risks)).select(c("site_id").alias("host"), "finding_id", "score")
+
+
+@query("a19_a20_unreachable_sites", SCORE_CTE + f"""
+SELECT host, CASE WHEN up THEN risk_score ELSE 0 END AS risk_score, CASE WHEN NOT up THEN 'unknown' WHEN risk_score <= 20 THEN 'low' WHEN risk_score <= 50 THEN 'medium'
+  WHEN risk_score <= 80 THEN 'high' ELSE 'critical' END AS risk_level, TRUE AS manual, NOT up AS no_confidence,
+  CASE WHEN up THEN 'Страницы получены без браузера: часть ссылок могла не загрузиться.' ELSE 'Сайт недоступен: главная страница не получена.' END AS first_error
+FROM (SELECT *, {HOST_NUMBER} % 4 <> 0 AS up FROM scored)""")
+def unreachable(spark, sf):
+    """Every fourth homepage is lost: no risks, no score, and the reason among the errors."""
+    up = F.expr(HOST_NUMBER.replace("host", "site_id")) % 4 != 0
+    ctx = audited(spark, sf).context.withColumn("reachable", up)
+    return R.score_sites(ctx, R.apply_rules(ctx)).select(
+        c("site_id").alias("host"), "risk_score", "risk_level", c("requires_manual_review").alias("manual"), (c("confidence") == 0).alias("no_confidence"),
+        F.get("errors", F.lit(0)).alias("first_error"))

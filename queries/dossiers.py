@@ -30,16 +30,14 @@ LISTS = catalogue.checklists(None)
 PHRASES = SPECIAL + sorted({i["norm_keywords"][0] + "." for t in TYPES for d in t for i in LISTS[d] if i["norm_keywords"]})
 
 
-def _site_flags(n):
-    """Facts of site number n, as SQL that Spark and DuckDB read alike."""
-    out = {flag: f"{n} % {j + 2} <> 1" for j, flag in enumerate(C.APPLIES)}
-    out |= {"n_pd_forms": f"{n} % 3", "n_pd_linked": f"{n} % 2", "pd_link": f"{n} % 2 = 1", "form_merged": f"{n} % 4 = 1", "form_prechecked": f"{n} % 5 = 1",
-            "form_button_only": f"{n} % 6 = 1", "cookie_banner_found": f"{n} % 2 = 0", "marketing_before_consent": f"{n} % 7 < 3"}
-    return out
+#: facts of a site by its pair number (two sites make a pair), as SQL that Spark and DuckDB read alike
+FLAGS = {flag: f"pair % {j + 2} <> 1" for j, flag in enumerate(C.APPLIES)} | {
+    "n_pd_forms": "pair % 3", "n_pd_linked": "pair % 4", "pd_link": "pair % 4 = 2", "form_merged": "pair % 4 = 1", "form_prechecked": "pair % 5 = 1",
+    "form_button_only": "pair % 3 = 1", "cookie_banner_found": "pair % 2 = 0", "marketing_before_consent": "pair % 7 < 3"}
 
 
 def _has(phrase: int) -> str:
-    return f"(doc_id * {2 * phrase + 3} + {phrase}) % 7 < 2"
+    return f"(doc_id * {5 * phrase % 12 + 1} + {phrase}) % 13 < 4"
 
 
 def dossiers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -59,8 +57,8 @@ def dossiers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     def some(values, rule):
         return F.array_compact(F.array(*[F.when(rule(i), F.lit(v)) for i, v in enumerate(values)]))
 
-    ctx = docs.select("site_id").distinct().withColumns({k: F.expr(v) for k, v in _site_flags("site_id").items()}).withColumns({
-        "pd_categories": some(CATEGORIES, lambda i: c("site_id") % (i + 2) == 0), "providers": some(PROVIDERS, lambda i: c("site_id") % (i + 3) != 0),
+    ctx = docs.select("site_id").distinct().withColumn("pair", F.expr("site_id div 2")).withColumns({k: F.expr(v) for k, v in FLAGS.items()}).withColumns({
+        "pd_categories": some(CATEGORIES, lambda i: c("pair") % (i + 2) == 0), "providers": some(PROVIDERS, lambda i: c("pair") % (i + 3) != 0),
         "registered_domain": F.lit("example.ru"), "below": F.from_json(F.lit("[]"), "array<struct<key: string, kind: string, labels: int>>")})
     return docs, ctx
 
@@ -144,12 +142,12 @@ def _some(values, rule):
 
 CTE = f"""
 WITH item(doc_type, item_pos, item_id, label, applies, special, risk, kws) AS (VALUES {ROWS}),
-base AS (SELECT doc_id, doc_id // 4 AS site_id, (doc_id % 4)::INT AS doc_pos,
+base AS (SELECT doc_id, doc_id // 4 AS site_id, doc_id // 8 AS pair, (doc_id % 4)::INT AS doc_pos,
     CASE WHEN doc_id // 4 % 2 = 0 THEN {_strings(TYPES[0])}[doc_id % 4 + 1] ELSE {_strings(TYPES[1])}[doc_id % 4 + 1] END AS doc_type,
     CASE WHEN doc_id % 11 = 7 THEN '' ELSE coalesce(text, '') || ' ' || array_to_string({_some(PHRASES, _has)}, ' ') END AS text
   FROM documents WHERE doc_id IS NOT NULL),
-flags AS (SELECT *, {sql_norm('text')} AS norm, {', '.join(f'{v} AS {k}' for k, v in _site_flags('site_id').items())},
-    {_some(CATEGORIES, lambda i: f'site_id % {i + 2} = 0')} AS cats, {_some(PROVIDERS, lambda i: f'site_id % {i + 3} <> 0')} AS providers,
+flags AS (SELECT *, {sql_norm('text')} AS norm, {', '.join(f'{v} AS {k}' for k, v in FLAGS.items())},
+    {_some(CATEGORIES, lambda i: f'pair % {i + 2} = 0')} AS cats, {_some(PROVIDERS, lambda i: f'pair % {i + 3} <> 0')} AS providers,
     regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@([a-zA-Z0-9.\\-]+\\.[a-zA-Z]{{2,}})', 1) AS mail_hosts FROM base),
 d AS (SELECT *, list_filter(cats, lambda cat: len(list_filter({_words('cat')}, lambda w: contains(norm, w))) > 0) AS covered,
     list_filter(providers, lambda p: contains(norm, lower(p))) AS named,
