@@ -3,6 +3,7 @@
 The lines of a text that have a word are a chain; Viterbi decoding marks each as content or
 boilerplate, and a text is kept if its content lines hold enough of its words. The field is trained
 here on weak labels: the lines of a bounded sample of labelled texts take their text's quality label.
+Texts of any length are cut into chains of CHAIN lines for training, and the sample is one of chains.
 
 Cases: a null or empty text has no line, content share 0, and fails the base rules. Repeated rows and
 repeated ids give one result row each. Other columns are not read. Without a labelled row of each
@@ -16,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks, texts, utf8
+from .common import staged, text_blocks, texts, utf8
 from .stats import N_LINE, Counts
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "n_lines long, n_content_lines long, content_share double, base_failed boolean, kept boolean")
-#: texts that training reads at most, and the longest of them in characters
-TRAIN_TEXTS, TRAIN_CHARS = 2000, 20_000
+#: texts of each label that training reads at most, and chains of each label that it fits at most
+TRAIN_TEXTS, TRAIN_CHAINS = 2000, 4000
 #: a training text is cut into chains of this many lines
 CHAIN = 64
 
@@ -113,27 +114,35 @@ def fit(chains: list[np.ndarray], labels: list[int], steps: int = 60, rate: floa
     return Field(weights, moves)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_texts: int = TRAIN_TEXTS, max_chars: int = TRAIN_CHARS) -> Field:
-    """A field from the labelled texts with the smallest id hashes: max_texts of each label at most, of
-    which those longer than max_chars are left out. Only this bounded sample comes to the driver."""
+def train(docs: DataFrame, labels: DataFrame, max_texts: int = TRAIN_TEXTS, max_chains: int = TRAIN_CHAINS) -> Field:
+    """A field from the labelled texts with the smallest id hashes, max_texts of each label at most. Tasks
+    cut the whole texts, however long, into chains; of each label the max_chains chains with the smallest
+    hashes are fitted. Only they come to the driver."""
     marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
-    sample = None
-    for y in (0, 1):
-        part = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(max_texts)
-        sample = part if sample is None else sample.union(part)
-    got = texts(docs.where(F.length("text") <= max_chars)).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").toPandas()
-    chains, ys = [], []
-    if len(got):
-        batch = pa.RecordBatch.from_pydict({"text": pa.array(got["text"], pa.string())})
-        for a, _, data, off in text_blocks(batch):
-            c = Counts(data, off)
-            lines = c.line_features()
-            bounds = np.searchsorted(c.line_row, np.arange(len(off)))
-            for i in range(len(off) - 1):
-                for at in range(bounds[i], bounds[i + 1], CHAIN):
-                    chains.append(lines[at:min(at + CHAIN, bounds[i + 1])])
-                    ys.append(int(got["y"][a + i]))
-    return fit(chains, ys)
+
+    def least(rows, n, *order):
+        a, b = (rows.where(F.col("y") == y).orderBy(*order).limit(n) for y in (0, 1))
+        return a.union(b)
+
+    def cut(batches):
+        for batch in batches:
+            for a, _, data, off in text_blocks(batch):
+                c = Counts(data, off)
+                lines, n = c.line_features().astype("<f4"), np.bincount(c.line_row, minlength=len(off) - 1)
+                first = np.cumsum(n) - n
+                row = np.repeat(np.arange(len(n)), -(-n // CHAIN))
+                at = np.concatenate([np.arange(0, k, CHAIN) for k in n]) if len(row) else row
+                taken = pa.array(a + row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(taken), batch.column("y").take(taken), pa.array(at, pa.int64()),
+                     pa.array([lines[first[r] + i:first[r] + min(i + CHAIN, n[r])].tobytes() for r, i in zip(row, at)], pa.binary())],
+                    ["doc_id", "y", "at", "lines"])
+
+    sample = least(marked, max_texts, F.xxhash64("doc_id"))
+    own = texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
+    chains = staged(own.mapInArrow(cut, "doc_id long, y int, at long, lines binary"))
+    got = least(chains, max_chains, F.xxhash64("doc_id", "at"), "lines").toPandas()
+    return fit([np.frombuffer(x, "<f4").reshape(-1, N_LINE).astype(np.float64) for x in got["lines"]], got["y"].tolist())
 
 
 def label_lines(docs: DataFrame, field: Field, min_share: float = 0.5) -> DataFrame:

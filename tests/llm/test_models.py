@@ -62,6 +62,23 @@ def test_field_separates_labels(tables):
     assert got[got.quality == 1].kept.mean() > 0.98 and got[got.quality == 0].kept.mean() < 0.1
 
 
+def test_long_texts_are_fitted(spark):
+    """Texts of more than 20,000 characters, and of one line, reach the training."""
+    rng = random.Random(4)
+    good = "\n".join(" ".join(rng.choice(("river", "stone", "walks", "slowly", "home")) for _ in range(12)) + "." for _ in range(600))
+    poor = "\n".join("BUY NOW!!! $$$ 100% | FREE | CLICK" for _ in range(900))
+    docs = spark.createDataFrame([(1, good), (2, poor), (3, None), (4, ""), (5, "one " * 9000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1), (5, 1)], "doc_id long, quality int")
+    field = op02_line_crf.train(docs, labels)
+    assert np.abs(field.weights).max() > 0.1
+    mixed = good[:4000].rsplit("\n", 1)[0] + "\n" + poor[:3500].rsplit("\n", 1)[0]
+    marks = [m for _, _, m in op02_line_crf.decode_text(mixed, field)]
+    want = ["!!!" not in line for line in mixed.split("\n")]
+    assert len(marks) == len(want) and np.mean(np.array(marks) == want) > 0.95
+    few = op02_line_crf.train(docs, labels, max_chains=3)
+    assert np.isfinite(few.weights).all()
+
+
 def test_ranking(tables):
     docs, labels = tables
     got = op07_ranking.rank(docs, labels).toPandas()
