@@ -62,6 +62,36 @@ def test_field_separates_labels(tables):
     assert got[got.quality == 1].kept.mean() > 0.98 and got[got.quality == 0].kept.mean() < 0.1
 
 
+def test_field_is_the_most_likely_one():
+    """At the fitted weights no direction raises the likelihood, summed over all label paths one by one."""
+    rng = np.random.default_rng(5)
+    n, decay = op02_line_crf.N_LINE, 1e-2
+    chains = [rng.normal(size=(k, n)) for k in (1, 4, 2, 5, 3, 4)]
+    labels = [1, 0, 0, 1, 1, 0]
+    share = {y: 0.5 * len(labels) / labels.count(y) for y in (0, 1)}
+    size = sum(share[y] * len(c) for c, y in zip(chains, labels))
+
+    def objective(theta):
+        field = op02_line_crf.Field(theta[:2 * (n + 1)].reshape(2, n + 1), theta[2 * (n + 1):].reshape(2, 2))
+        total = 0.0
+        for c, y in zip(chains, labels):
+            emit = field.emissions(c)
+
+            def weight(path):
+                return sum(emit[a, v] for a, v in enumerate(path)) + sum(field.moves[v, w] for v, w in zip(path, path[1:]))
+
+            paths = [[b >> a & 1 for a in range(len(c))] for b in range(1 << len(c))]
+            total += share[y] * (weight([y] * len(c)) - math.log(sum(math.exp(weight(q)) for q in paths)))
+        return total / size - decay / 2 * float(theta @ theta)
+
+    field = op02_line_crf.fit(chains, labels, steps=3000, rate=0.02, decay=decay)
+    theta = np.concatenate([field.weights.ravel(), field.moves.ravel()])
+    for j in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[j] = 1e-4
+        assert abs(objective(theta + step) - objective(theta - step)) / 2e-4 < 1e-3
+
+
 def test_long_texts_are_fitted(spark):
     """Texts of more than 20,000 characters, and of one line, reach the training."""
     rng = random.Random(4)
@@ -79,6 +109,41 @@ def test_long_texts_are_fitted(spark):
     assert np.isfinite(few.weights).all()
 
 
+def test_ranking_against_plain_steps():
+    """Weights are those of plain gradient steps over the same pairs; as many scores are below 0.5 as labels are poor."""
+    rng = np.random.default_rng(6)
+    y = (rng.random(120) < 0.7).astype(int)
+    x = rng.normal(size=(120, op07_ranking.N_TEXT)) + 0.6 * y[:, None]
+    model = op07_ranking.fit(x, y, pairs=400, l2=1e-2, seed=3)
+    z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-3)
+    draw = np.random.default_rng(3)
+    better = draw.choice(np.flatnonzero(y == 1), 400)
+    pairs = list(zip(better, draw.choice(np.flatnonzero(y == 0), 400)))
+    w = np.zeros(x.shape[1])
+    for _ in range(4000):
+        grad = -1e-2 * w
+        d = np.array([z[a] - z[b] for a, b in pairs])
+        grad += (d / (1 + np.exp(d @ w))[:, None]).mean(0)
+        w += 0.3 * grad
+    assert np.allclose(model.weights, w, atol=1e-3)
+    score = model.score(x)
+    assert (score < 0.5).sum() == (y == 0).sum()
+    u = z @ w - np.sort(z @ w)[(y == 0).sum() - 1:(y == 0).sum() + 1].mean()
+    assert np.allclose(score, 1 / (1 + np.exp(-u)), atol=1e-2)
+
+
+def test_score_of_each_text_alone(spark, tables):
+    """The query's scores are those of each text counted by itself."""
+    docs, labels = tables
+    some = docs.where("doc_id % 50 = 0")
+    model = op07_ranking.train(docs, labels)
+    got = {r.doc_id: r.score for r in op07_ranking.score(some, model).collect()}
+    for r in some.collect():
+        text = (r.text or "").encode()
+        alone = op07_ranking.Counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert got[r.doc_id] == pytest.approx(float(model.score(alone.text_features())[0]), abs=1e-9)
+
+
 def test_ranking(tables):
     docs, labels = tables
     got = op07_ranking.rank(docs, labels).toPandas()
