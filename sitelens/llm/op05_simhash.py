@@ -10,7 +10,8 @@ then decides. Equal fingerprints count as one in the search, so groups of copies
 Cases: null and empty texts have no term and the fingerprint zero. Rows without doc_id have no place
 in the order and no result. The next document of a row is the
 next row by (doc_id, text), also among repeated ids; a single row is its own next. Other columns are
-not read. An empty table gives no rows.
+not read. An empty table gives no rows. A very long text is a block of its own, about 42 bytes a byte of
+it. A bit that gets as many votes for as against is 0.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ utility at the quantile that equals the share of poor training texts becomes sco
 
 Cases: a null or empty text is scored like a text without words. Repeated rows and ids give one row
 each; a doc_id with two labels counts as the lower one. Other columns of documents are not read.
-Without labels of both kinds all scores are 0.5.
+Without labels of both kinds all scores are 0.5. Equal utilities get equal scores; a score of 0.5 counts
+as label 1. A very long text is a block of its own, about 27 bytes a byte of it.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sitelens.llm import op01_lm_scoring, op02_line_crf, op07_ranking, op08_mixing
+from sitelens.llm import op01_lm_scoring, op02_line_crf, op05_simhash, op07_ranking, op08_mixing
 
 from .conftest import DDL, WORD
 
@@ -277,3 +277,20 @@ def test_rare_words_of_the_target_stay_themselves(spark):
     docs = [(i, "a b " * 2500) for i in range(60)] + [(100, "a q1x b"), (101, "a q2x b")]
     got = {r.doc_id: r.score for r in op01_lm_scoring.cross_entropy_difference(frame(docs), frame([(0, "a q1x b q1x")])).collect()}
     assert got[100] > got[101] + 1e-6
+
+
+def test_very_long_texts(spark):
+    """One text of three million characters among short ones: same counts and scores as counted alone."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    long = "".join(rng.choice(words) + ("\n" if rng.random() < 0.1 else " ") for _ in range(550_000))
+    docs = spark.createDataFrame([(0, "short one"), (1, long), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op02_line_crf.label_lines(docs, op02_line_crf.Field.neutral()).collect()}
+    assert got[1].n_words == 550_000 and got[1].word_chars == sum(map(len, long.split())) and got[2].n_words == 0
+    model = op07_ranking.Ranking(np.zeros(op07_ranking.N_TEXT), np.ones(op07_ranking.N_TEXT), np.linspace(-1, 1, op07_ranking.N_TEXT), 0.0)
+    text = np.frombuffer(long.encode(), np.uint8)
+    alone = model.score(op07_ranking.Counts(text, np.array([0, len(text)])).text_features())[0]
+    assert {r.doc_id: r.score for r in op07_ranking.score(docs, model).collect()}[1] == pytest.approx(float(alone))
+    prints = {r.doc_id: r for r in op05_simhash.fingerprint_table(docs).collect()}
+    own = op05_simhash.fingerprints(text, np.array([0, len(text)])).view(">i8")[0]
+    assert [prints[1][p] for p in op05_simhash.PARTS] == own.tolist()
