@@ -14,7 +14,7 @@ from sitelens import catalogue
 from sitelens.functions import text as X
 from sitelens.operators import checklist as C
 from sitelens.plans import report
-from sitelens.sources.staging import staged, work_dir
+from sitelens.sources.staging import sql_conf, staged, work_dir
 
 c = F.col
 TYPES = (("privacy_policy", "consent", "special_consent", "distribution_consent"), ("cookie_policy", "offer", "user_agreement", "ad_consent"))
@@ -51,8 +51,7 @@ def dossiers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("Документ "), "doc_id").alias("title"), F.lit("html").alias("format"),
         F.when(blank, "").otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), picked)).alias("text"), blank.alias("text_extraction_failed"),
         (~blank).alias("is_accessible"), F.when(blank, "text_extraction_failed").otherwise("").alias("extraction_error"))
-    docs = docs.withColumns({"date_detected": X.detect_date(c("text")), "version_detected": X.detect_version(c("text")),
-                             "placeholder": F.size(X.find_placeholders(c("text"))) > 0})
+    docs = docs.withColumns({"date_detected": X.detect_date(c("text")), "version_detected": X.detect_version(c("text"))})
 
     def some(values, rule):
         return F.array_compact(F.array(*[F.when(rule(i), F.lit(v)) for i, v in enumerate(values)]))
@@ -71,7 +70,9 @@ def checked(spark: SparkSession, sf: str):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _checked:
         docs, ctx = dossiers(spark, sf)
-        facts = staged(C.with_facts(docs, ctx), work_dir(spark), "dossiers")
+        # partitions of texts are not merged: what is done to a text costs more than a task
+        with sql_conf(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+            facts = staged(C.with_facts(docs, ctx).withColumn("placeholder", F.size("blanks") > 0), work_dir(spark), "dossiers")
         results = staged(C.run_checklist(facts), work_dir(spark), "dossier_items")
         conflicts = staged(C.detect_conflicts(facts), work_dir(spark), "dossier_conflicts")
         _checked[key] = facts, results, conflicts, C.doc_analysis(facts, results, conflicts)

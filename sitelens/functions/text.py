@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # the Unicode-aware \\s, and only runs that need a change are replaced.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _WS_NOT_SPACE = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_RUN = rf"(?: {WS}+|{_WS_NOT_SPACE}{WS}*)"
+# Printable ASCII, Latin and Cyrillic letters fail after two comparisons instead of a walk through the class.
+_RUN = rf"(?: (?![!-~\xa1-\u167f]){WS}+|(?![ -~\xa1-\u167f]){_WS_NOT_SPACE}{WS}*)"
 _WS_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
@@ -27,7 +28,7 @@ def strip(c: Column) -> Column:
 
 
 def _collapse(c: Column) -> Column:
-    return F.regexp_replace(c, _RUN, " ")
+    return F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), _RUN, " ")
 
 
 def clean_text(c: Column) -> Column:
@@ -40,16 +41,17 @@ def _cut(c: Column, n: int) -> Column:
 
 
 def truncate(c: Column, n: int = 500) -> Column:
-    return _cut(strip(F.coalesce(c, F.lit(""))), n)
+    return let(strip(F.coalesce(c, F.lit(""))), lambda s: _cut(s, n))
 
 
 def squeeze(c: Column, n: int) -> Column:
-    """Whitespace collapsed, then truncated."""
-    return _cut(clean_text(c), n)
+    """Whitespace collapsed, then truncated. Where the head of a long text is enough, the rest is not collapsed."""
+    return let(clean_text(F.substring(c, 1, 4 * n)), lambda head: F.when(F.length(head) > n, _cut(head, n)).otherwise(
+        let(clean_text(c), lambda whole: _cut(whole, n))))
 
 
 def normalize_for_search(c: Column) -> Column:
-    low = F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е")
+    low = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ё"), F.lit("е"))
     return _collapse(low)
 
 
@@ -135,6 +137,24 @@ def find_all_matches(c: Column, keywords) -> Column:
         F.filter(pairs, lambda p: F.exists(found, lambda f: f.startswith(p["n"]))), lambda p: p["k"]))
 
 
+_ASCII = r"[\x00-\x7f]"
+
+
+def found_words(norm: Column, words) -> Column:
+    """Normalised words contained in a normalised text, for many words and long texts. Words with other
+    than ASCII letters are looked for in the text without the inside of ASCII runs that are longer than
+    any in these words, the others in the whole text."""
+    plain, mixed = [[w for w in words if w.isascii() == a] for a in (True, False)]
+    runs = max([len(r) for w in mixed for r in re.findall(_ASCII + "+", w)], default=0)
+    keep = max(runs, 1)
+    short = F.regexp_replace(norm, f"({_ASCII}{{{keep}}}){_ASCII}+({_ASCII}{{{keep}}})", "$1$2")
+
+    def held(text, some):
+        return F.filter(F.array(*map(F.lit, some)), lambda w: text.contains(w)) if some else F.array().cast("array<string>")
+
+    return F.concat(held(norm, plain), let(short, lambda s: held(s, mixed)))
+
+
 def find_first(c: Column, keywords) -> Column:
     return F.try_element_at(find_all_matches(c, keywords), F.lit(1))
 
@@ -154,8 +174,8 @@ RE_DATE = (
     r"|\b\d{1,2}\s+(?:январ|феврал|март|апрел|ма[йя]|июн|июл|август|сентябр|октябр|ноябр|декабр)\w*\s+\d{4}"
     r"|\b\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2}\b)"
 )
-RE_VERSION = r"(?=[ВвVvРр])(?iU)(?:верси[яи]|version|редакци[яи]|ред\.)\s*[:№]?\s*([0-9]+(?:\.[0-9]+)*)"
-RE_PLACEHOLDER = r"(?=[\[{_«РрНнАаУуВвПп])(?iU)(?:" + "|".join(
+RE_VERSION = r"(?=[VvА-я])(?=[Vv][Ee]|[ВвРр][Ее])(?iU)(?:верси[яи]|version|редакци[яи]|ред\.)\s*[:№]?\s*([0-9]+(?:\.[0-9]+)*)"
+RE_PLACEHOLDER = r"(?=[\[{_«А-я])(?=[\[{_«РрНнАаУуВвПп])(?iU)(?:" + "|".join(
     [
         r"\[[^\]]{0,40}\]",
         r"\{\{[^}]{0,40}\}\}",
@@ -175,6 +195,14 @@ def _all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(group)))
 
 
+def _at_words(c: Column) -> Column:
+    """The words around each @; an address holds no space."""
+    def ends(p):
+        return F.when(p.contains(" "), F.concat(F.substring_index(p, " ", 1), F.lit(" "), F.substring_index(p, " ", -1))).otherwise(p)
+
+    return F.when(c.contains("@"), F.array_join(F.transform(F.split(c, "@"), ends), "@")).otherwise("")
+
+
 def find_inn(c: Column) -> Column:
     labelled = _all(c, RE_INN_LABELED, 1)
     return F.when(F.size(labelled) > 0, labelled).otherwise(_all(c, RE_INN))
@@ -187,7 +215,7 @@ def find_ogrn(c: Column) -> Column:
 
 
 def find_emails(c: Column) -> Column:
-    return _all(c, RE_EMAIL)
+    return let(_at_words(c), lambda words: _all(words, RE_EMAIL))
 
 
 def find_phones(c: Column) -> Column:
@@ -265,7 +293,7 @@ def snippet_around(text: Column, needle: Column, radius: int = 200, norm: Column
     """Window around the first match of ``needle``; the head of the text when there is none. Pass
     ``norm`` when the normalised text is already a column."""
     def window(b):
-        raw, size = b["raw"], F.length(b["raw"])
+        raw, size = b["raw"], b["size"]
         start = F.greatest(F.lit(0), b["at"] - 1 - radius)
         end = F.least(size, b["at"] - 1 + b["n"] + radius)
         cut = F.concat(
@@ -273,9 +301,12 @@ def snippet_around(text: Column, needle: Column, radius: int = 200, norm: Column
             F.when(end < size, "…").otherwise(""))
         return F.when(b["at"] > 0, cut).otherwise(squeeze(raw, 2 * radius))
 
-    nn = normalize_for_search(needle)
-    at = F.when(nn != "", F.position(nn, normalize_for_search(text) if norm is None else norm)).otherwise(0)
-    return let(F.struct(F.coalesce(text, F.lit("")).alias("raw"), at.alias("at"), F.length(nn).alias("n")), window)
+    def found(nn):
+        at = F.when(nn != "", F.position(nn, normalize_for_search(text) if norm is None else norm)).otherwise(0)
+        raw = F.coalesce(text, F.lit(""))
+        return F.struct(raw.alias("raw"), at.alias("at"), F.length(nn).alias("n"), F.length(raw).alias("size"))
+
+    return let(let(normalize_for_search(needle), found), window)
 
 
 def first_snippet(c: Column, n: int = 400) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sitelens import catalogue
 from sitelens.functions import text as X
 from sitelens.operators.domains import on_site, with_domain
+from sitelens.sources.staging import staged, work_dir
 
 # ---- fixed values -----------------------------------------------------------------
 APPLIES = ("has_pd_forms", "has_forms", "trackers_present", "foreign_trackers_present", "cookies_present",
@@ -78,17 +79,36 @@ def with_facts(docs: DataFrame, ctx: DataFrame) -> DataFrame:
         own = F.try_element_at(F.filter(words, lambda w: w["c"] == cat), F.lit(1))["w"]
         return F.exists(F.coalesce(own, F.array(cat)), lambda k: n.contains(k))
 
+    # a number of an organisation has ten digits or more: most texts hold none
+    df = df.withColumn("_numbers", F.when(F.col("text").rlike(r"\p{Nd}{10}"), F.col("text")))
     df = df.withColumns({
-        "inns": X.find_inn(F.col("text")), "ogrns": X.find_ogrn(F.col("text")),
+        "inns": X.find_inn(F.col("_numbers")), "ogrns": X.find_ogrn(F.col("_numbers")),
         "blanks": X.find_placeholders(F.col("text")),
         "foreign_mail": foreign_emails(F.col("text"), F.col("registered_domain"), F.col("below")),
         "covered": F.filter("pd_categories", is_covered),
         "named": F.filter("providers", lambda p: n.contains(X.normalize_for_search(p))),
     })
-    return df.withColumns({
+    return df.drop("_numbers").withColumns({
         "uncovered": F.array_except("pd_categories", "covered"), "unnamed": F.array_except("providers", "named")})
 
 
+#: keywords of the handlers that search, for items without their own
+DEFAULT_WORDS = {"third_parties": THIRD_PARTY_WORDS, "cross_border": BORDER_WORDS, "doc_date": DATE_WORDS}
+
+
+def _first_found(kws: Column) -> Column:
+    return F.try_element_at(F.filter(kws, lambda k: F.array_contains(F.col("_found"), k)), F.lit(1))
+
+
+def _found(lists) -> Column:
+    """Keywords of the document's type that its text contains: each is searched once for all items."""
+    out = F.array().cast("array<string>")
+    for kind, items in lists.items():
+        words = dict.fromkeys(k for i in items for k in i["norm_keywords"] or DEFAULT_WORDS.get(i["special"], ()))
+        out = F.when(F.col("doc_type") == kind, X.found_words(F.col("norm"), list(words))).otherwise(out)
+    return out
+
+
 def _handlers(item: Column) -> dict[str, Column]:
     """Verdict per handler name. ``item`` supplies the keywords of the handlers that search."""
     c = F.col
@@ -98,7 +118,7 @@ def _handlers(item: Column) -> dict[str, Column]:
     def search(default=()):
         kws = item["norm_keywords"] if not default else F.when(
             F.size(item["norm_keywords"]) > 0, item["norm_keywords"]).otherwise(F.array(*map(F.lit, default)))
-        return F.try_element_at(F.filter(kws, lambda k: n.contains(k)), F.lit(1))
+        return _first_found(kws)
 
     def quoted(kw, radius):
         return X.snippet_around(text, kw, radius, n)
@@ -108,7 +128,7 @@ def _handlers(item: Column) -> dict[str, Column]:
 
     na = lambda why: _res("not_applicable", why)
     no_cookies = na("Cookies не замечены.")
-    third, border, dated = search(THIRD_PARTY_WORDS), search(BORDER_WORDS), search(DATE_WORDS)
+    third, border, dated = map(search, DEFAULT_WORDS.values())
     numbers = F.concat_ws("; ", F.when(F.size("inns") > 0, F.concat(F.lit("ИНН: "), joined(c("inns"), 3))),
                           F.when(F.size("ogrns") > 0, F.concat(F.lit("ОГРН/ОГРНИП: "), joined(c("ogrns"), 3))))
     stamp = F.concat_ws("; ", F.when(c("date_detected") != "", F.concat(F.lit("дата: "), c("date_detected"))),
@@ -186,7 +206,7 @@ def run_checklist(facts: DataFrame, path=None) -> DataFrame:
         applies = F.lit(True)
         for flag in APPLIES:
             applies = applies & ((item["applies_when"] != flag) | F.col(flag))
-        kw = F.try_element_at(F.filter(item["norm_keywords"], lambda k: F.col("norm").contains(k)), F.lit(1))
+        kw = _first_found(item["norm_keywords"])
         generic = F.when((F.col("text") != "") & kw.isNotNull(), _res(
             "found", "Формулировка есть.", 70, X.snippet_around(F.col("text"), kw, 180, F.col("norm")))).otherwise(
             _res("not_found", "Формулировки нет.", 55))
@@ -202,7 +222,7 @@ def run_checklist(facts: DataFrame, path=None) -> DataFrame:
             item["risk_if_missing"], v["confidence"], F.lit("heuristic"))), 1)
         return pair.cast(RESULT)
 
-    return facts.select(
+    return facts.withColumn("_found", _found(lists)).select(
         "site_id", "doc_pos", "doc_type", "url", F.explode(F.transform(F.try_element_at(items, F.col("doc_type")), result)).alias("r")
     ).select("site_id", "doc_pos", "doc_type", "url", "r.*")
 
@@ -220,7 +240,7 @@ def detect_conflicts(facts: DataFrame, suffixes: DataFrame | None = None) -> Dat
             F.lit(kind).alias("type"), lit(fact).alias("detected_fact"), lit(statement).alias("document_statement"),
             F.lit(risk).alias("risk"), F.lit(comment).alias("comment"), F.lit("heuristic").alias("source")))
 
-    denies = n.rlike(DENIAL) | (n.contains("трансгранич") & X.has_any(
+    denies = n.contains("трансгранич") & (n.rlike(DENIAL) | X.has_any(
         n, ("не осуществляется", "не осуществляем", "не производится")))
     topical = c("doc_type").isin("privacy_policy", "cookie_policy", "consent", "user_agreement", "other")
     found = F.array(
@@ -239,6 +259,8 @@ def detect_conflicts(facts: DataFrame, suffixes: DataFrame | None = None) -> Dat
     rows = facts.where("text <> ''").select(
         "site_id", "doc_pos", "doc_type", "url", mail_host.alias("_mail"), F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("pos", "k")
     ).select("site_id", "doc_pos", "doc_type", "url", "pos", "k.*", F.when(F.col("k.type") == "company_conflict", F.col("_mail")).alias("_mail"))
+    # the domains are joined to the rows that they come from: written, so that texts are searched once
+    rows = staged(rows, work_dir(facts.sparkSession), "conflicts")
     named = with_domain(rows, F.col("_mail"), "_domain", suffixes)
     shown = F.when(F.col("_mail").isNotNull(), F.concat(F.lit("Домен адреса: "), "_domain")).otherwise(F.col("document_statement"))
     return named.withColumn("document_statement", shown).drop("_mail", "_domain")
