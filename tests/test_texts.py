@@ -52,3 +52,26 @@ def test_a_verdict_searches_the_words_of_all_items_once(spark):
     facts = C.with_facts(docs, ctx).withColumn("placeholder", F.lit(False))
     found = C.run_checklist(facts)._jdf.queryExecution().analyzed().toString()
     assert "_found" in found and "Contains(norm" not in found.split("Generate")[1].split("\n")[0]
+
+
+def test_parsed_rows_are_built_in_parts(spark):
+    """Of a batch only a few rows are Python objects at a time, and the array is the same as built at once."""
+    import pyarrow as pa
+
+    from sitelens.operators import html_parse as H
+
+    class Row(dict):
+        alive = most = 0
+
+        def __init__(self, **kw):
+            super().__init__(**kw)
+            Row.alive += 1
+            Row.most = max(Row.most, Row.alive)
+
+        def __del__(self):
+            Row.alive -= 1
+
+    kind = pa.struct([("i", pa.int64())])
+    got = H.arrow_rows((Row(i=i) for i in range(1000)), kind)
+    assert got.to_pylist() == [{"i": i} for i in range(1000)] and Row.most <= 2 * H.ROWS + 1
+    assert H.arrow_rows(iter(()), kind).type == kind
