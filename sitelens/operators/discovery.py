@@ -24,7 +24,8 @@ PLAN_GUESSES = ("/contacts", "/contact", "/kontakty", "/privacy", "/privacy-poli
                 "/cookie", "/cookies", "/cookie-policy", "/obrabotka-personalnyh-dannyh")
 SOURCE_RANK = {"anchor": 4, "page_link": 3, "priority_path": 2, "sitemap": 1}
 
-FORM_TIER, GUESS_TIER = 3, 4
+MAP_TIER, FORM_TIER, GUESS_TIER = 2, 3, 4
+FOUND_TIERS = (1, MAP_TIER, FORM_TIER)
 
 
 def url_winners(facts: DataFrame) -> DataFrame:
@@ -93,30 +94,41 @@ def plan_pages(links: DataFrame, sitemap: DataFrame, homes: DataFrame, max_pages
         "site_id", "base_url", "domain", "below",
         (F.lit(max_pages) if max_pages else F.when(F.col("max_pages").isNotNull(), F.greatest("max_pages", F.lit(1)))).cast("int").alias("budget"))
     # exploding the 0 or 1 tiers of a link evaluates the keyword tests once, a filter would repeat them
-    followed = links.join(sites, "site_id").where(
-        on_site(F.col("url"), F.col("domain"), F.col("below"))
-    ).select("*", F.explode(F.array_compact(F.array(link_tier(F.col("url"), F.col("text"))))).alias("tier"))
-    mapped = sitemap.join(sites, "site_id").where(X.contains_any(F.col("url"), LINK_WORDS)).withColumn("tier", F.lit(2))
-    guesses = sites.select("*", F.posexplode(F.array(*map(F.lit, PLAN_GUESSES))).alias("pos", "path")).select(
-        "site_id", "budget", "base_url", "pos", F.concat("base_url", "path").alias("url"), F.lit(GUESS_TIER).alias("tier"))
-    cols = ["site_id", "budget", "base_url", "tier", "pos", "url"]
-    pool = followed.select(cols).unionByName(mapped.select(cols)).unionByName(guesses.select(cols))
-    pool = pool.withColumn("url", U.strip_fragment(F.col("url"))).where(
-        (F.col("url") != "") & (U.url_key(F.col("url")) != U.url_key(F.col("base_url"))))
-    once = pool.groupBy("site_id", "budget", "url").agg(F.min(F.struct("tier", "pos")).alias("at"))
-    caps = {t: n for t, n in ((FORM_TIER, limits.form_pages), (GUESS_TIER, limits.guesses)) if n is not None}
-    capped = once
-    if caps:
-        in_tier = F.row_number().over(Window.partitionBy("site_id", "at.tier").orderBy("at"))
-        over = F.lit(False)
-        for t, n in caps.items():
-            over = over | ((F.col("at.tier") == t) & (F.col("k") > n))
-        capped = once.withColumn("k", in_tier).where(~over)
-    pos = F.row_number().over(Window.partitionBy("site_id").orderBy("at"))
-    ranked = capped.withColumn("plan_pos", pos)
-    if max_pages:
-        ranked = ranked.where(F.col("plan_pos") <= max_pages)  # a rank limit before the shuffle
-    return ranked.where("budget is null or plan_pos <= budget").select("site_id", "plan_pos", "url")
+    linked = links.select("site_id", "pos", "url", F.explode(F.array_compact(F.array(link_tier(F.col("url"), F.col("text"))))).alias("tier"))
+    mapped = sitemap.where(X.contains_any(F.col("url"), LINK_WORDS)).select("site_id", "pos", "url", F.lit(MAP_TIER).alias("tier"))
+    paths = F.array(*map(F.lit, PLAN_GUESSES))
+    own_base = ~F.col("base_url").contains("#")  # else a guess would be the homepage itself
+    found = linked.unionByName(mapped).join(sites, "site_id").where(
+        (F.col("tier") == MAP_TIER) | on_site(F.col("url"), F.col("domain"), F.col("below"))
+    ).withColumn("url", U.strip_fragment(F.col("url"))).where(
+        (F.col("url") != "") & (U.url_key(F.col("url")) != U.url_key(F.col("base_url")))
+    ).select("site_id", "budget", "tier", "pos", "url", F.when(
+        own_base & F.startswith("url", "base_url"), F.array_position(paths, F.substr("url", F.length("base_url") + 1))).otherwise(0).alias("guess"))
+    # least positions by tier are plain numbers: the aggregate hashes, where a least struct would be sorted
+    least = [F.min(F.when(F.col("tier") == t, F.col("pos"))).alias(f"p{t}") for t in FOUND_TIERS]
+    once = found.groupBy("site_id", "budget", "url", "guess").agg(*least).select(
+        "site_id", "budget", "url", "guess", F.coalesce(*[F.when(F.col(f"p{t}").isNotNull(), t) for t in FOUND_TIERS]).alias("tier"),
+        F.coalesce(*[f"p{t}" for t in FOUND_TIERS]).cast("long").alias("pos"))
+    # guesses come last in a site's plan: one row a site, which knows what was found, becomes them after all sorting
+    seeds = sites.select("site_id", "budget", F.when(own_base, F.col("base_url")).alias("url"), F.lit(0).cast("long").alias("guess"),
+                         F.lit(GUESS_TIER).alias("tier"), F.lit(0).cast("long").alias("pos"))
+    by_tier = Window.partitionBy("site_id", "tier").orderBy("pos")
+    so_far = Window.partitionBy("site_id").orderBy("tier", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = F.lit(True)
+    pool = once.unionByName(seeds)
+    if limits.form_pages is not None:
+        pool = pool.withColumn("k", F.row_number().over(by_tier))
+        kept = (F.col("tier") != FORM_TIER) | (F.col("k") <= limits.form_pages)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("guess").cast("int"))
+    ranked = pool.withColumns({
+        "kept": kept, "plan_pos": F.sum(kept.cast("int")).over(so_far).cast("int"), "taken": F.bit_or(bit).over(so_far),
+    }).where("kept and (budget is null or plan_pos <= budget)")
+    left = F.filter(F.transform(paths, lambda p, i: F.when(F.col("taken").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i + 1)) == 0, p)),
+                    lambda p: p.isNotNull())
+    room = F.least(F.lit(len(PLAN_GUESSES) if limits.guesses is None else limits.guesses), F.col("budget") - F.col("plan_pos") + 1)
+    guesses = F.transform(F.slice(left, F.lit(1), room), lambda p, i: F.struct((F.col("plan_pos") + i).alias("plan_pos"), F.concat("url", p).alias("url")))
+    rows = F.when(F.col("tier") != GUESS_TIER, F.array(F.struct("plan_pos", "url"))).when(F.col("url").isNotNull(), guesses)
+    return ranked.select("site_id", F.inline(rows))
 
 
 def audit_set(homes: DataFrame, plan: DataFrame, facts: DataFrame, winners: DataFrame | None = None) -> DataFrame:

@@ -130,9 +130,12 @@ def with_site_domain(sites: DataFrame, suffixes: DataFrame | None = None) -> Dat
     # a wild rule right above a domain makes it a suffix: the site's host is a suffix itself
     above = rules.where("kind = 'wild'").select(F.col("key").alias("_parent"), F.array(F.struct("key", "labels", "kind")).alias("_above"))
     none = F.array().cast(f"array<struct<{RULES}>>")
-    named = with_domain(sites.drop("domain"), F.col("base_url"), "domain", suffixes).withColumn("_parent", F.regexp_replace("domain", r"^[^.]*\.?", ""))
-    return named.join(under, "domain", "left").join(above, "_parent", "left").withColumn(
-        "below", F.concat(F.coalesce("below", none), F.coalesce("_above", none))).drop("_parent", "_above")
+    # all but the last join is on distinct hosts: many sites may share one
+    keyed = sites.drop("domain").withColumn("_host", U.host_or_name(F.col("base_url")))
+    named = host_domains(keyed.select(F.col("_host").alias("host")), suffixes).withColumn("_parent", F.regexp_replace("domain", r"^[^.]*\.?", ""))
+    named = named.join(under, "domain", "left").join(above, "_parent", "left").select(
+        F.col("host").alias("_host"), "domain", F.concat(F.coalesce("below", none), F.coalesce("_above", none)).alias("below"))
+    return keyed.join(named, "_host", "left").withColumns({"domain": F.coalesce("domain", F.lit("")), "below": F.coalesce("below", none)}).drop("_host")
 
 
 def on_site(url: Column, domain: Column, below: Column) -> Column:
