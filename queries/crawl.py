@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.registry import spread, table
+from queries.registry import table
 from sitelens.functions import urls as U
 from sitelens.plans.audit import AuditTables, audit, stage_facts
 from sitelens.sources.leads import normalize_leads
@@ -93,9 +93,8 @@ flags AS (SELECT *, TRUE AS linked, n_pd > 0 AS pd, (k6 OR k10) AS trackers, (k4
 
 
 def crawl(spark: SparkSession, sf: str) -> DataFrame:
-    base = spread(spark, sf, "pages").select(
-        "page_id", F.col("url").alias("src"), "html", (F.col("page_id") % 12).cast("int").alias("k"),
-        U.get_host(F.col("url")).alias("host"))
+    pages = table(spark, sf, "pages")
+    base = pages.select("page_id", F.col("url").alias("src"), (F.col("page_id") % 12).cast("int").alias("k"), U.get_host(F.col("url")).alias("host"))
     home = base.groupBy("host").agg(
         F.min_by(F.struct("page_id", F.regexp_extract("src", "^([a-z]+):", 1).alias("scheme")), "page_id").alias("h"))
     keys = base.select("page_id", "host", "k").join(home, "host")  # the markup stays out of the joins by host
@@ -106,8 +105,9 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
     archived = ~is_home & (F.col("first_id").isNull() | (F.col("page_id") != F.col("first_id")) | (F.col("k") == 11))
     link = F.concat(F.lit('<li><a href="/archive/'), F.col("page_id").cast("string"), F.lit(f'">{ARCHIVED}</a></li>'))
     keys = keys.join(firsts, ["host", "k"], "left")
-    links = keys.where(archived).groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("links"))
-    df = base.drop("host", "k").join(keys, "page_id").join(links, "host", "left")
+    # a list as long as its host goes to one row, the homepage; markup is dealt by page, once and without sorting
+    links = keys.where(archived).groupBy("h.page_id").agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("links"))
+    df = pages.select("page_id", "html").join(keys.join(links, "page_id", "left").hint("shuffle_hash"), "page_id")
     nav = F.concat(F.lit(NAV), F.coalesce("links", F.lit("")), F.lit("</ul>"))
     fragment = F.concat(F.lit("<body><main>"), F.get(fragments, F.col("k")), F.lit("</main>"), F.when(is_home, nav).otherwise(""))
     rows = df.select(

@@ -61,3 +61,22 @@ def test_guessed_pages_of_a_plan_are_made_after_all_sorting(spark):
     guesses = [i for i, line in enumerate(plan) if "Generate" in line and "/politika-konfidentsialnosti" in line and "posexplode" in line]
     assert sorts and not [i for i in guesses if i > sorts[0]]
     assert any("Generate inline" in line for line in plan[:sorts[0]])
+
+
+def test_link_lists_of_the_derived_crawl_meet_homepages_only(spark):
+    """A host's list is as long as the host: joined to each of its pages it grew with the square, and dealt the markup by host."""
+    from queries.crawl import crawl
+
+    tree = spark_joins(crawl(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
+    assert [keys for keys, columns in tree if "page_id" in keys and {"html", "links"} <= columns]
+    assert not [keys for keys, columns in tree if "host" in keys and columns & {"html", "links"}]
+
+
+def spark_joins(node):
+    """(text of the condition, columns of the inputs) of every join of a plan."""
+    kids = node.children()
+    found = [x for i in range(kids.size()) for x in spark_joins(kids.apply(i))]
+    if node.nodeName() == "Join":
+        columns = {a.apply(j).name() for i in range(kids.size()) for a in [kids.apply(i).output()] for j in range(a.size())}
+        found.append((node.condition().toString(), columns))
+    return found
