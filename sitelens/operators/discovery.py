@@ -178,7 +178,9 @@ def doc_candidates(audit: DataFrame, sitemap: DataFrame, homes: DataFrame) -> Da
         on_site(F.col("url"), F.col("domain"), F.col("below"))
     ).select("*", F.explode(F.array_compact(F.array(kind))).alias("doc_type")).drop("base_url", "domain", "below")
     paths = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("doc_type")) for p, t in P.GUESS_PATHS.items()])
-    guesses = sites.select("site_id", "base_url", F.posexplode(paths).alias("pos", "g")).select(
+    # a small table of sites would be merged into few partitions: dealt by number, its many rows are sorted in all tasks
+    dealt = sites.select("site_id", "base_url").repartition(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")), "site_id")
+    guesses = dealt.select("site_id", "base_url", F.posexplode(paths).alias("pos", "g")).select(
         "site_id", F.lit("priority_path").alias("source"), F.lit(3).alias("src_pos"), F.lit(0).alias("page_pos"), "pos",
         F.col("base_url").alias("page_url"), F.concat("base_url", "g.path").alias("url"), empty.alias("anchor_text"),
         empty.alias("title"), "g.doc_type")

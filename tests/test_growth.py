@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sitelens.functions import elements as P
 from sitelens.limits import INTERACTIVE, NONE
 from sitelens.operators import discovery as D
 
@@ -63,6 +64,17 @@ def test_guessed_pages_of_a_plan_are_made_after_all_sorting(spark):
     assert any("Generate inline" in line for line in plan[:sorts[0]])
 
 
+def test_usual_document_paths_are_made_in_all_partitions(spark):
+    """They are twenty rows a site; the sites' table alone is so small that all were made and sorted in one task."""
+    homes = spark.range(400).select(F.col("id").alias("site_id"), F.concat(F.lit("https://s"), "id", F.lit(".ru")).alias("base_url"), F.lit(True).alias("reachable"))
+    audit = spark.createDataFrame([], "site_id bigint, page_pos int, page_url string, links array<string>, "
+                                      "anchors array<struct<href: string, url: string, text: string, title: string>>")
+    cands = D.doc_candidates(audit, spark.createDataFrame([], "site_id bigint, pos bigint, url string"), homes)
+    rows = cands.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert sum(r["count"] for r in rows) == 400 * len(P.GUESS_PATHS)
+    assert max(r["count"] for r in rows) < 400 * len(P.GUESS_PATHS) / 4
+
+
 def test_link_lists_of_the_derived_crawl_meet_homepages_only(spark):
     """A host's list is as long as the host: joined to each of its pages it grew with the square, and dealt the markup by host."""
     from queries.crawl import crawl
