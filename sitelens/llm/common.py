@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 512 << 10
+#: whether Spark removes shuffle files at the end of each execution
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 U = np.uint64
 #: the characters \x09-\x0D and \x20
 SPACE = np.zeros(256, bool)
@@ -40,11 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The rows of df, written once as Parquet: a lost executor rereads them, nothing is recomputed."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, clean: bool = False) -> DataFrame:
+    """The rows of df, written once as Parquet: a lost executor rereads them, nothing is recomputed.
+    clean: the write's shuffle files go with its end, not when the driver happens to collect its garbage."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    old = spark.conf.get(CLEAN, None)
+    if clean:
+        spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clean:
+            spark.conf.unset(CLEAN) if old is None else spark.conf.set(CLEAN, old)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts(df: DataFrame, *more: str) -> DataFrame:

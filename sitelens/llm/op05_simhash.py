@@ -201,14 +201,17 @@ def block_keys(radius: int) -> list[F.Column]:
 def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """For each distinct fingerprint of queries, every distinct one of prints within the radius, with
     the distance: f0.., near_f0.., distance. Documents are joined back by their fingerprints. The tables
-    carry 32 bits of the key and of the fingerprint; the distance is that of whole fingerprints."""
+    carry 32 bits of the key and of the fingerprint; the distance is that of whole fingerprints.
+
+    Spark takes a table of keys to be as small as the fingerprints it is made from, a row for each pair of
+    blocks (91 at radius 12) too few, and would broadcast it through the driver: hence the merge join."""
     def bits32(c):
         return F.shiftright(F.shiftleft(c, 32), 32).cast("int")
 
     low = bits32(F.col(PARTS[0]))
     every = prints.select(*PARTS).distinct()
     keys = F.explode(F.transform(F.array(*block_keys(radius)), bits32))
-    a = queries.select(*PARTS).distinct().select(*PARTS, keys.alias("key"))
+    a = queries.select(*PARTS).distinct().select(*PARTS, keys.alias("key")).hint("merge")
     b = every.select(low.alias("low"), keys.alias("near_key"))
     some = a.join(b, (F.col("key") == F.col("near_key")) & (F.bit_count(low.bitwiseXOR(F.col("low")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= radius)).select(*PARTS, "low").distinct()
     whole = every.select(*(F.col(p).alias(f"near_{p}") for p in PARTS), low.alias("near_low"))
@@ -224,7 +227,7 @@ def compare_and_search(docs: DataFrame, radius: int = RADIUS, every: int = QUERY
         high, low = (F.conv(F.substring("fingerprint", 1 + 16 * i + j, 8), 16, 10).cast("long") for j in (0, 8))
         return F.shiftleft(high, 32).bitwiseOR(low)
 
-    rows = staged(compare_edited(docs).select("*", *(part(i).alias(p) for i, p in enumerate(PARTS))))
+    rows = staged(compare_edited(docs).select("*", *(part(i).alias(p) for i, p in enumerate(PARTS))), clean=True)
     asks = F.col("doc_id") % every == 0
     copies = rows.groupBy(*(F.col(p).alias(f"near_{p}") for p in PARTS)).agg(F.count("doc_id").alias("copies"))
     found = near_fingerprints(rows, rows.where(asks), radius).join(copies, [f"near_{p}" for p in PARTS])

@@ -1,7 +1,10 @@
 import hashlib
 import random
+import re
+import time
 
 from sitelens.llm import op05_simhash, op10_minhash
+from sitelens.llm.common import staged
 from sitelens.llm.components import components
 
 from .conftest import WORD, lower
@@ -119,6 +122,39 @@ def test_fingerprints_within_the_radius(spark):
     assert got == want and len(want) > 20
 
 
+def test_keys_of_queries_are_not_broadcast(spark):
+    """800 fingerprints are few bytes, their keys 91 times as many: only estimates take these for small."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, *(rng.getrandbits(63) for _ in range(4))) for i in range(800)], ["doc_id", *op05_simhash.PARTS])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        found = op05_simhash.near_fingerprints(df, df)
+        assert len(found.collect()) == 800
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    plan = plan.split("Initial Plan")[0]
+    assert re.search(r"SortMergeJoin.* \[key#\d+\], \[near_key#\d+\]", plan) and not re.search(r"BroadcastHashJoin \[key#", plan)
+
+
+def test_shuffle_files_of_a_staged_table_go(spark):
+    def held():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString()))
+
+    rows = spark.range(1000).repartition(3, "id")
+    before = held()
+    staged(rows)
+    assert held() - before
+    before = held()
+    staged(rows, clean=True)
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before
+
+
 def test_search_covers_every_document(docs, spark):
     """The registered columns, against brute force over all fingerprints."""
     rng = random.Random(9)
