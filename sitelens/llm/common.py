@@ -170,6 +170,10 @@ class SpanHash:
     def of(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((prefix[ends] - prefix[starts]) * self.inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
+    def every(self, prefix: np.ndarray, k: int) -> np.ndarray:
+        """As of, of all spans of k symbols."""
+        return mix((prefix[k:] - prefix[:-k]) * self.inverse[:len(prefix) - k] + U(k * 0xD6E8FEB86659FD93 % 2 ** 64))
+
 
 def word_windows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all windows of k words inside a row, and the row of each. first: as from words()."""

@@ -27,7 +27,8 @@ from .windows import groups, repeated_windows
 
 WIDTH, ANCHOR_BYTES = 50, 16
 END = 255
-SHARD, CHUNK = 512 << 10, 1 << 20
+#: bytes of a shard of an anchor with many contents; bytes of contents of whole anchors, two shards that stay in the cache
+SHARD, CHUNK = 512 << 10, 128 << 10
 SIDE = SpanHash(71)
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -84,8 +85,8 @@ def _owners(first, n, text, size, width):
     and windows are compared some at a time."""
     ends = np.cumsum(size)
     begins = ends - size
-    shards, a = [], 0
-    for b in [*np.flatnonzero(np.diff((ends - 1) // SHARD)) + 1, len(size)]:
+    shards, a, shard = [], 0, min(SHARD, len(text) // 2 + 1)
+    for b in [*np.flatnonzero(np.diff((ends - 1) // shard)) + 1, len(size)]:
         order, bwt = transform(text[begins[a]:ends[b - 1]])
         order += np.int32(begins[a])
         shards.append((order, bwt))
@@ -133,7 +134,7 @@ def sharing(h: np.ndarray, place: np.ndarray, sym: np.ndarray, bounds: np.ndarra
 def interval_owners(width: int, k: int):
     def resolve(h, first, n, place, sym, bounds):
         """Contents that cannot share a window own theirs. Of the others, anchors are independent:
-        whole anchors go into chunks of a megabyte, a larger anchor into a chunk of its own with
+        whole anchors go into chunks of CHUNK bytes, a larger anchor into a chunk of its own with
         as many shards as it needs."""
         begin, own = np.append(0, np.cumsum(n)), np.repeat(first, n)
         order = np.flatnonzero(sharing(h, place, sym, bounds, width, k))

@@ -1,11 +1,12 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
 
-from sitelens.llm import op04_debruijn, op09_bwt
+from sitelens.llm import op04_debruijn, op09_bwt, windows
 
-from .conftest import WORD
+from .conftest import DDL, WORD
 
 
 def brute(rows, width, split):
@@ -74,3 +75,36 @@ def test_merged_order_is_the_suffix_order():
              for i in range(sum(len(q) for q in parts[:j]), sum(len(q) for q in parts[:j + 1]))}
     keys = [ring[begin[int(i)]:begin[int(i)] + 50].tobytes() for i in merged]
     assert keys == sorted(keys) and sorted(merged.tolist()) == list(range(len(text)))
+
+
+def test_contents_that_share_an_anchor_only_are_not_sent(spark):
+    """Twenty-four bytes that all texts have give equal anchors, but no two windows are equal."""
+    rng = random.Random(3)
+
+    def letters(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+    unit = letters(24)
+    docs = spark.createDataFrame([(i, "".join(letters(40) + unit for _ in range(20)), "en", "s", 1) for i in range(20)], DDL)
+
+    def resolve(*contents):
+        raise ValueError(f"{len(contents[0])} contents were sent")
+
+    got = windows.repeated_windows(docs, op09_bwt.symbols, np.uint8, 50, 16, resolve, op09_bwt._digest, op09_bwt.DIGEST).collect()
+    assert [r.n_removed for r in got] == [0] * 20
+
+
+def test_spans_of_just_a_window_among_chance_anchors(spark):
+    """Texts of two letters, where most anchors meet by chance, with planted spans of 49 to 53 bytes."""
+    rng = random.Random(8)
+    rows, spans = [], ["".join(rng.choices("ab", k=n)) for n in (49, 50, 51, 53)]
+    for i in range(60):
+        text = "".join(rng.choices("ab", k=rng.randrange(400)))
+        for span in rng.sample(spans, 2):
+            text = text[:(at := rng.randrange(len(text) + 1))] + span + text[at:]
+        rows.append((i, text, "en", "s", 1))
+    got = {r.doc_id: r for r in op09_bwt.digests(spark.createDataFrame(rows, DDL)).collect()}
+    want = brute(rows, 50, str.encode)
+    assert sum(sum(gone) for _, gone in want.values()) > 1000
+    for i, (data, gone) in want.items():
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest())
